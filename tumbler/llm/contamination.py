@@ -140,11 +140,9 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int):
         yield Automaton(items, window)
 
 
-SPANS = "doc_id long, text string, n_words long, spans array<struct<a:int,b:int>>, items array<string>"
-
-
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """doc_id, text, n_words, spans (word ranges inside occurring windows, merged) and items (ids, sorted as strings).
+    `keep` names columns to carry along in a struct named row.
 
     Null or blank texts have no words and no spans; repeated rows stay. Items with null or blank
     text match nothing; an item with a null id marks words but is not listed. An item_id on several
@@ -152,20 +150,20 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     Larger benchmarks are streamed in blocks of BLOCK_WORDS words, one broadcast automaton each.
     """
     spark = docs.sparkSession
-    out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.struct(*[F.col(f"`{c}`") for c in keep or [id_col]]).alias("row"))
     blocks = _blocks(benchmark, item_col, item_text, window)
     for automaton in [next(blocks, None) or Automaton([], window)]:
         out = _streamed(out, spark.sparkContext.broadcast(automaton))
     for automaton in blocks:
         out = _streamed(out, spark.sparkContext.broadcast(automaton))
-    return out
+    return out if keep else out.drop("row")
 
 
 def _streamed(df: DataFrame, shared) -> DataFrame:
     def run(batches):
         automaton = shared.value
         for batch in batches:
-            x = {name: batch.column(name) for name in ("doc_id", "text", "n_words", "spans", "items")}
+            x = {name: batch.column(name) for name in ("doc_id", "text", "spans", "items", "row")}
             n_words, spans, items = [], [], []
             for text, old, was in zip(x["text"], x["spans"], x["items"]):
                 words = words_in(text.as_py())
@@ -177,9 +175,9 @@ def _streamed(df: DataFrame, shared) -> DataFrame:
                 ids = {str(i) for v in states for i in automaton.items[v] if i is not None}
                 items.append(sorted(ids | set(was.as_py() or ())))
             span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([x["doc_id"], x["text"], pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([x["doc_id"], x["text"], pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), x["row"]], names=["doc_id", "text", "n_words", "spans", "items", "row"])
 
-    return df.mapInArrow(run, SPANS)
+    return df.mapInArrow(run, df.schema)
 
 
 def judged(found: DataFrame, most: int = 20) -> DataFrame:

@@ -116,14 +116,14 @@ def choose(have: dict[tuple[int, int], int], want: int) -> set[tuple[int, int]]:
     return taken
 
 
-def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 4):
+def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 4, keep: list[str] | None = None):
     """Copies to take of each document so that sources come near their targets.
 
     `sources` is an array of source names (a null name is a source of its own). Targets: share
     times all sizes by weight (weights repeat over the sources in code point order, null last),
     at most `most` times a source's size. Returns (rows, targets, members): rows has doc_id, size,
     pattern, copies and taken = copies * size; targets maps a source to (size, target), members a
-    pattern to its sources.
+    pattern to its sources. With `keep`, rows has these columns of docs in a struct named row as well.
 
     Sizes count words; null or blank texts have size 0 and take 0. Selection hashes id, size and
     a text hash with the seed, so reruns agree and equal rows are treated alike. An empty table gives no
@@ -131,9 +131,10 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     size = F.size(words_of(text)).cast("long")
-    sized = docs.select(F.col(f"`{id_col}`").alias("doc_id"), size.alias("size"), F.to_json(F.array_sort(F.array_distinct(sources))).alias("pattern"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text).alias("draw"))
-    sized = sized.select("doc_id", "size", F.coalesce("pattern", F.lit("[null]")).alias("pattern"), F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(-1).cast("int").alias("class"), F.pmod("draw", F.lit(BUCKETS)).cast("int").alias("bucket"))
-    sized = cut(sized, "mix")
+    row = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
+    wide = docs.select(F.col(f"`{id_col}`").alias("doc_id"), size.alias("size"), F.to_json(F.array_sort(F.array_distinct(sources))).alias("pattern"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text).alias("draw"), *row)
+    wide = wide.select("doc_id", "size", F.coalesce("pattern", F.lit("[null]")).alias("pattern"), F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(-1).cast("int").alias("class"), F.pmod("draw", F.lit(BUCKETS)).cast("int").alias("bucket"), *["row"] * bool(keep))
+    sized = cut(wide.drop("row"), "mix")
     # At most MOST_PATTERNS * 40 classes * BUCKETS sums, whatever the input's size.
     if len(sized.select("pattern").distinct().limit(MOST_PATTERNS + 1).collect()) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
@@ -153,8 +154,9 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
         extra = choose(by[p], part)
         chosen += [(p, *k, whole + (k in extra)) for k in by[p]]
     plan = docs.sparkSession.createDataFrame(chosen, "pattern string, class int, bucket int, copies int")
-    rows = sized.join(plan, ["pattern", "class", "bucket"])
-    rows = rows.select("doc_id", "size", "pattern", F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies"))
+    # At most MOST_PATTERNS * 40 * BUCKETS rows of plan; in practice sources times a few hundred, which Spark may broadcast.
+    rows = (wide if keep else sized).join(plan, ["pattern", "class", "bucket"])
+    rows = rows.select(*["row"] * bool(keep), "doc_id", "size", "pattern", F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies"))
     return rows.withColumn("taken", F.col("copies") * F.col("size")), {s: (source_size[s], target[s]) for s in names}, members
 
 

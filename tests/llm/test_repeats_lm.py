@@ -26,6 +26,8 @@ def copies(seed):
 def test_repeats_match_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(repeats, "BLOCK_BYTES", 500)
     monkeypatch.setattr(repeats, "BUCKET_BYTES", 2000)
+    monkeypatch.setattr(repeats, "CHUNK", 130)
+    monkeypatch.setattr(repeats, "SUFFIXES", 60)
     docs = copies(seed)
     key = lambda r: (r[0] is not None, r)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)

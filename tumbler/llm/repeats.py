@@ -26,7 +26,9 @@ from tumbler.llm.common import pieces, shuffles
 LENGTH, K = 50, 25
 LEFT = LENGTH - K  # bytes of context before an anchor; LENGTH bytes from it on
 WIDE = LEFT + LENGTH + 2
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
+BLOCK_BYTES, BUCKET_BYTES, CHUNK = 2 << 20, 4 << 20, 1 << 19
+#: Suffixes sorted at once (more only if one anchor has more).
+SUFFIXES = 400_000
 #: Copies of whole texts are found by a join that is broadcast up to so many distinct repeated texts (64 bytes each).
 BROADCAST_ROWS = 200_000
 NULL_ID = -(1 << 63)
@@ -73,19 +75,29 @@ class Block:
         self.starts = self.ends - lengths
         pad = np.zeros(LEFT + LENGTH, np.uint8)
         self.raw = np.concatenate([pad[:LEFT], np.frombuffer(b"".join(self.texts), np.uint8), pad[:LENGTH]])
-        n = int(lengths.sum())
-        left = np.repeat(self.ends, lengths) - np.arange(n)  # bytes to the document's end
-        h = gram_hashes(self.raw[LEFT:])[:n] if n else np.zeros(0, np.uint64)
-        h = np.where(left >= K, h, np.uint64(2**64 - 1))
-        h = np.concatenate([h, np.full(LENGTH, 2**64 - 1, np.uint64)])
-        least = slide(h, LEFT + 1, np.minimum)[:n]
-        least = np.where(left >= LENGTH, least, np.uint64(0))
-        most = slide(np.concatenate([np.zeros(LEFT, np.uint64), least]), LEFT + 1, np.maximum) if n else least
-        self.at = np.flatnonzero((most == h[:n]) & (most > 0) & (left >= K))
-        self.hash = h[self.at]
+        found = [self._anchors(a, min(a + CHUNK, int(lengths.sum()))) for a in range(0, int(lengths.sum()), CHUNK)]
+        self.at = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
+        self.hash = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
         self.doc = np.searchsorted(self.ends, self.at, "right")
         self.ids = np.array([ids[i] for i in order], np.int64)
 
+    def _anchors(self, a: int, b: int):
+        """Places in [a, b) whose k-gram is the smallest of some whole string in its document, and their hashes.
+
+        Works on the bytes that such strings may cover, so a block's arrays stay small however long its texts are.
+        """
+        low, high = max(0, a - LEFT), min(int(self.ends[-1]), b + LEFT)
+        place = np.arange(low, high)
+        left = self.ends[np.searchsorted(self.ends, place, "right")] - place  # bytes to the document's end
+        h = gram_hashes(self.raw[LEFT + low : LEFT + high + K - 1])
+        h = np.where(left >= K, h, np.uint64(2**64 - 1))
+        least = slide(np.concatenate([h, np.full(LEFT, 2**64 - 1, np.uint64)]), LEFT + 1, np.minimum)
+        least = np.where(left >= LENGTH, least, np.uint64(0))
+        most = slide(np.concatenate([np.zeros(LEFT, np.uint64), least]), LEFT + 1, np.maximum)
+        own = slice(a - low, b - low)
+        at = np.flatnonzero((most[own] == h[own]) & (most[own] > 0) & (left[own] >= K))
+        return at + a, h[own][at]
+
     def distinct(self, buckets: int):
         """Sorted distinct hashes, which of them stand in two documents here, and where each bucket begins."""
         if not len(self.hash):
@@ -107,8 +119,10 @@ class Block:
         after = np.minimum(LENGTH, self.ends[doc] - at)
         place = np.arange(-LEFT, LENGTH)
         wide = np.zeros((len(use), WIDE), np.uint8)
-        wide[:, :-2] = self.raw[LEFT + at[:, None] + place]
-        wide[:, :-2][(place < -before[:, None]) | (place >= after[:, None])] = 0
+        wide[:, :-2] = np.lib.stride_tricks.sliding_window_view(self.raw, LEFT + LENGTH)[at]
+        edge = np.flatnonzero((before < LEFT) | (after < LENGTH))
+        inside = (place >= -before[edge, None]) & (place < after[edge, None])
+        wide[edge, :-2] *= inside
         wide[:, -2], wide[:, -1] = before, after
         _, first, of = np.unique(wide.view(f"V{WIDE}").ravel(), return_index=True, return_inverse=True)
         by = np.lexsort((first, self.hash[use][first]))  # by hash, so by bucket; then as they come
@@ -161,19 +175,27 @@ def previous_factors(wide: np.ndarray, docs: np.ndarray) -> np.ndarray:
     _, anchor, n = np.unique(np.ascontiguousarray(wide[own][:, LEFT : LEFT + K]).view(f"V{K}").ravel(), return_inverse=True, return_counts=True)
     some = own[n[anchor.ravel()] > 1]
     bits = np.zeros(len(wide), np.uint32)
-    row, o = np.nonzero(valid[some])
-    if len(row):
+    anchor = anchor.ravel()[n[anchor.ravel()] > 1]
+    by = np.argsort(anchor, kind="stable")
+    some, anchor = some[by], anchor[by]
+    ends = np.flatnonzero(np.append(anchor[1:] != anchor[:-1], True)) + 1 if len(some) else []
+    start = 0
+    while start < len(some):
+        # Whole anchors, as many as fit.
+        end = int(ends[max(np.searchsorted(ends, start + SUFFIXES // len(offsets), "right") - 1, np.searchsorted(ends, start, "right"))])
+        part, start = some[start:end], end
+        row, o = np.nonzero(valid[part])
         suffix = np.zeros((len(row), 56), np.uint8)
         for x in offsets:
             mine = o == x
-            suffix[mine, :LENGTH] = wide[some[row[mine]], LEFT - x : LEFT - x + LENGTH]
+            suffix[mine, :LENGTH] = wide[part[row[mine]], LEFT - x : LEFT - x + LENGTH]
         words = suffix.view(">u8").astype(np.uint64)
-        doc = docs[some[row]]
+        doc = docs[part[row]]
         order = np.lexsort((doc, *words.T[::-1]))
-        same = np.concatenate([[False], (words[order[1:]] == words[order[:-1]]).all(1)])
+        same = np.concatenate([[False], (words[order[1:]] == words[order[:-1]]).all(1)])[: len(order)]
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
         earlier = doc[order[head]] < doc[order]
-        np.bitwise_or.at(bits, some[row[order[earlier]]], np.uint32(1) << o[order[earlier]].astype(np.uint32))
+        np.bitwise_or.at(bits, part[row[order[earlier]]], np.uint32(1) << o[order[earlier]].astype(np.uint32))
     # A context equal to an earlier one has all its bits; the first of its kind has what the sort found.
     return out | bits
 

@@ -6,7 +6,7 @@ footer. Every section ends with the four bytes MARK, which is also what Spark's
 after each row, so shards are written by Spark to any file system it knows.
 
     block    entries (varint shared, varint rest, varint length, key rest, value), restarts u32*, count u32
-    value    little-endian u32 ids, zlib-compressed
+    value    a byte 2 or 4 and the ids in so many little-endian bytes each, zlib-compressed
     index    (key u64, offset u64, length u32, documents u32, ids u64)*, all big-endian
     bloom    bits
     footer   index offset, length, bloom offset, length, documents, ids (u64 each), magic
@@ -14,8 +14,11 @@ after each row, so shards are written by Spark to any file system it knows.
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +26,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tumbler.llm.common import cut, fresh_path, shuffles
+from tumbler.llm.token_counts import byte_letters
 
 MARK = b"\nSST"
 MAGIC = b"TOKSST01"
 FOOTER = struct.Struct(">QQQQQQ8s")
 ENTRY = struct.Struct(">QQIIQ")
 BLOCK_BYTES, RESTART = 1 << 16, 16
-#: Words whose ids a task remembers.
-REMEMBERED = 200_000
+#: Pieces of a generation whose ids a Python worker remembers, and texts encoded at once.
+REMEMBERED, TEXTS = 250_000, 500
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -61,6 +65,15 @@ def read_varint(raw, at: int) -> tuple[int, int]:
             return n, at
 
 
+def pack(ids: np.ndarray) -> bytes:
+    wide = 4 if len(ids) and ids.max() > 0xFFFF else 2
+    return bytes([wide]) + zlib.compress(ids.astype(f"<u{wide}").tobytes(), 1)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[1:]), f"<u{raw[0]}").astype("<u4")
+
+
 def bloom_places(key: bytes, bits: int) -> list[int]:
     a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
     return [(a + i * b) % bits for i in range(7)]
@@ -78,7 +91,7 @@ class ShardWriter:
         self.block, self.restarts, self.n, self.last, self.first, self.block_ids = bytearray(), [], 0, b"", b"", 0
 
     def add(self, key: bytes, ids: np.ndarray):
-        value = zlib.compress(ids.astype("<u4").tobytes(), 1)
+        value = pack(ids)
         if self.n % RESTART == 0:
             self.restarts.append(len(self.block))
             shared = 0
@@ -137,7 +150,7 @@ class Shard:
             rest, at = read_varint(raw, at)
             size, at = read_varint(raw, at)
             key = key[:shared] + raw[at : at + rest]
-            yield key, np.frombuffer(zlib.decompress(raw[at + rest : at + rest + size]), "<u4")
+            yield key, unpack(raw[at + rest : at + rest + size])
             at += rest + size
 
     def __iter__(self):
@@ -165,34 +178,88 @@ class Shard:
         return None
 
 
-class WordIds(dict):
-    """word -> its ids as little-endian u16 or u32 bytes. Words never meet across blanks in this tokenizer."""
+class Recent:
+    """A table in two generations: a full young one becomes the old one, and entries still in use move back. Frequent
+    entries stay, and at most twice `size` are held."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that neither generation holds; the others are in the young one afterwards."""
+        if len(self.young) > self.size:
+            self.young, self.old = {}, self.young
+        out = []
+        for k in keys - self.young.keys():
+            known = self.old.get(k)
+            if known is None:
+                out.append(k)
+            else:
+                self.young[k] = known
+        return out
+
+
+#: Texts that are plain to the tokenizer: printable ASCII, white space, and Latin-1 letters, which are composed already.
+PLAIN = re.compile("[ -~\t\n\r\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+#: The tokenizer's own split of lower-case text, restricted to those characters.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ \t\n\ra-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+WHOLE = "\0"  # before a word that passes through the whole tokenizer
+
+
+class PieceIds:
+    """The ids of pieces (words, or runs of other characters), as little-endian u32 bytes.
+
+    Plain texts are lower-cased and split here and their pieces go to the tokenizer's model. In other texts, blanks and
+    line feeds are still white space, which the tokenizer drops, so words that aren't plain pass through the whole
+    tokenizer one by one; texts that may hold special tokens are encoded whole.
+    """
 
     def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenizer = tokenizer
-
-    def learn(self, words: set[str]):
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(words)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text. Blanks and line feeds are white space to the tokenizer, which drops white space, so the
-        text's ids are those of its parts; texts that may hold special tokens are encoded whole."""
-        if "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.__getitem__, words))
+        self.tokenizer, self.model, self.known = tokenizer, tokenizer.model, Recent(REMEMBERED)
+        letters = {b: c for c, b in byte_letters().items()}
+        self.letters = {i: "".join(letters[b] for b in chr(i).encode()) for i in range(33, 256)}
+        # Splitting here is only for tokenizers that do the same, which a few texts tell.
+        probe = "it's Zue\u00df, a1b22 ...x'RE-y\n\u00c9t\u00e9 ''s\tA\u00ff\r&"
+        self.plain = self.whole(probe) == b"".join(map(self.ids, PIECE.findall(probe.lower())))
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def ids(self, piece: str) -> bytes:
+        if piece[0] == WHOLE:
+            return self.whole(piece[1:])
+        return array("I", [t.id for t in self.model.tokenize(piece.translate(self.letters))]).tobytes()
+
+    def split(self, text: str) -> list[str]:
+        if self.plain and PLAIN.fullmatch(text):
+            return PIECE.findall(text.lower())
+        out = []
+        for w in text.replace("\n", " ").split(" "):
+            if w:
+                out += PIECE.findall(w.lower()) if self.plain and PLAIN.fullmatch(w) else (WHOLE + w,)
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        parts = [None if "<|" in t else self.split(t) for t in texts]
+        for p in self.known.missing(set().union(*(p for p in parts if p))):
+            self.known.young[p] = self.ids(p)
+        get = self.known.young.__getitem__
+        return [self.whole(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+
+
+_LOADED: dict[int, PieceIds] = {}
+
+
+def piece_ids(tokenizer_json: str) -> PieceIds:
+    """One tokenizer and table for each Python worker, whatever tasks it runs."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = PieceIds(Tokenizer.from_str(tokenizer_json))
+    return _LOADED[key]
 
 
 def write_shards(docs: DataFrame, tokenizer_json: str, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, shards: int | None = None) -> None:
@@ -206,15 +273,14 @@ def write_shards(docs: DataFrame, tokenizer_json: str, path: str, id_col: str =
     shared = spark.sparkContext.broadcast(tokenizer_json)
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        words = WordIds(Tokenizer.from_str(shared.value))
+        pieces = piece_ids(shared.value)
         writer, end = ShardWriter(), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                out += writer.add(key_of(doc_id), np.frombuffer(words.encode(text.as_py() or "") + end, "<u4"))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            for i in range(0, len(batch), TEXTS):
+                part, out = batch.slice(i, TEXTS), []
+                for doc_id, ids in zip(part.column(0).to_pylist(), pieces.encode(part.column(1).to_pylist())):
+                    out += writer.add(key_of(doc_id), np.frombuffer(ids + end, "<u4"))
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
         yield pa.RecordBatch.from_arrays([pa.array(list(writer.close()), pa.binary())], names=["value"])
 
     cols = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

@@ -1,0 +1,128 @@
+"""Simulated fair histories with reproducible streams, and statistics of each.
+
+A stream is named by an experiment and a scope; a group of the grouped map is one scope, so results don't depend
+on partitioning. Main labels and specials of a chunk are drawn in turn, so the chunk length is part of the stream.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from itertools import accumulate
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tumbler.functions.exact import Matrix
+
+#: Uniforms held at once: with the pool's size and draws it fixes how many replicates a chunk has (fixed value).
+ELEMENTS = 30_000_000
+
+
+def stream(root: int, experiment: str, scope: str) -> np.random.Generator:
+    """PCG64DXSM seeded by the root and the first 16 bytes of the SHA-256 of 'experiment|scope'."""
+    label = hashlib.sha256(f"{experiment}|{scope}".encode()).digest()
+    return np.random.Generator(np.random.PCG64DXSM(np.random.SeedSequence([root, int.from_bytes(label[:16], "big")])))
+
+
+def fair_sets(rng: np.random.Generator, m: Matrix, n: int) -> np.ndarray:
+    """n draws of k labels: those of the k smallest of the pool's uniforms, ascending."""
+    chosen = np.argpartition(rng.random((n, m.n)), m.k - 1, axis=1)[:, : m.k]
+    return np.sort(chosen, axis=1) + m.low
+
+
+def fair_sequences(rng: np.random.Generator, m: Matrix, n: int) -> np.ndarray:
+    """n draws in drawing order: the chosen labels by their uniforms."""
+    u = rng.random((n, m.n))
+    chosen = np.argpartition(u, m.k - 1, axis=1)[:, : m.k]
+    by = np.argsort(np.take_along_axis(u, chosen, 1), axis=1)
+    return np.take_along_axis(chosen, by, 1) + m.low
+
+
+def chunks(total: int, draws: int, m: Matrix):
+    """Replicates per chunk, in order."""
+    each = max(1, ELEMENTS // max(1, draws * m.n))
+    return [min(each, total - done) for done in range(0, total, each)]
+
+
+def set_statistics(mains: np.ndarray, specials: np.ndarray | None, m: Matrix, segments: list[int]) -> dict[str, np.ndarray]:
+    """Frequency, overlap, special and dispersion statistics of replicates (r, n, k); one value for each."""
+    r, n, _ = mains.shape
+    counts = np.zeros((r, m.n), np.int64)
+    np.add.at(counts, (np.repeat(np.arange(r), n * m.k), (mains - m.low).ravel()), 1)
+    p = m.k / m.n
+    dev = counts - n * p
+    joins = np.ones(max(0, n - 1), bool)
+    joins[[e - 1 for e in list(accumulate(segments))[:-1]]] = False
+    shared = (mains[:, :-1, :, None] == mains[:, 1:, None, :]).sum((2, 3))
+    out = {"fs001": (dev**2).sum(1) / (n * p), "fs002": np.abs(dev).max(1) / np.sqrt(n * p * (1 - p)), "fs003": counts.max(1), "fs004": counts.min(1), "fs006": shared[:, joins].sum(1)}
+    if specials is not None:
+        sc = np.zeros((r, m.specials), np.int64)
+        np.add.at(sc, (np.repeat(np.arange(r), n), specials.ravel() - 1), 1)
+        mu = n / m.specials
+        out |= {"fs009": ((sc - mu) ** 2).sum(1) / mu, "fs011": ((specials[:, :-1] == specials[:, 1:]) & joins).sum(1)}
+    if n > 1:
+        out |= {"fs012": mains.sum(2).var(axis=1, ddof=1), "fs013": (mains % 2).sum(2).var(axis=1, ddof=1)}
+    return {k: v.astype(float) for k, v in out.items()}
+
+
+def simulate(pools: DataFrame, m: Matrix, root: int, experiment: str, batches: int, reps: int) -> DataFrame:
+    """pool, batch, rep, stat, value: null replicates for pools (pool, segments: array of segment lengths).
+
+    One group for each pool and batch, so a pool's statistics come from the same histories.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pool, batch = key
+        segments = [int(x) for x in pdf["segments"].iloc[0]]
+        n, rng, parts, done = sum(segments), stream(root, experiment, f"{pool}|HISTORIES|batch{batch}"), [], 0
+        for c in chunks(reps, n, m):
+            mains = fair_sets(rng, m, c * n).reshape(c, n, m.k)
+            specials = rng.integers(1, m.specials + 1, size=c * n).reshape(c, n) if m.specials else None
+            for i in range(0, c, 64):
+                values = set_statistics(mains[i : i + 64], None if specials is None else specials[i : i + 64], m, segments)
+                rep = np.arange(done + i, done + i + len(mains[i : i + 64]))
+                parts += [pd.DataFrame({"pool": pool, "batch": batch, "rep": rep, "stat": k, "value": v}) for k, v in values.items()]
+            done += c
+        return pd.concat(parts) if parts else pd.DataFrame({"pool": [], "batch": [], "rep": [], "stat": [], "value": []})
+
+    tasks = pools.select("pool", "segments", F.explode(F.sequence(F.lit(1), F.lit(batches))).alias("batch"))
+    return tasks.groupBy("pool", "batch").applyInPandas(run, "pool string, batch int, rep long, stat string, value double")
+
+
+def summarise(nulls: DataFrame) -> DataFrame:
+    """pool, stat: n, mean, sd (population), min, max and quantiles by linear interpolation."""
+    v = F.col("value")
+    q = F.percentile(v, [0.01, 0.05, 0.5, 0.95, 0.99])
+    return nulls.groupBy("pool", "stat").agg(F.count(v).alias("n"), F.mean(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), q.alias("q")).select("pool", "stat", "n", "mean", "sd", "min", "max", *[F.col("q")[i].alias(name) for i, name in enumerate(["q01", "q05", "q50", "q95", "q99"])])
+
+
+def permuted_chi2(labelled: DataFrame, m: Matrix, root: int, experiment: str, permutations: int) -> DataFrame:
+    """pool, observed, p: category chi-square against labels permuted within blocks.
+
+    labelled: pool, block, category, draw_id, numbers. A pool is one stream and one group, so it must fit in a task:
+    its draws are held as small integers, and permutations only move the categories.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("draw_id")
+        rng = stream(root, experiment, f"{key[0]}|PERMUTATIONS")
+        cats, cat = np.unique(pdf["category"].to_numpy(), return_inverse=True)
+        labels = np.array(pdf["numbers"].tolist(), np.int64) - m.low
+        blocks = [np.flatnonzero(pdf["block"].to_numpy() == b) for b in np.unique(pdf["block"])]
+        expected = np.bincount(cat, minlength=len(cats))[:, None] * m.k / m.n
+
+        def chi2(c):
+            counts = np.bincount((c[:, None] * m.n + labels).ravel(), minlength=len(cats) * m.n).reshape(-1, m.n)
+            return float(((counts - expected) ** 2 / expected).sum())
+
+        observed, above = chi2(cat), 0
+        for _ in range(permutations):
+            c = cat.copy()
+            for at in blocks:
+                c[at] = cat[at][rng.permutation(len(at))]
+            above += chi2(c) >= observed
+        return pd.DataFrame({"pool": [key[0]], "observed": [observed], "p": [(above + 1) / (permutations + 1)]})
+
+    return labelled.groupBy("pool").applyInPandas(run, "pool string, observed double, p double")

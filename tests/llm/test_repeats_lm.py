@@ -59,11 +59,12 @@ def test_scores(spark):
     seen = Counter()
     for i, t in docs:
         if not held[i]:
-            seen.update([*lm_score.tokens(t), ""])
+            seen.update([*lm_score.tokens(t), b""])
+    assert lm_score.tokens("A\u00c9b\x0bc\x1cd \u00a0") == ["a\u00c9b".encode(), b"c\x1cd", b"\xc2\xa0"]
     n, room = sum(seen.values()), sum(seen.values()) + 0.5 * (len(seen) + 1)
     want = []
     for i, t in docs:
-        words = [*lm_score.tokens(t), ""]
+        words = [*lm_score.tokens(t), b""]
         want.append((i, held[i], len(words), sum(w in seen for w in words), n, round(sum(np.log10((seen[w] + 0.5) / room) for w in words), 6)))
     rows_ = got(out)
     assert sorted(((*r[:5], round(r[5], 6)) for r in rows_), key=lambda r: (r[0] is not None, r)) == sorted(want, key=lambda r: (r[0] is not None, r))

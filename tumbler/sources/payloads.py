@@ -137,7 +137,7 @@ def xlsx_draws(files: DataFrame) -> DataFrame:
 
     rows = files.select("path", "content").mapInPandas(run, "path string, day string, drawn string, sorted string, special string, multiplier string, jackpot string")
     n = numbers_in(F.col("drawn"))
-    day = F.coalesce(F.try_to_date("day", F.lit("yyyy-MM-dd")), F.try_to_date("day", F.lit("M/d/yyyy")))
+    day = F.coalesce(F.try_to_date("day", "yyyy-MM-dd"), F.try_to_date("day", "M/d/yyyy"))
     out = rows.select("path", day.alias("d"), n.alias("numbers"), F.when(n != F.array_sort(n), "physical").otherwise("sorted").alias("claim"), F.col("special").try_cast("int").alias("special"), F.regexp_extract("multiplier", r"(\d+)", 1).try_cast("int").alias("multiplier"), money(F.col("jackpot")).alias("jackpot"))
     return out.where(F.col("d").isNotNull() & (F.size("numbers") > 0))
 

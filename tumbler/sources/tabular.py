@@ -13,10 +13,10 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFr
 
 
 def read_csv_checked(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
-    """(good rows, bad rows): bad ones with file and raw line instead of stopping."""
+    """(good rows, bad rows): bad ones with _file and _raw (the line), and what cells could be read."""
     wide = StructType(list(schema.fields)).add("_raw", "string")
     rows = spark.read.csv(path, header=True, schema=wide, mode="PERMISSIVE", nullValue="", columnNameOfCorruptRecord="_raw").withColumn("_file", F.input_file_name())
-    return rows.where("_raw IS NULL").drop("_raw", "_file"), rows.where("_raw IS NOT NULL").select("_file", "_raw")
+    return rows.where("_raw IS NULL").drop("_raw", "_file"), rows.where("_raw IS NOT NULL")
 
 
 def joined_list(column: str, kind: str = "int") -> Column:

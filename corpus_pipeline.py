@@ -18,8 +18,7 @@ BROADCAST_IDS = 1_000_000
 
 def quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that policy v2 of the quality ledger keeps."""
-    book = quality_rules.apply_policy(quality_rules.ledger(quality_rules.measure(docs, keep=docs.columns)))
-    return book.where("kept").select("__row.*")
+    return quality_rules.kept_rows(docs)
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,6 +96,16 @@ def apply_policy(book: DataFrame, version: str = "v2") -> DataFrame:
     return book.withColumns({"base_failed": failed(base), "policy": F.lit(version), "kept": ~failed(mask)})
 
 
+def kept_rows(docs: DataFrame, version: str = "v2", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that a policy keeps, with all their columns.
+
+    The partition number in the condition keeps the optimizer from moving the condition below the measurements, where
+    it would work them out again inside each lambda.
+    """
+    measured = measure(docs, id_col, text_col, keep=docs.columns).withColumn("__part", F.spark_partition_id())
+    return apply_policy(ledger(measured), version).where(F.col("kept") & (F.col("__part") >= 0)).select("__row.*")
+
+
 def ablation(book: DataFrame, version: str = "v2") -> DataFrame:
     """For each rule of a policy: documents failing it, and those that only it rejects.
 

@@ -3,10 +3,10 @@
 1. Copies of a text are one document. A document's set is that of its 5-word shingles, as 64-bit hashes.
 2. Prefix filter: of each set the lowest hashes, enough that similar sets share several of them, are
    counted over all documents. A document that shares too few is similar to none; nearly all end here.
-3. Token-group matrix: the others are grouped by the most frequent of their rarest shared hashes, large groups
-   split in parts that each hold the group's pivot. Inside a group every pair is compared, which links nearly
-   all that belongs together.
-4. For hashes still held by several components, the matrix (hash, group) names the groups that a document
+3. Token-group matrix: the others are grouped by the most frequent of these hashes, large groups split in parts
+   that each hold the group's pivot. Inside a group every pair is compared, which links nearly all that belongs
+   together.
+4. For hashes still held by several components, the matrix (hash, group) names the other groups that a document
    must be compared with. A group is opened only if the document's overlap with the union of the group's sets
    reaches the bound; then it is compared with each member.
 
@@ -15,8 +15,6 @@ Hashes, like the sizes, are exact but for collisions of 64 bits.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -34,24 +32,25 @@ NULL_ID = -(1 << 63)
 #: Words whose hashes a task remembers.
 REMEMBERED = 300_000
 
-SPACE = re.compile("[\\x20\\x09-\\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def words_in(text: str | None) -> list[bytes]:
+    """The words of a text in UTF-8: bytes.lower() touches A-Z only, and bytes.split() parts at ASCII white space."""
+    return (text or "").encode().lower().split()
 
 
 class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
 
 def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles; of fewer words than a shingle, one of all."""
-    words = [w for w in SPACE.split((text or "").translate(LOWER)) if w]
+    words = words_in(text)
     if not words:
         return np.zeros(0, np.uint64)
-    w = np.array(list(map(hashes.__getitem__, words)), np.uint64)
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = min(SHINGLE, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for i in range(n):
@@ -62,7 +61,7 @@ def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
 
 def least_shared(size: int) -> int:
     """How many of their lowest hashes two similar sets share at least, if the smaller has this size."""
-    return max(1, size // 10)
+    return max(1, 2 * size // 5)
 
 
 def bound(size: int) -> int:
@@ -118,8 +117,9 @@ def linked(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return [(ids[i], ids[top(i)]) for i in range(len(ids)) if top(i) != i]
 
 
-def opened(ids: list[int], sets: list[np.ndarray], queries: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-    """Links of queries with a group's members. Queries whose overlap with the union of the sets is too small open nothing."""
+def opened(ids: list[int], roots: list[int], sets: list[np.ndarray], queries: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links of queries with a group's members, one for each component (root) of members that a query is similar to.
+    Queries whose overlap with the union of the sets is too small open nothing."""
     union, of = np.unique(np.concatenate(sets), return_inverse=True)
     member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     size, out = np.array([len(s) for s in sets]), []
@@ -131,7 +131,8 @@ def opened(ids: list[int], sets: list[np.ndarray], queries: list[tuple[int, np.n
         hit = np.zeros(len(union), bool)
         hit[at[here]] = True
         overlap = np.bincount(member[hit[of]], minlength=len(sets))
-        out += [(q, ids[i]) for i in np.flatnonzero(similar(overlap, len(tokens), size)) if ids[i] != q]
+        near = {roots[i]: ids[i] for i in np.flatnonzero(similar(overlap, len(tokens), size)) if ids[i] != q}
+        out += [(q, i) for i in near.values()]
     return out
 
 
@@ -176,7 +177,7 @@ def chosen(tokens: np.ndarray, df: np.ndarray) -> np.ndarray:
     return low[some[order[: len(some) - need + 1]]]
 
 
-FOUND = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("chosen", pa.list_(pa.int64()))])
+FOUND = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("chosen", pa.list_(pa.int64())), ("anchor", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -235,17 +236,21 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         df = np.concatenate(df) if df else np.zeros(0, np.uint16)
         rows = []
         for key, digest, s in sets:
-            few = chosen(s, df[np.searchsorted(all_tokens, lowest(s))]) if len(s) else s
-            rows.append({"key": key, "digest": digest, "n": len(s), "tokens": s.tobytes() if len(few) else None, "chosen": few.view(np.int64).tolist() if len(few) else None})
+            low = lowest(s) if len(s) else s
+            own = df[np.searchsorted(all_tokens, low)]
+            few = chosen(s, own) if len(s) else s
+            # The most frequent of the low hashes: near copies agree on it, so they meet in one group.
+            anchor = int(low.view(np.int64)[np.lexsort((low, own))[-1]]) if len(few) else None
+            rows.append({"key": key, "digest": digest, "n": len(s), "tokens": s.tobytes() if len(few) else None, "chosen": few.view(np.int64).tolist() if len(few) else None, "anchor": anchor})
         return pa.Table.from_pylist(rows, FOUND)
 
     sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block int, keys binary, counts binary")
     counts = sent.repartition(max(shuffles(spark), buckets), "bucket").groupBy("bucket").applyInArrow(count, "block int, bucket int, df binary")
-    found = blocks.groupBy("block").cogroup(counts.repartition(parts, "block").groupBy("block")).applyInArrow(prune, "key long, digest binary, n long, tokens binary, chosen array<long>")
+    found = blocks.groupBy("block").cogroup(counts.repartition(parts, "block").groupBy("block")).applyInArrow(prune, "key long, digest binary, n long, tokens binary, chosen array<long>, anchor long")
     found = cut(found, "sets")
 
-    # Groups by the most frequent chosen hash; large ones in parts.
-    open_ = found.where("tokens IS NOT NULL").select("key", "digest", "n", "tokens", "chosen", F.element_at("chosen", -1).alias("anchor"))
+    # Groups by the most frequent low hash; large ones in parts.
+    open_ = found.where("tokens IS NOT NULL").select("key", "digest", "n", "tokens", "chosen", "anchor")
     groups = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "digest")).alias("pivot")).where(f"c > {GROUP}").select("anchor", F.ceil(F.col("c") / GROUP).cast("int").alias("m"), "pivot")
     groups = cut(groups, "groups")
     part = F.coalesce(F.pmod(F.xxhash64("key", "digest"), F.col("m")).cast("int"), F.lit(0))
@@ -266,17 +271,19 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = holders.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
     mixed = cut(holders.join(mixed, "token"), "mixed")
     largest = mixed.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root")).alias("x")).select("token", F.col("x.root").alias("largest"))
-    matrix = mixed.select("token", "anchor", "part", F.col("root").alias("other")).distinct()
-    asking = mixed.join(largest, "token").where("root <> largest").select("token", "key", "digest", "root")
-    asked = cut(asking.join(matrix, "token").where("root <> other").select("key", "digest", "anchor", "part").distinct(), "asked")
+    matrix = mixed.groupBy("token", "anchor", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    asking = mixed.join(largest, "token").where("root <> largest").select("token", "key", "digest", "root", F.col("anchor").alias("own"), F.col("part").alias("own_part"))
+    # A document's own group has been compared; a group that holds the hash in the document's component only needs none.
+    other = "NOT (anchor = own AND part = own_part) AND NOT (lo = root AND hi = root)"
+    asked = cut(asking.join(matrix, "token").where(other).select("key", "digest", "anchor", "part").distinct(), "asked")
     queries = asked.join(dealt.select("key", "digest", F.col("tokens").alias("q_tokens")), ["key", "digest"]).select(F.col("anchor").alias("q_anchor"), F.col("part").alias("q_part"), F.col("key").alias("q_key"), "q_tokens")
 
     def open_groups(members: pa.Table, asks: pa.Table) -> pa.Table:
         if not len(members) or not len(asks):
             return _links([])
-        return _links(opened(members.column("key").to_pylist(), _read(members), list(zip(asks.column("q_key").to_pylist(), _read(asks, "q_tokens")))))
+        return _links(opened(members.column("key").to_pylist(), members.column("root").to_pylist(), _read(members), list(zip(asks.column("q_key").to_pylist(), _read(asks, "q_tokens")))))
 
-    members = dealt.join(asked.select("anchor", "part").distinct(), ["anchor", "part"], "left_semi").select("anchor", "part", "key", "tokens")
+    members = dealt.join(asked.select("anchor", "part").distinct(), ["anchor", "part"], "left_semi").join(roots, F.col("key") == F.col("node"), "left").select("anchor", "part", "key", "tokens", F.coalesce("root", "key").alias("root"))
     second = members.groupBy("anchor", "part").cogroup(queries.groupBy("q_anchor", "q_part")).applyInArrow(open_groups, "a long, b long")
     second = cut(second.distinct(), "pairs")
     if second.limit(1).count():
@@ -294,7 +301,7 @@ def op3_group_matrix(spark, sf_dir: str) -> DataFrame:
 def brute(docs: list[tuple]) -> list[tuple]:
     """For tests: the same rows by comparing all pairs of shingle sets."""
     def cut_up(text):
-        w = [x for x in SPACE.split((text or "").translate(LOWER)) if x]
+        w = words_in(text)
         return {tuple(w[i : i + SHINGLE]) for i in range(max(1, len(w) - SHINGLE + 1))} if w else set()
 
     sets = [cut_up(t) for _, t in docs]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tumbler.llm.common import pieces, shuffles
+from tumbler.llm.common import cut, pieces, shuffles
 
 LENGTH, K = 50, 25
 LEFT = LENGTH - K  # bytes of context before an anchor; LENGTH bytes from it on
@@ -256,7 +256,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ids = F.col(f"`{id_col}`").cast("long")
     cols = docs.select(ids.alias("doc_id"), F.coalesce(ids, F.lit(NULL_ID)).alias("key"), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
     # Whole copies: all of their bytes stand in the first one. Counted in each task first, so a hot text is one row a task.
-    copies = cols.where(F.col("n_bytes") >= LENGTH).groupBy(F.col("digest").alias("copy_of")).agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("copy_of", "first").persist()
+    copies = cols.where(F.col("n_bytes") >= LENGTH).groupBy(F.col("digest").alias("copy_of")).agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("copy_of", "first")
+    copies = cut(copies, "copies")
     total, most = cols.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.coalesce(F.max("n_bytes"), F.lit(0))).first()
     side = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
     known = cols.join(side, F.col("digest") == F.col("copy_of"), "left").select("doc_id", "key", "text", "n_bytes", (F.col("first").isNotNull() & (F.col("key") > F.col("first")) & (F.col("n_bytes") >= LENGTH)).alias("copy"))

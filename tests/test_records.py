@@ -11,8 +11,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tumbler.functions import exact
 from tumbler.functions.exact import Matrix
-from tumbler.operators import audit, inference, models, nulls, reconcile, regimes, splits
+from tumbler.operators import audit, inference, models, nulls, power, reconcile, regimes, splits
 from tumbler.sources import payloads, store, tabular
 from tumbler.streaming import retrievals
 
@@ -140,6 +141,8 @@ def test_nulls(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, nulls.simulate(pools.repartition(5), m, 7, "x", 2, 40).collect()))
     stats = {(r["pool"], r["stat"]): r for r in nulls.summarise(one).collect()}
     assert stats["A", "fs001"]["n"] == 80 and abs(stats["A", "fs001"]["mean"] - 42) < 5
+    checks = nulls.theory_checks(nulls.fair_structure(pools, m, 7, "x", 200), exact.pmf_table(spark, m)).collect()
+    assert len(checks) == 8 and all(r["passed"] for r in checks)
     rng = nulls.stream(1, "e", "s")
     sets, seqs = nulls.fair_sets(rng, m, 500), nulls.fair_sequences(rng, m, 500)
     assert (np.diff(sets) > 0).all() and all(len(set(x)) == 5 for x in seqs) and not (np.diff(seqs) > 0).all()
@@ -185,3 +188,19 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT label, sum(c) AS c FROM labels GROUP BY label ORDER BY label").collect()[1]["c"] == 2
+
+
+def test_planted_effects_are_valid_and_noticed(spark):
+    m, segments = Matrix(5, 1, 47, 15), [300, 200]
+    for scenario in ("fair", *power.SCENARIOS):
+        h = power.planted(nulls.stream(3, "p", scenario), m, segments, scenario, 0.3)
+        assert h.shape == (500, 5) and all(len(set(r)) == 5 for r in h.tolist()) and h.min() >= 0 and h.max() < 47
+    pools = spark.createDataFrame([("A", segments)], "pool string, segments array<int>")
+    found = {(r["scenario"], r["stat"]): r["power"] for r in power.power(power.replicates(pools, m, 3, "p", [0.3], 20)).collect()}
+    assert found["within_draw", "moves"] > 0.8 and found["same_place", "same"] > 0.8 and found["cross_place", "cross"] > 0.8
+    assert found["fair", "cells"] <= 0.1
+    for kind in ("fair", "persistent", "gap", "previous", "rotating"):
+        h = power.control_history(nulls.stream(4, "c", kind), m, 150, kind, 1.0)
+        assert all(len(set(r)) == 5 for r in h.tolist()) and h.min() >= 1 and h.max() <= 47
+    gains = {(r["kind"], r["model"]): r["mean_score"] for r in power.controls(pools, m, 3, "c", [2.0]).collect()}
+    assert gains["persistent", "frequency"] > 0 > gains["fair", "frequency"]

@@ -15,7 +15,8 @@ from tumbler.functions.exact import Matrix
 from tumbler.operators.history import labels, running, spine
 
 WARMUP, POOLS = 100, (10, 15, 20)
-PSEUDO, HALF_LIFE = 50.0, 50.0
+#: Draws' worth of fair expectation mixed into the frequency and the decayed model (fixed values).
+FREQUENCY_PSEUDO, DECAYED_PSEUDO, HALF_LIFE = 100.0, 25.0, 50.0
 
 
 def log_symmetric(log_w: np.ndarray, k: int) -> np.ndarray:
@@ -61,9 +62,9 @@ class State:
         if model == "uniform":
             return np.zeros(self.m.n)
         if model == "frequency":
-            rate = (self.counts + PSEUDO * p) / (self.n + PSEUDO)
+            rate = (self.counts + FREQUENCY_PSEUDO * p) / (self.n + FREQUENCY_PSEUDO)
         else:
-            rate = (self.decayed + PSEUDO * p) / (self.mass + PSEUDO)
+            rate = (self.decayed + DECAYED_PSEUDO * p) / (self.mass + DECAYED_PSEUDO)
         return np.log(rate / p)
 
     def see(self, chosen: np.ndarray) -> None:

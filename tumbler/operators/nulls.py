@@ -126,3 +126,32 @@ def permuted_chi2(labelled: DataFrame, m: Matrix, root: int, experiment: str, pe
         return pd.DataFrame({"pool": [key[0]], "observed": [observed], "p": [(above + 1) / (permutations + 1)]})
 
     return labelled.groupBy("pool").applyInPandas(run, "pool string, observed double, p double")
+
+
+def fair_structure(pools: DataFrame, m: Matrix, root: int, experiment: str, times: int) -> DataFrame:
+    """pool, quantity, x, c: structural quantities of `times` as many simulated draws as a pool has, counted in the task."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n, rng, found = int(sum(pdf["segments"].iloc[0])) * times, stream(root, experiment, f"{key[0]}|VALIDATION"), {}
+        for at in range(0, n, 50_000):
+            s = fair_sets(rng, m, min(50_000, n - at))
+            parts = {"draw_sum": s.sum(1), "range": s[:, -1] - s[:, 0], "odd_count": (s % 2).sum(1)}
+            if len(s) > 1:
+                parts["overlap"] = (s[:-1, :, None] == s[1:, None, :]).sum((1, 2))[::2]
+            for q, x in parts.items():
+                values, counts = np.unique(x, return_counts=True)
+                for v, c in zip(values.tolist(), counts.tolist()):
+                    found[q, v] = found.get((q, v), 0) + c
+        return pd.DataFrame([(key[0], q, x, c) for (q, x), c in found.items()], columns=["pool", "quantity", "x", "c"])
+
+    return pools.select("pool", "segments").groupBy("pool").applyInPandas(run, "pool string, quantity string, x long, c long")
+
+
+def theory_checks(counts: DataFrame, pmf: DataFrame, sigma: float = 5.0, least: float = 5.0) -> DataFrame:
+    """pool, quantity, n_cells, max_z, passed: simulated counts against exact pmfs, over cells that expect `least` or more."""
+    n = counts.groupBy("pool", "quantity").agg(F.sum("c").alias("n"))
+    cells = n.join(F.broadcast(pmf), "quantity").join(counts, ["pool", "quantity", "x"], "left")
+    mu = F.col("n") * F.col("p")
+    z = F.abs(F.coalesce("c", F.lit(0)) - mu) / F.sqrt(mu * (1 - F.col("p")))
+    out = cells.where(mu >= least).groupBy("pool", "quantity").agg(F.count(F.lit(1)).alias("n_cells"), F.max(z).alias("max_z"))
+    return out.withColumn("passed", F.col("max_z") <= sigma)

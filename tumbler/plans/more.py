@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tumbler.functions import exact
-from tumbler.operators import audit, history, inference, models, nulls, primary
+from tumbler.operators import audit, history, inference, models, nulls, power, primary
 from tumbler.plans import views
 from tumbler.plans.catalog import STRUCT, query
 from tumbler.plans.views import MATRIX, sql
@@ -137,7 +137,28 @@ def equipment_permutation(spark, sf_dir):
     return nulls.permuted_chi2(h, MATRIX, ROOT, EXPERIMENT, 200)
 
 
+@query("theory_checks")
+def theory_checks(spark, sf_dir):
+    return nulls.theory_checks(nulls.fair_structure(_pools(spark, sf_dir), MATRIX, ROOT, EXPERIMENT, 20), exact.pmf_table(spark, MATRIX))
+
+
+@query("ordered_null_summary")
+def ordered_null_summary(spark, sf_dir):
+    """Nulls of the statistics of drawing order."""
+    return nulls.summarise(power.replicates(_pools(spark, sf_dir), MATRIX, ROOT, EXPERIMENT, [], 100).select("pool", "stat", "value"))
+
+
+@query("power_study")
+def power_study(spark, sf_dir):
+    return power.power(power.replicates(_pools(spark, sf_dir), MATRIX, ROOT, EXPERIMENT, [0.1, 0.3], 20))
+
+
 # ------------------------------------------------------------------ models
+@query("synthetic_controls")
+def synthetic_controls(spark, sf_dir):
+    return power.controls(_pools(spark, sf_dir), MATRIX, ROOT, EXPERIMENT, [0.5, 1.0])
+
+
 @query("walkforward_scores")
 def walkforward_scores(spark, sf_dir):
     return models.walk_forward(views.history(spark, sf_dir), MATRIX)

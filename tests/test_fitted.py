@@ -1,0 +1,45 @@
+"""Fitted models: exact inclusion, gradients, recovery of planted weights, and no look into the future."""
+
+import datetime as dt
+import random
+
+import numpy as np
+import pytest
+
+from tumbler.functions.exact import Matrix
+from tumbler.operators import fitted, models
+
+
+def test_inclusion_and_gradient():
+    rng = np.random.default_rng(1)
+    score = rng.normal(size=(4, 7))
+    assert fitted.inclusion_many(score, 3) == pytest.approx(np.array([models.inclusion(s, 3) for s in score]))
+    x, hit = rng.normal(size=(5, 7, 2)), np.zeros((5, 7))
+    hit[:, :3] = 1
+    beta, step = np.array([0.3, -0.2]), 1e-6
+    gap = hit - fitted.inclusion_many(x @ beta, 3)
+    slope = [(fitted.log_likelihood(x @ (beta + step * e), hit) - fitted.log_likelihood(x @ (beta - step * e), hit)) / (2 * step) for e in np.eye(2)]
+    assert np.tensordot(gap, x, 2) == pytest.approx(np.array(slope), rel=1e-5)
+
+
+def test_fits_find_planted_weights():
+    rng = np.random.default_rng(2)
+    x, hit = rng.normal(size=(300, 9, 2)), np.zeros((300, 9))
+    for t in range(300):
+        hit[t, np.argsort(-(x[t] @ [1.0, 0.0] + rng.gumbel(size=9)))[:3]] = 1
+    penalty, beta = fitted.nested(x, hit)
+    assert penalty in fitted.PENALTIES and beta[0] > 0.7 and abs(beta[1]) < 0.3
+    one = np.zeros((300, 9))
+    one[np.arange(300), np.argmax(x @ [0.0, 1.5] + rng.gumbel(size=(300, 9)), axis=1)] = 1
+    assert fitted.fit_softmax(x, one, 1.0)[1] > 1.0
+    assert fitted.nested(x[:20], hit[:20])[0] == fitted.FALLBACK
+
+
+def test_walk_forward_ignores_the_future(spark, monkeypatch):
+    monkeypatch.setattr(fitted, "STEPS", 10)
+    m, rng = Matrix(3, 1, 12), random.Random(5)
+    rows = [("A", i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), rng.sample(range(1, 13), 3)) for i in range(130)]
+    other = rows[:120] + [(*r[:3], rng.sample(range(1, 13), 3)) for r in rows[120:]]
+    schema = "pool string, draw_id long, t timestamp, numbers array<int>"
+    a, b = ({r["draw_id"]: tuple(r) for r in fitted.walk_forward(spark.createDataFrame(x, schema), m).collect()} for x in (rows, other))
+    assert len(a) == 30 and all(a[k] == b[k] for k in a if k < 120)

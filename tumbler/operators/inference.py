@@ -1,6 +1,6 @@
 """Monte-Carlo p-values, multiple testing, convergence and promotion.
 
-Families of tests are small (hundreds); null replicates are not and are only aggregated.
+Families of tests and null replicates may be large: tests are ranked in two levels, replicates only aggregated.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from math import sqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tumbler.operators.history import running
+
 
 def mc_pvalue(nulls: DataFrame, observed: DataFrame, key: list[str], tail: str = "upper") -> DataFrame:
     """key, b, n_null, p = (b + 1) / (n_null + 1) for observed (key, observed) against nulls (key, value).
@@ -24,19 +26,38 @@ def mc_pvalue(nulls: DataFrame, observed: DataFrame, key: list[str], tail: str =
     return joined.select(*key, b.alias("b"), "n_null", p.alias("p"))
 
 
+#: Buckets of p-values for each halving of p.
+OCTAVE = 1024
+
+
+def _extreme(df: DataFrame, f, x: str, name: str, down: bool) -> DataFrame:
+    """Adds f (min or max) of x over a family's rows up to this one by p, from the largest p if down; in two levels."""
+    way = lambda c: F.col(c).desc() if down else F.col(c)
+    before = Window.partitionBy("__f").orderBy(way("__k")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy("__f", "__k").agg(f(x).alias("__t")).select("__f", "__k", f("__t").over(before).alias("__s"))
+    inner = Window.partitionBy("__f", "__k").orderBy(way("__p")).rowsBetween(Window.unboundedPreceding, 0)
+    pick = F.least if f is F.min else F.greatest
+    return df.join(starts, ["__f", "__k"]).withColumn(name, pick(F.col("__s"), f(x).over(inner))).drop("__s")
+
+
 def adjust(tests: DataFrame, family: list[str], p: str, tie: list[str], alpha: float = 0.05) -> DataFrame:
-    """Adds bh_q, bh_reject, holm_p and holm_reject within each family; ties in p are ordered by `tie`."""
-    by = Window.partitionBy(*family)
-    up, down = by.orderBy(F.col(p), *tie), by.orderBy(F.col(p).desc(), *[F.col(t).desc() for t in tie])
-    t = tests.withColumns({"__m": F.count(F.lit(1)).over(by).cast("double"), "__r": F.row_number().over(up).cast("double")})
-    pv = F.col(p)
-    t = t.withColumns({
-        "bh_q": F.least(F.lit(1.0), F.min(pv * F.col("__m") / F.col("__r")).over(down.rowsBetween(Window.unboundedPreceding, 0))),
-        "holm_p": F.least(F.lit(1.0), F.max(pv * (F.col("__m") - F.col("__r") + 1)).over(up.rowsBetween(Window.unboundedPreceding, 0))),
-        "__last": F.coalesce(F.max(F.when(pv <= F.col("__r") * alpha / F.col("__m"), F.col("__r"))).over(by), F.lit(0.0)),
-        "__stop": F.coalesce(F.min(F.when(pv > F.lit(alpha) / (F.col("__m") - F.col("__r") + 1), F.col("__r"))).over(by), F.lit(float("inf"))),
-    })
-    return t.withColumns({"bh_reject": F.col("__r") <= F.col("__last"), "holm_reject": F.col("__r") < F.col("__stop")}).drop("__m", "__r", "__last", "__stop")
+    """Adds bh_q, bh_reject, holm_p and holm_reject within each family; ties in p are ordered by `tie`.
+
+    Equal p-values get equal results in either order: BH is decided at the last rank of a tie and Holm at the first. So only
+    distinct p-values are ranked, by buckets of log p and inside a bucket; no window holds a family's tests.
+    """
+    key = tests.withColumns({"__f": F.struct(F.lit(0).alias("one"), *family), "__p": F.struct(F.col(p).alias("p"))})
+    bucket = F.coalesce(F.floor(F.log2(F.greatest(F.col("__p.p").cast("double"), F.lit(1e-300))) * OCTAVE), F.lit(-(1 << 40)))
+    d = key.groupBy("__f", "__p").agg(F.count(F.lit(1)).alias("__c")).withColumn("__k", bucket)
+    m = d.groupBy("__f").agg(F.sum("__c").cast("double").alias("__m"))
+    d = running(d, ["__f"], F.col("__k"), ["__p"], {"__r": F.col("__c")}).join(m, "__f")
+    pv, last, first = F.col("__p.p"), F.col("__r").cast("double"), (F.col("__r") - F.col("__c") + 1).cast("double")
+    d = d.withColumns({"__up": pv * F.col("__m") / last, "__down": pv * (F.col("__m") - first + 1)})
+    d = d.withColumns({"__ok": F.when(pv <= last * alpha / F.col("__m"), last), "__no": F.when(pv > F.lit(alpha) / (F.col("__m") - first + 1), first), "__first": first})
+    ends = d.groupBy("__f").agg(F.coalesce(F.max("__ok"), F.lit(0.0)).alias("__last"), F.coalesce(F.min("__no"), F.lit(float("inf"))).alias("__stop"))
+    d = _extreme(_extreme(d, F.min, "__up", "bh_q", True), F.max, "__down", "__holm", False).join(ends, "__f")
+    d = d.select("__f", "__p", F.least(F.lit(1.0), F.col("bh_q")).alias("bh_q"), F.least(F.lit(1.0), F.col("__holm")).alias("holm_p"), (F.col("__r") <= F.col("__last")).alias("bh_reject"), (F.col("__first") < F.col("__stop")).alias("holm_reject"))
+    return key.join(d, ["__f", "__p"]).drop("__f", "__p")
 
 
 QUANTILES = {"q50": 0.5, "q95": 0.95, "q99": 0.99}

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tumbler.llm.common import cut, shuffles
 
 ORDER = 5
-#: Grams in the broadcast model (16 bytes each); beyond it those of the lowest counts are left out.
+#: Grams in a broadcast model (16 bytes each); a larger model stays in tables and is looked up by joins.
 MOST_GRAMS = 6_000_000
 #: Text bytes that a task counts or scores at once.
 CHUNK = 4 << 20
@@ -68,6 +68,18 @@ def find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def by_gram(texts: list[bytes], log10, order: int) -> np.ndarray:
+    """The sum over each text's codes of log10, which gets distinct sorted codes."""
+    codes, begins = grams(texts, order)
+    if not len(texts):
+        return np.zeros(0)
+    places, distinct = pd.factorize(codes)
+    by = np.argsort(distinct)  # sorted keys are found much faster
+    value = np.empty(len(distinct))
+    value[by] = log10(distinct[by])
+    return np.add.reduceat(value[places], begins)
+
+
 class Ppm:
     """codes: distinct (order + 1)-byte codes; counts: how often each was seen."""
 
@@ -110,14 +122,7 @@ class Ppm:
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        codes, begins = grams(texts, self.order)
-        if not len(texts):
-            return np.zeros(0)
-        places, distinct = pd.factorize(codes)
-        by = np.argsort(distinct)  # sorted keys are found much faster
-        value = np.empty(len(distinct))
-        value[by] = self.log10(distinct[by])
-        return np.add.reduceat(value[places], begins)
+        return by_gram(texts, self.log10, self.order)
 
 
 def _chunks(batches):
@@ -164,23 +169,49 @@ def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return docs.mapInArrow(run, "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
 
-def load(counts: DataFrame, order: int = ORDER, most: int = MOST_GRAMS) -> Ppm:
-    """The model from gram counts. If there are more than `most` grams, the rarest are left out, whole counts at a time."""
-    rows = counts.where("gram IS NOT NULL")
-    least = 1
-    if rows.count() > most:
-        # Counts of counts: at most a few thousand rows below the 2 ** 20 that could matter.
-        seen = rows.groupBy(F.least("n", F.lit(1 << 20)).alias("k")).count().orderBy(F.desc("k")).collect()
-        total = 0
-        for r in seen:
-            total += r["count"]
-            if total > most:
-                least = r["k"] + 1
-                break
-    table = rows.where(F.col("n") >= least).select("gram", "n").toArrow()
+def load(counts: DataFrame, order: int = ORDER) -> Ppm:
+    """The model from all gram counts."""
+    table = counts.where("gram IS NOT NULL").select("gram", "n").toArrow()
     return Ppm(table.column("gram").to_numpy(), table.column("n").to_numpy(), order)
 
 
+def depths(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
+    """The arrays of Ppm as tables, longest contexts first: (code, count) and (context, n, distinct, excluded)."""
+    codes = [counts.where("gram IS NOT NULL").select(F.col("gram").alias("code"), F.col("n").alias("count"))]
+    for j in range(order - 1, -1, -1):
+        suffix = F.col("code").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1))
+        codes.append(cut(codes[-1].groupBy(suffix.alias("code")).agg(F.count(F.lit(1)).alias("count")), "lm"))
+    out = []
+    for i, longer in enumerate(codes):
+        rows = longer.withColumn("shorter", F.lit(0).cast("long"))
+        if i < order:
+            rows = longer.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << 8 * (order - i)) - 1))).join(codes[i + 1].select(F.col("code").alias("suffix"), F.col("count").alias("shorter")), "suffix")
+        contexts = rows.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("distinct"), F.sum("shorter").alias("excluded"))
+        out.append((longer, cut(contexts, "lm")))
+    return out
+
+
+def looked_up(wanted: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, value: Ppm.log10 of distinct grams (column gram) by joins, one depth at a time for those still open."""
+    zero = F.lit(0).cast("long")
+    open_, done = wanted.select("gram", F.lit(0.0).alias("value"), zero.alias("gone"), zero.alias("tried")), []
+    for i, (codes, contexts) in enumerate(depths(counts, order)):
+        asked = open_.withColumn("code", F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - i + 1)) - 1))).withColumn("context", F.shiftright("code", 8))
+        # One or two bytes have few values, which all open grams share; longer keys are dealt out.
+        few = lambda df, n_bytes: F.broadcast(df) if n_bytes <= 2 else df
+        j = asked.join(few(codes, order - i + 1), "code", "left").join(few(contexts, order - i), "context", "left")
+        n, fresh = F.coalesce("n", zero) - F.col("gone"), F.coalesce("distinct", zero) - F.col("tried")
+        # A gram seen here is done; one of a known context escapes, unless all that the context has seen is excluded.
+        step = F.when(F.col("count").isNotNull(), F.log10((F.col("count") - 0.5) / n)).when(n > 0, F.log10(fresh * 0.5 / n)).otherwise(0.0)
+        j = cut(j.select("gram", (F.col("value") + step).alias("value"), F.coalesce("excluded", "gone").alias("gone"), F.coalesce("distinct", "tried").alias("tried"), F.col("count").isNotNull().alias("hit")), "lm")
+        done.append(j.where("hit").select("gram", "value"))
+        open_ = j.where("NOT hit").drop("hit")
+    rest = open_.select("gram", (F.col("value") - F.log10(F.greatest(F.lit(1), 256 - F.col("tried")).cast("double"))).alias("value"))
+    for part in done:
+        rest = rest.unionByName(part)
+    return rest
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, fold: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10) for every document.
 
@@ -190,14 +221,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     Extra columns are not read.
 
     Words are looked up without a broadcast of the vocabulary: documents are dealt to blocks, each block asks for its
-    distinct words, and the answers are grouped with the block's documents.
+    distinct words, and the answers are grouped with the block's documents. With more than MOST_GRAMS grams, each block's
+    distinct grams are looked up so too; the scores are those of the whole model either way.
     """
     spark = docs.sparkSession
     key = F.col(f"`{id_col}`").cast("long")
     cols = docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), (F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 5 == fold).alias("held_out"))
     counts = cut(train(cols.where(~F.col("held_out")), order), "lm")
     total, distinct = counts.where("word IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    model = spark.sparkContext.broadcast(load(counts, order))
+    wide = counts.where("gram IS NOT NULL").count() > MOST_GRAMS
+    model = None if wide else spark.sparkContext.broadcast(load(counts, order))
     parts = shuffles(spark)
     block = F.pmod(F.xxhash64("doc_id", F.crc32(F.substring("text", 1, 64).cast("binary"))), F.lit(2 * parts)).cast("int")
     blocks = cols.withColumn("block", block).repartition(parts, "block")
@@ -212,8 +245,27 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     wanted = blocks.mapInArrow(ask, "block int, word binary").distinct()
     answers = wanted.join(counts.where("word IS NOT NULL").select("word", "n"), "word").select("block", "word", "n")
+    if wide:
+
+        def ask_grams(batches):
+            for batch in batches:
+                codes, begins = grams([b" ".join(tokens(x.as_py())) for x in batch.column(1)], order)
+                of = np.repeat(batch.column(3).to_numpy(), np.diff(begins, append=len(codes)))
+                for b in np.unique(of):
+                    found = np.unique(codes[of == b])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b), pa.int32()), pa.array(found, pa.int64())], names=["block", "gram"])
+
+        pairs = cut(blocks.mapInArrow(ask_grams, "block int, gram long").distinct(), "lm")
+        values = pairs.join(looked_up(pairs.select("gram").distinct(), counts, order), "gram")
+        answers = answers.selectExpr("block", "word", "n", "CAST(NULL AS long) AS gram", "CAST(NULL AS double) AS value").unionByName(values.selectExpr("block", "CAST(NULL AS binary) AS word", "CAST(NULL AS long) AS n", "gram", "value"))
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        if wide:
+            known = right.filter(pc.is_valid(right.column("gram"))).sort_by("gram")
+            right, codes, values = right.filter(pc.is_valid(right.column("word"))), known.column("gram").to_numpy(), known.column("value").to_numpy()
+            of = lambda texts: by_gram(texts, lambda x: values[np.searchsorted(codes, x)], order)
+        else:
+            of = model.value.score
         room = total + 0.5 * (distinct + 1)
         value = np.log10((right.column("n").to_numpy() + 0.5) / room).tolist()
         value_of, unseen = dict(zip(right.column("word").to_pylist(), value)).get, float(np.log10(0.5 / room))
@@ -225,7 +277,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
                 out["known"].append(len(seen))
                 out["n"].append(len(got))
                 out["base"].append(sum(seen) + unseen * (len(got) - len(seen)))
-            out["score"] += model.value.score(as_bytes(words)).tolist()
+            out["score"] += of(as_bytes(words)).tolist()
         n = len(left)
         return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(out["n"], pa.int64()), "n_known": pa.array(out["known"], pa.int64()), "train_tokens": pc.cast(pa.array([total] * n), pa.int64()), "base_score": pa.array(out["base"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
 

@@ -18,13 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tumbler.llm.common import cut, shuffles
+from tumbler.llm.common import cut, pieces, shuffles
 
 ORDER = 5
 #: Grams in a broadcast model (16 bytes each); a larger model stays in tables and is looked up by joins.
 MOST_GRAMS = 6_000_000
 #: Text bytes that a task counts or scores at once.
 CHUNK = 4 << 20
+#: Text bytes of a block, whose documents and vocabulary one task holds.
+BLOCK_BYTES = 32 << 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -212,6 +214,10 @@ def looked_up(wanted: DataFrame, counts: DataFrame, order: int = ORDER) -> DataF
     return rest
 
 
+def block_count(n_bytes: int, parts: int) -> int:
+    return max(2 * parts, pieces(n_bytes, BLOCK_BYTES))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, fold: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10) for every document.
 
@@ -232,7 +238,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     wide = counts.where("gram IS NOT NULL").count() > MOST_GRAMS
     model = None if wide else spark.sparkContext.broadcast(load(counts, order))
     parts = shuffles(spark)
-    block = F.pmod(F.xxhash64("doc_id", F.crc32(F.substring("text", 1, 64).cast("binary"))), F.lit(2 * parts)).cast("int")
+    n_bytes = cols.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    block = F.pmod(F.xxhash64("doc_id", F.crc32(F.substring("text", 1, 64).cast("binary"))), F.lit(block_count(n_bytes, parts))).cast("int")
     blocks = cols.withColumn("block", block).repartition(parts, "block")
 
     def ask(batches):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tumbler.llm.common import cut, fresh_path, shuffles
+from tumbler.llm.common import cut, fresh_path, pieces, shuffles
 from tumbler.llm.token_counts import byte_letters
 
 MARK = b"\nSST"
@@ -35,6 +35,8 @@ ENTRY = struct.Struct(">QQIIQ")
 BLOCK_BYTES, RESTART = 1 << 16, 16
 #: Pieces of a generation whose ids a Python worker remembers, and texts encoded at once.
 REMEMBERED, TEXTS = 250_000, 500
+#: Text bytes of a shard: it is read back as one row, and a row ends at 2 GB.
+SHARD_BYTES = 64 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -267,7 +269,7 @@ def write_shards(docs: DataFrame, tokenizer_json: str, path: str, id_col: str =
 
     A null text counts as empty. Repeated ids are all kept, in order of their texts. Extra columns
     are not read. Documents are range-partitioned by id before they are encoded, so each is encoded once;
-    an empty table writes one shard without documents.
+    an empty table writes one shard without documents. Without `shards`, their number grows with the text.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_json)
@@ -284,7 +286,10 @@ def write_shards(docs: DataFrame, tokenizer_json: str, path: str, id_col: str =
         yield pa.RecordBatch.from_arrays([pa.array(list(writer.close()), pa.binary())], names=["value"])
 
     cols = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    dealt = cols.repartitionByRange(shards or shuffles(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    if shards is None:
+        n_bytes = cols.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+        shards = max(shuffles(spark), pieces(n_bytes, SHARD_BYTES))
+    dealt = cols.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
     # A binary cast to a string keeps its bytes; the text writer puts lineSep after each.
     dealt.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", MARK.decode()).text(path)
 

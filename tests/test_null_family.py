@@ -1,0 +1,31 @@
+"""Every simulated statistic is tested, against as many replicates as the reference has."""
+
+import numpy as np
+import pytest
+
+from tumbler.operators import nulls
+from tumbler.plans import more, views
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_observed_values_are_those_of_the_simulator(spark):
+    h = views.history(spark, SF)
+    got = {(r.pool, r.stat): r.observed for r in more.observed(h).collect()}
+    want = {}
+    for pool in {p for p, _ in got}:
+        rows = h.where(h.pool == pool).orderBy("t", "draw_id").collect()
+        ends = [r.seg_len for r in rows if r.idx == 1]
+        values = nulls.set_statistics(np.array([[r.numbers for r in rows]]), np.array([[r.special for r in rows]]), views.MATRIX, ends)
+        want |= {(pool, k): v[0] for k, v in values.items()}
+    assert got == pytest.approx(want, abs=1e-6) and {s for _, s in got} == set(more.TAILS)
+
+
+def test_whole_family_is_adjusted(spark, monkeypatch):
+    assert (more.BATCHES, more.REPLICATES, more.PERMUTATIONS, more.POWER) == (4, 5000, 10_000, 250)
+    monkeypatch.setattr(more, "REPLICATES", 50)  # all of them take minutes
+    out = more.null_pvalues(spark, SF).collect()
+    assert {r.stat for r in out} == set(more.TAILS) and len(out) == 9 * len({r.pool for r in out})
+    assert {r.n_null for r in out} == {200}
+    smallest = min(r.p for r in out)
+    assert min(r.holm_p for r in out) == pytest.approx(min(1.0, smallest * len(out)))

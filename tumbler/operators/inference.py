@@ -16,12 +16,13 @@ from tumbler.operators.history import running
 def mc_pvalue(nulls: DataFrame, observed: DataFrame, key: list[str], tail: str = "upper") -> DataFrame:
     """key, b, n_null, p = (b + 1) / (n_null + 1) for observed (key, observed) against nulls (key, value).
 
-    A key without null values raises when its row is computed.
+    With tail "own", observed has a column tail with each key's. A key without null values raises when its row is computed.
     """
-    if tail not in ("upper", "lower", "two-sided"):
+    if tail not in ("upper", "lower", "two-sided", "own"):
         raise ValueError(f"unknown tail {tail!r}")
-    joined = observed.join(nulls, key, "left").groupBy(*key).agg(F.count("value").alias("n_null"), F.count_if(F.col("value") >= F.col("observed")).alias("up"), F.count_if(F.col("value") <= F.col("observed")).alias("down"))
-    b = {"upper": F.col("up"), "lower": F.col("down"), "two-sided": F.least(2 * F.least("up", "down"), F.col("n_null"))}[tail]
+    observed = observed if tail == "own" else observed.withColumn("tail", F.lit(tail))
+    joined = observed.join(nulls, key, "left").groupBy(*key).agg(F.count("value").alias("n_null"), F.count_if(F.col("value") >= F.col("observed")).alias("up"), F.count_if(F.col("value") <= F.col("observed")).alias("down"), F.first("tail").alias("tail"))
+    b = F.when(F.col("tail") == "upper", F.col("up")).when(F.col("tail") == "lower", F.col("down")).when(F.col("tail") == "two-sided", F.least(2 * F.least("up", "down"), F.col("n_null"))).otherwise(F.raise_error(F.lit("unknown tail")).cast("long"))
     p = F.when(F.col("n_null") > 0, (b + 1) / (F.col("n_null") + 1).cast("double")).otherwise(F.raise_error(F.lit("no null values")).cast("double"))
     return joined.select(*key, b.alias("b"), "n_null", p.alias("p"))
 

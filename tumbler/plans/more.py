@@ -13,6 +13,10 @@ from tumbler.plans.views import MATRIX, sql
 from tumbler.sources import payloads, store
 
 ROOT, EXPERIMENT = 20260930, "T-E001"
+#: Null batches and replicates in each, permutations, replicates of a power cell, as in the reference.
+BATCHES, REPLICATES, PERMUTATIONS, POWER = 4, 5000, 10_000, 250
+#: The tail of each statistic that has simulated nulls.
+TAILS = {"fs001": "upper", "fs002": "upper", "fs003": "upper", "fs004": "lower", "fs006": "two-sided", "fs009": "upper", "fs011": "two-sided", "fs012": "two-sided", "fs013": "two-sided"}
 
 
 # ------------------------------------------------------------------ payloads
@@ -109,7 +113,7 @@ def _pools(spark, sf_dir: str) -> DataFrame:
 
 
 def _nulls(spark, sf_dir: str) -> DataFrame:
-    return nulls.simulate(_pools(spark, sf_dir), MATRIX, ROOT, EXPERIMENT, 4, 100)
+    return nulls.simulate(_pools(spark, sf_dir), MATRIX, ROOT, EXPERIMENT, BATCHES, REPLICATES)
 
 
 @query("null_summary")
@@ -122,19 +126,39 @@ def null_convergence(spark, sf_dir):
     return inference.convergence(_nulls(spark, sf_dir), ["pool", "stat"])
 
 
+def observed(h: DataFrame) -> DataFrame:
+    """pool, stat, observed, tail for the statistics of nulls.set_statistics; undefined values have no row."""
+    shared = h.select("pool").distinct().join(primary.overlap(h, [1]), "pool", "left").select("pool", F.coalesce("total", F.lit(0)).alias("fs006"))
+    parts = [
+        primary.frequency(h, MATRIX).select("pool", F.col("chi2").alias("fs001"), F.col("max_z").alias("fs002"), F.col("max_c").alias("fs003"), F.col("min_c").alias("fs004")),
+        shared,
+        primary.special_frequency(h, MATRIX).select("pool", F.col("chi2").alias("fs009")),
+        primary.special_repeats(h).withColumnRenamed("value", "fs011"),
+        primary.dispersion(h, "draw_sum").withColumnRenamed("value", "fs012"),
+        primary.dispersion(h, "odd_count").withColumnRenamed("value", "fs013"),
+    ]
+    rows = [F.struct(F.lit(c).alias("stat"), F.round(F.col(c).cast("double"), 6).alias("observed"), F.lit(TAILS[c]).alias("tail")) for part in parts for c in part.columns[1:]]
+    wide = parts[0]
+    for part in parts[1:]:
+        wide = wide.join(part, "pool")
+    return wide.select("pool", F.explode(F.array(*rows)).alias("x")).select("pool", "x.*").where("observed IS NOT NULL")
+
+
 @query("null_pvalues")
 def null_pvalues(spark, sf_dir):
-    """Observed frequency statistics against the simulated nulls, adjusted over the family."""
-    observed = primary.frequency(views.history(spark, sf_dir), MATRIX)
-    tall = observed.select("pool", F.explode(F.array(F.struct(F.lit("fs001").alias("stat"), F.col("chi2").alias("observed")), F.struct(F.lit("fs003").alias("stat"), F.col("max_c").cast("double").alias("observed")))).alias("x")).select("pool", "x.*")
-    p = inference.mc_pvalue(_nulls(spark, sf_dir), tall, ["pool", "stat"])
+    """Observed values of all simulated statistics against their nulls, adjusted over the whole family.
+
+    Both are rounded, so that equal values that Spark and numpy sum in another order stay equal.
+    """
+    p = inference.mc_pvalue(_nulls(spark, sf_dir).withColumn("value", F.round("value", 6)), observed(views.history(spark, sf_dir)), ["pool", "stat"], "own")
+    p = p.persist()  # one row a test; adjust reads it several times, and each read would simulate anew
     return inference.adjust(p.withColumn("family", F.lit("primary")), ["family"], "p", ["pool", "stat"])
 
 
 @query("equipment_permutation")
 def equipment_permutation(spark, sf_dir):
     h = views.history(spark, sf_dir).select("pool", F.date_trunc("week", "t").cast("string").alias("block"), F.col("machine").alias("category"), "draw_id", "numbers")
-    return nulls.permuted_chi2(h, MATRIX, ROOT, EXPERIMENT, 200)
+    return nulls.permuted_chi2(h, MATRIX, ROOT, EXPERIMENT, PERMUTATIONS)
 
 
 @query("theory_checks")
@@ -150,7 +174,7 @@ def ordered_null_summary(spark, sf_dir):
 
 @query("power_study")
 def power_study(spark, sf_dir):
-    return power.power(power.replicates(_pools(spark, sf_dir), MATRIX, ROOT, EXPERIMENT, [0.1, 0.3], 20))
+    return power.power(power.replicates(_pools(spark, sf_dir), MATRIX, ROOT, EXPERIMENT, [0.1, 0.3], POWER))
 
 
 # ------------------------------------------------------------------ models

@@ -262,7 +262,11 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def link(table: pa.Table) -> pa.Table:
         return _links(linked(table.column("key").to_pylist(), _read(table)))
 
-    first = cut(inside.groupBy("anchor", "part").applyInArrow(link, "a long, b long"), "pairs")
+    # A copy's row is not compared, so an id that has other texts too is linked here to the copy's first id.
+    several = names.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("key")
+    copied = names.join(several, "key").join(copies, F.col("digest") == F.col("copy_of")).where("key <> first").select("key", "first", "digest")
+    copied = copied.join(found.where("n > 0").select("digest"), "digest").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
+    first = cut(inside.groupBy("anchor", "part").applyInArrow(link, "a long, b long").unionByName(copied), "pairs")
     roots = cut(components(first), "roots")
 
     # Hashes held by several components: all but each hash's largest component ask the groups of the others.

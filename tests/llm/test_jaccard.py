@@ -33,7 +33,7 @@ def family(seed):
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_components_match_all_pairs(spark, seed, monkeypatch):
-    for name, value in (("GROUP", 4), ("BLOCK_BYTES", 2000), ("BUCKET_BYTES", 8000)):
+    for name, value in (("GROUP", 4), ("SLICE", 3), ("MASK_BITS", 3), ("BLOCK_BYTES", 2000), ("BUCKET_BYTES", 8000)):
         monkeypatch.setattr(jaccard_join, name, value)
     docs = family(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)

@@ -16,9 +16,11 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def workdir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; a temporary one only where the session names none."""
+    """The shared folder for intermediate tables; a temporary one only in local mode, where the session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
         where = f"file://{where}"
@@ -50,6 +52,11 @@ def drop(*tables: DataFrame) -> None:
             remove(df.sparkSession, folder)
 
 
+def few_rows(df: DataFrame, most: int) -> DataFrame:
+    """The table, to be broadcast if it has at most so many rows; df should be cheap to count, as written tables are."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def words_of(text: Column | str) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     text = F.col(text) if isinstance(text, str) else text

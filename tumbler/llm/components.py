@@ -11,7 +11,7 @@ from tumbler.llm.common import cut, drop
 def components(links: DataFrame) -> DataFrame:
     """node and root (the smallest node it reaches) for every node in links (a, b: long). Order and repeats don't matter.
 
-    Each step is a sum-like aggregation (a minimum for each node) and a join back; steps are written to the shared
+    Null links are not allowed. The result is a written table. Each step is a sum-like aggregation (a minimum for each node) and a join back; steps are written to the shared
     folder. Their number grows with the logarithm of the longest path.
     """
     edges, mark = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"), None
@@ -29,4 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         new = cut(small.distinct(), "links")
         drop(edges)
         edges = new
-    return nodes.join(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    found = nodes.join(edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")), "node", "left")
+    out = cut(found.select("node", F.coalesce("root", "node").alias("root")), "roots")
+    drop(nodes, edges)
+    return out

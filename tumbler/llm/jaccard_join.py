@@ -3,12 +3,13 @@
 1. Copies of a text are one document. A document's set is that of its 5-word shingles, as 64-bit hashes.
 2. Prefix filter: of each set the lowest hashes, enough that similar sets share several of them, are
    counted over all documents. A document that shares too few is similar to none; nearly all end here.
-3. Token-group matrix: the others are grouped by the most frequent of these hashes, large groups split in parts
-   that each hold the group's pivot. Inside a group every pair is compared, which links nearly all that belongs
-   together.
-4. For hashes still held by several components, the matrix (hash, group) names the other groups that a document
-   must be compared with. A group is opened only if the document's overlap with the union of the group's sets
-   reaches the bound; then it is compared with each member.
+3. Groups: the others are grouped by the most frequent of these hashes, large groups split in parts that each see
+   the group's pivot. Inside a group every pair is compared, which links nearly all that belongs together. The
+   group is stored as one row: the union of its sets, and which members hold each of its hashes.
+4. Token-group matrix: for hashes still held by several components, (hash, group) with a bit for each member that
+   must ask. Joined with itself by hash it names the pairs of groups, and the bits are or-ed over the hashes, so a
+   hash of n documents makes (n / GROUP) squared rows at most. The members that ask are sent to the other group's row
+   in slices; only if their overlap with the union reaches the bound is the group opened and each member compared.
 
 Hashes, like the sizes, are exact but for collisions of 64 bits.
 """
@@ -21,16 +22,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tumbler.llm.common import cut, pieces, shuffles
+from tumbler.llm.common import cut, drop, few_rows, pieces, shuffles
 from tumbler.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
-GROUP = 200
+#: Members of a group and tokens of their sets, on average, beyond which it is split; members have MASK_BITS places.
+GROUP, GROUP_TOKENS = 128, 2_000_000
+LONGS = 4
+MASK_BITS = 64 * LONGS
+#: Documents that one task compares with a group.
+SLICE = 256
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 BROADCAST_ROWS = 200_000
 NULL_ID = -(1 << 63)
 #: Words whose hashes a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+
 
 def words_in(text: str | None) -> list[bytes]:
     """The words of a text in UTF-8: bytes.lower() touches A-Z only, and bytes.split() parts at ASCII white space."""
@@ -97,43 +104,62 @@ def overlaps(sets: list[np.ndarray], chunk: int = 4096) -> np.ndarray:
     return out
 
 
-def linked(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links (id, smaller id) that connect all similar pairs of a group: a spanning forest."""
-    if len(ids) < 2:
-        return []
-    size = np.array([len(s) for s in sets])
-    near = similar(overlaps(sets), size[:, None], size[None, :])
-    root = list(range(len(ids)))
-
-    def top(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
+class Forest:
+    """Union-find that keeps the links which joined two trees."""
+
+    def __init__(self):
+        self.root, self.links = {}, []
+
+    def top(self, i: int) -> int:
+        root = self.root
+        while (up := root.setdefault(i, i)) != i:
+            root[i] = i = root[up]
         return i
 
-    for i, j in zip(*np.nonzero(np.triu(near, 1))):
-        a, b = top(i), top(j)
-        if a != b:
-            root[max(a, b, key=ids.__getitem__)] = min(a, b, key=ids.__getitem__)
-    return [(ids[i], ids[top(i)]) for i in range(len(ids)) if top(i) != i]
+    def link(self, a: int, b: int) -> None:
+        x, y = self.top(a), self.top(b)
+        if x != y:
+            self.root[max(x, y)] = min(x, y)
+            self.links.append((a, b))
+
+
+def linked(ids: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect all similar pairs of a group: a spanning forest."""
+    forest = Forest()
+    if len(ids) > 1:
+        size = np.array([len(s) for s in sets])
+        for i, j in zip(*np.nonzero(np.triu(similar(overlaps(sets), size[:, None], size[None, :]), 1))):
+            forest.link(ids[i], ids[j])
+    return forest.links
+
 
+def stored(ids: list[int], sets: list[np.ndarray]) -> dict:
+    """A group as a row: its union (sorted hashes), how many members hold each hash and which, and their ids and sizes."""
+    union, of, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    member = np.repeat(np.arange(len(sets), dtype=np.uint8), [len(s) for s in sets])
+    return {"union": union.tobytes(), "held": held.astype(np.uint16).tobytes(), "members": member[np.argsort(of, kind="stable")].tobytes(), "ids": np.array(ids, np.int64).tobytes(), "sizes": np.array([len(s) for s in sets], np.int64).tobytes()}
 
-def opened(ids: list[int], roots: list[int], sets: list[np.ndarray], queries: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-    """Links of queries with a group's members, one for each component (root) of members that a query is similar to.
-    Queries whose overlap with the union of the sets is too small open nothing."""
-    union, of = np.unique(np.concatenate(sets), return_inverse=True)
-    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    size, out = np.array([len(s) for s in sets]), []
+
+def opened(group: dict, queries: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links of queries (id, set) with a stored group's members: a spanning forest of the similar pairs.
+
+    A query whose overlap with the group's union is below its bound is similar to no member and opens nothing.
+    """
+    union, ids = np.frombuffer(group["union"], np.uint64), np.frombuffer(group["ids"], np.int64).tolist()
+    forest, held = Forest(), None
     for q, tokens in queries:
         at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-        here = union[at] == tokens
-        if here.sum() < bound(len(tokens)):
+        here = at[union[at] == tokens]
+        if len(here) < bound(len(tokens)):
             continue
+        if held is None:
+            held, members, size = (np.frombuffer(group[x], t) for x, t in (("held", np.uint16), ("members", np.uint8), ("sizes", np.int64)))
         hit = np.zeros(len(union), bool)
-        hit[at[here]] = True
-        overlap = np.bincount(member[hit[of]], minlength=len(sets))
-        near = {roots[i]: ids[i] for i in np.flatnonzero(similar(overlap, len(tokens), size)) if ids[i] != q}
-        out += [(q, i) for i in near.values()]
-    return out
+        hit[here] = True
+        overlap = np.bincount(members[np.repeat(hit, held)], minlength=len(ids))
+        for i in np.flatnonzero(similar(overlap, len(tokens), size)):
+            forest.link(q, ids[i])
+    return forest.links
 
 
 def _key_bits(h: np.ndarray) -> np.ndarray:
@@ -179,12 +205,39 @@ def chosen(tokens: np.ndarray, df: np.ndarray) -> np.ndarray:
 
 FOUND = pa.schema([("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("tokens", pa.binary()), ("chosen", pa.list_(pa.int64())), ("anchor", pa.int64())])
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: What a group gives: a row for each member, one for the group (or each MASK_BITS members of it), and its links.
+PACKED = pa.schema([
+    ("anchor", pa.int64()), ("part", pa.int32()), ("place", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("chosen", pa.list_(pa.int64())),
+    ("union", pa.binary()), ("held", pa.binary()), ("members", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary()), ("a", pa.int64()), ("b", pa.int64()),
+])
+GROUP_COLUMNS = ["anchor", "part", "union", "held", "members", "ids", "sizes"]
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], schema=LINKS)
 
 
+def _ddl(schema: pa.Schema) -> str:
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    return ", ".join(f"{f.name} {kinds[f.type]}" for f in schema)
+
+
+def pack(table: pa.Table, most: int) -> pa.Table:
+    """A group's members (and its pivot, if it is a part) as PACKED rows; a group row has at most so many members."""
+    part, parts = table.column("part")[0].as_py(), table.column("m")[0].as_py()
+    rows = sorted(zip(table.column("pivot").to_pylist(), table.column("key").to_pylist(), table.column("digest").to_pylist(), range(len(table))))
+    sets, chosen_ = _read(table), table.column("chosen")
+    links = linked([key for _, key, _, _ in rows], [sets[i] for *_, i in rows])
+    rows = [(key, i) for pivot, key, _, i in rows if not pivot]
+    common, out = {"anchor": table.column("anchor")[0].as_py()}, []
+    for sub, start in enumerate(range(0, len(rows), most)):
+        own = rows[start : start + most]
+        common["part"] = part + parts * sub
+        out += [common | {"place": place, "key": key, "n": len(sets[i]), "tokens": sets[i].tobytes(), "chosen": chosen_[i].as_py()} for place, (key, i) in enumerate(own)]
+        out.append(common | stored([key for key, _ in own], [sets[i] for _, i in own]))
+    return pa.Table.from_pylist(out + [{"a": a, "b": b} for a, b in links], PACKED)
+
+
 def _read(table: pa.Table, column: str = "tokens") -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in table.column(column).to_pylist()]
 
@@ -204,8 +257,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies = names.groupBy(F.col("digest").alias("copy_of")).agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("copy_of", "first")
     copies = cut(copies, "copies")
     total = names.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    side = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
-    kept = cols.join(side, F.col("digest") == F.col("copy_of"), "left").where("first IS NULL OR first = key")
+    kept = cols.join(few_rows(copies, BROADCAST_ROWS), F.col("digest") == F.col("copy_of"), "left").where("first IS NULL OR first = key")
 
     buckets = pieces(total, BUCKET_BYTES)
     parts = max(shuffles(spark), pieces(total, 8 * BLOCK_BYTES))
@@ -241,7 +293,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             few = chosen(s, own) if len(s) else s
             # The most frequent of the low hashes: near copies agree on it, so they meet in one group.
             anchor = int(low.view(np.int64)[np.lexsort((low, own))[-1]]) if len(few) else None
-            rows.append({"key": key, "digest": digest, "n": len(s), "tokens": s.tobytes() if len(few) else None, "chosen": few.view(np.int64).tolist() if len(few) else None, "anchor": anchor})
+            rows.append({"key": key, "digest": digest, "n": len(s), "tokens": s.tobytes() if len(few) else None, "chosen": few.view(np.int64) if len(few) else None, "anchor": anchor})
         return pa.Table.from_pylist(rows, FOUND)
 
     sent = blocks.groupBy("block").applyInArrow(send, "bucket int, block int, keys binary, counts binary")
@@ -250,48 +302,59 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = cut(found, "sets")
 
     # Groups by the most frequent low hash; large ones in parts.
-    open_ = found.where("tokens IS NOT NULL").select("key", "digest", "n", "tokens", "chosen", "anchor")
-    groups = open_.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "digest")).alias("pivot")).where(f"c > {GROUP}").select("anchor", F.ceil(F.col("c") / GROUP).cast("int").alias("m"), "pivot")
-    groups = cut(groups, "groups")
-    part = F.coalesce(F.pmod(F.xxhash64("key", "digest"), F.col("m")).cast("int"), F.lit(0))
-    dealt = cut(open_.join(groups.select("anchor", "m"), "anchor", "left").withColumn("part", part).drop("m"), "dealt")
-    pivots = groups.select(F.col("anchor").alias("g"), "m", "pivot.key", "pivot.digest").join(dealt.select("key", "digest", "tokens"), ["key", "digest"])
-    pivots = pivots.select(F.col("g").alias("anchor"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("part"), "key", "tokens")
-    inside = dealt.select("anchor", "part", "key", "tokens").unionByName(pivots)
-
-    def link(table: pa.Table) -> pa.Table:
-        return _links(linked(table.column("key").to_pylist(), _read(table)))
+    open_ = found.where("tokens IS NOT NULL")
+    m = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int")
+    large = cut(open_.groupBy("anchor").agg(m.alias("m"), F.min(F.struct("key", "digest")).alias("pivot")).where("m > 1"), "groups")
+    dealt = open_.join(few_rows(large.select("anchor", "m"), BROADCAST_ROWS), "anchor", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    dealt = dealt.select("anchor", F.pmod(F.xxhash64("key", "digest"), "m").cast("int").alias("part"), "m", F.lit(False).alias("pivot"), "key", "digest", "tokens", "chosen")
+    pivots = few_rows(large.select(F.col("anchor").alias("g"), "m", "pivot.key", "pivot.digest"), BROADCAST_ROWS).join(open_.select("key", "digest", "tokens"), ["key", "digest"])
+    pivots = pivots.select(F.col("g").alias("anchor"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("part"), "m", F.lit(True).alias("pivot"), "key", "digest", "tokens", F.lit(None).cast("array<long>").alias("chosen"))
+    most = MASK_BITS
+    packed = cut(dealt.unionByName(pivots).groupBy("anchor", "part").applyInArrow(lambda table: pack(table, most), _ddl(PACKED)), "packed")
+    members = packed.where("place IS NOT NULL")
 
     # A copy's row is not compared, so an id that has other texts too is linked here to the copy's first id.
     several = names.groupBy("key").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("key")
     copied = names.join(several, "key").join(copies, F.col("digest") == F.col("copy_of")).where("key <> first").select("key", "first", "digest")
     copied = copied.join(found.where("n > 0").select("digest"), "digest").select(F.col("key").alias("a"), F.col("first").alias("b")).distinct()
-    first = cut(inside.groupBy("anchor", "part").applyInArrow(link, "a long, b long").unionByName(copied), "pairs")
-    roots = cut(components(first), "roots")
+    first = cut(packed.where("a IS NOT NULL").select("a", "b").unionByName(copied), "pairs")
+    roots = components(first)
 
-    # Hashes held by several components: all but each hash's largest component ask the groups of the others.
-    holders = dealt.select("key", "digest", "anchor", "part", F.explode("chosen").alias("token")).join(roots, F.col("key") == F.col("node"), "left")
-    holders = holders.select("token", "key", "digest", "anchor", "part", F.coalesce("root", "key").alias("root"))
+    # Hashes held by several components: all members but those of each hash's largest component must ask.
+    holders = members.select("anchor", "part", "place", "key", F.explode("chosen").alias("token")).join(roots, F.col("key") == F.col("node"), "left")
+    holders = holders.select("token", "anchor", "part", "place", F.coalesce("root", "key").alias("root"))
     mixed = holders.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    mixed = cut(holders.join(mixed, "token"), "mixed")
-    largest = mixed.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root")).alias("x")).select("token", F.col("x.root").alias("largest"))
-    matrix = mixed.groupBy("token", "anchor", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    asking = mixed.join(largest, "token").where("root <> largest").select("token", "key", "digest", "root", F.col("anchor").alias("own"), F.col("part").alias("own_part"))
-    # A document's own group has been compared; a group that holds the hash in the document's component only needs none.
-    other = "NOT (anchor = own AND part = own_part) AND NOT (lo = root AND hi = root)"
-    asked = cut(asking.join(matrix, "token").where(other).select("key", "digest", "anchor", "part").distinct(), "asked")
-    queries = asked.join(dealt.select("key", "digest", F.col("tokens").alias("q_tokens")), ["key", "digest"]).select(F.col("anchor").alias("q_anchor"), F.col("part").alias("q_part"), F.col("key").alias("q_key"), "q_tokens")
-
-    def open_groups(members: pa.Table, asks: pa.Table) -> pa.Table:
-        if not len(members) or not len(asks):
+    masks = [F.expr(f"bit_or(CASE WHEN place div 64 = {i} THEN shiftleft(1L, place % 64) ELSE 0L END)").alias(f"m{i}") for i in range(LONGS)]
+    cells = cut(holders.join(mixed, "token").groupBy("token", "anchor", "part", "root").agg(F.count(F.lit(1)).alias("c"), *masks), "cells")
+    largest = cells.groupBy("token", "root").agg(F.sum("c").alias("c")).groupBy("token").agg(F.max(F.struct("c", "root")).alias("x")).select("token", F.col("x.root").alias("largest"))
+    any_of = [F.expr(f"bit_or(CASE WHEN root <> largest THEN m{i} ELSE 0L END)").alias(f"m{i}") for i in range(LONGS)]
+    matrix = cut(cells.join(largest, "token").groupBy("token", "anchor", "part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *any_of), "matrix")
+    asking = matrix.where(" OR ".join(f"m{i} <> 0" for i in range(LONGS)))
+    asking = asking.select("token", F.col("anchor").alias("own"), F.col("part").alias("own_part"), F.col("lo").alias("own_lo"), F.col("hi").alias("own_hi"), *(f"m{i}" for i in range(LONGS)))
+    # A member's own group has been compared; groups that hold the hash in one and the same component need not be.
+    other = "NOT (anchor = own AND part = own_part) AND NOT (lo = hi AND own_lo = own_hi AND lo = own_lo)"
+    asked = asking.join(matrix.select("token", "anchor", "part", "lo", "hi"), "token").where(other)
+    asked = asked.groupBy("own", "own_part", "anchor", "part").agg(*(F.bit_or(f"m{i}").alias(f"m{i}") for i in range(LONGS)))
+    places = F.expr(f"filter(sequence(0, {MASK_BITS - 1}), p -> bit_get(element_at(array({', '.join(f'm{i}' for i in range(LONGS))}), cast(p div 64 AS int) + 1), p % 64) = 1)")
+    asked = asked.select(F.col("anchor").alias("q_anchor"), F.col("part").alias("q_part"), F.col("own").alias("anchor"), F.col("own_part").alias("part"), F.explode(places).alias("place"))
+    asked = cut(asked.join(members.select("anchor", "part", "place", "key", "n"), ["anchor", "part", "place"]), "asked")
+    slices = F.greatest(F.ceil(F.count(F.lit(1)) / SLICE), F.ceil(F.sum("n") / GROUP_TOKENS)).cast("int")
+    targets = cut(asked.groupBy("q_anchor", "q_part").agg(slices.alias("slices")), "targets")
+    queries = asked.drop("n").join(few_rows(targets, BROADCAST_ROWS), ["q_anchor", "q_part"]).join(members.select("anchor", "part", "place", "tokens"), ["anchor", "part", "place"])
+    queries = queries.select("q_anchor", "q_part", F.pmod(F.xxhash64("anchor", "part", "place"), "slices").cast("int").alias("slice"), "key", "tokens")
+    groups = packed.where("union IS NOT NULL").select(*GROUP_COLUMNS).join(targets, (F.col("anchor") == F.col("q_anchor")) & (F.col("part") == F.col("q_part")))
+    groups = groups.select(*GROUP_COLUMNS, F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+
+    def open_group(group: pa.Table, asks: pa.Table) -> pa.Table:
+        if not len(group) or not len(asks):
             return _links([])
-        return _links(opened(members.column("key").to_pylist(), members.column("root").to_pylist(), _read(members), list(zip(asks.column("q_key").to_pylist(), _read(asks, "q_tokens")))))
+        return _links(opened(group.select(GROUP_COLUMNS).to_pylist()[0], list(zip(asks.column("key").to_pylist(), _read(asks)))))
 
-    members = dealt.join(asked.select("anchor", "part").distinct(), ["anchor", "part"], "left_semi").join(roots, F.col("key") == F.col("node"), "left").select("anchor", "part", "key", "tokens", F.coalesce("root", "key").alias("root"))
-    second = members.groupBy("anchor", "part").cogroup(queries.groupBy("q_anchor", "q_part")).applyInArrow(open_groups, "a long, b long")
-    second = cut(second.distinct(), "pairs")
+    second = cut(groups.groupBy("anchor", "part", "slice").cogroup(queries.groupBy("q_anchor", "q_part", "slice")).applyInArrow(open_group, "a long, b long"), "pairs")
     if second.limit(1).count():
-        roots = cut(components(first.unionByName(second)), "roots")
+        old, roots = roots, components(first.unionByName(second))
+        drop(old)
+    drop(copies, large, packed, first, cells, matrix, asked, targets, second)
     by_text = found.join(roots, F.col("key") == F.col("node"), "left").select("digest", F.col("n").alias("n_shingles"), F.coalesce("root", "key").alias("root"))
     out = names.join(by_text, "digest")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.nullif("root", F.lit(NULL_ID)))

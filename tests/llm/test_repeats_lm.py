@@ -34,6 +34,27 @@ def test_repeats_match_brute_force(spark, seed, monkeypatch):
     assert got(repeats.remove_repeats(clashing(df)).drop("kept")) == sorted(repeats.brute(docs), key=key)
 
 
+def test_longest_previous_factors():
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        n = int(rng.integers(0, 60))
+        raw = rng.integers(0, 2, (n, 56)).astype(np.uint8)
+        raw[:, 3:] = 0
+        raw[:, repeats.LENGTH:] = 0
+        raw[:, -7] = 0
+        raw[:, repeats.LENGTH - 1] = rng.integers(0, 2, n)
+        words = raw.view(">u8").astype(np.uint64).reshape(n, 7)
+        words, docs = words[np.lexsort(words.T[::-1])], rng.integers(0, 12, n)
+        common = lambda a, b: min(repeats.LENGTH, next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), 56))
+        text = [w.astype(">u8").tobytes() for w in words]
+        shared = repeats.shared_prefixes(words)
+        assert shared.tolist() == [0 if not i else common(text[i - 1], text[i]) for i in range(n)]
+        for least in (1, 3, repeats.LENGTH):
+            want = [max((common(text[i], text[j]) for j in range(n) if docs[j] < docs[i]), default=0) for i in range(n)]
+            have = repeats.longest_previous(shared, docs, least)
+            assert [x if x >= least else 0 for x in want] == [x if x >= least else 0 for x in have.tolist()]
+
+
 def test_repeats_on_awkward_rows(spark, tmp_path):
     out = got(repeats.op6_previous_factors(spark, saved(spark, tmp_path)))
     assert out == sorted(repeats.brute([r[:2] for r in rows()]))

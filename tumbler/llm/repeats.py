@@ -6,10 +6,12 @@ anchor, and each part sorted by itself. Three passes over blocks of documents:
 
 1. each block sends its distinct anchor hashes to buckets; those in one block or document only are dropped;
 2. the rest send their context, all bytes that a string around the anchor may cover; each bucket sorts the
-   suffixes of its distinct contexts and finds their longest previous factors in document order;
-3. each block marks the strings found to occur earlier and cuts out the bytes they cover.
+   suffixes of its distinct contexts and works out their longest-previous-factor array in document order, from the
+   previous and next smaller positions in suffix order and the prefixes that neighbours share;
+3. each block marks the strings whose factor reaches LENGTH and cuts out the bytes they cover.
 
-Documents are dealt to blocks once; the passes read the same exchange.
+Documents are dealt to blocks once; the passes read the same exchange. Buckets are ranges of a second hash of the
+anchor: the first is a minimum, so it crowds at the low end.
 """
 
 from __future__ import annotations
@@ -54,6 +56,12 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
     return h
 
 
+def second_hash(h: np.ndarray) -> np.ndarray:
+    """A one-to-one remix of 64 bits."""
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(27)
+
+
 def slide(x: np.ndarray, width: int, best) -> np.ndarray:
     """best (minimum or maximum) of each `width` neighbours."""
     have = 1
@@ -96,7 +104,7 @@ class Block:
         most = slide(np.concatenate([np.zeros(LEFT, np.uint64), least]), LEFT + 1, np.maximum)
         own = slice(a - low, b - low)
         at = np.flatnonzero((most[own] == h[own]) & (most[own] > 0) & (left[own] >= K))
-        return at + a, h[own][at]
+        return at + a, second_hash(h[own][at])
 
     def distinct(self, buckets: int):
         """Sorted distinct hashes, which of them stand in two documents here, and where each bucket begins."""
@@ -151,13 +159,54 @@ def repeated(keys: list[np.ndarray], several: list[np.ndarray]) -> list[np.ndarr
     return np.split(flags, np.cumsum([len(k) for k in keys])[:-1])
 
 
+def shared_prefixes(words: np.ndarray) -> np.ndarray:
+    """For each row but the first of sorted suffixes (big-endian words of eight bytes): the bytes it shares with the one
+    before it. The first shares 0."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    differ = words[1:] ^ words[:-1]
+    first = np.argmax(differ != 0, axis=1)
+    x = differ[np.arange(len(differ)), first]
+    zeros = np.full(len(x), 8, np.int64)  # leading zero bytes of the first differing word
+    for n in range(7, -1, -1):
+        zeros[x >> np.uint64(8 * (7 - n)) != 0] = n
+    shared = np.where(x == 0, 8 * words.shape[1], 8 * first + zeros)
+    return np.concatenate([[0], np.minimum(shared, LENGTH)])
+
+
+def longest_previous(shared: np.ndarray, docs: np.ndarray, least: int = LENGTH) -> np.ndarray:
+    """Longest previous factors of suffixes in suffix order: the longest prefix that each shares with a suffix of a
+    document with a smaller id; exact where it is at least `least`, else some smaller number.
+
+    It is shared with the previous or the next smaller position. Those are found by following all suffixes' candidates at
+    once: what lies between a suffix and its candidate has no smaller document. A chain ends where less than `least` is shared.
+    """
+    n, best = len(docs), np.zeros(len(docs), np.int64)
+    for way in (1, -1):
+        d, link = (docs, shared) if way > 0 else (docs[::-1], np.concatenate([[0], shared[:0:-1]]))
+        to, common = np.arange(n) - 1, link.astype(np.int64)
+        open_ = np.flatnonzero((to >= 0) & (common >= least))
+        found = np.zeros(n, np.int64)
+        while len(open_):
+            smaller = d[to[open_]] < d[open_]
+            found[open_[smaller]] = common[open_[smaller]]
+            open_ = open_[~smaller]
+            # The candidate's own candidate is next; the tables are read before they are written.
+            over = to[open_]
+            reach, new = np.minimum(common[open_], common[over]), to[over]
+            common[open_], to[open_] = reach, new
+            open_ = open_[(new >= 0) & (reach >= least)]
+        best = np.maximum(best, found if way > 0 else found[::-1])
+    return best
+
+
 def previous_factors(wide: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For each context, bit o: its string starting o bytes before the anchor occurs in a document with a smaller id.
 
-    Equal contexts are one to begin with. Of the rest, only those that share their anchor with another
-    can share a string. Their suffixes are sorted, equal ones in document order: the previous smaller position
-    of a suffix that shares LENGTH bytes is then the first of its run, and no next smaller one is in it, so the
-    longest previous factor reaches LENGTH just where the run's first document is smaller.
+    Equal contexts are one to begin with. Of the rest, only those that share their anchor with another can share a
+    string. Their suffixes (o bytes before the anchor on, LENGTH bytes) are sorted, and bit o is set where the
+    suffix's longest previous factor reaches LENGTH. Suffixes of different o differ in where the anchor stands; that they
+    are in one order does no harm.
     """
     if not len(wide):
         return np.zeros(0, np.uint32)
@@ -190,13 +239,11 @@ def previous_factors(wide: np.ndarray, docs: np.ndarray) -> np.ndarray:
             mine = o == x
             suffix[mine, :LENGTH] = wide[part[row[mine]], LEFT - x : LEFT - x + LENGTH]
         words = suffix.view(">u8").astype(np.uint64)
-        doc = docs[part[row]]
-        order = np.lexsort((doc, *words.T[::-1]))
-        same = np.concatenate([[False], (words[order[1:]] == words[order[:-1]]).all(1)])[: len(order)]
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        earlier = doc[order[head]] < doc[order]
-        np.bitwise_or.at(bits, part[row[order[earlier]]], np.uint32(1) << o[order[earlier]].astype(np.uint32))
-    # A context equal to an earlier one has all its bits; the first of its kind has what the sort found.
+        order = np.lexsort(words.T[::-1])
+        words, doc = words[order], docs[part[row]][order]
+        repeats = order[longest_previous(shared_prefixes(words), doc) >= LENGTH]
+        np.bitwise_or.at(bits, part[row[repeats]], np.uint32(1) << o[repeats].astype(np.uint32))
+    # A context equal to an earlier one has all its bits; the first of its kind has what its factors say.
     return out | bits
 
 

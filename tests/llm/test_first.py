@@ -1,5 +1,6 @@
 """Operators 1, 2, 4, 5, 7, 9 and 10 against brute force, round trips and SQL."""
 
+import gzip
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 
 from tests.llm.fixtures import SCHEMA, clashing, rows, saved, table
-from tumbler.llm import contamination, mixing, quality_rules, sharding, token_counts, token_store, warc
+from tumbler.llm import contamination, mixing, quality_rules, token_counts, token_store, warc
 
 SPACE = re.compile("[\\x20\\x09-\\x0D]+")
 
@@ -103,7 +104,7 @@ def test_flow_serves_overlapping_sources():
     assert mixing.fill({"a": 10, "b": 100}, {"a": 3, "b": 1}, 100, 2) == {"a": 20.0, "b": 80.0}
 
 
-def test_warc_round_trip(spark, tmp_path):
+def test_warc_round_trip(spark, tmp_path, monkeypatch):
     big, other = "<p>ü\r\n\r\nx</p>" * 100, "y" * 1000
     pages = [(1, "u1", big), (2, "u2", big), (9, "u3", big), (3, "u4", "small"), (4, "u5", "small"), (5, None, None), (6, "", ""), (7, "a\r\nb", other), (8, "z", other[:-1]), (10, "z", other[:-1]), (None, "n", big)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
@@ -114,6 +115,16 @@ def test_warc_round_trip(spark, tmp_path):
     key = lambda r: r[0]
     assert sorted((r for r in out if r[0] is not None), key=key) == sorted(con.sql(warc.sql()).fetchall(), key=key)
     assert out[0][0] is None and out[0][3:] == ("revisit", 9)
+    where = f"{tmp_path}/archives"
+    warc.write_archives(warc.resolve(df), where)
+    raw = b"".join(bytes(r["content"]) for r in spark.read.format("binaryFile").load(where).collect())
+    # Every record is a gzip member of its own, and each can be opened alone.
+    members = [x for x in re.split(re.escape(warc.EMPTY_MEMBER), raw) if x]
+    found = [next(warc.records(gzip.decompress(m))) for m in members]
+    assert len(found) == len(pages) and sum(f["warc-type"] == "revisit" for f, _ in found) == 3
+    assert sorted(block for f, block in found if f["warc-type"] == "response") == sorted([big.encode(), b"small", b"small", b"", b"", other.encode(), other[:-1].encode(), other[:-1].encode()])
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert got(warc.op5_warc_revisits(spark, str(tmp_path))) == out
     path = f"{tmp_path}/empty"
     warc.write_archives(warc.resolve(clashing(df).limit(0)), path)
     assert warc.read_archives(spark, path).count() == 0
@@ -145,19 +156,6 @@ def test_token_shards(spark, tmp_path):
     assert token_store.read_shards(spark, f"{tmp_path}/none").count() == 0
 
 
-def test_shards_are_exact(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sharding, "ROWS_EACH", 5)
-    sf = saved(spark, tmp_path)
-    out = sharding.op9_shard_matrix(spark, sf, 4).collect()
-    assert sorted(map(tuple, out)) == sorted(map(tuple, sharding.op9_shard_matrix(spark, sf, 4).collect()))
-    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == sorted((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows())
-    for s in range(4):
-        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(len(rows()) // 4 + (s < len(rows()) % 4)))
-    assert sharding.shard_rows(sharding.digest(clashing(table(spark)).limit(0)), ["doc_id"]).count() == 0
-    matrix = sharding.communication_matrix([7, 0, 13, 1], 3, 1)
-    assert matrix.sum(1).tolist() == [7, 0, 13, 1] and matrix.sum(0).tolist() == [7, 7, 7]
-
-
 def test_contamination(spark):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(12)]

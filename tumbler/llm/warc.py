@@ -1,8 +1,10 @@
 """WARC archives with repeated payloads written once.
 
-Headers (id, digest, length) are shuffled by payload digest; of equal payloads one record is
-the response and the others become revisit records that refer to it. Archives are written by Spark's
-text writer, whose line separator is the record end CR LF CR LF, so any Hadoop file system works.
+Headers (id, url, digest, length) are shuffled by payload digest; of equal payloads one record is the response and the
+others become revisit records that refer to it. A revisit is written from its header alone, a response where its
+payload was read, so payloads are not shuffled by digest. Every record is a gzip member of its own, so a reader can
+start at any record. Spark's text writer puts the members down one after the other, with an empty gzip member as its
+line separator, so any Hadoop file system works.
 """
 
 from __future__ import annotations
@@ -15,10 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tumbler.llm.common import cut, fresh_path
+from tumbler.llm.common import cut, few_rows, fresh_path, remove
 
 CRLF = "\r\n"
 END = CRLF * 2
+#: A gzip member that holds nothing: between records it changes nothing.
+EMPTY_MEMBER = gzip.compress(b"", 9, mtime=0)
+#: Revisit records that are broadcast to drop them from the responses (about 40 bytes each).
+BROADCAST_ROWS = 200_000
 MIN_BYTES = 1000
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -28,17 +34,23 @@ def resolve(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html"
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to: which records carry their payload.
 
     Of equal payloads of at least min_bytes bytes, that of the largest page_id is the response and the
-    others are revisits of it; all smaller ones are responses. A null payload is empty, a null url is
-    written as an empty URI. Rows that share the largest page_id are all responses. A null page_id is
-    below every other; if a payload has null ids only, they are responses. Extra columns are not read.
+    others are revisits of it (their payload is null here); all smaller ones are responses and are not shuffled. A null
+    payload is empty, a null url is written as an empty URI. Rows that share the largest page_id are all responses. A null
+    page_id is below every other; if a payload has null ids only, they are responses. Very long payloads are written
+    whole. Extra columns are not read; an empty table gives no rows.
     """
     payload = F.coalesce(F.col(f"`{payload_col}`"), F.lit(""))
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload.cast("binary")).alias("payload_digest"))
-    # Only large payloads can repeat; the count by digest is summed in each task first, so a hot payload is a few rows.
-    first = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    joined = rows.join(first, "payload_digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("payload_bytes") >= min_bytes)
-    return joined.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to"))
+    headers = rows.where(F.col("payload_bytes") >= min_bytes).drop("payload")
+    # Counted by digest in each task first, so a hot payload is a few rows.
+    first = headers.groupBy("payload_digest").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    repeats = headers.join(first, "payload_digest").where("NOT page_id <=> first")
+    revisits = cut(repeats.select("page_id", "url", F.lit(None).cast("string").alias("payload"), "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("first").alias("refers_to")), "revisits")
+    # A row is a revisit if its id and digest are; beyond a broadcast, rows meet by id, which no payload makes hot.
+    gone = few_rows(revisits.select(F.col("page_id").alias("gone"), F.col("payload_digest").alias("gone_digest")), BROADCAST_ROWS)
+    left = rows.join(gone, F.col("page_id").eqNullSafe(F.col("gone")) & (F.col("payload_digest") == F.col("gone_digest")), "left_anti")
+    responses = left.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return responses.unionByName(revisits)
 
 
 def _uuid(key):
@@ -47,10 +59,16 @@ def _uuid(key):
 
 
 def write_archives(resolved: DataFrame, path: str, date: str = DATE) -> None:
-    """WARC 1.1 records with fresh headers: gzip-compressed archive files under path.
+    """WARC 1.1 records with fresh headers, a gzip member each, in archive files under path.
 
-    Every record has Content-Length of its own block; X-Page-Id keeps the row's id (absent if null).
+    Every record has Content-Length of its own block; X-Page-Id keeps the row's id (absent if null). A file holds the
+    records of a task, so files are as large as the pieces in which Spark reads the pages. An empty table writes no record.
     """
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(x.as_py(), 6, mtime=0) for x in batch.column(0)], pa.binary())], names=["value"])
+
     url = F.regexp_replace("url", "[\r\n]", " ")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(""))
     head = [
@@ -66,8 +84,10 @@ def write_archives(resolved: DataFrame, path: str, date: str = DATE) -> None:
         ("Content-Length", F.octet_length(block).cast("string")),
     ]
     lines = [F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit(CRLF)), F.lit("")) for name, value in head]
-    record = F.concat(F.lit(f"WARC/1.1{CRLF}"), *lines, F.lit(CRLF), block)
-    resolved.select(record.alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+    record = F.concat(F.lit(f"WARC/1.1{CRLF}"), *lines, F.lit(CRLF), block, F.lit(END)).cast("binary")
+    members = resolved.select(record.alias("value")).mapInArrow(run, "value binary")
+    # A binary cast to a string keeps its bytes; Latin-1 keeps those of the separator.
+    members.select(F.col("value").cast("string")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
 
 
 FIELD = re.compile(rb"([^:\r\n]+): ?([^\r\n]*)")
@@ -87,7 +107,9 @@ def records(raw: bytes):
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """record_id, page_id, record_type, refers (record id or null), digest and the block's bytes and SHA-1, per record."""
+    """record_id, page_id, record_type, refers (record id or null), digest and the block's bytes and SHA-1, per record.
+
+    A record without X-Page-Id gets a null page_id; a broken one raises. A folder without records gives no rows."""
 
     def run(batches):
         for batch in batches:
@@ -102,7 +124,9 @@ def read_archives(spark, path: str) -> DataFrame:
 
 
 def follow(read: DataFrame) -> DataFrame:
-    """Each record with its full payload's length and digest; revisits are joined to the responses they refer to."""
+    """Each record with its full payload's length and digest; revisits are joined to the responses they refer to.
+
+    A revisit whose response is not there keeps its digest and gets a null length and refers_to."""
     responses = read.where("record_type = 'response'")
     # Rows that repeat a page_id share a record id and payload digest: one row each.
     originals = responses.groupBy(F.col("record_id").alias("refers"), F.col("block_sha1").alias("digest")).agg(F.first("page_id").alias("refers_to"), F.first("block_bytes").alias("bytes"))
@@ -114,7 +138,9 @@ def follow(read: DataFrame) -> DataFrame:
 def op5_warc_revisits(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(resolve(spark.read.parquet(f"{sf_dir}/pages.parquet")), path)
-    return follow(cut(read_archives(spark, path), "records"))
+    read = cut(read_archives(spark, path), "records")
+    remove(spark, path)
+    return follow(read)
 
 
 def sql() -> str:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tests.llm.fixtures import SCHEMA, clashing, rows, saved, table
-from tumbler.llm import contamination, mixing, quality_rules, token_counts, token_store, warc
+from tumbler.llm import contamination, quality_rules, token_counts, token_store, warc
 
 SPACE = re.compile("[\\x20\\x09-\\x0D]+")
 
@@ -74,36 +74,6 @@ def test_quality_rules(spark, tmp_path):
     assert quality_rules.measure(table(spark).limit(0)).count() == 0
 
 
-def test_mixing(spark, tmp_path):
-    out = mixing.op4_mix_flow(spark, sf := saved(spark, tmp_path)).collect()
-    assert sorted(map(tuple, out)) == sorted(map(tuple, mixing.op4_mix_flow(spark, sf).collect()))
-    docs = {r[0]: r for r in rows()}
-    assert len(out) == len(docs)
-    sizes = Counter()
-    for r in docs.values():
-        sizes[r[3]] += len(split(r[1]))
-    for r in out:
-        assert r["size"] == len(split(docs[r["doc_id"]][1])) and r["source_size"] == sizes[docs[r["doc_id"]][3]]
-        assert r["taken"] in (0, r["size"], 2 * r["size"])
-    weights = dict(zip(["a", "b", "é", None], (3, 1, 2, 3)))
-    targets = {docs[r["doc_id"]][3]: r["target"] for r in out}
-    assert sum(targets.values()) == pytest.approx(1.5 * sum(sizes.values()))
-    open_ = [s for s in targets if targets[s] < 2 * sizes[s] - 1e-6]
-    assert len({round(targets[s] / weights[s], 6) for s in open_}) <= 1
-    for s, t in targets.items():
-        assert abs(sum(r["taken"] for r in out if docs[r["doc_id"]][3] == s) - t) <= 0.01 * t + max(r["size"] for r in out if docs[r["doc_id"]][3] == s) / 4
-    got_, _, _ = mixing.mix(clashing(table(spark)), mixing.F.array("source"))
-    assert got_.count() == len(docs)
-    assert mixing.mix(table(spark).limit(0), mixing.F.array("source"))[0].count() == 0
-
-
-def test_flow_serves_overlapping_sources():
-    # b can only use the shared pattern; a must then repeat its own text.
-    flow = mixing.route({"a": 10, "ab": 10}, {"a": ["a"], "ab": ["a", "b"]}, {"a": 15, "b": 10}, 2)
-    assert flow["ab", "b"] == 10 and flow["a", "a"] + flow["ab", "a"] == 15
-    assert mixing.fill({"a": 10, "b": 100}, {"a": 3, "b": 1}, 100, 2) == {"a": 20.0, "b": 80.0}
-
-
 def test_warc_round_trip(spark, tmp_path, monkeypatch):
     big, other = "<p>ü\r\n\r\nx</p>" * 100, "y" * 1000
     pages = [(1, "u1", big), (2, "u2", big), (9, "u3", big), (3, "u4", "small"), (4, "u5", "small"), (5, None, None), (6, "", ""), (7, "a\r\nb", other), (8, "z", other[:-1]), (10, "z", other[:-1]), (None, "n", big)]

@@ -3,24 +3,28 @@
 Documents are aggregated by the set of sources they belong to. A flow routes the tokens of
 each pattern to source quotas; the r-th copy of a pattern's tokens costs r * r, so the flow
 repeats text only where quotas need it and as evenly as it can. Documents are then selected
-by seeded buckets, in proportion over size classes.
+by seeded buckets, in proportion over size classes, one task for each pattern.
+
+The driver holds one number for each source and one for each pattern, not documents.
 """
 
 from __future__ import annotations
 
-import heapq
+import itertools
 import json
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tumbler.llm.common import cut, words_of
+from tumbler.llm.common import cut, drop, few_rows, words_of
 
 WEIGHTS = (3, 1, 2)
 BUCKETS = 64
-#: Patterns and their buckets are handled on the driver: at most so many patterns.
-MOST_PATTERNS = 5_000
+#: Patterns of so few cells get the best of all ways to copy them.
+FEW_CELLS = 6
+BROADCAST_ROWS = 200_000
 
 
 def fill(sizes: dict, weights: dict, total: float, most: float) -> dict:
@@ -42,51 +46,68 @@ def fill(sizes: dict, weights: dict, total: float, most: float) -> dict:
 def route(capacity: dict, members: dict, quota: dict, most: int) -> dict:
     """Min-cost flow, pattern -> source. capacity: tokens of each pattern; returns (pattern, source) -> tokens.
 
-    Successive shortest paths with potentials. Edges: start -> pattern (most edges of the
-    pattern's tokens, of cost 1, 4, 9, ...), pattern -> member sources, source -> end (its quota).
+    Start -> pattern: `most` edges of the pattern's tokens that cost 1, 4, 9, ...; pattern -> member sources, free; source ->
+    end: its quota. A path's cost is that of its first edge, so the cheapest flow opens the edges in the order of their costs
+    and each time augments as far as it can, by shortest paths in layers; flow that is there may be rerouted.
     """
-    nodes = ["start", *(("p", p) for p in capacity), *(("s", s) for s in quota), "end"]
-    at = {x: i for i, x in enumerate(nodes)}
-    graph: list[list[int]] = [[] for _ in nodes]
-    to, room, cost = [], [], []
-
-    def edge(a, b, cap: int, c: int) -> int:
-        for x, y, k, z in ((a, b, cap, c), (b, a, 0, -c)):
-            graph[x].append(len(to))
-            to.append(y)
-            room.append(k)
-            cost.append(z)
-        return len(to) - 2
-
-    for p, n in capacity.items():
-        for r in range(1, most + 1):
-            edge(at["start"], at[("p", p)], n, r * r)
-    flows = {(p, s): edge(at[("p", p)], at[("s", s)], most * capacity[p], 0) for p in capacity for s in members[p]}
-    for s, n in quota.items():
-        edge(at[("s", s)], at["end"], n, 0)
-    height = [0] * len(nodes)
-    while True:
-        far = [float("inf")] * len(nodes)
-        far[0], by, heap = 0, [-1] * len(nodes), [(0, 0)]
-        while heap:
-            d, x = heapq.heappop(heap)
-            if d > far[x]:
+    flow: dict = {(p, s): 0 for p in capacity for s in members[p]}
+    holders: dict = {s: [] for s in quota}
+    for p, s in flow:
+        holders[s].append(p)
+    spare, lacks = dict.fromkeys(capacity, 0), dict(quota)
+    for _ in range(most):
+        for p, n in capacity.items():
+            spare[p] += n
+        while _augment(flow, holders, members, spare, lacks):
+            pass
+    return flow
+
+
+def _augment(flow: dict, holders: dict, members: dict, spare: dict, lacks: dict) -> int:
+    """A blocking flow over shortest alternating paths: pattern -> source it may serve -> pattern that serves it now."""
+    layer, edge = {("p", p): 0 for p, n in spare.items() if n > 0}, [("p", p) for p, n in spare.items() if n > 0]
+    roots, out, done = list(edge), {}, False
+    while edge and not done:
+        new = []
+        for x in edge:
+            kind, name = x
+            out[x] = [("s", s) for s in members[name]] if kind == "p" else [("p", p) for p in holders[name] if flow[p, name] > 0]
+            for y in out[x]:
+                if y not in layer:
+                    layer[y] = layer[x] + 1
+                    new.append(y)
+                    done |= y[0] == "s" and lacks[y[1]] > 0
+        edge = new
+    if not done:
+        return 0
+    moved, at = 0, dict.fromkeys(layer, 0)
+    for root in roots:
+        path = [root]
+        while path and spare[root[1]] > 0:
+            x = path[-1]
+            if x[0] == "s" and lacks[x[1]] > 0:
+                back = [flow[b[1], a[1]] for a, b in zip(path, path[1:]) if a[0] == "s"]
+                push = min([spare[root[1]], lacks[x[1]], *back])
+                for a, b in zip(path, path[1:]):
+                    flow[(a[1], b[1]) if a[0] == "p" else (b[1], a[1])] += push if a[0] == "p" else -push
+                spare[root[1]] -= push
+                lacks[x[1]] -= push
+                moved += push
+                path = [root]
                 continue
-            for e in graph[x]:
-                if room[e] > 0 and (new := d + cost[e] + height[x] - height[to[e]]) < far[to[e]]:
-                    far[to[e]], by[to[e]] = new, e
-                    heapq.heappush(heap, (new, to[e]))
-        if far[-1] == float("inf"):
-            return {k: room[e ^ 1] for k, e in flows.items()}
-        height = [h + (f if f < float("inf") else 0) for h, f in zip(height, far)]
-        path, x = [], len(nodes) - 1
-        while x:
-            path.append(by[x])
-            x = to[by[x] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
+            ways = out.get(x, [])
+            while at[x] < len(ways):
+                y = ways[at[x]]
+                if layer[y] == layer[x] + 1 and (x[0] == "p" or flow[y[1], x[1]] > 0):
+                    break
+                at[x] += 1
+            if at[x] < len(ways):
+                path.append(ways[at[x]])
+            else:
+                path.pop()
+                if path:
+                    at[path[-1]] += 1
+    return moved
 
 
 def choose(have: dict[tuple[int, int], int], want: int) -> set[tuple[int, int]]:
@@ -116,6 +137,22 @@ def choose(have: dict[tuple[int, int], int], want: int) -> set[tuple[int, int]]:
     return taken
 
 
+def copies(have: dict[tuple[int, int], int], want: int, most: int) -> dict[tuple[int, int], int]:
+    """How often each bucket (class, bucket) -> tokens is taken so that the tokens add up to nearly want.
+
+    Of few buckets every way is tried: the nearest sum, then the least repetition. Else all are taken as often as they fit
+    and a choice of them once more.
+    """
+    keys = sorted(have)
+    if len(keys) <= FEW_CELLS:
+        ways = itertools.product(range(most + 1), repeat=len(keys))
+        cost = lambda w: (abs(want - sum(n * have[k] for n, k in zip(w, keys))), sum(n * n * have[k] for n, k in zip(w, keys)), w)
+        return dict(zip(keys, min(ways, key=cost)))
+    whole, part = divmod(want, sum(have.values()))
+    extra = choose(have, part) if part else set()
+    return {k: whole + (k in extra) for k in keys}
+
+
 def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 4, keep: list[str] | None = None):
     """Copies to take of each document so that sources come near their targets.
 
@@ -125,9 +162,9 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     pattern, copies and taken = copies * size; targets maps a source to (size, target), members a
     pattern to its sources. With `keep`, rows has these columns of docs in a struct named row as well.
 
-    Sizes count words; null or blank texts have size 0 and take 0. Selection hashes id, size and
-    a text hash with the seed, so reruns agree and equal rows are treated alike. An empty table gives no
-    rows. At most MOST_PATTERNS distinct source sets are routed (ValueError beyond).
+    Sizes count words of whole texts, however long; null or blank texts have size 0 and take 0. Selection hashes id,
+    size and a text hash with the seed, so reruns agree and equal rows are treated alike. An empty table gives no
+    rows. Extra columns are not read, whatever their names. Any number of source sets is routed.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     size = F.size(words_of(text)).cast("long")
@@ -135,28 +172,29 @@ def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str
     wide = docs.select(F.col(f"`{id_col}`").alias("doc_id"), size.alias("size"), F.to_json(F.array_sort(F.array_distinct(sources))).alias("pattern"), F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text).alias("draw"), *row)
     wide = wide.select("doc_id", "size", F.coalesce("pattern", F.lit("[null]")).alias("pattern"), F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(-1).cast("int").alias("class"), F.pmod("draw", F.lit(BUCKETS)).cast("int").alias("bucket"), *["row"] * bool(keep))
     sized = cut(wide.drop("row"), "mix")
-    # At most MOST_PATTERNS * 40 classes * BUCKETS sums, whatever the input's size.
-    if len(sized.select("pattern").distinct().limit(MOST_PATTERNS + 1).collect()) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
-    sums = sized.groupBy("pattern", "class", "bucket").agg(F.sum("size").alias("n")).collect()
-    by: dict[str, dict[tuple[int, int], int]] = {}
-    for r in sums:
-        by.setdefault(r["pattern"], {})[r["class"], r["bucket"]] = r["n"]
-    capacity = {p: sum(x.values()) for p, x in sorted(by.items())}
+    # At most 40 classes * BUCKETS rows of each pattern, whatever the input's size.
+    cells = cut(sized.groupBy("pattern", "class", "bucket").agg(F.sum("size").alias("n")), "mix-cells")
+    capacity = {r["pattern"]: r["n"] for r in cells.groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()}
     members = {p: json.loads(p) or [None] for p in capacity}
-    names = sorted({s for x in members.values() for s in x}, key=lambda s: (s is None, s or ""))
-    source_size = {s: sum(n for p, n in capacity.items() if s in members[p]) for s in names}
+    source_size: dict = {}
+    for p, n in capacity.items():
+        for s in members[p]:
+            source_size[s] = source_size.get(s, 0) + n
+    names = sorted(source_size, key=lambda s: (s is None, s or ""))
     target = fill(source_size, {s: weights[i % len(weights)] for i, s in enumerate(names)}, share * sum(capacity.values()), most)
     flow = route(capacity, members, {s: round(t) for s, t in target.items()}, most)
-    chosen = []
-    for p, n in capacity.items():
-        whole, part = divmod(sum(flow[p, s] for s in members[p]), n) if n else (0, 0)
-        extra = choose(by[p], part)
-        chosen += [(p, *k, whole + (k in extra)) for k in by[p]]
-    plan = docs.sparkSession.createDataFrame(chosen, "pattern string, class int, bucket int, copies int")
-    # At most MOST_PATTERNS * 40 * BUCKETS rows of plan; in practice sources times a few hundred, which Spark may broadcast.
-    rows = (wide if keep else sized).join(plan, ["pattern", "class", "bucket"])
+    wants = docs.sparkSession.createDataFrame([(p, sum(flow[p, s] for s in members[p])) for p in capacity], "pattern string, want long")
+
+    def chosen(pdf: pd.DataFrame) -> pd.DataFrame:
+        have = {(c, b): n for c, b, n in zip(pdf["class"], pdf["bucket"], pdf["n"]) if n}
+        taken = copies(have, int(pdf["want"].iloc[0]), most) if have else {}
+        return pd.DataFrame({"pattern": pdf["pattern"], "class": pdf["class"], "bucket": pdf["bucket"], "copies": [taken.get(k, 0) for k in zip(pdf["class"], pdf["bucket"])]})
+
+    wanted = cells.join(F.broadcast(wants) if len(capacity) <= BROADCAST_ROWS else wants, "pattern")
+    plan = cut(wanted.groupBy("pattern").applyInPandas(chosen, "pattern string, class int, bucket int, copies int"), "mix-plan")
+    rows = (wide if keep else sized).join(few_rows(plan, BROADCAST_ROWS), ["pattern", "class", "bucket"])
     rows = rows.select(*["row"] * bool(keep), "doc_id", "size", "pattern", F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies"))
+    drop(cells, *[sized] * bool(keep))
     return rows.withColumn("taken", F.col("copies") * F.col("size")), {s: (source_size[s], target[s]) for s in names}, members
 
 
@@ -164,4 +202,4 @@ def op4_mix_flow(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows, targets, members = mix(docs, F.array("source"))
     of = spark.createDataFrame([(p, *targets[s]) for p, (s,) in members.items()], "pattern string, source_size long, target double")
-    return rows.join(of, "pattern").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "copies")
+    return rows.join(few_rows(of, BROADCAST_ROWS), "pattern").select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "copies")

@@ -66,7 +66,19 @@ def test_quality_rules(spark, tmp_path):
     sf = saved(spark, tmp_path)
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet/*.parquet'")
-    assert got(quality_rules.op2_quality_rules(spark, sf)) == sorted(con.sql(quality_rules.sql()).fetchall())
+    want = con.sql(quality_rules.sql())
+    out = quality_rules.op2_quality_rules(spark, sf).select(want.columns)
+    assert got(out) == sorted(want.fetchall())
+    # Policies and ablations read the stored ledger, not the texts.
+    stored = quality_rules.store(clashing(table(spark)))
+    assert all("/ledger-" in f for f in stored.inputFiles()) and "text" not in stored.columns
+    for version in quality_rules.POLICIES:
+        judged = quality_rules.apply_policy(stored, version).collect()
+        sole = Counter(r["sole_rule"] for r in judged)
+        only = {r["rule"]: r["n_only"] for r in quality_rules.ablation(stored, version).collect()}
+        assert only == {rule: sole[rule] for rule in quality_rules.POLICIES[version]}
+    long = spark.createDataFrame([(1, "word " * 100_000)], "doc_id long, text string")
+    assert [(r["n_words"], r["n_repeat_words"], r["longest_word"]) for r in quality_rules.measure(long).collect()] == [(100_000, 100_000, 4)]
     masks = [r["fail_mask"] for r in book.collect()]
     for r in quality_rules.ablation(book).collect():
         bit = 1 << [n for n, _ in quality_rules.RULES].index(r["rule"])
@@ -126,6 +138,13 @@ def test_token_shards(spark, tmp_path):
     assert token_store.read_shards(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_registered_decontamination(spark, tmp_path):
+    sf = saved(spark, tmp_path)
+    items = [(1, rows()[6][1]), (2, "One two"), (None, rows()[10][1])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert got(contamination.op10_suffix_automaton(spark, sf)) == sorted(contamination.brute([r[:2] for r in rows()], items))
+
+
 def test_contamination(spark):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(12)]
@@ -145,6 +164,12 @@ def test_contamination(spark):
         contamination.BLOCK_WORDS = was
     assert got(contamination.judged(contamination.find(d, b.limit(0))).select("n_hit").distinct()) == [(0,)]
     assert contamination.find(d.limit(0), b).count() == 0
-    texts = dict(contamination.remove_spans(contamination.find(d, b)).collect())
-    assert texts[74] is None and texts[71] == ""
+    texts = {r["doc_id"]: r["left"] for r in contamination.remove_spans(contamination.find(d, b)).collect()}
+    assert texts[74] is None and texts[71] == "" and texts[70] is None
+    # Below the coverage limit the window goes and what is around it stays.
+    word = [f"x{i}" for i in range(400)]
+    mixed = " ".join([*word[:200], *["r"] * 15, *word[200:]])
+    kept = {r["doc_id"]: r for r in contamination.remove_spans(contamination.find(spark.createDataFrame([(1, mixed), (2, " ".join(word)), (3, "zé " + " ".join(word)), (4, "z " * 400_000)], "doc_id long, text string"), b)).collect()}
+    assert kept[1]["left"].split() == word and kept[1]["n_hit"] == 15 and not kept[1]["contaminated"]
+    assert kept[2]["left"] == " ".join(word) and kept[3]["left"].startswith("zé x0") and kept[3]["n_hit"] == 1 and kept[4]["n_words"] == 400_000
     assert contamination.clean_text("a, b! c d.", [(1, 3)]) == "a,  d."

@@ -18,8 +18,8 @@ WINDOW = 13
 #: A word: ASCII letters and digits and everything beyond ASCII. A-Z are lower-cased first.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Benchmark words in one automaton; larger benchmarks are streamed in several blocks.
-BLOCK_WORDS = 2_000_000
+#: Benchmark words in one automaton (about 150 MB in a worker); larger benchmarks are streamed in several blocks.
+BLOCK_WORDS = 200_000
 
 
 def words_in(text: str | None) -> list[str]:
@@ -141,16 +141,18 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, text, n_words, spans (word ranges inside occurring windows, merged) and items (ids, sorted as strings).
-    `keep` names columns to carry along in a struct named row.
+    """doc_id, text, n_words, spans (word ranges inside occurring windows, merged), items (ids, sorted as strings) and clean.
+    clean is the text without its spans of at least `window` words, null if it has none. `keep` names columns to carry
+    along in a struct named row.
 
     Null or blank texts have no words and no spans; repeated rows stay. Items with null or blank
     text match nothing; an item with a null id marks words but is not listed. An item_id on several
     rows is listed once. Empty tables give an empty result or no spans. Extra columns are not read.
-    Larger benchmarks are streamed in blocks of BLOCK_WORDS words, one broadcast automaton each.
+    Very long texts are streamed whole; a task holds one of them at a time beside its batch. Larger benchmarks are
+    streamed in blocks of BLOCK_WORDS words, one broadcast automaton each.
     """
     spark = docs.sparkSession
-    out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.struct(*[F.col(f"`{c}`") for c in keep or [id_col]]).alias("row"))
+    out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("string").alias("clean"), F.struct(*[F.col(f"`{c}`") for c in keep or [id_col]]).alias("row"))
     blocks = _blocks(benchmark, item_col, item_text, window)
     for automaton in [next(blocks, None) or Automaton([], window)]:
         out = _streamed(out, spark.sparkContext.broadcast(automaton))
@@ -164,24 +166,29 @@ def _streamed(df: DataFrame, shared) -> DataFrame:
         automaton = shared.value
         for batch in batches:
             x = {name: batch.column(name) for name in ("doc_id", "text", "spans", "items", "row")}
-            n_words, spans, items = [], [], []
+            n_words, spans, items, clean = [], [], [], []
             for text, old, was in zip(x["text"], x["spans"], x["items"]):
-                words = words_in(text.as_py())
+                text = text.as_py()
+                words = words_in(text)
                 own, states = automaton.match(words)
                 if old.is_valid:
                     own += [(s["a"], s["b"]) for s in old.as_py()]
                 n_words.append(len(words))
-                spans.append([{"a": a, "b": b} for a, b in merged(own)])
+                own = merged(own)
+                spans.append([{"a": a, "b": b} for a, b in own])
+                long = [(a, b) for a, b in own if b - a >= automaton.window]
+                clean.append(clean_text(text, long) if long else None)
                 ids = {str(i) for v in states for i in automaton.items[v] if i is not None}
                 items.append(sorted(ids | set(was.as_py() or ())))
             span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([x["doc_id"], x["text"], pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), x["row"]], names=["doc_id", "text", "n_words", "spans", "items", "row"])
+            yield pa.RecordBatch.from_arrays([x["doc_id"], x["text"], pa.array(n_words, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string())), pa.array(clean, pa.string()), x["row"]], names=["doc_id", "text", "n_words", "spans", "items", "clean", "row"])
 
     return df.mapInArrow(run, df.schema)
 
 
 def judged(found: DataFrame, most: int = 20) -> DataFrame:
-    """Adds n_hit, n_items, items_sha256 and contaminated (some hit, and hits at least one in `most` words)."""
+    """Adds n_hit, n_items, items_sha256 and contaminated (some hit, and hits at least one in `most` words). A document
+    without words or spans has 0 hits, no items (the hash of an empty text) and is not contaminated."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["b"] - s["a"]).cast("long"))
     out = found.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.array_join("items", ","), 256)})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(most) * F.col("n_hit") >= F.col("n_words")))
@@ -199,22 +206,14 @@ def clean_text(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return "".join(out) + text[done:]
 
 
-def remove_spans(found: DataFrame, min_words: int = WINDOW, most: int = 20) -> DataFrame:
-    """doc_id and text with its spans of at least min_words cut out; texts over the coverage limit become null.
-
-    Character offsets hold since lower-casing A-Z keeps lengths. A document without spans keeps its text.
-    """
-    @F.udf("string")
-    def cut_out(text, spans):
-        return clean_text(text, [(s["a"], s["b"]) for s in spans if s["b"] - s["a"] >= min_words])
-
-    out = judged(found, most)
-    return out.select("doc_id", F.when(~F.col("contaminated"), F.when(F.size("spans") > 0, cut_out("text", "spans")).otherwise(F.col("text"))).alias("text"))
+def remove_spans(found: DataFrame, most: int = 20) -> DataFrame:
+    """Adds left: the text with its long spans cut out, null for texts over the coverage limit (and for null texts)."""
+    return judged(found, most).withColumn("left", F.when(~F.col("contaminated"), F.coalesce("clean", "text")))
 
 
 def op10_suffix_automaton(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    out = judged(find(docs, items).drop("text"))
+    out = judged(find(docs, items).drop("text", "clean"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 

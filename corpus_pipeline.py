@@ -33,9 +33,12 @@ def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule leaves."""
-    found = contamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
-    return contamination.judged(found.drop("text")).where("NOT contaminated").select("row.*")
+    """Documents that the contamination rule leaves. Where one holds less of a benchmark item than the rule allows, spans of
+    a whole window are cut out of its text and n_chars counts what is left. Null and blank texts stay as they are."""
+    found = contamination.find(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=[c for c in docs.columns if c != "text"])
+    out = contamination.remove_spans(found).where("NOT contaminated")
+    new = {"text": F.col("left"), "n_chars": F.when(F.col("clean").isNull(), F.col("row.n_chars")).otherwise(F.length("left")).cast(docs.schema["n_chars"].dataType)}
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

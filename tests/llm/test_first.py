@@ -48,6 +48,28 @@ def test_word_pieces_match_greedy(spark):
     assert token_counts.count_pieces(table(spark).limit(0), pieces).count() == 0
 
 
+def test_registered_word_pieces(spark, tmp_path):
+    """With the production vocabulary, against greedy matching of the same pieces."""
+    path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+    have = {p + b"\0" if ends else p for p, ends in token_counts.read_pieces(path)}
+
+    def greedy(word):
+        left, n = word.encode() + b"\0", 0
+        while left:
+            k = next((k for k in range(min(len(left), 60), 0, -1) if left[:k] in have), 0)
+            if not k:
+                return 1
+            left, n = left[k:], n + 1
+        return n
+
+    lower = str.maketrans({c: c.lower() for c in map(chr, range(65, 91))})
+    want = []
+    for i, text, *_ in rows():
+        got_ = [greedy(w) for w in split((text or "").translate(lower))]
+        want.append((i, len(got_), sum(got_), max(got_, default=0)))
+    assert got(token_counts.op1_word_pieces(spark, saved(spark, tmp_path))) == want
+
+
 def test_quality_rules(spark, tmp_path):
     def repeats(words):
         wins = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]

@@ -73,6 +73,54 @@ def test_ppm_is_a_distribution():
     assert model.score([b"abc"]) == pytest.approx(sum(model.log10(np.array([int.from_bytes(x, "big")])) for x in (b"\n\n\na", b"\n\nab", b"\nabc", b"abc\n")))
 
 
+def dictionary_ppm(train: list[bytes], order: int):
+    """log10 of a byte after a context, from plain dictionaries of sets."""
+    seen: list[dict] = [{} for _ in range(order + 1)]  # by length: context -> byte -> count
+    for t in train:
+        padded = b"\n" * order + t + b"\n"
+        for i in range(order, len(padded)):
+            table = seen[order].setdefault(padded[i - order : i], Counter())
+            table[padded[i]] += 1
+    for j in range(order - 1, -1, -1):
+        for context, table in seen[j + 1].items():
+            for byte in table:
+                seen[j].setdefault(context[1:], Counter())[byte] += 1
+
+    def log10(context: bytes, byte: int) -> float:
+        out, tried = 0.0, set()
+        for j in range(order, -1, -1):
+            table = seen[j].get(context[len(context) - j :])
+            if table is None:
+                continue
+            n = sum(c for b, c in table.items() if b not in tried)
+            if byte in table:
+                return out + np.log10((table[byte] - 0.5) / n)
+            if n:
+                out += np.log10(0.5 * len(set(table) - tried) / n)
+            tried = set(table)
+        return out - np.log10(max(1, 256 - len(tried)))
+
+    return log10
+
+
+@pytest.mark.parametrize("order", [1, 5])
+def test_scores_match_dictionaries(spark, order):
+    rng = random.Random(order)
+    words = ["ab", "abc", "Cab", "b", "zé", "the", "x" * 9]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 25)))) for i in range(40)] + [(60, None), (61, " \t"), (62, "\u00c9 unseen \U0001f600"), (None, "ab ab"), (3, "the the")]
+    joined = lambda t: b" ".join(lm_score.tokens(t))
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    log10 = dictionary_ppm([joined(t) for i, t in docs if not held(i)], order)
+    want = []
+    for i, t in docs:
+        padded = b"\n" * order + joined(t) + b"\n"
+        want.append((i, sum(log10(padded[k - order : k], padded[k]) for k in range(order, len(padded)))))
+    have = [(r["doc_id"], r["score"]) for r in lm_score.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), order=order).collect()]
+    key = lambda r: (r[0] is not None, r)
+    assert [i for i, _ in sorted(have, key=key)] == [i for i, _ in sorted(want, key=key)]
+    assert [x for _, x in sorted(have, key=key)] == pytest.approx([x for _, x in sorted(want, key=key)], rel=1e-9)
+
+
 def test_scores(spark):
     docs = [*((r[0], r[1]) for r in rows()), (None, "null id here"), (300, "one one"), (300, "one one")]
     out = lm_score.score(clashing(spark.createDataFrame(docs, "doc_id long, text string")))

@@ -73,7 +73,7 @@ class Counts(dict):
 
     def __init__(self, automaton: LongestMatch):
         super().__init__()
-        self.automaton, self.unknown = automaton, set()
+        self.automaton = automaton
 
     def __missing__(self, word: str) -> int:
         if len(self) >= REMEMBERED:
@@ -109,7 +109,8 @@ def count_pieces(docs: DataFrame, pieces: list[tuple[bytes, bool]], id_col: str
 
     Words are runs without ASCII white space, A-Z lower-cased. Null and blank texts have 0 of all.
     A word that the vocabulary can't segment counts as one piece. Repeated rows and null ids stay;
-    extra columns are not read. The automaton (bounded by the vocabulary) is broadcast once.
+    extra columns are not read and an empty table gives no rows. Whole texts are counted, however long. The automaton
+    (bounded by the vocabulary) is broadcast once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(LongestMatch(pieces))
 

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import tumbler.plans.more  # noqa: F401
+import tumbler.plans.records  # noqa: F401
 from tumbler.plans.catalog import CATALOG
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

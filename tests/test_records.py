@@ -1,4 +1,4 @@
-"""Sources, reconciliation, eras, splits, inference, simulation and models on small hand-made inputs."""
+"""Sources, reconciliation, eras, splits, inference and models on small hand-made inputs."""
 
 import datetime as dt
 import io
@@ -7,13 +7,11 @@ import math
 import random
 import zipfile
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tumbler.functions import exact
 from tumbler.functions.exact import Matrix
-from tumbler.operators import audit, inference, models, nulls, power, reconcile, regimes, splits
+from tumbler.operators import audit, history, inference, models, positional, reconcile, regimes, splits
 from tumbler.sources import payloads, store, tabular
 from tumbler.streaming import retrievals
 
@@ -48,13 +46,28 @@ def test_payloads(spark):
     lines = payloads.tagged_lines(one("1/2/49  1-2-3 PB 4", "12/31/50 9 - 8 - 7", "junk", "1/2/03 1-2 what"), [("special", r"^PB \d+$"), ("plain", "^$")]).collect()
     assert [(str(r["d"]), r["numbers"], r["form"]) for r in lines] == [("2049-01-02", [1, 2, 3], "special"), ("1950-12-31", [9, 8, 7], "plain")]
     assert str(spark.range(1).select(payloads.money(F.lit("$389.50M"))).first()[0]) == "389500000.00"
-    book = io.BytesIO()
-    with zipfile.ZipFile(book, "w") as z:
-        ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>2024-05-06</t></si><si><t>9--3--5</t></si><si><t>3--5--9</t></si></sst>")
-        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c t="s"><v>0</v></c><c t="s"><v>1</v></c><c t="s"><v>2</v></c><c><v>4</v></c></row><row><c t="s"><v>2</v></c></row></sheetData></worksheet>')
-    files = spark.createDataFrame([("f", bytearray(book.getvalue()))], "path string, content binary")
-    assert [(str(r["d"]), r["numbers"], r["claim"], r["special"]) for r in payloads.xlsx_draws(files).collect()] == [("2024-05-06", [9, 3, 5], "physical", 4)]
+    def book(rows, shared=()):
+        out, ns = io.BytesIO(), 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("xl/sharedStrings.xml", f"<sst {ns}>{''.join(f'<si><t>{x}</t></si>' for x in shared)}</sst>")
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{rows}</sheetData></worksheet>")
+        return bytearray(out.getvalue())
+
+    inline = lambda ref, x: f'<c r="{ref}" t="inlineStr"><is><t>{x}</t></is></c>'
+    line = lambda i, *cells: f"<row>{''.join(inline(f'{c}{i}', x) for c, x in cells)}</row>"
+    sheet = '<row><c t="s"><v>0</v></c><c t="s"><v>1</v></c><c t="s"><v>2</v></c><c><v>4</v></c><c><v>0</v></c></row>'
+    sheet += line(2, ("A", "07-05-2024"), ("B", "3--5--9"), ("C", "3--5--9"), ("F", "$1.5 Billion")) + line(3, ("A", "Date"), ("B", "x")) + line(4, ("A", "08-05-2024"), ("B", "1--2"), ("C", "1--2"), ("E", "3"), ("F", "$20"))
+    files = spark.createDataFrame([("f", book(sheet, ["06-05-2024", "9--3--5", "3--5--9"]))], "path string, content binary")
+    got = [(str(r["d"]), r["numbers"], r["claim"], r["special"], r["multiplier"], None if r["jackpot"] is None else int(r["jackpot"])) for r in payloads.xlsx_draws(files).orderBy("d").collect()]
+    assert got == [("2024-05-06", [9, 3, 5], "physical", 4, None, None), ("2024-05-07", [3, 5, 9], "unknown", None, None, 1_500_000_000), ("2024-05-08", [1, 2], "unknown", None, 3, 20_000_000)]
+    forms = [("lotto", "9/26/26 1 5 10 15 35 45 LOTTO 5 / D"), ("lotto", "9/26/26 1 5 LOTTO DP"), ("lotto", "7/1/20 12 20 X4 3 / C"), ("lotto", "5/7/88 30 44 17"), ("lotto", "5/7/88 30 what"), ("powerball", "9/28/26 17 21 PB 7 X3 POWERBALL"), ("mega", "09/25/26 25 57 MB 16"), ("mega", "13/25/26 25 57 MB 16")]
+    got = [tuple(r) for r in payloads.history_lines(spark.createDataFrame(forms, "game string, content string").coalesce(1)).collect()]
+    assert [(r[0], str(r[1]), *r[2:]) for r in got] == [
+        ("lotto", "2026-09-26", "main", [1, 5, 10, 15, 35, 45], None, None, "5", "D"), ("lotto", "2026-09-26", "second", [1, 5], None, None, None, None),
+        ("lotto", "2020-07-01", "main", [12, 20], None, 4, "3", "C"), ("lotto", "1988-05-07", "main", [30, 44, 17], None, None, None, None),
+        ("powerball", "2026-09-28", "main", [17, 21], 7, 3, None, None), ("mega", "2026-09-25", "main", [25, 57], 16, None, None, None)]
+    with pytest.raises(Exception, match="differs from its hash"):
+        payloads.dispatch(spark.createDataFrame([("a", "x", "0")], "source string, content string, sha256 string"), {"a": lambda x: payloads.positional_csv_draws(x, 1)}).collect()
 
 
 def test_store(spark, tmp_path):
@@ -70,7 +83,7 @@ def test_reconciliation(spark):
     staged = spark.createDataFrame([("k", "S3", 3, 7, None), ("k", "S1", 1, 5, None), ("k", "S2", 2, 6, 2.0), ("j", "S3", 3, 1, 1.0)], "key string, source string, tier int, a int, b double")
     rows = reconcile.ranked(staged, ["key"], ["tier", "source"])
     got = {(r["source_b"], r["field"]): (r["class"], r["status"]) for r in reconcile.compare(rows, ["key"], ["a", "b"]).collect()}
-    assert got == {("S2", "a"): ("CONFLICT", "unresolved"), ("S3", "a"): ("CONFLICT", "resolved"), ("S2", "b"): ("FIELD_COMPLEMENT", "resolved"), ("S3", "b"): ("MATCH", "resolved")}
+    assert got == {("S2", "a"): ("CONFLICT", "unresolved"), ("S3", "a"): ("CONFLICT", "resolved"), ("S2", "b"): ("FIELD_COMPLEMENT", "resolved")}
     canon = {r["key"]: r for r in reconcile.canonical(rows, ["key"], ["a", "b"]).collect()}
     assert (canon["k"]["source"], canon["k"]["a"], canon["k"]["b"], canon["k"]["conflict_a"], canon["k"]["conflict_b"]) == ("S1", 5, 2.0, True, True)
     assert (canon["j"]["n_corroborating"], canon["j"]["conflict_a"]) == (0, False)
@@ -134,39 +147,90 @@ def test_inference(spark):
         inference.mc_pvalue(values.where("false"), seen, ["k"]).collect()
 
 
-def test_nulls(spark):
-    m = Matrix(5, 1, 47, 15)
-    pools = spark.createDataFrame([("A", [30, 12]), ("B", [9])], "pool string, segments array<int>")
-    one = nulls.simulate(pools, m, 7, "x", 2, 40)
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, nulls.simulate(pools.repartition(5), m, 7, "x", 2, 40).collect()))
-    stats = {(r["pool"], r["stat"]): r for r in nulls.summarise(one).collect()}
-    assert stats["A", "fs001"]["n"] == 80 and abs(stats["A", "fs001"]["mean"] - 42) < 5
-    checks = nulls.theory_checks(nulls.fair_structure(pools, m, 7, "x", 200), exact.pmf_table(spark, m)).collect()
-    assert len(checks) == 8 and all(r["passed"] for r in checks)
-    rng = nulls.stream(1, "e", "s")
-    sets, seqs = nulls.fair_sets(rng, m, 500), nulls.fair_sequences(rng, m, 500)
-    assert (np.diff(sets) > 0).all() and all(len(set(x)) == 5 for x in seqs) and not (np.diff(seqs) > 0).all()
-    assert nulls.chunks(10_000, 155, Matrix(5, 1, 70, 1))[:2] == [2764, 2764]
-
-
-def test_subset_model():
-    rng = np.random.default_rng(2)
-    w = rng.normal(size=8)
-    sets = list(itertools.combinations(range(8), 3))
-    p = np.exp([models.log_probability(w, np.array(s)) for s in sets])
-    assert p.sum() == pytest.approx(1)
-    assert models.inclusion(w, 3) == pytest.approx([sum(x for s, x in zip(sets, p) if i in s) for i in range(8)])
-    assert models.log_symmetric(np.zeros(8), 3)[-1] == pytest.approx(math.log(56))
-
-
-def test_walk_forward_ignores_the_future(spark):
+def test_walk_forward(spark):
     m, rng = Matrix(3, 1, 12, 4), random.Random(5)
     rows = [("A", i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), rng.sample(range(1, 13), 3)) for i in range(130)]
     schema = "pool string, draw_id long, t timestamp, numbers array<int>"
     other = rows[:115] + [(*r[:3], rng.sample(range(1, 13), 3)) for r in rows[115:]]
-    a, b = ({(r["draw_id"], r["model"]): tuple(r) for r in models.walk_forward(spark.createDataFrame(x, schema), m).collect()} for x in (rows, other))
-    assert all(a[k] == b[k] for k in a if k[0] < 115)
-    assert all(r[3] == pytest.approx(0) for k, r in a.items() if k[1] == "uniform")
+    a, b = ({r["draw_id"]: r["log_score"] for r in models.walk_forward(spark.createDataFrame(x, schema), m).collect()} for x in (rows, other))
+    assert len(a) == 30 and all(a[k] == b[k] for k in a if k < 115) and any(a[k] != b[k] for k in a)
+    # Against all sets of three, for every draw.
+    seen = {x: 0 for x in range(1, 13)}
+    for i, (_, k, _, numbers) in enumerate(rows):
+        if i >= 100:
+            w = {x: (c + 100 * 0.25) / (i + 100) / 0.25 for x, c in seen.items()}
+            whole = sum(math.prod(w[x] for x in s) for s in itertools.combinations(w, 3))
+            assert a[k] == pytest.approx(math.log(math.prod(w[x] for x in numbers) / whole * 220))
+        for x in numbers:
+            seen[x] += 1
+    f = {(r["draw_id"], r["label"]): (r["n"], r["c"], r["gap"], r["prev"], r["hit"]) for r in models.features(spark.createDataFrame(rows, schema), m).collect()}
+    for k in range(130):
+        for x in range(1, 13):
+            at = [i for i in range(k) if x in rows[i][3]]
+            assert f[k, x] == (k, len(at), k - 1 - at[-1] if at else k, bool(at) and at[-1] == k - 1, x in rows[k][3])
+
+
+def test_permutation_keeps_blocks(spark):
+    m = Matrix(2, 1, 6)
+    rows = [("A", i, i // 10, i % 3, [1 + i % 6, 1 + (i + 1 + i % 2) % 6]) for i in range(40)]
+    h = spark.createDataFrame(rows, "pool string, draw_id long, week int, machine int, numbers array<int>")
+    got = {r["permutation"]: r["chi2"] for r in models.permuted_chi2(h, m, "week", "machine", 20).collect()}
+    n = {c: sum(r[3] == c for r in rows) for c in range(3)}
+    count = lambda c, x: sum(x in r[4] for r in rows if r[3] == c)
+    assert got[0] == pytest.approx(sum((count(c, x) - n[c] / 3) ** 2 / (n[c] / 3) for c in n for x in range(1, 7)))
+    assert sorted(got) == list(range(21)) and len(set(got.values())) > 5
+    # One draw in each block: nothing can move.
+    alone = {round(r["chi2"], 9) for r in models.permuted_chi2(h.withColumn("week", F.col("draw_id")), m, "week", "machine", 5).collect()}
+    assert len(alone) == 1
+
+
+def test_exact_quantiles(spark):
+    rng = random.Random(1)
+    rows = [(k, float(v)) for k in "ab" for v in ([rng.choice([1, 1, 2, 5, 9]) for _ in range(rng.randint(1, 30))] + [rng.random() * 100 for _ in range(50)])] + [("c", 3.0), ("d", None)]
+    got = {r["k"]: r for r in inference.quantiles(spark.createDataFrame(rows, "k string, value double"), ["k"], "value", {"q": 0.9, "m": 0.5}, 16).collect()}
+    for k in "abc":
+        x = sorted(v for kk, v in rows if kk == k)
+        for q, p in (("q", 0.9), ("m", 0.5)):
+            at = p * (len(x) - 1)
+            low = int(at)
+            assert got[k][q] == pytest.approx(x[low] + (x[min(low + 1, len(x) - 1)] - x[low]) * (at - low))
+    assert set(got) == set("abc")
+
+
+def test_rolling_argmax(spark):
+    rng, m = random.Random(3), Matrix(2, 1, 5)
+    seqs = {"A": [rng.sample(range(1, 6), 2) for _ in range(25)], "B": [[1, 2]] * 7}
+    rows = [(p, i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), n, True) for p, s in seqs.items() for i, n in enumerate(s)]
+    h = history.segmented(spark.createDataFrame(rows, "pool string, draw_id long, t timestamp, numbers array<int>, eligible boolean"))
+    got = {(r["pool"], r["pos"], r["w"]): (r["start"], r["label"], round(r["z"], 9)) for r in positional.rolling_argmax(h, m, [2, 6, 30]).collect()}
+    want = {}
+    for p, s in seqs.items():
+        for w in (2, 6):
+            for j in (0, 1):
+                zs = [(round(abs(sum(x[j] == lab for x in s[i : i + w]) - w / 5) / math.sqrt(w * 0.16), 9), -i, -lab) for i in range(len(s) - w + 1) for lab in range(1, 6)]
+                z, i, lab = max(zs)
+                want[p, j + 1, w] = (1 - i, -lab, z)
+    assert got == want
+
+
+def test_eligibility_codes(spark):
+    base = {"key": 1, "source": "S", "sha256": "x", "status": "VALID", "provisional": False, "official": True, "era": "E", "clear_from": None, "d": day("2024-01-05"), "conflict": False, "notes": None}
+    cases = [({}, []), ({"key": 9}, ["excluded_non_draw_artifact"]), ({"sha256": None}, ["missing_provenance"]), ({"source": ""}, ["missing_provenance"]), ({"status": "REJECTED"}, ["structural_rejection"]), ({"status": "QUARANTINED", "clear_from": day("2024-01-06")}, ["boundary_quarantine"] * 2), ({"status": None}, ["invalid_status"]), ({"provisional": True}, ["provisional_source"]), ({"official": False}, ["unofficial_source_only"]), ({"era": None}, ["no_regime"]), ({"conflict": True, "notes": "old"}, ["unresolved_conflict"])]
+    schema = "key long, source string, sha256 string, status string, provisional boolean, official boolean, era string, clear_from date, d date, conflict boolean, notes string"
+    excluded = spark.createDataFrame([(9, "r", "D7"), (9, "s", "D8")], "key long, reason string, decision_id string")
+    out = reconcile.eligibility_codes(spark.createDataFrame([tuple((base | c).values()) for c, _ in cases], schema).coalesce(1), excluded, "key").collect()
+    assert sorted((tuple(r["codes"]), r["eligible"]) for r in out) == sorted((tuple(codes), not codes) for _, codes in cases)
+    assert {r["notes"] for r in out if r["codes"] == ["unresolved_conflict"]} == {"old; unresolved winning-number conflict"}
+    assert {r["notes"] for r in out if r["key"] == 9} == {"excluded by ledger (r; D7)"}
+
+
+def test_missing_ids_raise(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    assert [tuple(r) for r in splits.only_ids(df, df.where("id = 2").select("id"), "id").collect()] == [(2, "b")]
+    with pytest.raises(Exception, match="no row for id 7"):
+        splits.only_ids(df, spark.createDataFrame([(2,), (7,)], "id long"), "id").collect()
+    assert str(reconcile.canonical_id(F.lit("PB"), F.lit("2024-01-02").cast("date"), F.lit(True))) and spark.range(1).select(reconcile.canonical_id(F.lit("PB"), F.lit("2024-01-02").cast("date"), F.lit(True))).first()[0] == "PB-D-2024-01-02-DP"
+    assert [r[0] for r in spark.createDataFrame([([1, 2],), (None,)], "x array<int>").select(reconcile.shown(F.col("x"), "array<int>")).collect()] == ["1;2", ""]
 
 
 def test_audit(spark):
@@ -188,19 +252,3 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("SELECT label, sum(c) AS c FROM labels GROUP BY label ORDER BY label").collect()[1]["c"] == 2
-
-
-def test_planted_effects_are_valid_and_noticed(spark):
-    m, segments = Matrix(5, 1, 47, 15), [300, 200]
-    for scenario in ("fair", *power.SCENARIOS):
-        h = power.planted(nulls.stream(3, "p", scenario), m, segments, scenario, 0.3)
-        assert h.shape == (500, 5) and all(len(set(r)) == 5 for r in h.tolist()) and h.min() >= 0 and h.max() < 47
-    pools = spark.createDataFrame([("A", segments)], "pool string, segments array<int>")
-    found = {(r["scenario"], r["stat"]): r["power"] for r in power.power(power.replicates(pools, m, 3, "p", [0.3], 20)).collect()}
-    assert found["within_draw", "moves"] > 0.8 and found["same_place", "same"] > 0.8 and found["cross_place", "cross"] > 0.8
-    assert found["fair", "cells"] <= 0.1
-    for kind in ("fair", "persistent", "gap", "previous", "rotating"):
-        h = power.control_history(nulls.stream(4, "c", kind), m, 150, kind, 1.0)
-        assert all(len(set(r)) == 5 for r in h.tolist()) and h.min() >= 1 and h.max() <= 47
-    gains = {(r["kind"], r["model"]): r["mean_score"] for r in power.controls(pools, m, 3, "c", [2.0]).collect()}
-    assert gains["persistent", "frequency"] > 0 > gains["fair", "frequency"]

@@ -155,6 +155,10 @@ def test_exact_enumeration():
     assert exact.range_pmf(SMALL) == share(lambda d: d[2] - d[0])
     assert exact.odd_pmf(SMALL) == share(lambda d: sum(x % 2 for x in d))
     assert exact.overlap_pmf(SMALL) == share(lambda d: len({1, 2, 3} & set(d)))
+    gaps = lambda d: (d[1] - d[0], d[2] - d[1])
+    assert exact.adjacent_pmf(SMALL) == share(lambda d: gaps(d).count(1))
+    assert exact.min_spacing_pmf(SMALL) == share(lambda d: min(gaps(d)))
+    assert exact.max_spacing_pmf(SMALL) == share(lambda d: max(gaps(d)))
     assert exact.no_neighbours(SMALL) == pytest.approx(sum(d[1] - d[0] > 1 and d[2] - d[1] > 1 for d in draws) / len(draws))
     assert exact.inclusion(SMALL, 2) == pytest.approx(sum({1, 2} <= set(d) for d in draws) / len(draws))
     assert exact.inclusion(Matrix(2, 1, 9), 3) == 0.0

@@ -84,6 +84,38 @@ def range_pmf(m: Matrix) -> dict[int, float]:
     return {r: float(Fraction((m.n - r) * comb(r - 1, m.k - 2), every)) for r in range(m.k - 1, m.n)}
 
 
+def adjacent_pmf(m: Matrix) -> dict[int, float]:
+    """Of the pairs of neighbouring labels in a draw: k labels in k - j runs."""
+    every = comb(m.n, m.k)
+    ways = {j: comb(m.k - 1, j) * comb(m.n - m.k + 1, m.k - j) for j in range(m.k)}
+    return {j: float(Fraction(x, every)) for j, x in ways.items() if x}
+
+
+def min_spacing_pmf(m: Matrix) -> dict[int, float]:
+    """Of the smallest difference of two labels that follow each other; taking s - 1 places out between labels leaves any draw."""
+    every = comb(m.n, m.k)
+    least = lambda s: comb(max(0, m.n - (m.k - 1) * (s - 1)), m.k)
+    return {s: float(Fraction(x, every)) for s in range(1, m.n) if (x := least(s) - least(s + 1))}
+
+
+def max_spacing_pmf(m: Matrix) -> dict[int, float]:
+    """Of the largest such difference, by counting k - 1 differences of at most s by their sum."""
+    every = comb(m.n, m.k)
+
+    def most(s: int) -> int:
+        ways = {0: 1}
+        for _ in range(m.k - 1):
+            new: dict[int, int] = {}
+            for total, x in ways.items():
+                for d in range(1, min(s, m.n - 1 - total) + 1):
+                    new[total + d] = new.get(total + d, 0) + x
+            ways = new
+        return sum(x * (m.n - total) for total, x in ways.items())
+
+    counts = [0, *(most(s) for s in range(1, m.n))]
+    return {s: float(Fraction(b - a, every)) for s, (a, b) in enumerate(zip(counts, counts[1:]), 1) if b > a}
+
+
 def no_neighbours(m: Matrix) -> float:
     return float(Fraction(comb(m.n - m.k + 1, m.k), comb(m.n, m.k)))
 
@@ -102,6 +134,8 @@ def inclusion_moments(m: Matrix) -> dict[str, float]:
 def pmf_table(spark: SparkSession, m: Matrix) -> DataFrame:
     """(quantity, x, p): every exact distribution of one draw."""
     parts = {"overlap": overlap_pmf(m), "odd_count": odd_pmf(m), "draw_sum": sum_pmf(m), "range": range_pmf(m)}
+    if m.k > 1:
+        parts |= {"adjacent_pairs": adjacent_pmf(m), "min_spacing": min_spacing_pmf(m), "max_spacing": max_spacing_pmf(m)}
     if m.specials:
         parts["special_repeat"] = {0: 1 - 1 / m.specials, 1: 1 / m.specials}
     return spark.createDataFrame([(q, x, p) for q, pmf in parts.items() for x, p in pmf.items()], "quantity string, x long, p double")

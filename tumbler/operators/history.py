@@ -11,19 +11,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, by: list[str], bucket: Column, order: list[str], sums: dict[str, Column], maxima: dict[str, Column] | None = None) -> DataFrame:
-    """Adds running totals, and maxima, (including the row itself) in the given order within each `by` group.
+def running(df: DataFrame, by: list[str], bucket: Column, order: list[str], sums: dict[str, Column], maxima: dict[str, Column] | None = None, before: bool = False) -> DataFrame:
+    """Adds running totals, and maxima, in the given order within each `by` group: including the row itself, or with
+    `before` only what comes before it (null for a maximum of nothing).
 
     bucket must not decrease along the order. Totals of whole buckets are accumulated over the small table of
     buckets; the windows over rows stay inside one bucket.
     """
-    cols = [(name, x.cast("long"), F.sum, lambda a, b: a + F.coalesce(b, F.lit(0))) for name, x in sums.items()]
+    cols = [(name, x.cast("long"), F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) for name, x in sums.items()]
     cols += [(name, x.cast("long"), F.max, lambda a, b: F.greatest(a, b)) for name, x in (maxima or {}).items()]
     keyed = df.withColumns({"__b": bucket, **{f"__x{i}": x for i, (_, x, _, _) in enumerate(cols)}})
     totals = keyed.groupBy(*by, "__b").agg(*[f(f"__x{i}").alias(f"__t{i}") for i, (_, _, f, _) in enumerate(cols)])
-    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*by, "__b", *[f(f"__t{i}").over(before).alias(f"__s{i}") for i, (_, _, f, _) in enumerate(cols)])
-    inner = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*by, "__b", *[f(f"__t{i}").over(earlier).alias(f"__s{i}") for i, (_, _, f, _) in enumerate(cols)])
+    inner = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     out = keyed.join(starts, [*by, "__b"])
     out = out.withColumns({name: plus(f(f"__x{i}").over(inner), F.col(f"__s{i}")) for i, (name, _, f, plus) in enumerate(cols)})
     return out.drop("__b", *[f"__{k}{i}" for i in range(len(cols)) for k in "xs"])
@@ -44,6 +45,27 @@ def segments(hist: DataFrame, by: str = "pool") -> DataFrame:
     return hist.groupBy(by, "seg").agg(F.count(F.lit(1)).alias("seg_len"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
+def observation_plan(draws: DataFrame, ordered: str) -> DataFrame:
+    """Per pool: n_draws, first_day, last_day, lengths of its segments and of the segments in known order (column `ordered`),
+    ';'-joined in time order, and plan_hash over them. Lengths are as many as segments, not draws."""
+    h = segmented(draws)
+
+    def lengths(x: DataFrame, name: str) -> DataFrame:
+        rows = F.transform(F.array_sort(F.collect_list(F.struct("seg", "seg_len"))), lambda s: s["seg_len"].cast("string"))
+        return segments(x).groupBy("pool").agg(F.array_join(rows, ";").alias(name))
+
+    known = segmented(draws.withColumn("__ok", F.col("eligible") & F.col(ordered)), eligible="__ok")
+    total = h.groupBy("pool").agg(F.count(F.lit(1)).alias("n_draws"), F.min("t").cast("date").cast("string").alias("first_day"), F.max("t").cast("date").cast("string").alias("last_day"))
+    out = total.join(lengths(h, "segments"), "pool").join(lengths(known, "order_segments"), "pool", "left")
+    text = F.concat_ws("|", "pool", F.col("n_draws").cast("string"), "segments", F.coalesce("order_segments", F.lit("")))
+    return out.withColumn("plan_hash", F.sha2(text, 256))
+
+
+def at_times(hist: DataFrame, times: DataFrame) -> DataFrame:
+    """The draws of each (pool, t) of times: an equi join."""
+    return hist.join(times, ["pool", "t"])
+
+
 def labels(hist: DataFrame, keep: list[str]) -> DataFrame:
     """One row per drawn label with its position (1..K)."""
     return hist.select(*keep, F.posexplode("numbers").alias("pos", "label")).withColumn("pos", F.col("pos") + 1)

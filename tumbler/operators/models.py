@@ -1,143 +1,87 @@
-"""Weighted-subset models and walk-forward scoring.
+"""Features of the draws so far, and walk-forward scores of a model that weighs labels by how often they were drawn.
 
-P(S) is proportional to the product of the labels' weights over S; its normaliser is an elementary symmetric
-polynomial, worked out in logs.
+P(S) is proportional to the product of the weights of the labels in S; its normaliser is an elementary symmetric
+polynomial of all weights, which Newton's identities give from power sums. So a score is one aggregation over a
+draw's labels, and no task walks through a pool.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from math import comb
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tumbler.functions.exact import Matrix
-from tumbler.operators.history import labels, running, spine
+from tumbler.operators.history import running, spine
 
 WARMUP, POOLS = 100, (10, 15, 20)
-#: Draws' worth of fair expectation mixed into the frequency and the decayed model (fixed values).
-FREQUENCY_PSEUDO, DECAYED_PSEUDO, HALF_LIFE = 100.0, 25.0, 50.0
-
-
-def log_symmetric(log_w: np.ndarray, k: int) -> np.ndarray:
-    """log of the elementary symmetric polynomials of degree 0..k."""
-    out = np.full(k + 1, -np.inf)
-    out[0] = 0.0
-    for x in log_w:
-        out[1:] = np.logaddexp(out[1:], out[:-1] + x)
-    return out
-
-
-def log_probability(log_w: np.ndarray, chosen: np.ndarray) -> float:
-    return float(log_w[chosen].sum() - log_symmetric(log_w, len(chosen))[-1])
-
-
-def inclusion(log_w: np.ndarray, k: int) -> np.ndarray:
-    """Each label's probability to be drawn, from polynomials of the labels before and after it."""
-    n = len(log_w)
-    before, after = np.full((n + 1, k + 1), -np.inf), np.full((n + 1, k + 1), -np.inf)
-    before[0, 0] = after[n, 0] = 0.0
-    for i in range(n):
-        before[i + 1] = before[i]
-        before[i + 1, 1:] = np.logaddexp(before[i, 1:], before[i, :-1] + log_w[i])
-    for i in range(n - 1, -1, -1):
-        after[i] = after[i + 1]
-        after[i, 1:] = np.logaddexp(after[i + 1, 1:], after[i + 1, :-1] + log_w[i])
-    without = np.full((n, k), -np.inf)
-    for a in range(k):
-        for b in range(k - a):
-            without[:, a + b] = np.logaddexp(without[:, a + b], before[:-1, a] + after[1:, b])
-    return np.exp(log_w + without[:, k - 1] - before[n, k])
-
-
-class State:
-    """What a pool's draws so far say: counts, and counts that decay by half every HALF_LIFE draws."""
-
-    def __init__(self, m: Matrix):
-        self.m, self.n, self.counts = m, 0, np.zeros(m.n)
-        self.decayed, self.mass = np.zeros(m.n), 0.0
-
-    def weights(self, model: str) -> np.ndarray:
-        p = self.m.k / self.m.n
-        if model == "uniform":
-            return np.zeros(self.m.n)
-        if model == "frequency":
-            rate = (self.counts + FREQUENCY_PSEUDO * p) / (self.n + FREQUENCY_PSEUDO)
-        else:
-            rate = (self.decayed + DECAYED_PSEUDO * p) / (self.mass + DECAYED_PSEUDO)
-        return np.log(rate / p)
-
-    def see(self, chosen: np.ndarray) -> None:
-        fade = 0.5 ** (1 / HALF_LIFE)
-        self.decayed *= fade
-        self.mass = self.mass * fade + 1
-        self.counts[chosen] += 1
-        self.decayed[chosen] += 1
-        self.n += 1
-
-
-MODELS = ("uniform", "frequency", "decayed")
+#: Draws' worth of fair expectation mixed into the frequency model (fixed value).
+FREQUENCY_PSEUDO = 100.0
 
 
-def walk_forward(hist: DataFrame, m: Matrix) -> DataFrame:
-    """pool, draw_id, model, log_score (against uniform) and hits10/15/20 for every draw after WARMUP.
+def features(hist: DataFrame, m: Matrix) -> DataFrame:
+    """pool, draw_id, label, n, c, gap, prev, hit: what earlier draws of the pool say of each label.
 
-    Each draw is scored before the state sees it. A pool is scored in order by one group; its state is two arrays of
-    label counts.
+    n earlier draws, c of them with the label, gap draws since the last one (n if none), prev whether the draw just
+    before had it. Totals run over days, then within a day, so no window holds a pool.
     """
+    day, order = F.date_trunc("day", "t"), ["t", "draw_id"]
+    numbered = running(hist, ["pool"], day, order, {"__n": F.lit(1)})
+    grid = spine(numbered.select("pool", "draw_id", "t", "__n", "numbers"), m.low, m.high)
+    hit = F.array_contains("numbers", F.col("label").cast("long"))
+    grid = grid.select("pool", "draw_id", "t", "__n", "label", hit.cast("int").alias("hit"))
+    seen = running(grid, ["pool", "label"], day, order, {"c": F.col("hit")}, {"__last": F.when(F.col("hit") == 1, F.col("__n"))}, before=True)
+    n, last = F.col("__n") - 1, F.coalesce("__last", F.lit(0))
+    return seen.select("pool", "draw_id", "label", n.alias("n"), F.coalesce("c", F.lit(0)).alias("c"), (n - last).alias("gap"), ((n > 0) & (last == n)).alias("prev"), "hit")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state, out = pdf.sort_values(["t", "draw_id"]), State(m), []
-        even = -log_symmetric(np.zeros(m.n), m.k)[-1]
-        for draw_id, numbers in zip(pdf["draw_id"], pdf["numbers"]):
-            chosen = np.asarray(numbers, np.int64) - m.low
-            if state.n >= WARMUP:
-                for model in MODELS:
-                    w = state.weights(model)
-                    # Inclusion probabilities rise with weights, so the top labels are those of the largest weights.
-                    order = np.lexsort((np.arange(m.n), -w))
-                    hits = [int(np.isin(chosen, order[:size]).sum()) for size in POOLS]
-                    out.append((key[0], draw_id, model, log_probability(w, chosen) - even, *hits))
-            state.see(chosen)
-        return pd.DataFrame(out, columns=["pool", "draw_id", "model", "log_score", "hits10", "hits15", "hits20"])
 
-    return hist.select("pool", "draw_id", "t", "numbers").groupBy("pool").applyInPandas(run, "pool string, draw_id long, model string, log_score double, hits10 long, hits15 long, hits20 long")
+def walk_forward(hist: DataFrame, m: Matrix) -> DataFrame:
+    """pool, draw_id, log_score: the log probability of every draw after WARMUP under the frequency model, less that of
+    an even draw. Each draw is scored from the draws before it only."""
+    p = m.k / m.n
+    f = features(hist, m).where(f"n >= {WARMUP}")
+    w = f.withColumn("w", (F.col("c") + FREQUENCY_PSEUDO * p) / (F.col("n") + FREQUENCY_PSEUDO) / p)
+    powers = [F.col("w")]
+    while len(powers) < m.k:
+        powers.append(powers[-1] * F.col("w"))
+    sums = w.groupBy("pool", "draw_id").agg(F.sum(F.when(F.col("hit") == 1, F.ln("w"))).alias("drawn"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(powers, 1)])
+    e = [F.lit(1.0)]
+    for k in range(1, m.k + 1):
+        sums = sums.withColumn(f"e{k}", sum(((1 if i % 2 else -1) * e[k - i] * F.col(f"s{i}") for i in range(1, k + 1)), F.lit(0.0)) / k)
+        e.append(F.col(f"e{k}"))
+    return sums.select("pool", "draw_id", (F.col("drawn") - F.ln(f"e{m.k}") + F.ln(F.lit(float(comb(m.n, m.k))))).alias("log_score"))
 
 
 def e_values(scores: DataFrame) -> DataFrame:
-    """pool, model: draws, cumulative log score and the e-value exp(sum), its exponent held at 700."""
+    """pool: draws, cumulative log score and the e-value exp(sum), its exponent held at 700."""
     s = F.sum("log_score")
-    return scores.groupBy("pool", "model").agg(F.count(F.lit(1)).alias("n"), s.alias("log_e"), F.exp(F.least(s, F.lit(700.0))).alias("e_value"))
+    return scores.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), s.alias("log_e"), F.exp(F.least(s, F.lit(700.0))).alias("e_value"))
 
 
 def gate(scores: DataFrame) -> DataFrame:
-    """model: mean log score, its standard error, the share of pools it gains in, the conditions met, and passed."""
-    total = scores.groupBy("model").agg(F.mean("log_score").alias("mean"), (F.stddev_samp("log_score") / F.sqrt(F.count(F.lit(1)).cast("double"))).alias("se"), F.sum("log_score").alias("log_e"))
-    pools = scores.groupBy("model", "pool").agg(F.sum("log_score").alias("s")).groupBy("model").agg(F.mean((F.col("s") > 0).cast("double")).alias("pools_gained"))
+    """One row: mean log score, its standard error, the share of pools it gains in, the conditions met, and passed."""
+    x = F.col("log_score")
+    pools = scores.groupBy("pool").agg(F.count(x).cast("double").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    n, s = F.sum("n"), F.sum("s")
+    out = pools.agg((s / n).alias("mean"), F.sqrt((F.sum("q") - s * s / n) / (n - 1) / n).alias("se"), s.alias("log_e"), F.mean((F.col("s") > 0).cast("double")).alias("pools_gained"))
     rules = {"gains": F.col("mean") > 0, "above_error": F.col("mean") > 1.96 * F.col("se"), "evidence": F.col("log_e") > 3.0, "most_pools": F.col("pools_gained") > 0.5}
-    out = total.join(pools, "model")
     met = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
     return out.withColumn("met", F.array_join(met, ";")).withColumn("passed", F.size(met) == len(rules))
 
 
-def features(hist: DataFrame, m: Matrix) -> DataFrame:
-    """pool, draw_id, label, n, c, gap, prev, hit: what earlier draws of the pool say of each label.
+def pool_hits(hist: DataFrame, m: Matrix) -> DataFrame:
+    """pool, draw_id, hits10, hits15, hits20: drawn labels among the most frequent before (ties: smaller label first)."""
+    f = features(hist, m).where(f"n >= {WARMUP}")
+    top = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "label", "hit"))), lambda x: x["hit"].cast("long"))
+    rows = f.groupBy("pool", "draw_id").agg(top.alias("hits"))
+    total = lambda n: F.aggregate(F.slice("hits", 1, n), F.lit(0).cast("long"), lambda a, b: a + b)
+    return rows.select("pool", "draw_id", *[total(n).alias(f"hits{n}") for n in POOLS])
 
-    n earlier draws, c of them with the label, gap draws since the last one (n if none), prev whether the draw just
-    before had it. Totals run over days, then within a day, so no window holds a pool.
-    """
-    numbered = running(hist, ["pool"], F.date_trunc("day", "t"), ["t", "draw_id"], {"__n": F.lit(1)})
-    grid = spine(numbered.select("pool", "draw_id", "t", "__n", "numbers"), m.low, m.high)
-    hit = F.array_contains("numbers", F.col("label").cast("long"))
-    grid = grid.select("pool", "draw_id", "t", "__n", "label", hit.cast("int").alias("hit"))
-    seen = running(grid, ["pool", "label"], F.date_trunc("day", "t"), ["t", "draw_id"], {"__c": F.col("hit")})
-    # The last hit before this draw: the largest earlier place with a hit; its own place must not count.
-    places = labels(numbered, ["pool", "__n"]).select("pool", F.col("label").alias("__l"), F.col("__n").alias("__at"))
-    following = places.withColumn("__at", F.col("__at") + 1)
-    with_prev = seen.join(following, (seen["pool"] == following["pool"]) & (seen["label"] == following["__l"]) & (seen["__n"] == following["__at"]), "left").select(seen["*"], F.col("__at").isNotNull().alias("prev"))
-    last = running(with_prev, ["pool", "label"], F.date_trunc("day", "t"), ["t", "draw_id"], {}, {"__last": F.when(F.col("prev"), F.col("__n") - 1).otherwise(0)})
-    n = F.col("__n") - 1
-    return last.select("pool", "draw_id", "label", n.alias("n"), (F.col("__c") - F.col("hit")).alias("c"), (n - F.col("__last")).alias("gap"), "prev", "hit")
+
+def candidate(scored: DataFrame, by: str = "pool") -> DataFrame:
+    """The row that comes first by log_e (largest), then lift (largest), then name."""
+    return scored.orderBy(F.desc("log_e"), F.desc("lift"), by).limit(1)
 
 
 def special_ranks(hist: DataFrame, m: Matrix) -> DataFrame:
@@ -150,3 +94,25 @@ def special_ranks(hist: DataFrame, m: Matrix) -> DataFrame:
     rows = seen.withColumn("c", c).groupBy("pool", "draw_id").agg(own.alias("own"), F.max("special").alias("special"), F.collect_list(F.struct("c", "label")).alias("all"))
     ahead = F.filter("all", lambda x: (x["c"] > F.col("own")) | ((x["c"] == F.col("own")) & (x["label"] < F.col("special"))))
     return rows.select("pool", "draw_id", (F.size(ahead) + 1).cast("long").alias("rank"))
+
+
+def permuted_chi2(hist: DataFrame, m: Matrix, block: str, category: str, permutations: int) -> DataFrame:
+    """pool, permutation (0: as observed), chi2: the category's label chi-square with categories permuted inside blocks.
+
+    A permutation orders the draws of a (pool, block) by the MD5 of its number and the draw's id, and deals them the
+    categories in their own order; so reruns agree, and no task holds more than a block. Counts are summed before they are
+    shuffled.
+    """
+    rows = hist.select("pool", F.col(block).alias("b"), F.col(category).alias("cat"), "draw_id", "numbers")
+    own = Window.partitionBy("pool", "b").orderBy("cat", "draw_id")
+    cats = rows.select("pool", "b", F.row_number().over(own).alias("r"), F.col("cat").alias("to"))
+    dealt = rows.withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
+    drawn = Window.partitionBy("permutation", "pool", "b").orderBy(F.md5(F.concat_ws(":", F.col("permutation"), F.col("draw_id"))), "draw_id")
+    dealt = dealt.withColumn("r", F.row_number().over(drawn)).join(cats, ["pool", "b", "r"]).select("pool", "permutation", F.col("to").alias("cat"), "numbers")
+    every = dealt.unionByName(rows.select("pool", F.lit(0).alias("permutation"), "cat", "numbers"))
+    counts = every.select("pool", "permutation", "cat", F.explode("numbers").alias("label")).groupBy("pool", "permutation", "cat", "label").agg(F.count(F.lit(1)).alias("c"))
+    n = rows.groupBy("pool", "cat").agg(F.count(F.lit(1)).alias("n"))
+    e = F.col("n").cast("double") * m.k / m.n
+    # Labels that a category lacks add their expectation: sum of (c - e)^2 / e over all is sum of c^2 / e less the draws' labels.
+    parts = counts.groupBy("pool", "permutation", "cat").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("q")).join(n, ["pool", "cat"])
+    return parts.groupBy("pool", "permutation").agg(F.sum(F.col("q") / e - F.col("n") * m.k).alias("chi2"))

@@ -72,13 +72,15 @@ def information(hist: DataFrame, m: Matrix) -> DataFrame:
 
 
 def serial_hits(hist: DataFrame, m: Matrix, lags: list[int], cross: bool) -> DataFrame:
-    """pool, j, k, lag, n_pairs, hits, z: equal labels at position j of a draw and k of the one `lag` later."""
+    """pool, j, k, lag, n_pairs, hits, z: equal labels at position j of a draw and k of the one `lag` later. All positions are
+    counted in one aggregation, so a pair of draws stays one row."""
     places = [(j, k) for j in range(m.k) for k in range(m.k) if cross or j == k]
     both = lagged(hist, lags, ["numbers"])
-    hits = F.array(*[F.struct(F.lit(j + 1).alias("j"), F.lit(k + 1).alias("k"), (F.col("prev_numbers")[j] == F.col("numbers")[k]).alias("eq")) for j, k in places])
+    counts = both.groupBy("pool", "lag").agg(F.count(F.lit(1)).alias("n_pairs"), *[F.count_if(F.col("prev_numbers")[j] == F.col("numbers")[k]).alias(f"h{j}_{k}") for j, k in places])
     p = 1 / m.n
     n = F.col("n_pairs").cast("double")
-    rows = both.select("pool", "lag", F.explode(hits).alias("x")).groupBy("pool", "lag", "x.j", "x.k").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if("x.eq").alias("hits"))
+    cells = F.array(*[F.struct(F.lit(j + 1).alias("j"), F.lit(k + 1).alias("k"), F.col(f"h{j}_{k}").alias("hits")) for j, k in places])
+    rows = counts.select("pool", "lag", "n_pairs", F.inline(cells))
     return rows.withColumn("z", (F.col("hits") - n * p) / F.sqrt(n * p * (1 - p)))
 
 
@@ -89,3 +91,28 @@ def max_serial(hist: DataFrame, m: Matrix, lags: list[int], cross: bool) -> Data
 
 def rolling(hist: DataFrame, m: Matrix, windows: list[int]) -> DataFrame:
     return max_rolling(hist, windows, 1 / m.n, m.k * m.n, ["pos", "label"])
+
+
+def rolling_argmax(hist: DataFrame, m: Matrix, windows: list[int]) -> DataFrame:
+    """pool, seg, pos, w, start, label, z: for each segment, position and window length the window (by its first draw in the
+    segment) and label with the largest absolute z; of equal ones the earliest window, then the smallest label.
+
+    The earliest window with a label's largest count ends at a hit or is the segment's first, that with its smallest count
+    begins after a hit or is the first; of labels that a segment never draws there only the smallest matters. So only hits
+    are rows.
+    """
+    hits, p, out = labels(hist, ["pool", "seg", "seg_len", "idx"]), 1 / m.n, None
+    for w in windows:
+        fit = hits.where(F.col("seg_len") >= w)
+        by = Window.partitionBy("pool", "seg", "pos", "label").orderBy("idx")
+        at = fit.select("pool", "seg", "pos", "label", "idx", "seg_len", F.count(F.lit(1)).over(by.rangeBetween(-(w - 1), 0)).alias("back"), F.count(F.lit(1)).over(by.rangeBetween(1, w)).alias("ahead"))
+        ends = at.where(F.col("idx") >= w).select("pool", "seg", "pos", "label", (F.col("idx") - w + 1).alias("start"), F.col("back").alias("c"))
+        begins = at.where(F.col("idx") + w <= F.col("seg_len")).select("pool", "seg", "pos", "label", (F.col("idx") + 1).alias("start"), F.col("ahead").alias("c"))
+        first = at.groupBy("pool", "seg", "pos", "label").agg(F.count_if(F.col("idx") <= w).alias("c")).select("pool", "seg", "pos", "label", F.lit(1).cast("long").alias("start"), "c")
+        missing = F.array_min(F.array_except(F.sequence(F.lit(m.low).cast("long"), F.lit(m.high).cast("long")), F.collect_set(F.col("label").cast("long"))))
+        never = fit.groupBy("pool", "seg", "pos").agg(missing.alias("label")).where("label IS NOT NULL").select("pool", "seg", "pos", "label", F.lit(1).cast("long").alias("start"), F.lit(0).cast("long").alias("c"))
+        z = F.abs(F.col("c") - w * p) / F.lit((w * p * (1 - p)) ** 0.5)
+        best = ends.unionByName(begins).unionByName(first).unionByName(never).groupBy("pool", "seg", "pos").agg(F.max(F.struct(z.alias("z"), (-F.col("start")).alias("s"), (-F.col("label")).alias("l"))).alias("x"))
+        part = best.select("pool", "seg", "pos", F.lit(w).alias("w"), (-F.col("x.s")).alias("start"), (-F.col("x.l")).alias("label"), F.col("x.z").alias("z"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -14,7 +14,6 @@ def forever():
     return F.lit("9999-12-31").cast("date")
 
 
-
 def assign(draws: DataFrame, eras: DataFrame, game: str = "game", day: str = "d") -> DataFrame:
     """Adds era, pool and status: ok, quarantined (before the era's certain date), none or ambiguous.
 
@@ -46,20 +45,47 @@ def pool_conflicts(eras: DataFrame, *matrix: str) -> DataFrame:
     return eras.groupBy("pool").agg(F.count_distinct(F.struct(*matrix)).alias("n_matrices")).where("n_matrices > 1")
 
 
+#: Change classes that begin a new pool, and those that must not (fixed values).
+MATERIAL, MINOR = ("baseline", "matrix", "mechanism"), ("schedule", "economic", "administrative")
+
+
 def integrity(eras: DataFrame) -> DataFrame:
-    """(game, era, problem): duplicate ids, reversed spans, overlaps with the era before, and gaps after it."""
+    """(game, era, problem): duplicate ids, reversed spans, overlaps with the era before, gaps after it, quarantines.
+
+    With a column weekdays (array, Monday 0) a gap counts only if a draw day of either era lies in it; with a column change,
+    material changes must begin a new pool and minor ones must not; with verified, such eras must have no quarantine.
+    """
     by = Window.partitionBy("game").orderBy("lo", "era")
-    e = eras.withColumns({"before": F.lag(F.coalesce("hi", forever())).over(by), "same": F.count(F.lit(1)).over(Window.partitionBy("era"))})
+    e = eras.withColumns({"before": F.lag(F.coalesce("hi", forever())).over(by), "same": F.count(F.lit(1)).over(Window.partitionBy("era")), "nth": F.row_number().over(Window.partitionBy("pool").orderBy("game", F.asc_nulls_last("lo"), "era"))})
+    gap = F.col("lo") > F.date_add("before", 1)
+    if "weekdays" in eras.columns:
+        days = F.array_union("weekdays", F.coalesce(F.lag("weekdays").over(by), F.array().cast("array<int>")))
+        e = e.withColumn("days", days)
+        inside = F.expr("exists(sequence(date_add(before, 1), date_add(lo, -1)), x -> array_contains(days, weekday(x)))")
+        gap = F.when(gap, inside).otherwise(False)
+    never = F.lit(False)
+    change = F.col("change") if "change" in eras.columns else F.lit(None).cast("string")
     problems = F.array(
         F.when(F.col("same") > 1, "duplicate_id"),
         F.when(F.col("hi") < F.col("lo"), "reversed_span"),
         F.when(F.col("lo") <= F.col("before"), "overlap"),
-        F.when(F.col("lo") > F.date_add("before", 1), "gap"),
+        F.when(gap, "gap"),
         F.when(F.col("clear_from") <= F.col("lo"), "empty_quarantine"),
+        F.when(F.col("clear_from") > F.col("hi"), "quarantine_past_end"),
+        F.when((F.col("verified") if "verified" in eras.columns else never) & F.col("clear_from").isNotNull(), "verified_quarantine"),
+        F.when(change.isin(*MATERIAL) & (F.col("nth") > 1), "material_change_reuses_pool"),
+        F.when(change.isin(*MINOR) & (F.col("nth") == 1), "minor_change_begins_pool"),
+        F.when(F.col("lo").isNull(), "undated"),
     )
     return e.select("game", "era", F.explode(F.filter(problems, lambda p: p.isNotNull())).alias("problem"))
 
 
+def listing(eras: DataFrame, draws: DataFrame) -> DataFrame:
+    """Every era with its span and how many draws (column era) it has, in order of game and first day."""
+    n = draws.groupBy("era").agg(F.count(F.lit(1)).alias("n_draws"))
+    return eras.join(n, "era", "left").select("game", "era", "pool", "lo", "hi", "clear_from", F.coalesce("n_draws", F.lit(0)).alias("n_draws")).orderBy("game", "lo", "era")
+
+
 def expected_days(spans: DataFrame, weekdays: list[int]) -> DataFrame:
     """(keys of spans, d): the days of lo..hi that fall on these weekdays (Monday 0)."""
     keys = [c for c in spans.columns if c not in ("lo", "hi")]

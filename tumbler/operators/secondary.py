@@ -81,12 +81,6 @@ def discrepancy(values: DataFrame, reference: DataFrame) -> DataFrame:
     return cells.withColumn("cum", cum).groupBy("pool", "quantity").agg(F.sum(F.col("p") * d * d).alias("value"))
 
 
-def empirical(values: DataFrame) -> DataFrame:
-    """(quantity, x, p): the empirical pmf of all pools together."""
-    n = values.groupBy("quantity").agg(F.count(F.lit(1)).alias("n"))
-    return values.groupBy("quantity", "x").agg(F.count(F.lit(1)).alias("c")).join(n, "quantity").select("quantity", "x", (F.col("c") / F.col("n").cast("double")).alias("p"))
-
-
 def category_chi2(hist: DataFrame, m: Matrix, category: str) -> DataFrame:
     """Sum over categories of the label chi-square within each."""
     e = F.col("n").cast("double") * m.k / m.n

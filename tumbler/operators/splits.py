@@ -28,10 +28,23 @@ def corrected(frozen: DataFrame, eligible: DataFrame, key: str) -> DataFrame:
 
 
 def seal(df: DataFrame, cols: list[str]) -> DataFrame:
-    """One row: n and a SHA-256 that changes with any row. Rows are hashed where they are; the hashes' sum is sealed,
-    so the order and number of files don't matter and nothing is gathered in one task."""
-    h = F.conv(F.substring(F.sha2(F.to_json(F.struct(*cols)), 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("s")).select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.coalesce(F.col("s"), F.lit(0)).cast("string")), 256).alias("seal"))
+    """One row: n and a SHA-256 that changes with any row, whatever the order and number of files.
+
+    Rows are hashed where they are; sorted row hashes are hashed by their first three hex digits, and those 4096 hashes in
+    order once more, so nothing is gathered in one task.
+    """
+    h = df.select(F.sha2(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256).alias("h"))
+    parts = h.groupBy(F.substring("h", 1, 3).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("s"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]), "")
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(whole, 256).alias("seal"))
+
+
+def only_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is in ids. Running it raises if an id has no row."""
+    have = df.withColumn("__there", F.lit(True))
+    rows = ids.select(key).distinct().join(have, key, "left")
+    missing = F.raise_error(F.concat(F.lit("no row for id "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    return rows.where(F.when(F.col("__there"), F.lit(True)).otherwise(missing)).drop("__there").select(*df.columns)
 
 
 def write_firewalled(df: DataFrame, path: str) -> None:

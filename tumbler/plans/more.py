@@ -1,22 +1,18 @@
-"""Queries over payloads, simulations, models and audits; importing this module adds them to the catalog."""
+"""Queries over payloads, exact distributions, models and audits; importing this module adds them to the catalog."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tumbler.functions import exact
-from tumbler.operators import audit, history, inference, models, nulls, power, primary
+from tumbler.operators import audit, inference, models, primary
 from tumbler.plans import views
-from tumbler.plans.catalog import STRUCT, query
+from tumbler.plans.catalog import STRUCT, P, query
 from tumbler.plans.views import MATRIX, sql
 from tumbler.sources import payloads, store
 
-ROOT, EXPERIMENT = 20260930, "T-E001"
-#: Null batches and replicates in each, permutations, replicates of a power cell, as in the reference.
-BATCHES, REPLICATES, PERMUTATIONS, POWER = 4, 5000, 10_000, 250
-#: The tail of each statistic that has simulated nulls.
-TAILS = {"fs001": "upper", "fs002": "upper", "fs003": "upper", "fs004": "lower", "fs006": "two-sided", "fs009": "upper", "fs011": "two-sided", "fs012": "two-sided", "fs013": "two-sided"}
+#: Permutations of a test; p is at least 1 / (PERMUTATIONS + 1).
+PERMUTATIONS = 99
 
 
 # ------------------------------------------------------------------ payloads
@@ -98,7 +94,7 @@ _PMF = ", ".join(f"('{q}', {x}, {p!r}::DOUBLE)" for q, pmf in (("draw_sum", exac
 def exact_pmfs(spark, sf_dir):
     """Observed counts of each structural quantity beside the exact expectation, over the whole support."""
     kinds = ["draw_sum", "range", "odd_count"]
-    s = primary.structure(views.history(spark, sf_dir))
+    s = primary.structure(views.eligible(spark, sf_dir))
     v = s.select("pool", F.explode(F.array(*[F.struct(F.lit(q).alias("quantity"), F.col(q).alias("x")) for q in kinds])).alias("v")).select("pool", "v.*")
     counts = v.groupBy("pool", "quantity", "x").agg(F.count(F.lit(1)).alias("c"))
     n = v.groupBy("pool", "quantity").agg(F.count(F.lit(1)).alias("n"))
@@ -106,114 +102,69 @@ def exact_pmfs(spark, sf_dir):
     return cells.select("pool", "quantity", "x", F.coalesce("c", F.lit(0)).alias("observed"), F.round(F.col("n") * F.col("p"), 6).alias("expected"))
 
 
-# ------------------------------------------------------------------ simulation
-def _pools(spark, sf_dir: str) -> DataFrame:
-    seg = history.segments(views.history(spark, sf_dir))
-    return seg.groupBy("pool").agg(F.transform(F.array_sort(F.collect_list(F.struct("seg", "seg_len"))), lambda x: x["seg_len"]).alias("segments"))
-
-
-def _nulls(spark, sf_dir: str) -> DataFrame:
-    return nulls.simulate(_pools(spark, sf_dir), MATRIX, ROOT, EXPERIMENT, BATCHES, REPLICATES)
-
-
-@query("null_summary")
-def null_summary(spark, sf_dir):
-    return nulls.summarise(_nulls(spark, sf_dir))
-
-
-@query("null_convergence")
-def null_convergence(spark, sf_dir):
-    return inference.convergence(_nulls(spark, sf_dir), ["pool", "stat"])
-
-
-def observed(h: DataFrame) -> DataFrame:
-    """pool, stat, observed, tail for the statistics of nulls.set_statistics; undefined values have no row."""
-    shared = h.select("pool").distinct().join(primary.overlap(h, [1]), "pool", "left").select("pool", F.coalesce("total", F.lit(0)).alias("fs006"))
-    parts = [
-        primary.frequency(h, MATRIX).select("pool", F.col("chi2").alias("fs001"), F.col("max_z").alias("fs002"), F.col("max_c").alias("fs003"), F.col("min_c").alias("fs004")),
-        shared,
-        primary.special_frequency(h, MATRIX).select("pool", F.col("chi2").alias("fs009")),
-        primary.special_repeats(h).withColumnRenamed("value", "fs011"),
-        primary.dispersion(h, "draw_sum").withColumnRenamed("value", "fs012"),
-        primary.dispersion(h, "odd_count").withColumnRenamed("value", "fs013"),
-    ]
-    rows = [F.struct(F.lit(c).alias("stat"), F.round(F.col(c).cast("double"), 6).alias("observed"), F.lit(TAILS[c]).alias("tail")) for part in parts for c in part.columns[1:]]
-    wide = parts[0]
-    for part in parts[1:]:
-        wide = wide.join(part, "pool")
-    return wide.select("pool", F.explode(F.array(*rows)).alias("x")).select("pool", "x.*").where("observed IS NOT NULL")
-
-
-@query("null_pvalues")
-def null_pvalues(spark, sf_dir):
-    """Observed values of all simulated statistics against their nulls, adjusted over the whole family.
-
-    Both are rounded, so that equal values that Spark and numpy sum in another order stay equal.
-    """
-    p = inference.mc_pvalue(_nulls(spark, sf_dir).withColumn("value", F.round("value", 6)), observed(views.history(spark, sf_dir)), ["pool", "stat"], "own")
-    p = p.persist()  # one row a test; adjust reads it several times, and each read would simulate anew
-    return inference.adjust(p.withColumn("family", F.lit("primary")), ["family"], "p", ["pool", "stat"])
-
-
-@query("equipment_permutation")
-def equipment_permutation(spark, sf_dir):
-    h = views.history(spark, sf_dir).select("pool", F.date_trunc("week", "t").cast("string").alias("block"), F.col("machine").alias("category"), "draw_id", "numbers")
-    return nulls.permuted_chi2(h, MATRIX, ROOT, EXPERIMENT, PERMUTATIONS)
-
-
-@query("theory_checks")
-def theory_checks(spark, sf_dir):
-    return nulls.theory_checks(nulls.fair_structure(_pools(spark, sf_dir), MATRIX, ROOT, EXPERIMENT, 20), exact.pmf_table(spark, MATRIX))
+# ------------------------------------------------------------------ models
+PRIOR = "o AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY t, draw_id) AS k FROM h), gr AS (SELECT o.pool, o.draw_id, o.k, lab.label, list_contains(o.numbers, lab.label)::INT AS hit FROM o CROSS JOIN lab), f AS (SELECT pool, draw_id, label, hit, (k - 1)::BIGINT AS n, coalesce(sum(hit) OVER w, 0)::BIGINT AS c, (k - 1 - coalesce(max(CASE WHEN hit = 1 THEN k END) OVER w, 0))::BIGINT AS gap, coalesce(lag(hit) OVER (PARTITION BY pool, label ORDER BY k), 0) = 1 AS prev FROM gr WINDOW w AS (PARTITION BY pool, label ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
 
 
-@query("ordered_null_summary")
-def ordered_null_summary(spark, sf_dir):
-    """Nulls of the statistics of drawing order."""
-    return nulls.summarise(power.replicates(_pools(spark, sf_dir), MATRIX, ROOT, EXPERIMENT, [], 100).select("pool", "stat", "value"))
+@query("expanding_features", sql(f", {PRIOR} SELECT pool, draw_id, label::BIGINT AS label, n, c, gap, prev FROM f"))
+def expanding_features(spark, sf_dir):
+    return models.features(views.history(spark, sf_dir), MATRIX).select("pool", "draw_id", F.col("label").cast("long").alias("label"), "n", "c", "gap", "prev")
 
 
-@query("power_study")
-def power_study(spark, sf_dir):
-    return power.power(power.replicates(_pools(spark, sf_dir), MATRIX, ROOT, EXPERIMENT, [0.1, 0.3], POWER))
+HITS = ", r AS (SELECT *, row_number() OVER (PARTITION BY pool, draw_id ORDER BY c DESC, label) AS r FROM f WHERE n >= 100), ph AS (SELECT pool, draw_id, sum(hit) FILTER (r <= 10)::BIGINT AS hits10, sum(hit) FILTER (r <= 15)::BIGINT AS hits15, sum(hit) FILTER (r <= 20)::BIGINT AS hits20 FROM r GROUP BY pool, draw_id)"
+SCORED = f", w AS (SELECT pool, draw_id, hit, (c + 100 * {P}::DOUBLE) / (n + 100) / {P}::DOUBLE AS w FROM f WHERE n >= 100), ps AS (SELECT pool, draw_id, sum(CASE WHEN hit = 1 THEN ln(w) END) AS drawn, sum(w) AS s1, sum(w * w) AS s2, sum(w * w * w) AS s3, sum(w * w * w * w) AS s4, sum(w * w * w * w * w) AS s5 FROM w GROUP BY ALL), es AS (SELECT *, (s1 * s1 - s2) / 2 AS e2, (e2 * s1 - s1 * s2 + s3) / 3 AS e3, (e3 * s1 - e2 * s2 + s1 * s3 - s4) / 4 AS e4, (e4 * s1 - e3 * s2 + e2 * s3 - s1 * s4 + s5) / 5 AS e5 FROM ps), sc AS (SELECT pool, draw_id, drawn - ln(e5) + ln(1533939.0::DOUBLE) AS log_score FROM es)"
+POOLED = ", ev AS (SELECT pool, count(*)::BIGINT AS n, sum(log_score) AS log_e FROM sc GROUP BY pool)"
 
 
-# ------------------------------------------------------------------ models
-@query("synthetic_controls")
-def synthetic_controls(spark, sf_dir):
-    return power.controls(_pools(spark, sf_dir), MATRIX, ROOT, EXPERIMENT, [0.5, 1.0])
+@query("m001_pool_hits", sql(f", {PRIOR}{HITS} SELECT * FROM ph"))
+def m001_pool_hits(spark, sf_dir):
+    """Drawn labels among the 10, 15 and 20 most frequent before; a draw's labels are ranked in its own 47 rows."""
+    return models.pool_hits(views.history(spark, sf_dir), MATRIX)
 
 
-@query("walkforward_scores")
+@query("walkforward_scores", sql(f", {PRIOR}{SCORED} SELECT pool, draw_id, round(log_score, 6) AS log_score FROM sc"))
 def walkforward_scores(spark, sf_dir):
-    return models.walk_forward(views.history(spark, sf_dir), MATRIX)
+    return models.walk_forward(views.history(spark, sf_dir), MATRIX).withColumn("log_score", F.round("log_score", 6))
 
 
-@query("e_values")
+@query("e_values", sql(f", {PRIOR}{SCORED}{POOLED} SELECT pool, n, round(log_e, 5) AS log_e, log_e > ln(20.0::DOUBLE) AS evidence FROM ev"))
 def e_values(spark, sf_dir):
-    return models.e_values(models.walk_forward(views.history(spark, sf_dir), MATRIX))
+    e = models.e_values(models.walk_forward(views.history(spark, sf_dir), MATRIX))
+    return e.select("pool", "n", F.round("log_e", 5).alias("log_e"), (F.col("e_value") > 20).alias("evidence"))
 
 
-@query("model_gate")
+@query("model_gate", sql(f", {PRIOR}{SCORED}{POOLED}, t AS (SELECT avg(log_score) AS mean, stddev_samp(log_score) / sqrt(count(*)) AS se, sum(log_score) AS log_e FROM sc), g AS (SELECT avg((log_e > 0)::INT) AS pools_gained FROM ev) SELECT round(mean, 6) AS mean, round(se, 6) AS se, round(log_e, 4) AS log_e, round(pools_gained, 6) AS pools_gained, array_to_string(list_filter([CASE WHEN mean > 0 THEN 'gains' END, CASE WHEN mean > 1.96 * se THEN 'above_error' END, CASE WHEN log_e > 3 THEN 'evidence' END, CASE WHEN pools_gained > 0.5 THEN 'most_pools' END], lambda x: x IS NOT NULL), ';') AS met, mean > 0 AND mean > 1.96 * se AND log_e > 3 AND pools_gained > 0.5 AS passed FROM t, g"))
 def model_gate(spark, sf_dir):
-    return models.gate(models.walk_forward(views.history(spark, sf_dir), MATRIX))
+    g = models.gate(models.walk_forward(views.history(spark, sf_dir), MATRIX))
+    return g.select(F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), F.round("log_e", 4).alias("log_e"), F.round("pools_gained", 6).alias("pools_gained"), "met", "passed")
 
 
-PRIOR = "o AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY t, draw_id) AS k FROM h), gr AS (SELECT o.pool, o.draw_id, o.k, lab.label, list_contains(o.numbers, lab.label)::INT AS hit FROM o CROSS JOIN lab), f AS (SELECT pool, draw_id, label, hit, (k - 1)::BIGINT AS n, coalesce(sum(hit) OVER w, 0)::BIGINT AS c, (k - 1 - coalesce(max(CASE WHEN hit = 1 THEN k END) OVER w, 0))::BIGINT AS gap, coalesce(lag(hit) OVER (PARTITION BY pool, label ORDER BY k), 0) = 1 AS prev FROM gr WINDOW w AS (PARTITION BY pool, label ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+@query("candidate_pool", sql(f", {PRIOR}{HITS}{SCORED}{POOLED}, l AS (SELECT pool, avg(hits15) / (15 * 5 / 47.0::DOUBLE) AS lift FROM ph GROUP BY pool) SELECT pool, round(log_e, 5) AS log_e, round(lift, 6) AS lift FROM ev JOIN l USING (pool) ORDER BY log_e DESC, lift DESC, pool LIMIT 1"))
+def candidate_pool(spark, sf_dir):
+    """The pool that the model does best in: by cumulative score, then lift of its 15 likeliest labels, then name."""
+    h = views.history(spark, sf_dir)
+    lift = models.pool_hits(h, MATRIX).groupBy("pool").agg((F.avg("hits15") / (15 * 5 / 47.0)).alias("lift"))
+    both = models.e_values(models.walk_forward(h, MATRIX)).join(lift, "pool")
+    return models.candidate(both).select("pool", F.round("log_e", 5).alias("log_e"), F.round("lift", 6).alias("lift"))
 
 
-@query("expanding_features", sql(f", {PRIOR} SELECT pool, draw_id, label::BIGINT AS label, n, c, gap, prev FROM f"))
-def expanding_features(spark, sf_dir):
-    return models.features(views.history(spark, sf_dir), MATRIX).select("pool", "draw_id", F.col("label").cast("long").alias("label"), "n", "c", "gap", "prev")
+PERMUTED = f"""x0 AS (SELECT pool, date_trunc('week', t) AS b, machine AS cat, draw_id, numbers FROM draws WHERE eligible),
+cats AS (SELECT pool, b, row_number() OVER (PARTITION BY pool, b ORDER BY cat, draw_id) AS r, cat FROM x0),
+dealt AS (SELECT pool, b, k AS permutation, numbers, row_number() OVER (PARTITION BY k, pool, b ORDER BY md5(k || ':' || draw_id), draw_id) AS r FROM x0, range(1, {PERMUTATIONS + 1}) s(k)),
+ev AS (SELECT d.pool, permutation, c.cat, numbers FROM dealt d JOIN cats c ON c.pool = d.pool AND c.b = d.b AND c.r = d.r UNION ALL SELECT pool, 0, cat, numbers FROM x0),
+ct AS (SELECT pool, permutation, cat, label, count(*)::DOUBLE AS c FROM (SELECT pool, permutation, cat, unnest(numbers) AS label FROM ev) GROUP BY ALL),
+nn AS (SELECT pool, cat, count(*)::DOUBLE AS n FROM x0 GROUP BY ALL),
+ch AS (SELECT q.pool, permutation, round(sum(q.q / (n * 5 / 47) - n * 5), 6) AS chi2 FROM (SELECT pool, permutation, cat, sum(c * c) AS q FROM ct GROUP BY ALL) q JOIN nn ON nn.pool = q.pool AND nn.cat = q.cat GROUP BY ALL)"""
 
 
-@query("m001_pool_hits", sql(f", {PRIOR}, r AS (SELECT *, row_number() OVER (PARTITION BY pool, draw_id ORDER BY c DESC, label) AS r FROM f WHERE n >= 100) SELECT pool, draw_id, sum(hit) FILTER (r <= 10)::BIGINT AS hits10, sum(hit) FILTER (r <= 15)::BIGINT AS hits15, sum(hit) FILTER (r <= 20)::BIGINT AS hits20 FROM r GROUP BY pool, draw_id"))
-def m001_pool_hits(spark, sf_dir):
-    """Drawn labels among the 10, 15 and 20 most frequent before; a draw's labels are ranked in its own 47 rows."""
-    f = models.features(views.history(spark, sf_dir), MATRIX).where(f"n >= {models.WARMUP}")
-    top = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "label", "hit"))), lambda x: x["hit"].cast("long"))
-    rows = f.groupBy("pool", "draw_id").agg(top.alias("hits"))
-    total = lambda n: F.aggregate(F.slice("hits", 1, n), F.lit(0).cast("long"), lambda a, b: a + b)
-    return rows.select("pool", "draw_id", *[total(n).alias(f"hits{n}") for n in models.POOLS])
+@query("equipment_permutation", sql(f", {PERMUTED} SELECT o.pool, o.chi2 AS observed, count(*) FILTER (n.chi2 >= o.chi2)::BIGINT AS b, round((count(*) FILTER (n.chi2 >= o.chi2) + 1) / (count(*) + 1)::DOUBLE, 6) AS p FROM ch o JOIN ch n ON n.pool = o.pool AND n.permutation > 0 WHERE o.permutation = 0 GROUP BY ALL"))
+def equipment_permutation(spark, sf_dir):
+    """Whether labels depend on the machine: its chi-square against permutations of the machines of the real draws in a week."""
+    d = views.eligible(spark, sf_dir).withColumn("week", F.date_trunc("week", "t"))
+    c = models.permuted_chi2(d, MATRIX, "week", "machine", PERMUTATIONS).withColumn("chi2", F.round("chi2", 6))
+    observed = c.where("permutation = 0").select("pool", F.col("chi2").alias("observed"))
+    p = inference.mc_pvalue(c.where("permutation > 0").select("pool", F.col("chi2").alias("value")), observed, ["pool"])
+    return p.join(observed, "pool").select("pool", "observed", "b", F.round("p", 6).alias("p"))
 
 
 @query("special_rank_metrics", sql(", o AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY t, draw_id) AS k FROM h), g AS (SELECT o.pool, o.draw_id, o.k, o.special, s.label, (s.label = o.special)::INT AS hit FROM o CROSS JOIN (SELECT unnest(range(1, 16)) AS label) s), c AS (SELECT *, coalesce(sum(hit) OVER (PARTITION BY pool, label ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY pool, draw_id ORDER BY c DESC, label) AS r FROM c) SELECT pool, round(avg(r), 6) AS mean_rank, count(*) FILTER (r <= 5)::BIGINT AS top5, count(*)::BIGINT AS n FROM r WHERE hit = 1 GROUP BY pool"))

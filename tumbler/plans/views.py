@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tumbler.functions.exact import Matrix
+from tumbler.operators import reconcile
 from tumbler.operators.history import segmented
 
 MATRIX = Matrix(5, 1, 47, 15)
 HALF = "2024-01-16"
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 #: (era, first day, last day, certain from, pool) for each priority: three spans, a gap in 1997, a quarantine in 1999.
+#: Draw weekdays (Monday 0) and change class of each era.
+DAYS = {"E1": [0, 2], "E2": [0, 2, 5], "E3": [1, 4]}
+CHANGES = {"E1": "baseline", "E2": "schedule", "E3": "matrix"}
 SPANS = [("E1", "1995-01-01", "1996-12-31", None, "P1"), ("E2", "1997-02-01", "1998-12-31", None, "P1"), ("E3", "1999-01-01", None, "1999-03-01", "P2")]
 
 
@@ -34,6 +38,11 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmented(draws(spark, sf_dir))
 
 
+def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same draws without places and segments, for statistics that don't cross draws: one narrow scan."""
+    return draws(spark, sf_dir).where("eligible")
+
+
 DRAWS = f"""draws AS (
     SELECT event_id AS draw_id, event_type AS game_id, ts AS t,
            event_type || CASE WHEN ts < TIMESTAMP '{HALF}' THEN '-S1' ELSE '-S2' END AS pool,
@@ -57,6 +66,10 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select(F.col("l_orderkey").alias("key"), F.col("l_suppkey").alias("source"), (1 + F.col("l_suppkey") % 3).cast("int").alias("tier"), F.col("l_quantity").alias("quantity"), F.nullif("l_discount", F.lit(0.0)).alias("discount"), F.nullif("l_tax", F.lit(0.0)).alias("tax"), "l_linenumber", "l_partkey", "l_extendedprice", "l_returnflag", "l_shipdate")
 
 
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.ranked(staged(spark, sf_dir), ["key"], ORDER)
+
+
 ORDER = ["tier", "source", "l_linenumber", "l_partkey", "quantity", "l_extendedprice"]
 STAGED = """staged AS (
     SELECT l_orderkey AS key, l_suppkey AS source, (1 + l_suppkey % 3)::INT AS tier, l_quantity AS quantity,

@@ -56,12 +56,21 @@ def nested_json_draws(payloads: DataFrame, outer: str, array_field: str, date_fi
     return rows.select(F.to_date(F.substring(f"r.{date_field}", 1, 10)).alias("d"), F.array(*[F.col(f"r.{f}").try_cast("int") for f in number_fields]).alias("numbers"), F.col(f"r.{special_field}").try_cast("int").alias("special"), F.when(multiplier > 0, multiplier).alias("multiplier"))
 
 
-def html_draws(payloads: DataFrame, row: str, date: str, date_format: str, number: str, count: int, special: str | None = None) -> DataFrame:
-    """Blocks that match `row`; in each, the first `date` and all `number` groups. A block with another count is dropped."""
+def html_draws(payloads: DataFrame, row: str, date: str, date_format: str, number: str, count: int, special: str | None = None, second: str | None = None) -> DataFrame:
+    """Blocks that match `row`; in each, the first `date` and all `number` groups. A block with another count is dropped.
+
+    With `second`, what follows this text in a block is a draw of its own: stream is main or second, each with its numbers
+    and special label.
+    """
     blocks = payloads.select(F.explode(F.regexp_extract_all("content", F.lit(row), 0)).alias("b"))
+    blocks = blocks.withColumn("d", F.try_to_date(F.regexp_extract("b", date, 1), date_format))
+    if second:
+        at = F.instr("b", second)
+        parts = F.array(F.struct(F.lit("main").alias("stream"), F.when(at > 0, F.substring("b", F.lit(1), at - 1)).otherwise(F.col("b")).alias("b")), F.struct(F.lit("second").alias("stream"), F.when(at > 0, F.substring("b", at, F.length("b"))).alias("b")))
+        blocks = blocks.select("d", F.inline(parts)).where("b IS NOT NULL")
     n = F.regexp_extract_all("b", F.lit(number), 1).cast("array<int>")
     s = F.nullif(F.regexp_extract("b", special, 1), F.lit("")).try_cast("int") if special else F.lit(None).cast("int")
-    out = blocks.select(F.try_to_date(F.regexp_extract("b", date, 1), date_format).alias("d"), n.alias("numbers"), s.alias("special"))
+    out = blocks.select("d", *["stream"] * bool(second), n.alias("numbers"), s.alias("special"))
     return out.where(F.col("d").isNotNull() & (F.size("numbers") == count))
 
 
@@ -103,44 +112,110 @@ def tagged_lines(lines: DataFrame, forms: list[tuple[str, str]]) -> DataFrame:
     return rows.select(day.alias("d"), numbers_in(F.col("n")).alias("numbers"), form.alias("form"), "tail").where("d IS NOT NULL AND form IS NOT NULL")
 
 
-NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-
-
-def sheet_rows(raw: bytes) -> list[list[str]]:
-    """The first sheet of an XLSX file as rows of texts."""
-    with zipfile.ZipFile(io.BytesIO(raw)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{NS['m']}}}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", NS)]
-        sheet = ElementTree.fromstring(z.read(sorted(n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))[0]))
-    out = []
-    for row in sheet.iter(f"{{{NS['m']}}}row"):
-        cells = []
-        for c in row.findall("m:c", NS):
-            v = c.find("m:v", NS)
-            text = "" if v is None else v.text or ""
-            cells.append(shared[int(text)] if c.get("t") == "s" else text or "".join(t.text or "" for t in c.iter(f"{{{NS['m']}}}t")))
-        out.append(cells)
-    return out
+#: Tails of a tagged history's lines by game, in the order in which they are tried: (game, stream or None if a tag says it, regular
+#: expression with groups tag, special, multiplier, machine, balls; 0: not in this form). Fixed formats.
+HISTORY_FORMS = [
+    ("lotto", r"\b(LOTTO DP|LOTTO)\b\s*(\d+|[A-Z])?\s*/?\s*([A-Z0-9]+)?$", {"tag": 1, "machine": 2, "balls": 3}),
+    ("lotto", r"\bX(\d+)\s+(\d+|[A-Z])\s*/\s*([A-Z0-9]+)\s*$", {"multiplier": 1, "machine": 2, "balls": 3}),
+    ("lotto", r"^()[\d ]+$", {}),
+    ("powerball", r"\bPB\s+(\d+)\b(?:\s+X(\d+))?\s+(POWERBALL DP|POWERBALL)\b", {"special": 1, "multiplier": 2, "tag": 3}),
+    ("mega", r"\bMB\s+(\d+)\b(?:\s+X(\d+))?", {"special": 1, "multiplier": 2}),
+]
+
+
+def history_lines(lines: DataFrame) -> DataFrame:
+    """Lines (game, content) of a tagged history: M/D/YY, blank-separated numbers, and a tail in one of the game's forms.
+
+    Returns game, d, stream, numbers (in the line's order), special, multiplier, machine, balls. What fits no form, or has
+    no numbers or date, gives nothing.
+    """
+    head = r"^\s*(\d{1,2})/(\d{1,2})/(\d{2})\s+(.*?)\s*$"
+    part = lambda i: F.regexp_extract("content", head, i)
+    rows = lines.where(F.col("content").rlike(head)).select("game", part(1).alias("m"), part(2).alias("dd"), part(3).cast("int").alias("yy"), F.upper(part(4)).alias("rest"))
+    form = F.coalesce(*[F.when((F.col("game") == game) & F.col("rest").rlike(rx), F.lit(i)) for i, (game, rx, _) in enumerate(HISTORY_FORMS)])
+    rows = rows.withColumn("form", form).where("form IS NOT NULL")
+
+    def field(name: str):
+        found = [F.when(F.col("form") == i, F.nullif(F.regexp_extract("rest", rx, at[name]), F.lit(""))) for i, (_, rx, at) in enumerate(HISTORY_FORMS) if name in at]
+        return F.coalesce(*found)
+
+    before = F.coalesce(*[F.when(F.col("form") == i, F.when(F.lit("^" in rx), F.col("rest")).otherwise(F.regexp_extract("rest", "^(.*?)" + rx, 1))) for i, (_, rx, _) in enumerate(HISTORY_FORMS)])
+    day = F.try_to_date(F.concat_ws("-", short_year(F.col("yy")).cast("string"), F.lpad("m", 2, "0"), F.lpad("dd", 2, "0")), "yyyy-MM-dd")
+    stream = F.when(F.endswith(F.coalesce(field("tag"), F.lit("")), F.lit("DP")), "second").otherwise("main")
+    out = rows.select("game", day.alias("d"), stream.alias("stream"), numbers_in(before).alias("numbers"), field("special").try_cast("int").alias("special"), field("multiplier").try_cast("int").alias("multiplier"), field("machine").alias("machine"), field("balls").alias("balls"))
+    return out.where(F.col("d").isNotNull() & (F.size("numbers") > 0))
+
+
+SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def column_number(reference: str) -> int:
+    """0 for A1, 27 for AB7."""
+    n = 0
+    for letter in re.match("[A-Z]*", reference)[0]:
+        n = 26 * n + ord(letter) - 64
+    return n - 1
+
+
+def workbook_rows(raw: bytes, width: int):
+    """The first sheet's rows as lists of `width` texts, read as a stream; a cell's place is that of its reference, and cells
+    that are left out are empty."""
+    text = lambda x: "".join(t.text or "" for t in x.iter(f"{SHEET}t"))
+    with zipfile.ZipFile(io.BytesIO(raw)) as book:
+        names = set(book.namelist())
+        strings = []
+        if "xl/sharedStrings.xml" in names:
+            with book.open("xl/sharedStrings.xml") as f:
+                strings = [text(x) for _, x in ElementTree.iterparse(f) if x.tag == f"{SHEET}si"]
+        sheets = {int(n[19:-4]): n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)}
+        with book.open(sheets[min(sheets)]) as f:
+            for _, row in ElementTree.iterparse(f):
+                if row.tag != f"{SHEET}row":
+                    continue
+                cells = [""] * width
+                for i, cell in enumerate(row.iter(f"{SHEET}c")):
+                    at, value = (column_number(cell.get("r")) if cell.get("r") else i), cell.findtext(f"{SHEET}v", "")
+                    if at < width:
+                        kind = cell.get("t")
+                        cells[at] = strings[int(value)] if kind == "s" else text(cell) if kind == "inlineStr" else value
+                row.clear()
+                yield cells
 
 
 def xlsx_draws(files: DataFrame) -> DataFrame:
-    """binaryFile rows of workbooks: date, as-drawn '--'-joined, sorted '--'-joined, special, multiplier, jackpot text.
+    """binaryFile rows of workbooks: dd-mm-yyyy date, as-drawn '--'-joined, sorted '--'-joined, special, multiplier, jackpot text.
 
-    A sequence counts as physical order only if it differs from the sorted one. Headers and unreadable rows are skipped.
+    A sequence counts as physical order only if it differs from the sorted one, else its order is unknown. A multiplier
+    of 0 is missing, and a jackpot without a scale is in millions. Headers and rows without numbers are skipped.
     """
 
     def run(batches):
         for batch in batches:
-            cells = [(p, *(r + [""] * 6)[:6]) for p, raw in zip(batch["path"], batch["content"]) for r in sheet_rows(raw)]
+            cells = [(p, *r) for p, raw in zip(batch["path"], batch["content"]) for r in workbook_rows(raw, 6)]
             yield pd.DataFrame(cells, columns=["path", "day", "drawn", "sorted", "special", "multiplier", "jackpot"])
 
     rows = files.select("path", "content").mapInPandas(run, "path string, day string, drawn string, sorted string, special string, multiplier string, jackpot string")
-    n = numbers_in(F.col("drawn"))
-    day = F.coalesce(F.try_to_date("day", "yyyy-MM-dd"), F.try_to_date("day", "M/d/yyyy"))
-    out = rows.select("path", day.alias("d"), n.alias("numbers"), F.when(n != F.array_sort(n), "physical").otherwise("sorted").alias("claim"), F.col("special").try_cast("int").alias("special"), F.regexp_extract("multiplier", r"(\d+)", 1).try_cast("int").alias("multiplier"), money(F.col("jackpot")).alias("jackpot"))
-    return out.where(F.col("d").isNotNull() & (F.size("numbers") > 0))
+    n, ordered = numbers_in(F.col("drawn")), numbers_in(F.col("sorted"))
+    day = F.try_to_date(F.regexp_extract("day", r"^(\d{2}-\d{2}-\d{4})", 1), "dd-MM-yyyy")
+    scale = F.when(F.col("jackpot").rlike("(?i)billion"), 1_000_000_000).otherwise(1_000_000)
+    jackpot = (F.nullif(F.regexp_extract("jackpot", r"\$([0-9.]+)", 1), F.lit("")).try_cast("decimal(18,4)") * scale).cast("decimal(18,2)")
+    multiplier = F.col("multiplier").try_cast("double").cast("int")
+    out = rows.select("path", day.alias("d"), n.alias("numbers"), F.when(n != ordered, "physical").otherwise("unknown").alias("claim"), F.col("special").try_cast("int").alias("special"), F.when(multiplier != 0, multiplier).alias("multiplier"), jackpot.alias("jackpot"), F.size(ordered).alias("k"))
+    return out.where(F.col("d").isNotNull() & (F.size("numbers") > 0) & (F.col("k") > 0)).drop("k")
+
+
+def dispatch(payloads: DataFrame, parsers: dict) -> DataFrame:
+    """(source, d, numbers, special) of payloads (source, content, sha256), each through its source's parser. Running it raises on
+    a content whose hash is not the one on record; sources without a parser give nothing."""
+    same = F.sha2(F.col("content").cast("binary"), 256) == F.col("sha256")
+    wrong = F.raise_error(F.concat(F.lit("content differs from its hash: "), F.coalesce("sha256", F.lit("none")))).cast("boolean")
+    good = payloads.where(F.when(same, F.lit(True)).otherwise(wrong))
+    out = None
+    for name, parser in parsers.items():
+        part = parser(good.where(F.col("source") == name)).select(F.lit(name).alias("source"), "d", "numbers", "special")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 #: name -> parser; a reader picks by the name registered for a source.
-PARSERS = {"json": json_draws, "nested_json": nested_json_draws, "html": html_draws, "positional_csv": positional_csv_draws, "dated_csv": dated_csv_draws, "tagged": tagged_lines, "xlsx": xlsx_draws}
+PARSERS = {"json": json_draws, "nested_json": nested_json_draws, "html": html_draws, "positional_csv": positional_csv_draws, "dated_csv": dated_csv_draws, "tagged": tagged_lines, "history_lines": history_lines, "xlsx": xlsx_draws}

@@ -17,7 +17,7 @@ def texts(seed: int = 1) -> list[str | None]:
     return [
         None, "", " \t\n ", "one", "One TWO\tthree\x0bfour", "a" * 5000, " ".join(base), " ".join(base), " ".join(near),
         "\n".join(" ".join(words(9)) for _ in range(20)), " ".join(words(40) + shared + words(40)), " ".join(shared + words(10)),
-        " ".join(["same words again here now then why not"] * 12), "line\nline\n\nline x\n# $ | <>", " ".join(words(6000)), "x y z w v u t s r q x y z w v u t s",
+        " ".join(["same words again here now then why not"] * 12), "line\nline\n\nline x\n# $ | <>", " ".join(words(30_000)), "x y z w v u t s r q x y z w v u t s",
         "Ünïcode   words stay\x00together \U0001f600", "\r\n\r\n", "<|endoftext|> is text",
         *(" ".join(words(rng.randint(1, 200))) for _ in range(30)),
     ]

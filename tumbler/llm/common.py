@@ -7,6 +7,7 @@ import math
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +33,30 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{workdir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def intermediate(spark: SparkSession):
+    """Deletes at its end the tables that cut() wrote in it, but for those whose DataFrame is put into the list it gives."""
+    made: list[str] = []
+    kept: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield kept
+    finally:
+        _SCOPES.remove(made)
+    left = {f.rpartition("/")[0].rpartition("/")[2] for df in kept for f in df.inputFiles()}
+    for path in made:
+        if path.rpartition("/")[2] not in left:
+            remove(spark, path)
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write a table into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, what)
+    for made in _SCOPES:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -247,8 +247,8 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two documents link if the Jaccard similarity of their sets is PERCENT/100 or more. Null and blank texts have the
     empty set, link with nothing and are their own component. A null id counts as smaller than all others and makes a
-    null component_id. Rows that share an id are one document with several sets. Extra columns are not read; an empty
-    table gives no rows.
+    null component_id. Rows that share an id are one document with several sets; equal rows all have a row. A very long text is
+    one set, held by one task at a time. Extra columns are not read, whatever their names; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ids, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))

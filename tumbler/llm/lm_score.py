@@ -224,7 +224,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     Learns from the documents whose crc32(id as text) mod 5 is not `fold`. A text is its words (A-Z lower-cased)
     and an end; null and blank texts have the end only. A null id hashes like an empty text. Repeated rows count
     as often as they occur. With nothing to learn from, base_score is 0 and score is uniform over bytes.
-    Extra columns are not read.
+    Extra columns are not read; an empty table gives no rows. A very long text is a chunk of its own.
 
     Words are looked up without a broadcast of the vocabulary: documents are dealt to blocks, each block asks for its
     distinct words, and the answers are grouped with the block's documents. With more than MOST_GRAMS grams, each block's

@@ -296,7 +296,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller id; this
     is judged on the input. Null texts are empty. A null id is smaller than all others. Rows with one id never
-    remove each other's bytes. Extra columns are not read. An empty table gives no rows.
+    remove each other's bytes; equal rows all have a row. Very long texts are worked on in chunks of CHUNK bytes. Extra columns
+    are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))

@@ -268,7 +268,7 @@ def write_shards(docs: DataFrame, tokenizer_json: str, path: str, id_col: str =
     """Encode every text, append end_id, and write shards in ascending id order (null first) to path.
 
     A null text counts as empty. Repeated ids are all kept, in order of their texts. Extra columns
-    are not read. Documents are range-partitioned by id before they are encoded, so each is encoded once;
+    are not read. A very long text is encoded whole, as one value. Documents are range-partitioned by id before they are encoded, so each is encoded once;
     an empty table writes one shard without documents. Without `shards`, their number grows with the text.
     """
     spark = docs.sparkSession
@@ -295,7 +295,9 @@ def write_shards(docs: DataFrame, tokenizer_json: str, path: str, id_col: str =
 
 
 def read_shards(spark, path: str) -> DataFrame:
-    """shard (its first id), doc_id, at (ids before it in the shard), n_tokens and ids_crc32 of every document in the files."""
+    """shard (its first id), doc_id, at (ids before it in the shard), n_tokens and ids_crc32 of every document in the files.
+
+    The empty key is read as a null id; a shard without documents gives no rows, a file that is not a shard raises."""
 
     def run(batches):
         for batch in batches:
@@ -313,7 +315,8 @@ def read_shards(spark, path: str) -> DataFrame:
 
 
 def located(read: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32. Shards are few: one window row each."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32. Shards are few: one window row each. A null id
+    comes first. No rows for no shards."""
     rows = cut(read, "tokens")
     shards = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy(F.asc_nulls_first("shard")).rowsBetween(Window.unboundedPreceding, -1)

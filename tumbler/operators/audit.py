@@ -16,6 +16,12 @@ def orphans(df: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).join(parents.select(key).distinct(), key, "left_anti")
 
 
+def by_reason(df: DataFrame, codes: str, ok: str) -> DataFrame:
+    """(reason, n): rows under each of their codes (an array), and under eligible those for which `ok` holds."""
+    own = F.when(F.col(ok), F.array(F.lit("eligible"))).otherwise(F.col(codes))
+    return df.select(F.explode(own).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def checks(violations: dict[str, DataFrame]) -> DataFrame:
     """(check, passed, n_violations), one row for each name."""
     parts = [v.agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(name).alias("check"), (F.col("n_violations") == 0).alias("passed"), "n_violations") for name, v in violations.items()]

@@ -61,6 +61,20 @@ def observation_plan(draws: DataFrame, ordered: str) -> DataFrame:
     return out.withColumn("plan_hash", F.sha2(text, 256))
 
 
+def applicability(hist: DataFrame, window: int) -> DataFrame:
+    """Per pool: whether statistics of the special label, of neighbouring draws and of windows of so many draws apply."""
+    return hist.groupBy("pool").agg((F.count("special") > 0).alias("special_statistics"), (F.max("seg_len") > 1).alias("serial_statistics"), (F.max("seg_len") >= window).alias("rolling_statistics"))
+
+
+def adjudicated(hist: DataFrame) -> DataFrame:
+    """Per pool: n, the share of ascending sequences, and the verdict on its order: repeated_draws if neighbours in a segment hold
+    the same labels, sorted_suspected if more than half ascend, else kept."""
+    ascending = hist.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("numbers") == F.array_sort("numbers")).cast("int")).alias("a"))
+    same = lagged(hist, [1], ["numbers"]).groupBy("pool").agg(F.count_if(F.array_sort("numbers") == F.array_sort("prev_numbers")).alias("same"))
+    verdict = F.when(F.coalesce("same", F.lit(0)) > 0, "repeated_draws").when(F.col("a") > 0.5, "sorted_suspected").otherwise("kept")
+    return ascending.join(same, "pool", "left").select("pool", "n", F.round("a", 6).alias("ascending"), verdict.alias("verdict"))
+
+
 def at_times(hist: DataFrame, times: DataFrame) -> DataFrame:
     """The draws of each (pool, t) of times: an equi join."""
     return hist.join(times, ["pool", "t"])

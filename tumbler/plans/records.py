@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tumbler.operators import audit, history, reconcile, regimes, splits
+from tumbler.functions import exact
+from tumbler.operators import audit, history, primary, reconcile, regimes, splits
 from tumbler.plans import views
-from tumbler.plans.catalog import ASSIGNED, CANON, FIELDS, ORDERED, SPLIT, query
-from tumbler.plans.views import ERAS, sql
+from tumbler.plans.catalog import ASSIGNED, CANON, FIELDS, ORDERED, PAIRED, SPLIT, STRUCT, query
+from tumbler.plans.views import ERAS, MATRIX, sql
 from tumbler.sources import payloads
 
 # ------------------------------------------------------------------ canonical build and eligibility
@@ -206,3 +207,64 @@ def embedded_stream(spark, sf_dir):
     block = F.concat(F.lit("<tr><td>"), F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit("</td>"), a, b, special, second, F.when(F.col("o_orderstatus") == "F", special).otherwise(""), F.lit("</tr>"))
     out = payloads.html_draws(o.select(block.alias("content")), "<tr>.*?</tr>", r"<td>([0-9/]+)</td>", "MM/dd/yyyy", r"<i>(\d+)</i>", 2, r"<b>(\d+)</b>", second="Second Draw")
     return out.select(F.col("special").cast("long").alias("o_orderkey"), F.col("d").cast("string").alias("d"), "stream", reconcile.shown(F.col("numbers"), "array").alias("numbers"))
+
+
+# ------------------------------------------------------------------ checks on splits and segments, manifests
+@query("split_checks", f"""WITH {SPLIT}, g AS (SELECT o_orderpriority, count(*) AS n, count(*) FILTER (split = 'holdout') AS h, max(o_orderdate) FILTER (split = 'exploration') AS last_e, min(o_orderdate) FILTER (split = 'holdout') AS first_h FROM split GROUP BY 1),
+c(name, n) AS (SELECT 'ids_on_both_sides', count(*) FROM (SELECT o_orderkey FROM split GROUP BY 1 HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'ids_without_side', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM split)
+UNION ALL SELECT 'holdout_of_wrong_size', count(*) FROM g WHERE h <> ceil(0.2::DOUBLE * n) UNION ALL SELECT 'holdout_before_exploration', count(*) FROM g WHERE first_h < last_e) SELECT name AS "check", n = 0 AS passed, n::BIGINT AS n_violations FROM c""")
+def split_checks(spark, sf_dir):
+    o = views.table(spark, sf_dir, "orders")
+    s = splits.chronological(o, "o_orderpriority", "o_orderdate", "o_orderkey")
+    g = splits.summary(s, "o_orderpriority", "o_orderdate")
+    return audit.checks({
+        "ids_on_both_sides": s.groupBy("o_orderkey").agg(F.count_distinct("split").alias("n")).where("n > 1"),
+        "ids_without_side": o.join(s.select("o_orderkey"), "o_orderkey", "left_anti"),
+        "holdout_of_wrong_size": g.where(F.col("n_holdout") != F.ceil(F.lit(0.2) * (F.col("n_exploration") + F.col("n_holdout")))),
+        "holdout_before_exploration": g.where("first_holdout < last_exploration"),
+    })
+
+
+@query("segment_checks", sql(""", c(name, n) AS (SELECT 'eligible_draws_without_segment', count(*) FROM draws WHERE eligible AND draw_id NOT IN (SELECT draw_id FROM h) UNION ALL SELECT 'lengths_off', count(*) FROM (SELECT pool, seg FROM h GROUP BY ALL HAVING count(*) <> any_value(seg_len) OR max(idx) <> any_value(seg_len) OR min(idx) <> 1)
+UNION ALL SELECT 'ineligible_draws_inside', count(*) FROM (SELECT n.draw_id FROM numbered n JOIN (SELECT pool, seg, any_value(seg_len) AS l FROM h GROUP BY ALL) s ON s.pool = n.pool AND n.rn >= s.seg AND n.rn < s.seg + s.l WHERE NOT n.eligible)) SELECT name AS "check", n = 0 AS passed, n::BIGINT AS n_violations FROM c"""))
+def segment_checks(spark, sf_dir):
+    d, h = views.draws(spark, sf_dir), views.history(spark, sf_dir)
+    s = h.groupBy("pool", "seg").agg(F.count(F.lit(1)).alias("n"), F.max("seg_len").alias("l"), F.max("idx").alias("last"), F.min("idx").alias("first"), F.max("rn").alias("end"))
+    return audit.checks({
+        "eligible_draws_without_segment": d.where("eligible").join(h.select("draw_id"), "draw_id", "left_anti"),
+        "lengths_off": s.where("n <> l OR last <> l OR first <> 1"),
+        # A segment's places are contiguous, so no ineligible draw stands between its first and last.
+        "ineligible_draws_inside": s.where("end <> seg + l - 1"),
+    })
+
+
+@query("manifest_by_reason", f"{GATED}, r AS (SELECT unnest(string_split(codes, ';')) AS reason FROM gated WHERE codes <> '' UNION ALL SELECT 'eligible' FROM gated WHERE eligible) SELECT reason, count(*)::BIGINT AS n FROM r GROUP BY reason")
+def manifest_by_reason(spark, sf_dir):
+    """How many rows each code keeps out, and how many are eligible; a row counts under each of its codes."""
+    g = _gated(spark, sf_dir)
+    return audit.by_reason(g, "codes", "eligible")
+
+
+@query("applicability", sql(f", s AS (SELECT pool, max(seg_len) AS longest FROM h GROUP BY pool), p AS (SELECT pool, count(special) > 0 AS has_special FROM h GROUP BY pool) SELECT pool, has_special AS special_statistics, longest > 1 AS serial_statistics, longest >= 5 AS rolling_statistics FROM s JOIN p USING (pool)"))
+def applicability(spark, sf_dir):
+    """Which families of statistics a pool's draws allow: special ones need a special label, rolling ones a window that fits."""
+    return history.applicability(views.history(spark, sf_dir), 5)
+
+
+BASE = exact.baseline(MATRIX)
+WANTED = {"no_neighbours": BASE["no_neighbours"], "odd_mean": BASE["odd_mean"], "sum_mean": BASE["sum_mean"]}
+
+
+@query("baseline_rates", sql(f", {STRUCT}, v AS (SELECT pool, unnest(['no_neighbours', 'odd_mean', 'sum_mean']) AS quantity, unnest([(adjacent_pairs = 0)::INT::DOUBLE, odd_count::DOUBLE, draw_sum::DOUBLE]) AS x FROM st) SELECT pool, quantity, round(avg(x), 6) AS observed, CASE quantity {' '.join(f'''WHEN '{k}' THEN {round(v, 6)}::DOUBLE''' for k, v in WANTED.items())} END AS expected FROM v GROUP BY ALL"))
+def baseline_rates(spark, sf_dir):
+    """Means over each pool's draws beside their exact expectations."""
+    s = primary.structure(views.eligible(spark, sf_dir))
+    values = {"no_neighbours": (F.col("adjacent_pairs") == 0).cast("double"), "odd_mean": F.col("odd_count").cast("double"), "sum_mean": F.col("draw_sum").cast("double")}
+    rows = s.select("pool", F.inline(F.array(*[F.struct(F.lit(k).alias("quantity"), x.alias("x"), F.lit(round(WANTED[k], 6)).alias("expected")) for k, x in values.items()])))
+    return rows.groupBy("pool", "quantity").agg(F.round(F.avg("x"), 6).alias("observed"), F.max("expected").alias("expected"))
+
+
+@query("order_adjudication", sql(f", {PAIRED}, a AS (SELECT pool, count(*)::BIGINT AS n, avg((numbers = list_sort(numbers))::INT) AS ascending FROM h GROUP BY pool), s AS (SELECT p.pool, count(lg.pool) FILTER (list_sort(prev) = list_sort(cur)) AS same FROM pools p LEFT JOIN lg ON lg.pool = p.pool AND lag = 1 GROUP BY p.pool) SELECT a.pool, n, round(ascending, 6) AS ascending, CASE WHEN same > 0 THEN 'repeated_draws' WHEN ascending > 0.5 THEN 'sorted_suspected' ELSE 'kept' END AS verdict FROM a JOIN s USING (pool)"))
+def order_adjudication(spark, sf_dir):
+    """A pool whose neighbours repeat a whole draw, or more than half of whose sequences ascend, can't be taken as drawn."""
+    return history.adjudicated(views.history(spark, sf_dir))

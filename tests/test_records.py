@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tumbler.functions.exact import Matrix
 from tumbler.operators import audit, history, inference, models, positional, reconcile, regimes, splits
-from tumbler.sources import payloads, store, tabular
+from tumbler.sources import config, payloads, store, tabular
 from tumbler.streaming import retrievals
 
 
@@ -29,6 +29,10 @@ def test_csv(spark, tmp_path):
         tabular.write_csv(df.limit(0), f"{tmp_path}/b", ["id"])
     tabular.write_header(df, f"{tmp_path}/c", ["id", "n"])
     assert spark.read.text(f"{tmp_path}/c").collect()[0][0] == "id,n"
+    (tmp_path / "eras.csv").write_text("era,game,lo,hi,clear_from,pool\nE1,g,2020-01-01,,,P\n")
+    assert [tuple(r) for r in tabular.read_register(spark, f"{tmp_path}/eras.csv", "eras").collect()] == [("E1", "g", day("2020-01-01"), None, None, "P")]
+    tabular.write_manifest(df.select("id", "ok"), f"{tmp_path}/m")
+    assert sorted(r["id"] for r in spark.read.json(f"{tmp_path}/m").collect()) == [1, 2]
     (tmp_path / "d.csv").write_text("id,v\n1,2\nx,3\n")
     with pytest.raises(Exception):
         tabular.read_csv(spark, f"{tmp_path}/d.csv", "id int, v int").collect()
@@ -37,6 +41,13 @@ def test_csv(spark, tmp_path):
     assert [tuple(r) for r in tabular.violations(df, "id", {"low": F.col("id") < 2, "noted": F.col("note") == "x"}).collect()] == [(1, "noted"), (2, "low")]
 
 
+def test_yaml(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yaml").write_text("game: g\ndays: [mon, thu]\nballs:\n  count: 5\n  special: null\n")
+    got = sorted(map(tuple, config.read_yaml(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([("a.yaml", "game", "g"), ("a.yaml", "days.0", "mon"), ("a.yaml", "days.1", "thu"), ("a.yaml", "balls.count", "5"), ("a.yaml", "balls.special", None)], key=str)
+
+
 def test_payloads(spark):
     one = lambda *x: spark.createDataFrame([(v,) for v in x], "content string")
     rows = payloads.json_draws(one('[{"d":"2024-01-02T00:00","n":"05 11 9 22 31 7"},{"d":"bad","n":null}]', '{"meta":1}'), "d", "n").collect()

@@ -27,6 +27,12 @@ def mc_pvalue(nulls: DataFrame, observed: DataFrame, key: list[str], tail: str =
     return joined.select(*key, b.alias("b"), "n_null", p.alias("p"))
 
 
+def z_scores(nulls: DataFrame, observed: DataFrame, key: list[str], floor: float = 1e-12) -> DataFrame:
+    """key, z: observed values in standard deviations of their nulls, which count as at least `floor`."""
+    spread = nulls.groupBy(*key).agg(F.avg("value").alias("mean"), F.greatest(F.stddev_samp("value"), F.lit(floor)).alias("sd"))
+    return observed.join(spread, key).select(*key, ((F.col("observed") - F.col("mean")) / F.col("sd")).alias("z"))
+
+
 #: Buckets of p-values for each halving of p.
 OCTAVE = 1024
 

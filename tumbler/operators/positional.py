@@ -13,10 +13,12 @@ from tumbler.operators.secondary import max_rolling
 def cell_counts(hist: DataFrame, m: Matrix, extra: tuple[str, ...] = ()) -> DataFrame:
     """pool (and extra keys), n, pos, label, c over every position and label."""
     by = ["pool", *extra]
-    n = hist.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    hits = labels(hist, by).groupBy(*by, "pos", "label").agg(F.count(F.lit(1)).alias("c"))
-    cells = spine(spine(n, 1, m.k, "pos"), m.low, m.high)
-    return cells.join(hits, [*by, "pos", "label"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    seen = labels(hist, by).groupBy(*by, "pos", F.col("label").cast("long").alias("label")).agg(F.count(F.lit(1)).alias("c"))
+    # Every draw has a first label, so those count the draws; a key's cells are at most k times n.
+    counts = seen.groupBy(*by).agg(F.sum(F.when(F.col("pos") == 1, F.col("c"))).alias("n"), F.map_from_entries(F.collect_list(F.struct(F.struct("pos", "label"), "c"))).alias("of"))
+    rows = spine(spine(counts, 1, m.k, "pos"), m.low, m.high)
+    cell = F.col("of")[F.struct(F.col("pos").alias("pos"), F.col("label").cast("long").alias("label"))]
+    return rows.select(*by, "n", "pos", "label", F.coalesce(cell, F.lit(0)).alias("c"))
 
 
 def omnibus(hist: DataFrame, m: Matrix, extra: tuple[str, ...] = ()) -> DataFrame:

@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tumbler.functions.exact import Matrix
-from tumbler.operators.history import labels, lagged, spine
+from tumbler.operators.history import labels, lagged
 
 
 def label_counts(hist: DataFrame, m: Matrix, extra: tuple[str, ...] = ()) -> DataFrame:
     """pool (and extra keys), n (draws), label, c: how often each label was drawn, 0 included."""
     by = ["pool", *extra]
-    n = hist.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    hits = hist.select(*by, F.explode("numbers").alias("label")).groupBy(*by, "label").agg(F.count(F.lit(1)).alias("c"))
-    return spine(n, m.low, m.high).join(hits, [*by, "label"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    # The draw itself is counted as one more label, so one scan and one aggregation give n and the counts.
+    itself = m.low - 1
+    seen = hist.select(*by, F.explode(F.concat(F.array(F.lit(itself).cast("long")), F.col("numbers").cast("array<long>"))).alias("label")).groupBy(*by, "label").agg(F.count(F.lit(1)).alias("c"))
+    counts = seen.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("label", "c"))).alias("of"))
+    label = F.explode(F.sequence(F.lit(m.low), F.lit(m.high))).alias("label")
+    rows = counts.select(*by, F.col("of")[F.lit(itself).cast("long")].alias("n"), "of", label)
+    return rows.select(*by, "n", "label", F.coalesce(F.col("of")[F.col("label").cast("long")], F.lit(0)).alias("c"))
 
 
 def frequency(hist: DataFrame, m: Matrix) -> DataFrame:
@@ -78,12 +82,13 @@ def streak(hist: DataFrame) -> DataFrame:
 
 def special_frequency(hist: DataFrame, m: Matrix) -> DataFrame:
     """chi2 and max_z over counts of the special label, 1..specials."""
-    n = hist.groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
-    hits = hist.groupBy("pool", F.col("special").alias("label")).agg(F.count(F.lit(1)).alias("c"))
+    seen = hist.groupBy("pool", F.col("special").cast("long").alias("label")).agg(F.count(F.lit(1)).alias("c"))
+    counts = seen.groupBy("pool").agg(F.sum("c").alias("n"), F.map_from_entries(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "c")))).alias("of"))
     p = 1 / m.specials
     mu = F.col("n").cast("double") * p
-    dev = F.coalesce("c", F.lit(0)).cast("double") - mu
-    return spine(n, 1, m.specials).join(hits, ["pool", "label"], "left").groupBy("pool").agg(F.sum(dev * dev / mu).alias("chi2"), F.max(F.abs(dev) / F.sqrt(mu * (1 - p))).alias("max_z"))
+    rows = counts.select("pool", "n", "of", F.explode(F.sequence(F.lit(1), F.lit(m.specials))).alias("label"))
+    dev = F.coalesce(F.col("of")[F.col("label").cast("long")], F.lit(0)).cast("double") - mu
+    return rows.groupBy("pool").agg(F.sum(dev * dev / mu).alias("chi2"), F.max(F.abs(dev) / F.sqrt(mu * (1 - p))).alias("max_z"))
 
 
 def special_repeats(hist: DataFrame) -> DataFrame:

@@ -42,16 +42,18 @@ def rolling_extremes(hist: DataFrame, cells: int, windows: list[int], cell: list
     smallest by one that begins after a hit or is the first, or is 0 if some cell has no hit.
     """
     hits = labels(hist, ["pool", "seg", "seg_len", "idx"]).select("pool", "seg", "seg_len", "idx", *cell)
-    out = None
-    for w in windows:
-        fit = hits.where(F.col("seg_len") >= w)
-        by = Window.partitionBy("pool", "seg", *cell).orderBy("idx")
-        at = fit.select("pool", "seg", *cell, F.count(F.lit(1)).over(by.rangeBetween(-(w - 1), 0)).alias("back"), F.when(F.col("idx") + w <= F.col("seg_len"), F.count(F.lit(1)).over(by.rangeBetween(1, w))).alias("ahead"), F.when(F.col("idx") <= w, 1).alias("in_first"))
-        cells_ = at.groupBy("pool", "seg", *cell).agg(F.max("back").alias("most"), F.least(F.coalesce(F.min("ahead"), F.lit(w)), F.count("in_first")).alias("least"))
-        segs = cells_.groupBy("pool", "seg").agg(F.max("most").alias("most"), F.min("least").alias("least"), F.count(F.lit(1)).alias("d"))
-        part = segs.groupBy("pool").agg(F.max("most").alias("most"), F.min(F.when(F.col("d") < cells, 0).otherwise(F.col("least"))).alias("least")).withColumn("w", F.lit(w))
-        out = part if out is None else out.unionByName(part)
-    return out
+    by, n, fits = Window.partitionBy("pool", "seg", *cell).orderBy("idx"), F.col("seg_len"), lambda w: F.col("seg_len") >= w
+    # One window pass and one aggregation serve all lengths; a length that doesn't fit in a segment gives nulls there.
+    backs = [F.when(fits(w), F.count(F.lit(1)).over(by.rangeBetween(-(w - 1), 0))).alias(f"back{w}") for w in windows]
+    aheads = [F.when(F.col("idx") + w <= n, F.count(F.lit(1)).over(by.rangeBetween(1, w))).alias(f"ahead{w}") for w in windows]
+    at = hits.select("pool", "seg", "seg_len", "idx", *cell, *backs, *aheads)
+    most = [F.max(f"back{w}").alias(f"most{w}") for w in windows]
+    least = [F.when(F.first(fits(w)), F.least(F.coalesce(F.min(f"ahead{w}"), F.lit(w)), F.count_if(F.col("idx") <= w))).alias(f"least{w}") for w in windows]
+    segs = at.groupBy("pool", "seg", *cell).agg(*most, *least).groupBy("pool", "seg").agg(F.count(F.lit(1)).alias("d"), *[F.max(f"most{w}").alias(f"most{w}") for w in windows], *[F.min(f"least{w}").alias(f"least{w}") for w in windows])
+    lows = [F.min(F.when(F.col(f"least{w}").isNotNull(), F.when(F.col("d") < cells, 0).otherwise(F.col(f"least{w}")))).alias(f"least{w}") for w in windows]
+    pools = segs.groupBy("pool").agg(*[F.max(f"most{w}").alias(f"most{w}") for w in windows], *lows)
+    rows = F.array(*[F.struct(F.lit(w).alias("w"), F.col(f"most{w}").alias("most"), F.col(f"least{w}").alias("least")) for w in windows])
+    return pools.select("pool", F.inline(rows)).where("most IS NOT NULL").select("pool", "most", "least", "w")
 
 
 def max_rolling(hist: DataFrame, windows: list[int], p: float, cells: int, cell: list[str]) -> DataFrame:

@@ -157,14 +157,15 @@ nn AS (SELECT pool, cat, count(*)::DOUBLE AS n FROM x0 GROUP BY ALL),
 ch AS (SELECT q.pool, permutation, round(sum(q.q / (n * 5 / 47) - n * 5), 6) AS chi2 FROM (SELECT pool, permutation, cat, sum(c * c) AS q FROM ct GROUP BY ALL) q JOIN nn ON nn.pool = q.pool AND nn.cat = q.cat GROUP BY ALL)"""
 
 
-@query("equipment_permutation", sql(f", {PERMUTED} SELECT o.pool, o.chi2 AS observed, count(*) FILTER (n.chi2 >= o.chi2)::BIGINT AS b, round((count(*) FILTER (n.chi2 >= o.chi2) + 1) / (count(*) + 1)::DOUBLE, 6) AS p FROM ch o JOIN ch n ON n.pool = o.pool AND n.permutation > 0 WHERE o.permutation = 0 GROUP BY ALL"))
+@query("equipment_permutation", sql(f", {PERMUTED} SELECT o.pool, o.chi2 AS observed, round((any_value(o.chi2) - avg(n.chi2)) / greatest(stddev_samp(n.chi2), 1e-12), 4) AS z, count(*) FILTER (n.chi2 >= o.chi2)::BIGINT AS b, round((count(*) FILTER (n.chi2 >= o.chi2) + 1) / (count(*) + 1)::DOUBLE, 6) AS p FROM ch o JOIN ch n ON n.pool = o.pool AND n.permutation > 0 WHERE o.permutation = 0 GROUP BY ALL"))
 def equipment_permutation(spark, sf_dir):
     """Whether labels depend on the machine: its chi-square against permutations of the machines of the real draws in a week."""
     d = views.eligible(spark, sf_dir).withColumn("week", F.date_trunc("week", "t"))
     c = models.permuted_chi2(d, MATRIX, "week", "machine", PERMUTATIONS).withColumn("chi2", F.round("chi2", 6))
     observed = c.where("permutation = 0").select("pool", F.col("chi2").alias("observed"))
-    p = inference.mc_pvalue(c.where("permutation > 0").select("pool", F.col("chi2").alias("value")), observed, ["pool"])
-    return p.join(observed, "pool").select("pool", "observed", "b", F.round("p", 6).alias("p"))
+    nulls = c.where("permutation > 0").select("pool", F.col("chi2").alias("value"))
+    p = inference.mc_pvalue(nulls, observed, ["pool"]).join(inference.z_scores(nulls, observed, ["pool"]), "pool")
+    return p.join(observed, "pool").select("pool", "observed", F.round("z", 4).alias("z"), "b", F.round("p", 6).alias("p"))
 
 
 @query("special_rank_metrics", sql(", o AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY t, draw_id) AS k FROM h), g AS (SELECT o.pool, o.draw_id, o.k, o.special, s.label, (s.label = o.special)::INT AS hit FROM o CROSS JOIN (SELECT unnest(range(1, 16)) AS label) s), c AS (SELECT *, coalesce(sum(hit) OVER (PARTITION BY pool, label ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY pool, draw_id ORDER BY c DESC, label) AS r FROM c) SELECT pool, round(avg(r), 6) AS mean_rank, count(*) FILTER (r <= 5)::BIGINT AS top5, count(*)::BIGINT AS n FROM r WHERE hit = 1 GROUP BY pool"))

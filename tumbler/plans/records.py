@@ -150,6 +150,12 @@ def row_seal(spark, sf_dir):
     return splits.seal(views.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"])
 
 
+@query("split_manifest", f"WITH {SPLIT}, h AS (SELECT o_orderpriority, sha256(o_orderkey::VARCHAR) AS h FROM split WHERE split = 'holdout'), p AS (SELECT o_orderpriority, h[1:3] AS p, sha256(string_agg(h, '' ORDER BY h)) AS s FROM h GROUP BY ALL), z AS (SELECT o_orderpriority, sha256(string_agg(s, '' ORDER BY p)) AS holdout_seal FROM p GROUP BY ALL), g AS (SELECT o_orderpriority, count(*) FILTER (split = 'exploration')::BIGINT AS n_exploration, count(*) FILTER (split = 'holdout')::BIGINT AS n_holdout, (max(o_orderdate) FILTER (split = 'exploration'))::DATE::VARCHAR AS last_exploration, (min(o_orderdate) FILTER (split = 'holdout'))::DATE::VARCHAR AS first_holdout FROM split GROUP BY ALL) SELECT g.*, holdout_seal FROM g JOIN z USING (o_orderpriority)")
+def split_manifest(spark, sf_dir):
+    s = splits.chronological(views.table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderdate", "o_orderkey")
+    return splits.manifest(s, "o_orderpriority", "o_orderdate", "o_orderkey").withColumns({c: F.col(c).cast("date").cast("string") for c in ("last_exploration", "first_holdout")})
+
+
 @query("observation_plan", sql(f", {ORDERED}, a AS (SELECT DISTINCT pool, seg, seg_len FROM h), o AS (SELECT pool, min(rn) AS seg, count(*) AS len FROM nv WHERE ok GROUP BY pool, rn - el), t AS (SELECT pool, count(*)::BIGINT AS n_draws, min(t)::DATE::VARCHAR AS first_day, max(t)::DATE::VARCHAR AS last_day FROM h GROUP BY pool), s1 AS (SELECT pool, string_agg(seg_len::VARCHAR, ';' ORDER BY seg) AS segments FROM a GROUP BY pool), s2 AS (SELECT pool, string_agg(len::VARCHAR, ';' ORDER BY seg) AS order_segments FROM o GROUP BY pool) SELECT t.*, segments, order_segments, sha256(t.pool || '|' || n_draws || '|' || segments || '|' || coalesce(order_segments, '')) AS plan_hash FROM t JOIN s1 USING (pool) LEFT JOIN s2 USING (pool)"))
 def observation_plan(spark, sf_dir):
     """Per pool: draws, days, lengths of segments and of segments in known order, and a hash of all that."""

@@ -43,6 +43,25 @@ def write_header(df: DataFrame, path: str, columns: list[str]) -> None:
     _flat(df.limit(0), columns).coalesce(1).write.csv(path, header=True)
 
 
+#: Columns of the registers that the operators read.
+REGISTERS = {
+    "sources": "source string, tier int",
+    "eras": "era string, game string, lo date, hi date, clear_from date, pool string",
+    "resolutions": "key string, field string, resolved_value string, evidence string, status string",
+    "exclusions": "key string, reason string, decision_id string, decision string",
+}
+
+
+def read_register(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A register by name, in its declared types."""
+    return read_csv(spark, path, REGISTERS[name])
+
+
+def write_manifest(df: DataFrame, path: str) -> None:
+    """A small table, such as counts by reason, as one file of JSON lines."""
+    df.coalesce(1).write.json(path)
+
+
 def _flat(df: DataFrame, columns: list[str]) -> DataFrame:
     kinds = dict(df.dtypes)
     return df.select(*[F.array_join(F.col(c).cast("array<string>"), ";").alias(c) if kinds[c].startswith("array") else F.col(c) for c in columns])

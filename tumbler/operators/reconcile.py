@@ -170,6 +170,7 @@ def eligibility_codes(canon: DataFrame, excluded: DataFrame, key: str, day: str
     listed = excluded.groupBy(F.col(key).alias("__k")).agg(F.min(F.struct("reason", "decision_id")).alias("__x"))
     rows = canon.join(few_rows(listed), F.col(key) == F.col("__k"), "left")
     status, noted = F.coalesce("status", F.lit("")), F.concat(F.lit("validation_status="), F.coalesce("status", F.lit("")))
+    # Codes and notes are fixed values.
     rules = [
         ("excluded_non_draw_artifact", F.col("__k").isNotNull(), F.concat(F.lit("excluded by ledger ("), F.coalesce("__x.reason", F.lit("")), F.lit("; "), F.coalesce("__x.decision_id", F.lit("")), F.lit(")"))),
         ("missing_provenance", (F.coalesce(F.col("source").cast("string"), F.lit("")) == "") | (F.coalesce("sha256", F.lit("")) == ""), F.lit("missing provenance")),

@@ -12,6 +12,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,6 +91,25 @@ def write_archives(resolved: DataFrame, path: str, date: str = DATE) -> None:
     members.select(F.col("value").cast("string")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none").text(path)
 
 
+#: Compressed bytes that are looked at together; what follows a member in them is copied.
+STEP = 1 << 14
+
+
+def members(raw: bytes):
+    """(offset, contents) of each gzip member of a file; work is in proportion to its length, however many there are."""
+    view, at = memoryview(raw), 0
+    while at < len(raw):
+        start, unzip, parts = at, zlib.decompressobj(31), []
+        while not unzip.eof:
+            piece = view[at : at + STEP]
+            if not piece:
+                raise ValueError("cut off WARC record")
+            parts.append(unzip.decompress(piece))
+            at += len(piece)
+        at -= len(unzip.unused_data)
+        yield start, b"".join(parts)
+
+
 FIELD = re.compile(rb"([^:\r\n]+): ?([^\r\n]*)")
 
 
@@ -115,7 +135,7 @@ def read_archives(spark, path: str) -> DataFrame:
         for batch in batches:
             for raw in batch.column("content"):
                 rows = []
-                for f, block in records(gzip.decompress(raw.as_py())):
+                for f, block in (r for _, one in members(raw.as_py()) for r in records(one)):
                     rows.append({"record_id": f["warc-record-id"], "page_id": int(f["x-page-id"]) if "x-page-id" in f else None, "record_type": f["warc-type"], "refers": f.get("warc-refers-to"), "digest": f["warc-payload-digest"].removeprefix("sha1:"), "block_bytes": len(block), "block_sha1": hashlib.sha1(block).hexdigest()})
                 yield pa.RecordBatch.from_pylist(rows, pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers", pa.string()), ("digest", pa.string()), ("block_bytes", pa.int64()), ("block_sha1", pa.string())]))
 

@@ -10,6 +10,7 @@ Beside it, a word unigram gives a base score.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ ORDER = 5
 MOST_GRAMS = 6_000_000
 #: Text bytes that a task counts or scores at once.
 CHUNK = 4 << 20
+#: Grams or words that a task counts before it gives their counts.
+TALLY = 1_500_000
 #: Text bytes of a block, whose documents and vocabulary one task holds.
 BLOCK_BYTES = 32 << 20
 
@@ -34,22 +37,35 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def byte_windows(raw: np.ndarray, width: int) -> np.ndarray:
+    """The number that `width` bytes (1..7) from each place on make up, big end first."""
+    two = raw[:-1].astype(np.uint16) << np.uint16(8) | raw[1:]
+    four = two[:-2].astype(np.uint32) << np.uint32(16) | two[2:]
+    out, at = np.zeros(max(0, len(raw) - width + 1), np.int64), 0
+    for size, block in ((4, four), (2, two), (1, raw)):
+        if width & size:
+            out <<= 8 * size
+            out |= block[at : at + len(out)]
+            at += size
+    return out
+
+
 def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The code of each byte with the `order` bytes before it, and where each text's codes begin.
 
     A text is its words joined by blanks and ends with a line feed, which no word holds; before it stand
     line feeds.
     """
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     raw = np.frombuffer(b"".join(b"\n" * order + t + b"\n" for t in texts), np.uint8)
-    code = np.zeros(len(raw), np.int64)
-    for j in range(order, -1, -1):
-        code[order:] = code[order:] << 8 | raw[order - j : len(raw) - j]
+    code = byte_windows(raw, order + 1)
     lengths = np.array([len(t) + 1 for t in texts])
     ends = np.cumsum(lengths + order)
     real = np.ones(len(raw), bool)
     for j in range(order):
         real[ends - lengths - order + j] = False
-    return code[real], np.cumsum(lengths) - lengths
+    return code[real[order:]], np.cumsum(lengths) - lengths
 
 
 def sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,26 +163,54 @@ def as_bytes(words: list[list[bytes]]) -> list[bytes]:
     return [b" ".join(w) for w in words]
 
 
+class Tally:
+    """Counts of grams and words over a task's chunks, in bounded memory."""
+
+    def __init__(self, order: int):
+        self.order, self.words, self.codes, self.n = order, Counter(), [], 0
+
+    def add(self, words: list[list[bytes]]) -> bool:
+        """Counts a chunk; True if it is time to give the counts."""
+        places, distinct = pd.factorize(grams(as_bytes(words), self.order)[0])
+        self.codes.append((distinct, np.bincount(places, minlength=len(distinct))))
+        self.n += len(distinct)
+        self.words.update(chain.from_iterable(words))
+        self.words[b""] += len(words)
+        return self.n >= TALLY or len(self.words) >= TALLY
+
+    def give(self) -> pa.RecordBatch:
+        codes, counts = sums(*(np.concatenate(x) for x in zip(*self.codes)))
+        a, b = len(codes), len(self.words)
+        out = pa.RecordBatch.from_arrays([
+            pa.concat_arrays([pa.array(codes, pa.int64()), pa.nulls(b, pa.int64())]),
+            pa.concat_arrays([pa.nulls(a, pa.binary()), pa.array(list(self.words), pa.binary())]),
+            pa.concat_arrays([pa.array(counts, pa.int64()), pa.array(list(self.words.values()), pa.int64())]),
+        ], names=["gram", "word", "n"])
+        self.words, self.codes, self.n = Counter(), [], 0
+        return out
+
+
+class Values(dict):
+    """word -> value; what isn't there is not a number."""
+
+    def __missing__(self, word: bytes) -> float:
+        return float("nan")
+
+
 def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, word, n): how often each byte gram and each word was seen; the end of a text is the empty word.
 
-    Reads doc_id and text (the first two columns). Each task sums its chunks before anything is shuffled.
+    Reads doc_id and text (the first two columns). Each task sums its chunks before anything is shuffled, and gives what it
+    has whenever that reaches TALLY grams or words.
     """
 
     def run(batches):
+        tally = Tally(order)
         for _, words in _chunks(batches):
-            codes, _ = grams(as_bytes(words), order)
-            places, distinct = pd.factorize(codes)
-            counts = Counter()
-            for w in words:
-                counts.update(w)
-            counts[b""] += len(words)
-            a, b = len(distinct), len(counts)
-            yield pa.RecordBatch.from_arrays([
-                pa.concat_arrays([pa.array(distinct, pa.int64()), pa.nulls(b, pa.int64())]),
-                pa.concat_arrays([pa.nulls(a, pa.binary()), pa.array(list(counts), pa.binary())]),
-                pa.concat_arrays([pa.array(np.bincount(places, minlength=a), pa.int64()), pa.array(list(counts.values()), pa.int64())]),
-            ], names=["gram", "word", "n"])
+            if tally.add(words):
+                yield tally.give()
+        if tally.n:
+            yield tally.give()
 
     return docs.mapInArrow(run, "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
 
@@ -275,15 +319,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             of = model.value.score
         room = total + 0.5 * (distinct + 1)
         value = np.log10((right.column("n").to_numpy() + 0.5) / room).tolist()
-        value_of, unseen = dict(zip(right.column("word").to_pylist(), value)).get, float(np.log10(0.5 / room))
+        values_of, unseen = Values(zip(right.column("word").to_pylist(), value)).__getitem__, float(np.log10(0.5 / room))
+        of_end = values_of(b"")
         out = {"base": [], "known": [], "n": [], "score": []}
         for _, words in _chunks(left.select(["doc_id", "text"]).to_batches()):
-            for w in words:
-                got = [*map(value_of, w), value_of(b"")]
-                seen = [x for x in got if x is not None] if None in got else got
-                out["known"].append(len(seen))
-                out["n"].append(len(got))
-                out["base"].append(sum(seen) + unseen * (len(got) - len(seen)))
+            n = np.array([len(w) + 1 for w in words])
+            got = np.full(n.sum(), of_end)
+            inner = np.ones(len(got), bool)
+            inner[np.cumsum(n) - 1] = False  # where the ends stand
+            got[inner] = np.fromiter(map(values_of, chain.from_iterable(words)), np.float64, int(n.sum()) - len(n))
+            new = np.isnan(got)
+            got[new] = unseen
+            begins = np.cumsum(n) - n
+            out["n"] += n.tolist()
+            out["known"] += (n - np.add.reduceat(new.astype(np.int64), begins)).tolist()
+            out["base"] += np.add.reduceat(got, begins).tolist()
             out["score"] += of(as_bytes(words)).tolist()
         n = len(left)
         return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(out["n"], pa.int64()), "n_known": pa.array(out["known"], pa.int64()), "train_tokens": pc.cast(pa.array([total] * n), pa.int64()), "base_score": pa.array(out["base"], pa.float64()), "score": pa.array(out["score"], pa.float64())})

@@ -103,6 +103,18 @@ def dictionary_ppm(train: list[bytes], order: int):
     return log10
 
 
+def test_sums_by_text_either_way():
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"ab c") for _ in range(rng.randint(0, 6))) for _ in range(70_000)]  # more than fit beside a code
+    value = lambda codes: np.sqrt(codes.astype(float))
+    many, few = lm_score.by_gram(texts, value, 5), np.concatenate([lm_score.by_gram(texts[i : i + 700], value, 5) for i in range(0, 70_000, 700)])
+    assert many == pytest.approx(few)
+    raw = np.frombuffer(bytes(range(60, 90)), np.uint8)
+    for width in range(1, 8):
+        assert lm_score.byte_windows(raw, width).tolist() == [int.from_bytes(raw[i : i + width].tobytes(), "big") for i in range(30 - width + 1)]
+        assert len(lm_score.byte_windows(raw[:3], width)) == max(0, 4 - width)
+
+
 @pytest.mark.parametrize("order", [1, 5])
 def test_scores_match_dictionaries(spark, order):
     rng = random.Random(order)

@@ -20,7 +20,7 @@ def workdir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables; a temporary one only in local mode, where the session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)

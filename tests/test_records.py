@@ -158,22 +158,27 @@ def test_inference(spark):
         inference.mc_pvalue(values.where("false"), seen, ["k"]).collect()
 
 
-def test_walk_forward(spark):
+def test_walk_forward(spark, monkeypatch):
     m, rng = Matrix(3, 1, 12, 4), random.Random(5)
     rows = [("A", i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), rng.sample(range(1, 13), 3)) for i in range(130)]
     schema = "pool string, draw_id long, t timestamp, numbers array<int>"
     other = rows[:115] + [(*r[:3], rng.sample(range(1, 13), 3)) for r in rows[115:]]
-    a, b = ({r["draw_id"]: r["log_score"] for r in models.walk_forward(spark.createDataFrame(x, schema), m).collect()} for x in (rows, other))
-    assert len(a) == 30 and all(a[k] == b[k] for k in a if k < 115) and any(a[k] != b[k] for k in a)
+    monkeypatch.setattr(models, "BUCKET", 20)
+    monkeypatch.setattr(models, "REACH", 40)
+    a, b = ({(r["draw_id"], r["model"]): r["log_score"] for r in models.walk_forward(spark.createDataFrame(x, schema), m).collect()} for x in (rows, other))
+    assert len(a) == 60 and all(a[k] == b[k] for k in a if k[0] < 115) and any(a[k] != b[k] for k in a)
     # Against all sets of three, for every draw.
-    seen = {x: 0 for x in range(1, 13)}
+    seen, faded, mass, fade = {x: 0 for x in range(1, 13)}, {x: 0.0 for x in range(1, 13)}, 0.0, 0.5 ** 0.02
     for i, (_, k, _, numbers) in enumerate(rows):
         if i >= 100:
-            w = {x: (c + 100 * 0.25) / (i + 100) / 0.25 for x, c in seen.items()}
-            whole = sum(math.prod(w[x] for x in s) for s in itertools.combinations(w, 3))
-            assert a[k] == pytest.approx(math.log(math.prod(w[x] for x in numbers) / whole * 220))
-        for x in numbers:
-            seen[x] += 1
+            for model, rate in (("frequency", lambda x: (seen[x] + 25) / (i + 100)), ("decayed", lambda x: (faded[x] + 6.25) / (mass + 25))):  # noqa: B023
+                w = {x: rate(x) / 0.25 for x in seen}
+                whole = sum(math.prod(w[x] for x in s) for s in itertools.combinations(w, 3))
+                assert a[k, model] == pytest.approx(math.log(math.prod(w[x] for x in numbers) / whole * 220))
+        mass = mass * fade + 1
+        for x in seen:
+            faded[x] = faded[x] * fade + (x in numbers)
+            seen[x] += x in numbers
     f = {(r["draw_id"], r["label"]): (r["n"], r["c"], r["gap"], r["prev"], r["hit"]) for r in models.features(spark.createDataFrame(rows, schema), m).collect()}
     for k in range(130):
         for x in range(1, 13):

@@ -11,22 +11,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, by: list[str], bucket: Column, order: list[str], sums: dict[str, Column], maxima: dict[str, Column] | None = None, before: bool = False) -> DataFrame:
-    """Adds running totals, and maxima, in the given order within each `by` group: including the row itself, or with
-    `before` only what comes before it (null for a maximum of nothing).
+def running(df: DataFrame, by: list[str], bucket: Column, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds running totals (including the row itself) in the given order within each `by` group.
 
     bucket must not decrease along the order. Totals of whole buckets are accumulated over the small table of
     buckets; the windows over rows stay inside one bucket.
     """
-    cols = [(name, x.cast("long"), F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))) for name, x in sums.items()]
-    cols += [(name, x.cast("long"), F.max, lambda a, b: F.greatest(a, b)) for name, x in (maxima or {}).items()]
-    keyed = df.withColumns({"__b": bucket, **{f"__x{i}": x for i, (_, x, _, _) in enumerate(cols)}})
-    totals = keyed.groupBy(*by, "__b").agg(*[f(f"__x{i}").alias(f"__t{i}") for i, (_, _, f, _) in enumerate(cols)])
+    cols = [(name, x.cast("long")) for name, x in sums.items()]
+    keyed = df.withColumns({"__b": bucket, **{f"__x{i}": x for i, (_, x) in enumerate(cols)}})
+    totals = keyed.groupBy(*by, "__b").agg(*[F.sum(f"__x{i}").alias(f"__t{i}") for i in range(len(cols))])
     earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*by, "__b", *[f(f"__t{i}").over(earlier).alias(f"__s{i}") for i, (_, _, f, _) in enumerate(cols)])
-    inner = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    starts = totals.select(*by, "__b", *[F.sum(f"__t{i}").over(earlier).alias(f"__s{i}") for i in range(len(cols))])
+    inner = Window.partitionBy(*by, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = keyed.join(starts, [*by, "__b"])
-    out = out.withColumns({name: plus(f(f"__x{i}").over(inner), F.col(f"__s{i}")) for i, (name, _, f, plus) in enumerate(cols)})
+    out = out.withColumns({name: F.sum(f"__x{i}").over(inner) + F.coalesce(f"__s{i}", F.lit(0)) for i, (name, _) in enumerate(cols)})
     return out.drop("__b", *[f"__{k}{i}" for i in range(len(cols)) for k in "xs"])
 
 

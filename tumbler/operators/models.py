@@ -1,4 +1,4 @@
-"""Features of the draws so far, and walk-forward scores of a model that weighs labels by how often they were drawn.
+"""Features of the draws so far, and walk-forward scores of models that weigh labels by how often they were drawn.
 
 P(S) is proportional to the product of the weights of the labels in S; its normaliser is an elementary symmetric
 polynomial of all weights, which Newton's identities give from power sums. So a score is one aggregation over a
@@ -16,55 +16,77 @@ from tumbler.functions.exact import Matrix
 from tumbler.operators.history import running, spine
 
 WARMUP, POOLS = 100, (10, 15, 20)
-#: Draws' worth of fair expectation mixed into the frequency model (fixed value).
-FREQUENCY_PSEUDO = 100.0
+#: Draws' worth of fair expectation mixed into the frequency and the decayed model, and draws in which a count decays by
+#: half (fixed values).
+FREQUENCY_PSEUDO, DECAYED_PSEUDO, HALF_LIFE = 100.0, 25.0, 50
+#: Draws of a bucket. Counts from more than REACH buckets back have decayed to less than a double shows.
+BUCKET, REACH = 1000, 4
 
 
 def features(hist: DataFrame, m: Matrix) -> DataFrame:
-    """pool, draw_id, label, n, c, gap, prev, hit: what earlier draws of the pool say of each label.
+    """pool, draw_id, label, n, c, decayed, gap, prev, hit: what earlier draws of the pool say of each label.
 
-    n earlier draws, c of them with the label, gap draws since the last one (n if none), prev whether the draw just
-    before had it. Totals run over days, then within a day, so no window holds a pool.
+    n earlier draws, c of them with the label, decayed the same with each draw's weight halved every HALF_LIFE draws, gap draws
+    since the last one (n if none), prev whether the draw just before had it. Totals run over buckets of BUCKET draws, then
+    inside a bucket, so no window holds a pool; the grid of draws and labels is shuffled once.
     """
-    day, order = F.date_trunc("day", "t"), ["t", "draw_id"]
-    numbered = running(hist, ["pool"], day, order, {"__n": F.lit(1)})
-    grid = spine(numbered.select("pool", "draw_id", "t", "__n", "numbers"), m.low, m.high)
-    hit = F.array_contains("numbers", F.col("label").cast("long"))
-    grid = grid.select("pool", "draw_id", "t", "__n", "label", hit.cast("int").alias("hit"))
-    seen = running(grid, ["pool", "label"], day, order, {"c": F.col("hit")}, {"__last": F.when(F.col("hit") == 1, F.col("__n"))}, before=True)
-    n, last = F.col("__n") - 1, F.coalesce("__last", F.lit(0))
-    return seen.select("pool", "draw_id", "label", n.alias("n"), F.coalesce("c", F.lit(0)).alias("c"), (n - last).alias("gap"), ((n > 0) & (last == n)).alias("prev"), "hit")
+    numbered = running(hist, ["pool"], F.date_trunc("day", "t"), ["t", "draw_id"], {"__n": F.lit(1)})
+    grid = spine(numbered.select("pool", "draw_id", "__n", "numbers"), m.low, m.high)
+    bucket, place = F.floor((F.col("__n") - 1) / BUCKET), F.col("__n") - F.col("__b") * BUCKET - 1
+    halved = lambda draws: F.pow(F.lit(2.0), -draws / F.lit(float(HALF_LIFE)))
+    grid = grid.select("pool", "draw_id", "label", "__n", bucket.alias("__b"), F.array_contains("numbers", F.col("label").cast("long")).cast("int").alias("hit"))
+    grid = grid.withColumn("__w", F.when(F.col("hit") == 1, halved(-place)).otherwise(0.0)).withColumn("__at", F.when(F.col("hit") == 1, F.col("__n")))
+    # A bucket's decayed count, at its end; one that isn't full is followed by none.
+    totals = grid.groupBy("pool", "label", "__b").agg(F.sum("hit").alias("tc"), F.max("__at").alias("tl"), (F.sum("__w") * 2.0 ** (-(BUCKET - 1) / HALF_LIFE)).alias("td"))
+    by = Window.partitionBy("pool", "label").orderBy("__b")
+    earlier = by.rowsBetween(Window.unboundedPreceding, -1)
+    decayed = sum((F.coalesce(F.lag("td", i).over(by), F.lit(0.0)) * 2.0 ** (-BUCKET * (i - 1) / HALF_LIFE) for i in range(1, REACH + 1)), F.lit(0.0))
+    starts = totals.select("pool", "label", "__b", F.coalesce(F.sum("tc").over(earlier), F.lit(0)).alias("sc"), F.max("tl").over(earlier).alias("sl"), decayed.alias("sd"))
+    inner = Window.partitionBy("pool", "label", "__b").orderBy("__n").rowsBetween(Window.unboundedPreceding, -1)
+    seen = grid.join(starts, ["pool", "label", "__b"])
+    seen = seen.withColumns({"ic": F.sum("hit").over(inner), "il": F.max("__at").over(inner), "iw": F.sum("__w").over(inner)})
+    n, last = F.col("__n") - 1, F.coalesce(F.greatest("il", "sl"), F.lit(0))
+    both = F.coalesce("iw", F.lit(0.0)) * halved(place - 1) + F.col("sd") * halved(place)
+    return seen.select("pool", "draw_id", "label", n.alias("n"), (F.coalesce("ic", F.lit(0)) + F.col("sc")).alias("c"), both.alias("decayed"), (n - last).alias("gap"), ((n > 0) & (last == n)).alias("prev"), "hit")
 
 
 def walk_forward(hist: DataFrame, m: Matrix) -> DataFrame:
-    """pool, draw_id, log_score: the log probability of every draw after WARMUP under the frequency model, less that of
-    an even draw. Each draw is scored from the draws before it only."""
-    p = m.k / m.n
-    f = features(hist, m).where(f"n >= {WARMUP}")
-    w = f.withColumn("w", (F.col("c") + FREQUENCY_PSEUDO * p) / (F.col("n") + FREQUENCY_PSEUDO) / p)
-    powers = [F.col("w")]
-    while len(powers) < m.k:
-        powers.append(powers[-1] * F.col("w"))
-    sums = w.groupBy("pool", "draw_id").agg(F.sum(F.when(F.col("hit") == 1, F.ln("w"))).alias("drawn"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(powers, 1)])
+    """pool, draw_id, model, log_score: the log probability of every draw after WARMUP under the frequency and the decayed model,
+    less that of an even draw. Each draw is scored from the draws before it only."""
+    p, n = m.k / m.n, F.col("n")
+    fade = 0.5 ** (1 / HALF_LIFE)
+    mass = (1 - F.pow(F.lit(fade), n)) / (1 - fade)
+    weights = {"frequency": (F.col("c") + FREQUENCY_PSEUDO * p) / (n + FREQUENCY_PSEUDO) / p, "decayed": (F.col("decayed") + DECAYED_PSEUDO * p) / (mass + DECAYED_PSEUDO) / p}
+    f = features(hist, m).where(f"n >= {WARMUP}").withColumns({f"w_{k}": w for k, w in weights.items()})
+    sums = []
+    for model in weights:
+        w = power = F.col(f"w_{model}")
+        sums.append(F.sum(F.when(F.col("hit") == 1, F.ln(w))).alias(f"drawn_{model}"))
+        for i in range(1, m.k + 1):
+            sums.append(F.sum(power).alias(f"s{i}_{model}"))
+            power = power * w
+    rows = f.groupBy("pool", "draw_id").agg(*sums)
+    per = [F.struct(F.lit(model).alias("model"), F.col(f"drawn_{model}").alias("drawn"), *[F.col(f"s{i}_{model}").alias(f"s{i}") for i in range(1, m.k + 1)]) for model in weights]
+    rows = rows.select("pool", "draw_id", F.inline(F.array(*per)))
     e = [F.lit(1.0)]
     for k in range(1, m.k + 1):
-        sums = sums.withColumn(f"e{k}", sum(((1 if i % 2 else -1) * e[k - i] * F.col(f"s{i}") for i in range(1, k + 1)), F.lit(0.0)) / k)
+        rows = rows.withColumn(f"e{k}", sum(((1 if i % 2 else -1) * e[k - i] * F.col(f"s{i}") for i in range(1, k + 1)), F.lit(0.0)) / k)
         e.append(F.col(f"e{k}"))
-    return sums.select("pool", "draw_id", (F.col("drawn") - F.ln(f"e{m.k}") + F.ln(F.lit(float(comb(m.n, m.k))))).alias("log_score"))
+    return rows.select("pool", "draw_id", "model", (F.col("drawn") - F.ln(f"e{m.k}") + F.ln(F.lit(float(comb(m.n, m.k))))).alias("log_score"))
 
 
 def e_values(scores: DataFrame) -> DataFrame:
-    """pool: draws, cumulative log score and the e-value exp(sum), its exponent held at 700."""
+    """pool, model: draws, cumulative log score and the e-value exp(sum), its exponent held at 700."""
     s = F.sum("log_score")
-    return scores.groupBy("pool").agg(F.count(F.lit(1)).alias("n"), s.alias("log_e"), F.exp(F.least(s, F.lit(700.0))).alias("e_value"))
+    return scores.groupBy("pool", "model").agg(F.count(F.lit(1)).alias("n"), s.alias("log_e"), F.exp(F.least(s, F.lit(700.0))).alias("e_value"))
 
 
 def gate(scores: DataFrame) -> DataFrame:
-    """One row: mean log score, its standard error, the share of pools it gains in, the conditions met, and passed."""
+    """model: mean log score, its standard error, the share of pools it gains in, the conditions met, and passed."""
     x = F.col("log_score")
-    pools = scores.groupBy("pool").agg(F.count(x).cast("double").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    pools = scores.groupBy("model", "pool").agg(F.count(x).cast("double").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
     n, s = F.sum("n"), F.sum("s")
-    out = pools.agg((s / n).alias("mean"), F.sqrt((F.sum("q") - s * s / n) / (n - 1) / n).alias("se"), s.alias("log_e"), F.mean((F.col("s") > 0).cast("double")).alias("pools_gained"))
+    out = pools.groupBy("model").agg((s / n).alias("mean"), F.sqrt((F.sum("q") - s * s / n) / (n - 1) / n).alias("se"), s.alias("log_e"), F.mean((F.col("s") > 0).cast("double")).alias("pools_gained"))
     rules = {"gains": F.col("mean") > 0, "above_error": F.col("mean") > 1.96 * F.col("se"), "evidence": F.col("log_e") > 3.0, "most_pools": F.col("pools_gained") > 0.5}
     met = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
     return out.withColumn("met", F.array_join(met, ";")).withColumn("passed", F.size(met) == len(rules))

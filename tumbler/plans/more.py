@@ -103,17 +103,21 @@ def exact_pmfs(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ models
-PRIOR = "o AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY t, draw_id) AS k FROM h), gr AS (SELECT o.pool, o.draw_id, o.k, lab.label, list_contains(o.numbers, lab.label)::INT AS hit FROM o CROSS JOIN lab), f AS (SELECT pool, draw_id, label, hit, (k - 1)::BIGINT AS n, coalesce(sum(hit) OVER w, 0)::BIGINT AS c, (k - 1 - coalesce(max(CASE WHEN hit = 1 THEN k END) OVER w, 0))::BIGINT AS gap, coalesce(lag(hit) OVER (PARTITION BY pool, label ORDER BY k), 0) = 1 AS prev FROM gr WINDOW w AS (PARTITION BY pool, label ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+PRIOR = "o AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY t, draw_id) AS k FROM h), gr AS (SELECT o.pool, o.draw_id, o.k, lab.label, list_contains(o.numbers, lab.label)::INT AS hit FROM o CROSS JOIN lab), f AS (SELECT pool, draw_id, label, hit, (k - 1)::BIGINT AS n, coalesce(sum(hit) OVER w, 0)::BIGINT AS c, (k - 1 - coalesce(max(CASE WHEN hit = 1 THEN k END) OVER w, 0))::BIGINT AS gap, coalesce(sum(hit * pow(2.0::DOUBLE, k / 50.0::DOUBLE)) OVER w, 0) * pow(2.0::DOUBLE, -(k - 1) / 50.0::DOUBLE) AS decayed, coalesce(lag(hit) OVER (PARTITION BY pool, label ORDER BY k), 0) = 1 AS prev FROM gr WINDOW w AS (PARTITION BY pool, label ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
 
 
-@query("expanding_features", sql(f", {PRIOR} SELECT pool, draw_id, label::BIGINT AS label, n, c, gap, prev FROM f"))
+@query("expanding_features", sql(f", {PRIOR} SELECT pool, draw_id, label::BIGINT AS label, n, c, round(decayed, 6) AS decayed, gap, prev FROM f"))
 def expanding_features(spark, sf_dir):
-    return models.features(views.history(spark, sf_dir), MATRIX).select("pool", "draw_id", F.col("label").cast("long").alias("label"), "n", "c", "gap", "prev")
+    return models.features(views.history(spark, sf_dir), MATRIX).select("pool", "draw_id", F.col("label").cast("long").alias("label"), "n", "c", F.round("decayed", 6).alias("decayed"), "gap", "prev")
 
 
 HITS = ", r AS (SELECT *, row_number() OVER (PARTITION BY pool, draw_id ORDER BY c DESC, label) AS r FROM f WHERE n >= 100), ph AS (SELECT pool, draw_id, sum(hit) FILTER (r <= 10)::BIGINT AS hits10, sum(hit) FILTER (r <= 15)::BIGINT AS hits15, sum(hit) FILTER (r <= 20)::BIGINT AS hits20 FROM r GROUP BY pool, draw_id)"
-SCORED = f", w AS (SELECT pool, draw_id, hit, (c + 100 * {P}::DOUBLE) / (n + 100) / {P}::DOUBLE AS w FROM f WHERE n >= 100), ps AS (SELECT pool, draw_id, sum(CASE WHEN hit = 1 THEN ln(w) END) AS drawn, sum(w) AS s1, sum(w * w) AS s2, sum(w * w * w) AS s3, sum(w * w * w * w) AS s4, sum(w * w * w * w * w) AS s5 FROM w GROUP BY ALL), es AS (SELECT *, (s1 * s1 - s2) / 2 AS e2, (e2 * s1 - s1 * s2 + s3) / 3 AS e3, (e3 * s1 - e2 * s2 + s1 * s3 - s4) / 4 AS e4, (e4 * s1 - e3 * s2 + e2 * s3 - s1 * s4 + s5) / 5 AS e5 FROM ps), sc AS (SELECT pool, draw_id, drawn - ln(e5) + ln(1533939.0::DOUBLE) AS log_score FROM es)"
-POOLED = ", ev AS (SELECT pool, count(*)::BIGINT AS n, sum(log_score) AS log_e FROM sc GROUP BY pool)"
+SCORED = f""", w AS (SELECT pool, draw_id, hit, 'frequency' AS model, (c + 100 * {P}::DOUBLE) / (n + 100) / {P}::DOUBLE AS w FROM f WHERE n >= 100 UNION ALL
+    SELECT pool, draw_id, hit, 'decayed', (decayed + 25 * {P}::DOUBLE) / ((1 - pow({0.5 ** (1 / 50)!r}::DOUBLE, n)) / (1 - {0.5 ** (1 / 50)!r}::DOUBLE) + 25) / {P}::DOUBLE FROM f WHERE n >= 100),
+ps AS (SELECT pool, draw_id, model, sum(CASE WHEN hit = 1 THEN ln(w) END) AS drawn, sum(w) AS s1, sum(w * w) AS s2, sum(w * w * w) AS s3, sum(w * w * w * w) AS s4, sum(w * w * w * w * w) AS s5 FROM w GROUP BY ALL),
+es AS (SELECT *, (s1 * s1 - s2) / 2 AS e2, (e2 * s1 - s1 * s2 + s3) / 3 AS e3, (e3 * s1 - e2 * s2 + s1 * s3 - s4) / 4 AS e4, (e4 * s1 - e3 * s2 + e2 * s3 - s1 * s4 + s5) / 5 AS e5 FROM ps),
+sc AS (SELECT pool, draw_id, model, drawn - ln(e5) + ln(1533939.0::DOUBLE) AS log_score FROM es)"""
+POOLED = ", ev AS (SELECT pool, model, count(*)::BIGINT AS n, sum(log_score) AS log_e FROM sc GROUP BY ALL)"
 
 
 @query("m001_pool_hits", sql(f", {PRIOR}{HITS} SELECT * FROM ph"))
@@ -122,29 +126,29 @@ def m001_pool_hits(spark, sf_dir):
     return models.pool_hits(views.history(spark, sf_dir), MATRIX)
 
 
-@query("walkforward_scores", sql(f", {PRIOR}{SCORED} SELECT pool, draw_id, round(log_score, 6) AS log_score FROM sc"))
+@query("walkforward_scores", sql(f", {PRIOR}{SCORED} SELECT pool, draw_id, model, round(log_score, 6) AS log_score FROM sc"))
 def walkforward_scores(spark, sf_dir):
     return models.walk_forward(views.history(spark, sf_dir), MATRIX).withColumn("log_score", F.round("log_score", 6))
 
 
-@query("e_values", sql(f", {PRIOR}{SCORED}{POOLED} SELECT pool, n, round(log_e, 5) AS log_e, log_e > ln(20.0::DOUBLE) AS evidence FROM ev"))
+@query("e_values", sql(f", {PRIOR}{SCORED}{POOLED} SELECT pool, model, n, round(log_e, 5) AS log_e, log_e > ln(20.0::DOUBLE) AS evidence FROM ev"))
 def e_values(spark, sf_dir):
     e = models.e_values(models.walk_forward(views.history(spark, sf_dir), MATRIX))
-    return e.select("pool", "n", F.round("log_e", 5).alias("log_e"), (F.col("e_value") > 20).alias("evidence"))
+    return e.select("pool", "model", "n", F.round("log_e", 5).alias("log_e"), (F.col("e_value") > 20).alias("evidence"))
 
 
-@query("model_gate", sql(f", {PRIOR}{SCORED}{POOLED}, t AS (SELECT avg(log_score) AS mean, stddev_samp(log_score) / sqrt(count(*)) AS se, sum(log_score) AS log_e FROM sc), g AS (SELECT avg((log_e > 0)::INT) AS pools_gained FROM ev) SELECT round(mean, 6) AS mean, round(se, 6) AS se, round(log_e, 4) AS log_e, round(pools_gained, 6) AS pools_gained, array_to_string(list_filter([CASE WHEN mean > 0 THEN 'gains' END, CASE WHEN mean > 1.96 * se THEN 'above_error' END, CASE WHEN log_e > 3 THEN 'evidence' END, CASE WHEN pools_gained > 0.5 THEN 'most_pools' END], lambda x: x IS NOT NULL), ';') AS met, mean > 0 AND mean > 1.96 * se AND log_e > 3 AND pools_gained > 0.5 AS passed FROM t, g"))
+@query("model_gate", sql(f", {PRIOR}{SCORED}{POOLED}, t AS (SELECT model, avg(log_score) AS mean, stddev_samp(log_score) / sqrt(count(*)) AS se, sum(log_score) AS log_e FROM sc GROUP BY model), g AS (SELECT model, avg((log_e > 0)::INT) AS pools_gained FROM ev GROUP BY model) SELECT t.model, round(mean, 6) AS mean, round(se, 6) AS se, round(log_e, 4) AS log_e, round(pools_gained, 6) AS pools_gained, array_to_string(list_filter([CASE WHEN mean > 0 THEN 'gains' END, CASE WHEN mean > 1.96 * se THEN 'above_error' END, CASE WHEN log_e > 3 THEN 'evidence' END, CASE WHEN pools_gained > 0.5 THEN 'most_pools' END], lambda x: x IS NOT NULL), ';') AS met, mean > 0 AND mean > 1.96 * se AND log_e > 3 AND pools_gained > 0.5 AS passed FROM t JOIN g ON g.model = t.model"))
 def model_gate(spark, sf_dir):
     g = models.gate(models.walk_forward(views.history(spark, sf_dir), MATRIX))
-    return g.select(F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), F.round("log_e", 4).alias("log_e"), F.round("pools_gained", 6).alias("pools_gained"), "met", "passed")
+    return g.select("model", F.round("mean", 6).alias("mean"), F.round("se", 6).alias("se"), F.round("log_e", 4).alias("log_e"), F.round("pools_gained", 6).alias("pools_gained"), "met", "passed")
 
 
-@query("candidate_pool", sql(f", {PRIOR}{HITS}{SCORED}{POOLED}, l AS (SELECT pool, avg(hits15) / (15 * 5 / 47.0::DOUBLE) AS lift FROM ph GROUP BY pool) SELECT pool, round(log_e, 5) AS log_e, round(lift, 6) AS lift FROM ev JOIN l USING (pool) ORDER BY log_e DESC, lift DESC, pool LIMIT 1"))
+@query("candidate_pool", sql(f", {PRIOR}{HITS}{SCORED}{POOLED}, l AS (SELECT pool, avg(hits15) / (15 * 5 / 47.0::DOUBLE) AS lift FROM ph GROUP BY pool) SELECT pool, round(log_e, 5) AS log_e, round(lift, 6) AS lift FROM ev JOIN l USING (pool) WHERE model = 'frequency' ORDER BY log_e DESC, lift DESC, pool LIMIT 1"))
 def candidate_pool(spark, sf_dir):
     """The pool that the model does best in: by cumulative score, then lift of its 15 likeliest labels, then name."""
     h = views.history(spark, sf_dir)
     lift = models.pool_hits(h, MATRIX).groupBy("pool").agg((F.avg("hits15") / (15 * 5 / 47.0)).alias("lift"))
-    both = models.e_values(models.walk_forward(h, MATRIX)).join(lift, "pool")
+    both = models.e_values(models.walk_forward(h, MATRIX)).where("model = 'frequency'").join(lift, "pool")
     return models.candidate(both).select("pool", F.round("log_e", 5).alias("log_e"), F.round("lift", 6).alias("lift"))
 
 

@@ -7,7 +7,7 @@ import pytest
 
 from tests.llm.fixtures import SCHEMA, clashing, rows, table, texts
 from tests.llm.test_first import split
-from tumbler.llm import contamination, jaccard_join
+from tumbler.llm import contamination, jaccard_join, mixing
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -54,8 +54,17 @@ def test_stages(spark, sf):
             assert 1010 in {r[0] for r in after} and all(r[4] == len(r[1]) for r in after if r not in before)
         if i == 3:
             assert set(after) <= set(before) and all(n <= 2 * before[r] for r, n in after.items())
-            size = lambda c: sum(len(split(r[1])) * n for r, n in c.items())
-            assert abs(size(after) - 1.5 * size(before)) < 0.25 * size(before)
+            # Each source comes as near its target as whole documents, 0 to 2 times, can.
+            words, names = {r: len(split(r[1])) for r in before}, sorted({r[3] for r in before}, key=lambda s: (s is None, s or ""))
+            sizes = {s: sum(words[r] * n for r, n in before.items() if r[3] == s) for s in names}
+            targets = mixing.fill(sizes, {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}, 1.5 * sum(sizes.values()), 2)
+            for s, t in targets.items():
+                sums = 1  # bit x: documents of this source can add up to x words
+                for r, n in before.items():
+                    for _ in range(n if r[3] == s else 0):
+                        sums |= sums << words[r] | sums << 2 * words[r]
+                nearest = min(abs(x - t) for x in range(sums.bit_length()) if sums >> x & 1)
+                assert abs(sum(words[r] * n for r, n in after.items() if r[3] == s) - t) <= nearest + 1 + 0.01 * t
         if i == 4:
             assert sum(after.values()) == sum(before.values())
             assert Counter(r["doc_id"] for r in out.collect()) == Counter(r[0] for r in before.elements())

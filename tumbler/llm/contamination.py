@@ -217,6 +217,22 @@ def op10_suffix_automaton(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def sql() -> str:
+    """DuckDB SQL for op10_suffix_automaton."""
+    words = lambda table, key: f"""SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table}"""
+    return f"""
+    WITH d AS ({words("documents", "doc_id")}), i AS ({words("benchmark", "item_id")}),
+    iw AS (SELECT item_id, {WINDOW} AS m, array_to_string(w[j : j + {WINDOW - 1}], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS j FROM i WHERE len(w) >= {WINDOW})
+        UNION ALL SELECT item_id, len(w), array_to_string(w, ' ') FROM i WHERE len(w) BETWEEN 1 AND {WINDOW - 1}),
+    dw AS (SELECT doc_id, j, m, array_to_string(w[j : j + m - 1], ' ') AS s FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS j FROM d, (SELECT DISTINCT m FROM iw) WHERE len(w) >= m)),
+    hit AS (SELECT DISTINCT dw.doc_id, dw.j, dw.m, iw.item_id FROM dw JOIN iw ON iw.m = dw.m AND iw.s = dw.s),
+    n AS (SELECT doc_id, count(DISTINCT j + k) AS n_hit FROM hit, range({WINDOW}) r(k) WHERE k < m GROUP BY doc_id),
+    its AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id)
+    SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id"""
+
+
 def brute(docs: list[tuple], items: list[tuple], window: int = WINDOW) -> list[tuple]:
     """For tests: the same rows by comparing every window with every place."""
     out = []

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tumbler.llm.common import cut, drop, few_rows, pieces, shuffles
+from tumbler.llm.common import SPACE, cut, drop, few_rows, pieces, shuffles
 from tumbler.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -365,6 +365,19 @@ def op3_group_matrix(spark, sf_dir: str) -> DataFrame:
     return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def sql() -> str:
+    """DuckDB SQL for op3_group_matrix: all pairs that share a shingle, then everything that links reach."""
+    return f"""
+    WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACE}'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[j : j + {SHINGLE - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS j FROM d WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {PERCENT} * (x.n + y.n - c)),
+    way AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach(node, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT way.b, reach.root FROM reach JOIN way ON way.a = reach.node)
+    SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON reach.node = d.doc_id GROUP BY d.doc_id"""
+
+
 def brute(docs: list[tuple]) -> list[tuple]:
     """For tests: the same rows by comparing all pairs of shingle sets."""
     def cut_up(text):

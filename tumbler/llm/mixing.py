@@ -111,7 +111,7 @@ def _augment(flow: dict, holders: dict, members: dict, spare: dict, lacks: dict)
 
 
 def choose(have: dict[tuple[int, int], int], want: int) -> set[tuple[int, int]]:
-    """Buckets (class, bucket) -> tokens whose tokens add up to nearly want: each size class gives its share,
+    """Buckets (class, bucket) -> tokens whose tokens add up to about want: each size class gives its share,
     large sizes first, and what a class can't give exactly goes on to the next smaller one."""
     total, taken, carry = sum(have.values()), set(), 0.0
     for c in sorted({c for c, _ in have}, reverse=True):
@@ -121,19 +121,6 @@ def choose(have: dict[tuple[int, int], int], want: int) -> set[tuple[int, int]]:
             if have[k] <= carry:
                 taken.add(k)
                 carry -= have[k]
-    # Then the best single exchange of a taken bucket (or none) for another (or none), while that helps.
-    gap = want - sum(have[k] for k in taken)
-    while abs(gap) > 1:
-        out = [(0, None), *sorted((have[k], k) for k in taken if have[k])]
-        new = [(0, None), *sorted((have[k], k) for k in set(have) - taken if have[k])]
-        sizes = np.array([n for n, _ in new])
-        at = np.searchsorted(sizes, np.array([gap + n for n, _ in out]))
-        moves = [(abs(gap + n - new[j][0]), i, j) for i, (n, _) in enumerate(out) for j in {max(0, at[i] - 1), min(len(new) - 1, at[i])}]
-        left, i, j = min(moves)
-        if left >= abs(gap):
-            break
-        taken = taken - {out[i][1]} | {new[j][1]} - {None}
-        gap = want - sum(have[k] for k in taken)
     return taken
 
 
@@ -141,7 +128,7 @@ def copies(have: dict[tuple[int, int], int], want: int, most: int) -> dict[tuple
     """How often each bucket (class, bucket) -> tokens is taken so that the tokens add up to nearly want.
 
     Of few buckets every way is tried: the nearest sum, then the least repetition. Else all are taken as often as they fit
-    and a choice of them once more.
+    and a choice of them once more; then one bucket more (or none) and another less (or none), as long as that helps.
     """
     keys = sorted(have)
     if len(keys) <= FEW_CELLS:
@@ -150,7 +137,22 @@ def copies(have: dict[tuple[int, int], int], want: int, most: int) -> dict[tuple
         return dict(zip(keys, min(ways, key=cost)))
     whole, part = divmod(want, sum(have.values()))
     extra = choose(have, part) if part else set()
-    return {k: whole + (k in extra) for k in keys}
+    out = {k: min(most, whole + (k in extra)) for k in keys}
+    gap = want - sum(n * have[k] for k, n in out.items())
+    while abs(gap) > 1:
+        less = [(0, None), *sorted((have[k], k) for k in keys if out[k])]
+        more = [(0, None), *sorted((have[k], k) for k in keys if out[k] < most)]
+        sizes = np.array([n for n, _ in more])
+        at = np.searchsorted(sizes, np.array([gap + n for n, _ in less]))
+        moves = [(abs(gap + n - more[j][0]), i, j) for i, (n, _) in enumerate(less) for j in {max(0, at[i] - 1), min(len(more) - 1, at[i])}]
+        left, i, j = min(moves)
+        if left >= abs(gap):
+            break
+        for k, d in ((less[i][1], -1), (more[j][1], 1)):
+            if k is not None:
+                out[k] += d
+        gap = want - sum(n * have[k] for k, n in out.items())
+    return out
 
 
 def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 4, keep: list[str] | None = None):

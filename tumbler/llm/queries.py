@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.sql(), "op5_warc_revisits": warc.sql()}
+    return {"op2_quality_rules": quality_rules.sql(), "op3_group_matrix": jaccard_join.sql(), "op5_warc_revisits": warc.sql(), "op10_suffix_automaton": contamination.sql()}

@@ -52,12 +52,12 @@ def test_word_pieces_match_greedy(spark):
 def test_registered_word_pieces(spark, tmp_path):
     """With the production vocabulary, against greedy matching of the same pieces."""
     path = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
-    have = {p + b"\0" if ends else p for p, ends in token_counts.read_pieces(path)}
+    have = {tuple(p) + ((token_counts.END,) if ends else ()) for p, ends in token_counts.read_pieces(path)}
 
     def greedy(word):
-        left, n = word.encode() + b"\0", 0
+        left, n = (*word.encode(), token_counts.END), 0
         while left:
-            k = next((k for k in range(min(len(left), 60), 0, -1) if left[:k] in have), 0)
+            k = next((k for k in range(min(len(left), 80), 0, -1) if left[:k] in have), 0)
             if not k:
                 return 1
             left, n = left[k:], n + 1

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tumbler.llm import contamination, jaccard_join, lm_score, mixing, periodic_runs, quality_rules, repeats, sharding, token_counts, token_store, warc
+from tumbler.llm import contamination, jaccard_join, lm_score, mixing, packing, periodic_runs, quality_rules, repeats, sharding, spelling, token_counts, token_store, warc
 
 
 def queries() -> dict:
-    found = [token_counts.op1_word_pieces, quality_rules.op2_quality_rules, jaccard_join.op3_group_matrix, mixing.op4_mix_flow, warc.op5_warc_revisits, repeats.op6_previous_factors, token_store.op7_token_shards, lm_score.op8_ppm_score, sharding.op9_shard_matrix, contamination.op10_suffix_automaton, periodic_runs.op11_block_convolution]
+    found = [token_counts.op1_word_pieces, quality_rules.op2_quality_rules, jaccard_join.op3_group_matrix, mixing.op4_mix_flow, warc.op5_warc_revisits, repeats.op6_previous_factors, token_store.op7_token_shards, lm_score.op8_ppm_score, sharding.op9_shard_matrix, contamination.op10_suffix_automaton, periodic_runs.op11_block_convolution, spelling.op12_search_schemes, packing.op13_differencing]
     return {f.__name__: f for f in found}
 
 

@@ -10,10 +10,8 @@ The driver holds one number for each source and one for each pattern, not docume
 
 from __future__ import annotations
 
-import itertools
 import json
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,9 +19,9 @@ from pyspark.sql import functions as F
 from tumbler.llm.common import cut, drop, few_rows, words_of
 
 WEIGHTS = (3, 1, 2)
-BUCKETS = 64
-#: Patterns of so few cells get the best of all ways to copy them.
-FEW_CELLS = 6
+BUCKETS = 256
+#: Bits that hold the reachable sums of a pattern's small cells.
+BITS = 1 << 30
 BROADCAST_ROWS = 200_000
 
 
@@ -110,49 +108,51 @@ def _augment(flow: dict, holders: dict, members: dict, spare: dict, lacks: dict)
     return moved
 
 
-def choose(have: dict[tuple[int, int], int], want: int) -> set[tuple[int, int]]:
-    """Buckets (class, bucket) -> tokens whose tokens add up to about want: each size class gives its share,
-    large sizes first, and what a class can't give exactly goes on to the next smaller one."""
-    total, taken, carry = sum(have.values()), set(), 0.0
-    for c in sorted({c for c, _ in have}, reverse=True):
-        own = sorted(k for k in have if k[0] == c)
-        carry += want * sum(have[k] for k in own) / max(total, 1)
-        for k in own:
-            if have[k] <= carry:
-                taken.add(k)
-                carry -= have[k]
-    return taken
+def nearest(sizes: list[int], want: int, most: int) -> list[int]:
+    """How often (0 to most) each size is taken so that the sum is the nearest to want that there is; of the ways to reach
+    it one that takes sizes about equally often, the last ones first. Bit n of a number says whether the sum n is reachable."""
+    total = sum(sizes)
+    bound = (1 << max(0, min(want + max(sizes, default=0), most * total)) + 1) - 1
+    reach = [1]
+    for n in sizes:
+        now = reach[-1]
+        for c in range(1, most + 1):
+            now |= reach[-1] << c * n
+        reach.append(now & bound)
+    below, above = reach[-1] & (1 << max(0, want) + 1) - 1, reach[-1] >> max(0, want)
+    low, high = below.bit_length() - 1, max(0, want) + (above & -above).bit_length() - 1
+    at = low if not above or want - low <= high - want else high
+    ways = sorted(range(most + 1), key=lambda c: abs(c - at / max(total, 1)))
+    out = []
+    for n, before in zip(reversed(sizes), reversed(reach[:-1])):
+        out.append(next(c for c in ways if at >= c * n and before >> at - c * n & 1))
+        at -= out[-1] * n
+    return out[::-1]
 
 
 def copies(have: dict[tuple[int, int], int], want: int, most: int) -> dict[tuple[int, int], int]:
     """How often each bucket (class, bucket) -> tokens is taken so that the tokens add up to nearly want.
 
-    Of few buckets every way is tried: the nearest sum, then the least repetition. Else all are taken as often as they fit
-    and a choice of them once more; then one bucket more (or none) and another less (or none), as long as that helps.
+    The largest buckets are taken in turn, each as often as its share of want and what the ones before it left over allow,
+    and so that the smaller ones can make up the rest. The small ones, all of them where the sums they can have are at most
+    BITS numbers in all, fill what is left as nearly as any way of taking them can.
     """
-    keys = sorted(have)
-    if len(keys) <= FEW_CELLS:
-        ways = itertools.product(range(most + 1), repeat=len(keys))
-        cost = lambda w: (abs(want - sum(n * have[k] for n, k in zip(w, keys))), sum(n * n * have[k] for n, k in zip(w, keys)), w)
-        return dict(zip(keys, min(ways, key=cost)))
-    whole, part = divmod(want, sum(have.values()))
-    extra = choose(have, part) if part else set()
-    out = {k: min(most, whole + (k in extra)) for k in keys}
-    gap = want - sum(n * have[k] for k, n in out.items())
-    while abs(gap) > 1:
-        less = [(0, None), *sorted((have[k], k) for k in keys if out[k])]
-        more = [(0, None), *sorted((have[k], k) for k in keys if out[k] < most)]
-        sizes = np.array([n for n, _ in more])
-        at = np.searchsorted(sizes, np.array([gap + n for n, _ in less]))
-        moves = [(abs(gap + n - more[j][0]), i, j) for i, (n, _) in enumerate(less) for j in {max(0, at[i] - 1), min(len(more) - 1, at[i])}]
-        left, i, j = min(moves)
-        if left >= abs(gap):
+    keys = sorted(have, key=lambda k: (have[k], k))
+    few, tokens, rest = 0, 0, sum(have.values())
+    for k in keys:
+        tokens += have[k]
+        if (few + 1) * most * tokens > BITS:
             break
-        for k, d in ((less[i][1], -1), (more[j][1], 1)):
-            if k is not None:
-                out[k] += d
-        gap = want - sum(n * have[k] for k, n in out.items())
-    return out
+        few += 1
+    out, left, carry, share = {}, want, 0.0, want / max(1, rest)
+    for k in reversed(keys[few:]):
+        rest -= have[k]
+        carry += share * have[k]
+        least, highest = -(-(left - most * rest) // have[k]), left // have[k]
+        out[k] = max(0, min(most, highest, max(least, int(carry // have[k]))))
+        left -= out[k] * have[k]
+        carry -= out[k] * have[k]
+    return out | dict(zip(keys[:few], nearest([have[k] for k in keys[:few]], left, most)))
 
 
 def mix(docs: DataFrame, sources: Column, id_col: str = "doc_id", text_col: str = "text", weights: tuple = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 4, keep: list[str] | None = None):

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +99,15 @@ def pieces(n: int, each: int) -> int:
     return max(1, math.ceil(n / each))
 
 
+def bucket_slices(sorted_hashes: np.ndarray, buckets: int) -> dict[int, tuple[int, int]]:
+    """bucket -> (start, end) of the sorted 64-bit hashes in it, for the buckets that have some. A hash h is in bucket
+    floor(h * buckets / 2^64), with at most 2^31 buckets; the time depends on the hashes alone."""
+    n, half = np.uint64(buckets), np.uint64(32)
+    of = ((sorted_hashes >> half) * n + ((sorted_hashes & np.uint64(0xFFFFFFFF)) * n >> half)) >> half
+    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    return {b: (i, j) for b, i, j in zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(of)])}
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have in any letter case."""
     taken = {c.lower() for c in df.columns}

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tumbler.llm.common import SPACE, cut, drop, few_rows, pieces, shuffles
+from tumbler.llm.common import SPACE, bucket_slices, cut, drop, few_rows, pieces, shuffles
 from tumbler.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -166,11 +166,6 @@ def _key_bits(h: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8)[:, 1:6])
 
 
-def _cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    bounds = np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(sorted_hashes, bounds), len(sorted_hashes))
-
-
 def _sets(table: pa.Table) -> list[tuple]:
     """(key, digest, set) of each distinct text of a block, in a fixed order."""
     hashes, by = WordHashes(), {}
@@ -181,10 +176,10 @@ def _sets(table: pa.Table) -> list[tuple]:
 
 
 def _prefixes(sets: list[tuple], buckets: int):
-    """Distinct low hashes of a block, sorted, in how many sets each stands (255 at most), and where buckets begin."""
+    """Distinct low hashes of a block, sorted, in how many sets each stands (255 at most), and each bucket's part of them."""
     low = [lowest(s) for _, _, s in sets if len(s)]
     tokens, count = np.unique(np.concatenate(low), return_counts=True) if low else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return tokens, np.minimum(count, 255).astype(np.uint8), _cuts(tokens, buckets)
+    return tokens, np.minimum(count, 255).astype(np.uint8), bucket_slices(tokens, buckets)
 
 
 def chosen(tokens: np.ndarray, df: np.ndarray) -> np.ndarray:
@@ -267,7 +262,7 @@ def join_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def send(table: pa.Table) -> pa.Table:
         tokens, count, at = _prefixes(_sets(table), buckets)
         block = table.column("block")[0].as_py()
-        rows = [{"bucket": b, "block": block, "keys": _key_bits(tokens[at[b] : at[b + 1]]).tobytes(), "counts": count[at[b] : at[b + 1]].tobytes()} for b in range(buckets) if at[b] < at[b + 1]]
+        rows = [{"bucket": b, "block": block, "keys": _key_bits(tokens[i:j]).tobytes(), "counts": count[i:j].tobytes()} for b, (i, j) in at.items()]
         return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     def count(table: pa.Table) -> pa.Table:

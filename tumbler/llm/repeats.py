@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tumbler.llm.common import cut, pieces, shuffles
+from tumbler.llm.common import bucket_slices, cut, pieces, shuffles
 
 LENGTH, K = 50, 25
 LEFT = LENGTH - K  # bytes of context before an anchor; LENGTH bytes from it on
@@ -107,19 +107,19 @@ class Block:
         return at + a, second_hash(h[own][at])
 
     def distinct(self, buckets: int):
-        """Sorted distinct hashes, which of them stand in two documents here, and where each bucket begins."""
+        """Sorted distinct hashes, which of them stand in two documents here, and each bucket's part of them."""
         if not len(self.hash):
-            return self.hash, np.zeros(0, bool), np.zeros(buckets + 1, np.int64)
+            return self.hash, np.zeros(0, bool), {}
         order = np.argsort(self.hash, kind="stable")
         h, d = self.hash[order], self.doc[order]
         at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         several = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
-        return h[at], several, cuts(h[at], buckets)
+        return h[at], several, bucket_slices(h[at], buckets)
 
     def contexts(self, flagged: np.ndarray, buckets: int):
         """Distinct contexts of the anchors whose hash is flagged (a sorted array), by bucket.
 
-        Returns the anchors' numbers, each one's context number, and by context: bytes, first document, bucket starts.
+        Returns the anchors' numbers, each one's context number, and by context: bytes, first document, each bucket's part.
         """
         use = np.flatnonzero(np.isin(self.hash, flagged, assume_unique=False))
         at, doc = self.at[use], self.doc[use]
@@ -137,12 +137,7 @@ class Block:
         rank = np.empty(len(by), np.int64)
         rank[by] = np.arange(len(by))
         first = first[by]
-        return use, rank[of.ravel()], wide[first], doc[first], cuts(self.hash[use][first], buckets)
-
-
-def cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
-    bounds = np.array([(i << 64) // buckets for i in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(sorted_hashes, bounds), len(sorted_hashes))
+        return use, rank[of.ravel()], wide[first], doc[first], bucket_slices(self.hash[use][first], buckets)
 
 
 def key_bits(h: np.ndarray) -> np.ndarray:
@@ -278,7 +273,7 @@ def _join(rows: list[dict], block: Block, buckets: int) -> tuple[np.ndarray, lis
     hashes, _, at = block.distinct(buckets)
     flags = np.zeros(len(hashes), bool)
     for r in rows:
-        a, b = at[r["bucket"]], at[r["bucket"] + 1]
+        a, b = at[r["bucket"]]
         flags[a:b] = np.unpackbits(np.frombuffer(r["flags"], np.uint8), count=b - a).astype(bool)
     return hashes[flags], at
 
@@ -319,7 +314,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def send_hashes(table: pa.Table) -> pa.Table:
         hashes, several, at = _block(table).distinct(buckets)
         block = table.column("block")[0].as_py()
-        rows = [{"bucket": b, "block": block, "keys": key_bits(hashes[at[b] : at[b + 1]]).tobytes(), "several": _bits(several[at[b] : at[b + 1]])} for b in range(buckets) if at[b] < at[b + 1]]
+        rows = [{"bucket": b, "block": block, "keys": key_bits(hashes[i:j]).tobytes(), "several": _bits(several[i:j])} for b, (i, j) in at.items()]
         return _table(rows, "bucket int, block int, keys binary, several binary")
 
     def compare_hashes(table: pa.Table) -> pa.Table:
@@ -337,7 +332,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         flagged, _ = _join(rows, block, buckets)
         _, _, wide, first, at = block.contexts(flagged, buckets)
         ids = block.ids[first]
-        out = [{"bucket": (b := r["bucket"]), "block": r["block"], "flags": r["flags"], "wide": wide[at[b] : at[b + 1]].tobytes(), "docs": ids[at[b] : at[b + 1]].tobytes()} for r in rows]
+        parts_ = [(r, slice(*at.get(r["bucket"], (0, 0)))) for r in rows]
+        out = [{"bucket": r["bucket"], "block": r["block"], "flags": r["flags"], "wide": wide[x].tobytes(), "docs": ids[x].tobytes()} for r, x in parts_]
         return _table(out, "bucket int, block int, flags binary, wide binary, docs binary")
 
     def compare_contexts(table: pa.Table) -> pa.Table:

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+import tumbler.plans.fits  # noqa: F401
 import tumbler.plans.more  # noqa: F401
 import tumbler.plans.records  # noqa: F401
 from tumbler.plans.catalog import CATALOG

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from fractions import Fraction
-from math import comb
+from math import comb, fsum, log1p, sqrt
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +56,15 @@ def pool_pmf(m: Matrix, size: int) -> dict[int, float]:
     return hypergeometric(size, m.n - size, m.k)
 
 
+def log_gap_moments(p: float) -> tuple[float, float]:
+    """Mean and standard deviation of log(1 + gap) for geometric gaps, cut off at 40 mean gaps or 2000."""
+    last = int(max(2000, 40 * (1 - p) / p))
+    pmf = [p * (1 - p) ** g for g in range(last + 1)]
+    total = fsum(pmf)
+    mean = fsum(w * log1p(g) for g, w in enumerate(pmf)) / total
+    return mean, sqrt(fsum(w * (log1p(g) - mean) ** 2 for g, w in enumerate(pmf)) / total)
+
+
 def tail(pmf: dict[int, float], least: int) -> float:
     return sum(p for x, p in pmf.items() if x >= least)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tumbler.functions.exact import Matrix
 from tumbler.operators.history import labels, lagged, spine
+from tumbler.operators.scan import with_neighbours
 from tumbler.operators.secondary import max_rolling
 
 
@@ -106,8 +107,8 @@ def rolling_argmax(hist: DataFrame, m: Matrix, windows: list[int]) -> DataFrame:
     hits, p, out = labels(hist, ["pool", "seg", "seg_len", "idx"]), 1 / m.n, None
     for w in windows:
         fit = hits.where(F.col("seg_len") >= w)
-        by = Window.partitionBy("pool", "seg", "pos", "label").orderBy("idx")
-        at = fit.select("pool", "seg", "pos", "label", "idx", "seg_len", F.count(F.lit(1)).over(by.rangeBetween(-(w - 1), 0)).alias("back"), F.count(F.lit(1)).over(by.rangeBetween(1, w)).alias("ahead"))
+        by = Window.partitionBy("pool", "seg", "pos", "label", "__bucket").orderBy("idx")
+        at = with_neighbours(fit, "idx", w).select("pool", "seg", "pos", "label", "idx", "seg_len", "__own", F.count(F.lit(1)).over(by.rangeBetween(-(w - 1), 0)).alias("back"), F.count(F.lit(1)).over(by.rangeBetween(1, w)).alias("ahead")).where("__own")
         ends = at.where(F.col("idx") >= w).select("pool", "seg", "pos", "label", (F.col("idx") - w + 1).alias("start"), F.col("back").alias("c"))
         begins = at.where(F.col("idx") + w <= F.col("seg_len")).select("pool", "seg", "pos", "label", (F.col("idx") + 1).alias("start"), F.col("ahead").alias("c"))
         first = at.groupBy("pool", "seg", "pos", "label").agg(F.count_if(F.col("idx") <= w).alias("c")).select("pool", "seg", "pos", "label", F.lit(1).cast("long").alias("start"), "c")

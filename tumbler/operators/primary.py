@@ -5,11 +5,12 @@ Label counts include labels never drawn. Sequential statistics stay inside segme
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tumbler.functions.exact import Matrix
 from tumbler.operators.history import labels, lagged
+from tumbler.operators.scan import longest_gaps, longest_runs
 
 
 def label_counts(hist: DataFrame, m: Matrix, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -62,10 +63,9 @@ def absence(hist: DataFrame, m: Matrix) -> DataFrame:
     from the segment, the whole segment is one run.
     """
     hits = labels(hist, ["pool", "seg", "seg_len", "idx"])
-    by = Window.partitionBy("pool", "seg", "label").orderBy("idx")
-    gap = F.greatest(F.col("idx") - F.coalesce(F.lag("idx").over(by), F.lit(0)) - 1, F.when(F.lead("idx").over(by).isNull(), F.col("seg_len") - F.col("idx")).otherwise(0))
-    gaps = hits.withColumn("gap", gap)
-    return gaps.groupBy("pool", "seg", "seg_len").agg(F.max("gap").alias("gap"), F.count_distinct("label").alias("d")).select("pool", "seg", "seg_len", F.when(F.col("d") < m.n, F.col("seg_len")).otherwise(F.col("gap")).alias("drought"))
+    gaps = longest_gaps(hits, ["pool", "seg", "label"], "idx", "seg_len")
+    out = gaps.groupBy("pool", "seg", "seg_len").agg(F.max("gap").alias("gap"), F.count(F.lit(1)).alias("d"))
+    return out.select("pool", "seg", "seg_len", F.when(F.col("d") < m.n, F.col("seg_len")).otherwise(F.col("gap")).alias("drought"))
 
 
 def drought(hist: DataFrame, m: Matrix) -> DataFrame:
@@ -74,10 +74,8 @@ def drought(hist: DataFrame, m: Matrix) -> DataFrame:
 
 def streak(hist: DataFrame) -> DataFrame:
     """The longest run of draws of a segment that all hold some label."""
-    hits = labels(hist, ["pool", "seg", "idx"])
-    by = Window.partitionBy("pool", "seg", "label").orderBy("idx")
-    runs = hits.withColumn("g", F.col("idx") - F.row_number().over(by)).groupBy("pool", "seg", "label", "g").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy("pool").agg(F.max("n").alias("value"))
+    runs = longest_runs(labels(hist, ["pool", "seg", "idx"]), ["pool", "seg", "label"], "idx")
+    return runs.groupBy("pool").agg(F.max("run").alias("value"))
 
 
 def special_frequency(hist: DataFrame, m: Matrix) -> DataFrame:

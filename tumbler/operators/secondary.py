@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tumbler.functions.exact import Matrix, moments, overlap_pmf
 from tumbler.operators.history import labels, spine
 from tumbler.operators.primary import label_counts, overlap
+from tumbler.operators.scan import with_neighbours
 
 
 def lag_scan(hist: DataFrame, m: Matrix, lags: list[int]) -> DataFrame:
@@ -42,13 +43,14 @@ def rolling_extremes(hist: DataFrame, cells: int, windows: list[int], cell: list
     smallest by one that begins after a hit or is the first, or is 0 if some cell has no hit.
     """
     hits = labels(hist, ["pool", "seg", "seg_len", "idx"]).select("pool", "seg", "seg_len", "idx", *cell)
-    by, n, fits = Window.partitionBy("pool", "seg", *cell).orderBy("idx"), F.col("seg_len"), lambda w: F.col("seg_len") >= w
+    hits = with_neighbours(hits, "idx", max(windows))
+    by, n, fits = Window.partitionBy("pool", "seg", *cell, "__bucket").orderBy("idx"), F.col("seg_len"), lambda w: F.col("seg_len") >= w
     # One window pass and one aggregation serve all lengths; a length that doesn't fit in a segment gives nulls there.
     backs = [F.when(fits(w), F.count(F.lit(1)).over(by.rangeBetween(-(w - 1), 0))).alias(f"back{w}") for w in windows]
     aheads = [F.when(F.col("idx") + w <= n, F.count(F.lit(1)).over(by.rangeBetween(1, w))).alias(f"ahead{w}") for w in windows]
-    at = hits.select("pool", "seg", "seg_len", "idx", *cell, *backs, *aheads)
+    at = hits.select("pool", "seg", "seg_len", "idx", "__own", *cell, *backs, *aheads).where("__own")
     most = [F.max(f"back{w}").alias(f"most{w}") for w in windows]
-    least = [F.when(F.first(fits(w)), F.least(F.coalesce(F.min(f"ahead{w}"), F.lit(w)), F.count_if(F.col("idx") <= w))).alias(f"least{w}") for w in windows]
+    least = [F.when(F.bool_or(fits(w)), F.least(F.coalesce(F.min(f"ahead{w}"), F.lit(w)), F.count_if(F.col("idx") <= w))).alias(f"least{w}") for w in windows]
     segs = at.groupBy("pool", "seg", *cell).agg(*most, *least).groupBy("pool", "seg").agg(F.count(F.lit(1)).alias("d"), *[F.max(f"most{w}").alias(f"most{w}") for w in windows], *[F.min(f"least{w}").alias(f"least{w}") for w in windows])
     lows = [F.min(F.when(F.col(f"least{w}").isNotNull(), F.when(F.col("d") < cells, 0).otherwise(F.col(f"least{w}")))).alias(f"least{w}") for w in windows]
     pools = segs.groupBy("pool").agg(*[F.max(f"most{w}").alias(f"most{w}") for w in windows], *lows)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tumbler.functions.exact import Matrix
 from tumbler.operators import reconcile
 from tumbler.operators.history import segmented
+from tumbler.scratch import cut
 
 MATRIX = Matrix(5, 1, 47, 15)
 HALF = "2024-01-16"
@@ -38,6 +39,11 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmented(draws(spark, sf_dir))
 
 
+def written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history as a written table, for statistics that read it more than once."""
+    return cut(history(spark, sf_dir), "history")
+
+
 def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same draws without places and segments, for statistics that don't cross draws: one narrow scan."""
     return draws(spark, sf_dir).where("eligible")

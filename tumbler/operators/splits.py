@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tumbler.operators.history import running
+from tumbler.operators.merkle import seal
 
 
 def chronological(draws: DataFrame, by: str, t: str, draw_id: str, fraction: float = 0.2) -> DataFrame:
@@ -27,19 +28,6 @@ def corrected(frozen: DataFrame, eligible: DataFrame, key: str) -> DataFrame:
     return frozen.join(ok, key, "left").withColumn("state", F.when(F.col("__ok"), "kept").otherwise("invalidated")).drop("__ok")
 
 
-def seal(df: DataFrame, cols: list[str], by: list[str] | None = None) -> DataFrame:
-    """One row (or one for each `by`): n and a SHA-256 that changes with any row, whatever the order and number of files.
-
-    Rows are hashed where they are; sorted row hashes are hashed by their first three hex digits, and those 4096 hashes in
-    order once more, so nothing is gathered in one task.
-    """
-    by = by or []
-    h = df.select(*by, F.sha2(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256).alias("h"))
-    parts = h.groupBy(*by, F.substring("h", 1, 3).alias("p")).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("s"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "s"))), lambda x: x["s"]), "")
-    return parts.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(whole, 256).alias("seal"))
-
-
 def manifest(split: DataFrame, by: str, t: str, key: str) -> DataFrame:
     """The summary of a split with a seal of each group's holdout ids: what is written down before anything is looked at."""
     sealed = seal(split.where("split = 'holdout'"), [key], [by]).select(by, F.col("seal").alias("holdout_seal"))

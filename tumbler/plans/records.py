@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tumbler import scratch
 from tumbler.functions import exact
-from tumbler.operators import audit, history, primary, reconcile, regimes, splits
+from tumbler.operators import audit, history, merkle, primary, reconcile, regimes, splits
 from tumbler.plans import views
 from tumbler.plans.catalog import ASSIGNED, CANON, FIELDS, ORDERED, PAIRED, SPLIT, STRUCT, query
 from tumbler.plans.views import ERAS, MATRIX, sql
@@ -145,12 +148,37 @@ def firewall_ids(spark, sf_dir):
     return splits.only_ids(o.select("o_orderkey", "o_custkey"), ids, "o_orderkey")
 
 
-@query("row_seal", "WITH h AS (SELECT sha256(concat_ws(',', l_orderkey::VARCHAR, l_partkey::VARCHAR, l_suppkey::VARCHAR, l_linenumber::VARCHAR, l_returnflag)) AS h FROM lineitem), p AS (SELECT h[1:3] AS p, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS s FROM h GROUP BY 1) SELECT sum(n)::BIGINT AS n, sha256(string_agg(s, '' ORDER BY p)) AS seal FROM p")
+def _merkle(rows: str, levels: int = 6) -> str:
+    """Seals by hash tree of rows(g, h), for up to so many levels below the root: sealed(g, n, seal)."""
+    leaf = lambda d: f"SELECT g, left(h, {d}) AS p, sha256(string_agg(h || '*' || c, ',' ORDER BY h)) AS s FROM hc JOIN sz USING (g) WHERE d = {d} GROUP BY ALL"
+    parts = [f"t{levels} AS ({leaf(levels)})"]
+    parts += [f"t{d} AS ({leaf(d)} UNION ALL SELECT g, left(p, {d}) AS up, sha256(string_agg(right(p, 1) || s, '' ORDER BY p)) FROM t{d + 1} GROUP BY g, up)" for d in range(levels - 1, -1, -1)]
+    deep = " + ".join(f"(sum(c) > {256 * 16**d})::INT" for d in range(levels))
+    return f"hh(g, h) AS ({rows}), hc AS (SELECT g, h, count(*)::BIGINT AS c FROM hh GROUP BY ALL), sz AS (SELECT g, sum(c)::BIGINT AS n, {deep} AS d FROM hc GROUP BY g), {', '.join(parts)}, sealed AS (SELECT g, n, sha256(n || ':' || s) AS seal FROM sz JOIN t0 USING (g))"
+
+
+def _row(*cols: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in cols) + ")"
+
+
+@query("row_seal", f"WITH {_merkle('SELECT 0, ' + _row('l_orderkey', 'l_partkey', 'l_suppkey', 'l_linenumber', 'l_returnflag') + ' FROM lineitem')} SELECT n, seal FROM sealed")
 def row_seal(spark, sf_dir):
     return splits.seal(views.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"])
 
 
-@query("split_manifest", f"WITH {SPLIT}, h AS (SELECT o_orderpriority, sha256(o_orderkey::VARCHAR) AS h FROM split WHERE split = 'holdout'), p AS (SELECT o_orderpriority, h[1:3] AS p, sha256(string_agg(h, '' ORDER BY h)) AS s FROM h GROUP BY ALL), z AS (SELECT o_orderpriority, sha256(string_agg(s, '' ORDER BY p)) AS holdout_seal FROM p GROUP BY ALL), g AS (SELECT o_orderpriority, count(*) FILTER (split = 'exploration')::BIGINT AS n_exploration, count(*) FILTER (split = 'holdout')::BIGINT AS n_holdout, (max(o_orderdate) FILTER (split = 'exploration'))::DATE::VARCHAR AS last_exploration, (min(o_orderdate) FILTER (split = 'holdout'))::DATE::VARCHAR AS first_holdout FROM split GROUP BY ALL) SELECT g.*, holdout_seal FROM g JOIN z USING (o_orderpriority)")
+@query("line_seal", f"WITH {_merkle('SELECT 0, ' + _row("'part-0.txt'", 'o', 'line') + " FROM (SELECT line, coalesce(sum(strlen(line) + 1) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o, o_orderkey FROM (SELECT o_orderkey, o_orderkey || ',' || o_custkey || ',' || o_orderstatus AS line FROM orders)) WHERE o_orderkey % 5 = 0")} SELECT n, seal FROM sealed")
+def line_seal(spark, sf_dir):
+    """Orders written as lines of one file, in order of their keys; the raw lines of every fifth order are sealed with their offsets."""
+    o = views.table(spark, sf_dir, "orders")
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus").alias("value")
+    path = f"{scratch.folder(spark)}/lines-{uuid.uuid4().hex}"
+    o.select("o_orderkey", line).coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)  # one file: the lines' offsets are the result
+    rows = merkle.lines(spark, path).withColumn("file", F.lit("part-0.txt"))
+    fifth = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").cast("string").alias("id"))
+    return merkle.seal(rows.withColumn("id", F.substring_index("line", ",", 1)).join(fifth, "id", "left_semi"), ["file", "offset", "line"])
+
+
+@query("split_manifest", f"WITH {SPLIT}, {_merkle("SELECT o_orderpriority, " + _row("o_orderkey") + " FROM split WHERE split = 'holdout'")}, y AS (SELECT o_orderpriority, count(*) FILTER (split = 'exploration')::BIGINT AS n_exploration, count(*) FILTER (split = 'holdout')::BIGINT AS n_holdout, (max(o_orderdate) FILTER (split = 'exploration'))::DATE::VARCHAR AS last_exploration, (min(o_orderdate) FILTER (split = 'holdout'))::DATE::VARCHAR AS first_holdout FROM split GROUP BY ALL) SELECT y.*, seal AS holdout_seal FROM y JOIN sealed ON y.o_orderpriority = sealed.g")
 def split_manifest(spark, sf_dir):
     s = splits.chronological(views.table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderdate", "o_orderkey")
     return splits.manifest(s, "o_orderpriority", "o_orderdate", "o_orderkey").withColumns({c: F.col(c).cast("date").cast("string") for c in ("last_exploration", "first_holdout")})

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tumbler.functions import exact
 from tumbler.functions.exact import Matrix
-from tumbler.operators import subset
+from tumbler.operators import battery, subset
 from tumbler.plans import views
-from tumbler.plans.catalog import query
+from tumbler.plans.catalog import CATALOG, LAGS, WINDOWS, query
 from tumbler.plans.views import MATRIX, sql
 from tumbler.scratch import cut
 
@@ -100,3 +100,39 @@ def fitted_models(spark, sf_dir):
     sums = scores.groupBy("target", "pool", "family").agg(F.count(F.lit(1)).alias("n"), F.sum("log_score").alias("log_e"))
     out = pools.join(sums, ["target", "pool", "family"], "left").join(book, ["target", "pool", "family"], "left")
     return out.select("target", "pool", "family", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("log_e", F.lit(0.0)), 4).alias("log_e"), "penalty", F.transform("beta", lambda b: F.round(b, 6)).alias("beta"))
+
+
+# ------------------------------------------------------------------ the family of all statistics
+LAWS = battery.laws(MATRIX, LAGS, [1, 2, 3], WINDOWS)
+STATISTICS = [*(f"fs{i:03d}" for i in range(1, 14)), *(f"p3s{i:03d}" for i in range(1, 13)), *(f"p3b_s{i:03d}" for i in range(1, 11))]
+
+
+def _family_sql() -> str:
+    """Each statistic by its own query, laws and adjustment by windows over the family."""
+    family = lambda c: battery.FAMILY[c.split("_")[0].rstrip("0123456789")]
+    values = " UNION ALL ".join(f"SELECT '{c}' AS statistic, '{family(c)}' AS family, pool, value::DOUBLE AS value FROM ({CATALOG[c][1].replace(', 6) AS value', ', 15) AS value')})" for c in STATISTICS)
+    columns, of = battery.law_columns(STATISTICS, LAWS)
+    case = lambda i: "CASE statistic " + " ".join(f"WHEN '{c}' THEN ({x[i]})::DOUBLE" for c, x in of.items()) + " END"
+    kind = "CASE statistic " + " ".join(f"WHEN '{c}' THEN '{x[0]}'" for c, x in of.items()) + " END"
+    known = ", ".join(f"{case(i)} AS {name}" for i, name in enumerate(columns, 1))
+    steps, last = [], "l"
+    for i, (name, text) in enumerate(battery.steps((len(columns) - 2) // 3).items()):
+        steps.append(f"q{i} AS (SELECT *, {text} AS {name} FROM {last})")
+        last = f"q{i}"
+    sizes = f"sz AS ({sql(', nb AS (SELECT pool, sum(seg_len - 1) AS neighbours FROM (SELECT DISTINCT pool, seg, seg_len FROM h) GROUP BY pool), ct AS (SELECT pool, count(DISTINCT machine)::DOUBLE AS categories FROM h GROUP BY pool) SELECT pool, n, neighbours::DOUBLE AS neighbours, categories FROM pools JOIN nb USING (pool) JOIN ct USING (pool)')})"
+    return f"""WITH v AS ({values}), {sizes}, l AS (SELECT v.*, {kind} AS law, {known} FROM v JOIN sz USING (pool)), {', '.join(steps)},
+r AS (SELECT *, rank() OVER (PARTITION BY family ORDER BY p) AS first, rank() OVER (PARTITION BY family ORDER BY p) + count(*) OVER (PARTITION BY family, p) - 1 AS last, count(*) OVER (PARTITION BY family) AS m FROM {last} WHERE law <> 'none'),
+j AS (SELECT *, least(1, min(p * m / last) OVER (PARTITION BY family ORDER BY p DESC)) AS bh_q, least(1, max(p * (m - first + 1)) OVER (PARTITION BY family ORDER BY p)) AS holm_p FROM r)
+SELECT pool, family, statistic, round(value, 4) AS value, round(z, 4) AS z, round(p, 6) AS p, round(bh_q, 5) AS bh_q, bh_q <= 0.05 AS bh_reject, round(holm_p, 5) AS holm_p, holm_p <= 0.05 AS holm_reject, bh_q <= 0.05 AND coalesce(abs(z) >= 2.5, false) AS promoted FROM j
+UNION ALL SELECT pool, family, statistic, round(value, 4), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM l WHERE law = 'none'"""
+
+
+@query("family_table", _family_sql())
+def family_table(spark, sf_dir):
+    """All 35 statistics of every pool with scores, p-values and both adjustments: the events are scanned to write the history, and
+    the history once for all cells, once for all lags and once for each kind of run."""
+    h = views.written(spark, sf_dir)
+    counts = cut(battery.cells(h, MATRIX, "machine"), "cells")
+    stats = cut(battery.statistics(h, counts, MATRIX, LAGS, [1, 2, 3], WINDOWS), "statistics")
+    out = battery.family_table(stats, MATRIX, LAGS, [1, 2, 3], WINDOWS)
+    return out.select("pool", "family", "statistic", F.round("value", 4).alias("value"), F.round("z", 4).alias("z"), F.round("p", 6).alias("p"), F.round("bh_q", 5).alias("bh_q"), "bh_reject", F.round("holm_p", 5).alias("holm_p"), "holm_reject", "promoted")

@@ -19,6 +19,7 @@ from tumbler.operators.history import lagged
 from tumbler.operators.positional import rolling
 from tumbler.operators.primary import drought, streak
 from tumbler.operators.secondary import max_rolling, terminal
+from tumbler.scratch import cut
 
 QUANTITIES = ("draw_sum", "range", "adjacent_pairs", "min_spacing", "max_spacing", "odd_count")
 FAMILY = {"fs": "primary", "p3s": "secondary", "p3b": "positional"}
@@ -245,8 +246,10 @@ def family_table(stats: DataFrame, m: Matrix, lags: list[int], cross: list[int],
     columns, values = law_columns(names, known)
     rows = F.array(*[F.struct(F.lit(FAMILY[c.split("_")[0].rstrip("0123456789")]).alias("family"), F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value"), F.lit(values[c][0]).alias("law"), *[F.expr(f"CAST({x} AS DOUBLE)").alias(name) for x, name in zip(values[c][1:], columns)]) for c in names])
     tests = stats.select("pool", F.inline(rows))
-    for name, text in steps((len(columns) - 2) // 3).items():
-        tests = tests.withColumn(name, F.expr(text))
+    # One row for each test: written every few columns, as the code of all of them at once is too long to compile.
+    for i, (name, text) in enumerate(steps((len(columns) - 2) // 3).items()):
+        tests = (cut(tests, "tests") if i % 3 == 0 else tests).withColumn(name, F.expr(text))
+    tests = cut(tests.select("pool", "family", "statistic", "value", "law", "z", "p"), "tests")
     keep = ["pool", "family", "statistic", "value", "z", "p"]
     judged = inference.adjust(tests.where("law <> 'none'").select(*keep), ["family"], "p", ["pool", "statistic"], alpha)
     judged = judged.withColumn("promoted", F.col("bh_reject") & F.coalesce(F.abs("z") >= least_z, F.lit(False)))

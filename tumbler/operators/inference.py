@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tumbler.operators.history import running
+from tumbler.scratch import cut, drop
 
 
 def mc_pvalue(nulls: DataFrame, observed: DataFrame, key: list[str], tail: str = "upper") -> DataFrame:
@@ -70,13 +71,23 @@ def adjust(tests: DataFrame, family: list[str], p: str, tie: list[str], alpha: f
 QUANTILES = {"q90": 0.9, "q95": 0.95, "q99": 0.99}
 
 
-def quantiles(df: DataFrame, key: list[str], value: str, probs: dict[str, float], buckets: int = 4096) -> DataFrame:
-    """key and exact quantiles (linear between neighbours): values are counted, and the counts ranked in two levels, so no
-    task holds a key's values. Nulls don't count; a key without values has no row."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    ends = counts.groupBy(*key).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("__n"))
-    place = F.when(F.col("__hi") > F.col("__lo"), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * buckets)).otherwise(0)
-    ranked = running(counts.join(ends, key), key, place, ["__v"], {"__r": F.col("__c")})
+#: Distinct values of a part that are ranked in one window.
+PART = 500_000
+
+
+def quantiles(df: DataFrame, key: list[str], value: str, probs: dict[str, float], part: int = PART) -> DataFrame:
+    """key and exact quantiles (linear between neighbours): values are counted, and the counts ranked in two levels, inside parts
+    and over the table of parts. Parts are Spark's ranges of (key, value), cut by a sample of the distinct values, so they hold
+    about equally many however skewed values are. Nulls don't count; a key without values has no row."""
+    counts = cut(df.where(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c")), "counts")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-counts.count() // part))
+    dealt = cut(counts.repartitionByRange(parts, *key, "__v").withColumn("__part", F.spark_partition_id()), "parts")
+    drop(counts)
+    total = dealt.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.sum("__c").alias("__n"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    ranked = running(dealt.join(total, same).drop(*[f"__{k}" for k in key]), key, F.col("__part"), ["__v"], {"__r": F.col("__c")})
     at = {q: F.lit(p) * (F.col("__n") - 1) for q, p in probs.items()}
     # The value at a place (from 0) is the smallest whose running count is beyond it.
     sides = [F.min(F.when(F.col("__r") > f(x), F.col("__v"))).alias(f"__{side}_{q}") for q, x in at.items() for side, f in (("a", F.floor), ("b", F.ceil))]

@@ -12,6 +12,7 @@ from math import comb
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tumbler.functions import exact
 from tumbler.functions.exact import Matrix
 from tumbler.operators.history import running, spine
 
@@ -81,6 +82,71 @@ def e_values(scores: DataFrame) -> DataFrame:
     return scores.groupBy("pool", "model").agg(F.count(F.lit(1)).alias("n"), s.alias("log_e"), F.exp(F.least(s, F.lit(700.0))).alias("e_value"))
 
 
+def e_process(scores: DataFrame, times: DataFrame) -> DataFrame:
+    """pool, draw_id, log_mix and peak: the log of the mean over models of exp(cumulative log score), after every scored draw,
+    and the largest so far. times has pool, draw_id and t; draws are ordered by (t, draw_id).
+
+    Sums and maxima run in days and over the table of days, so no window holds a pool. Exponents are taken from the largest model's,
+    so none overflows.
+    """
+    rows = scores.join(times, ["pool", "draw_id"]).withColumn("__day", F.date_trunc("day", "t"))
+    order = ["t", "draw_id"]
+
+    def carried(df: DataFrame, by: list[str], x: str, f, zero: float, name: str) -> DataFrame:
+        earlier = Window.partitionBy(*by).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+        starts = df.groupBy(*by, "__day").agg(f(x).alias("__x")).select(*by, "__day", F.coalesce(f("__x").over(earlier), F.lit(zero)).alias("__start"))
+        inner = f(x).over(Window.partitionBy(*by, "__day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        both = F.col("__start") + inner if f is F.sum else F.greatest("__start", inner)
+        return df.join(starts, [*by, "__day"]).withColumn(name, both).drop("__start")
+
+    sums = carried(rows, ["pool", "model"], "log_score", F.sum, 0.0, "s").groupBy("pool", "draw_id", "t", "__day").agg(F.collect_list("s").alias("all"), F.max("s").alias("top"))
+    mean = F.aggregate("all", F.lit(0.0), lambda a, s: a + F.exp(s - F.col("top"))) / F.size("all")
+    mixed = sums.select("pool", "draw_id", "t", "__day", (F.col("top") + F.ln(mean)).alias("log_mix"))
+    return carried(mixed, ["pool"], "log_mix", F.max, float("-inf"), "peak").select("pool", "draw_id", "log_mix", "peak")
+
+
+def pool_tails(hits: DataFrame, m: Matrix, sizes: tuple[int, ...] = POOLS) -> DataFrame:
+    """One row for each size of a candidate pool: n, mean hits, the exact expectation, relative lift, mean improvement with its 95 %
+    interval, observed and exact chances of at least 3, 4 and 5 hits (up to k), and of all but one."""
+    rows = hits.select(F.inline(F.array(*[F.struct(F.lit(s).alias("size"), F.col(f"hits{s}").cast("double").alias("x")) for s in sizes])))
+    tails = [h for h in (3, 4, 5) if h <= m.k]
+    n, mean, sd = F.count(F.lit(1)), F.avg("x"), F.stddev_samp("x")
+    seen = rows.groupBy("size").agg(n.alias("n"), mean.alias("mean_hits"), (1.96 * sd / F.sqrt(n.cast("double"))).alias("__half"), *[F.avg((F.col("x") >= h).cast("double")).alias(f"seen_{h}") for h in tails], F.avg((F.col("x") >= m.k - 1).cast("double")).alias("all_but_one"))
+    pmfs = {s: exact.pool_pmf(m, s) for s in sizes}
+    even = hits.sparkSession.createDataFrame([(s, exact.moments(p)[0], *[exact.tail(p, h) for h in tails], exact.tail(p, m.k - 1)) for s, p in pmfs.items()], f"size int, expected double, {', '.join(f'even_{h} double' for h in tails)}, even_all_but_one double")
+    gain = F.col("mean_hits") - F.col("expected")
+    return seen.join(F.broadcast(even), "size").withColumns({"lift": F.col("mean_hits") / F.col("expected") - 1, "gain": gain, "low": gain - F.col("__half"), "high": gain + F.col("__half")}).drop("__half")
+
+
+#: Bounds of the gate's conditions (fixed values): e-value of a model and of the mixture, draws of a pool that counts, share of
+#: such pools that gain, share of all gains that one pool may have, lift of 15 labels.
+GATE = {"e_model": 80.0, "e_mix": 20.0, "draws": 50, "pools": 0.6, "concentration": 0.5, "lift": 0.02}
+
+
+def gate_conditions(scores: DataFrame, hits: DataFrame, m: Matrix) -> DataFrame:
+    """model and the conditions it meets: a positive pooled score, its e-value and the mixture's, the share of pools with enough draws
+    that gain, no pool with most of the gains, and the lift of 15 labels and its interval (hits: model, hits15). passed: all seven.
+
+    That models see no later draw is a matter of the walk; controls on invented histories are not here.
+    """
+    x = F.col("log_score")
+    pools = scores.groupBy("model", "pool").agg(F.count(x).alias("n"), F.sum(x).alias("s"))
+    enough = F.col("n") >= GATE["draws"]
+    pos = F.sum(F.greatest("s", F.lit(0.0)))
+    g = pools.groupBy("model").agg(F.sum("s").alias("log_e"), F.coalesce(F.avg(F.when(enough, (F.col("s") > 0).cast("double"))), F.lit(0.0)).alias("gaining"), F.when(pos > 0, F.max("s") / pos).otherwise(1.0).alias("concentration"))
+    capped = F.exp(F.least("log_e", F.lit(700.0)))
+    mix = g.agg(F.avg(capped).alias("e_mix"))
+    lift = hits.groupBy("model").agg(F.avg("hits15").alias("mean"), F.stddev_samp("hits15").alias("sd"), F.count(F.lit(1)).cast("double").alias("h"))
+    even = 15 * m.k / m.n
+    both = g.crossJoin(F.broadcast(mix)).join(lift, "model")  # mix is one row
+    rules = {
+        "score": F.col("log_e") > 0, "e_model": capped >= GATE["e_model"], "e_mix": F.col("e_mix") >= GATE["e_mix"], "pools": F.col("gaining") >= GATE["pools"],
+        "concentration": F.col("concentration") <= GATE["concentration"], "lift": F.col("mean") / even - 1 >= GATE["lift"], "interval": F.col("mean") - even - 1.96 * F.col("sd") / F.sqrt("h") > 0,
+    }
+    met = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
+    return both.select("model", "log_e", "gaining", "concentration", (F.col("mean") / even - 1).alias("lift"), F.array_join(met, ";").alias("met"), (F.size(met) == len(rules)).alias("passed"))
+
+
 def gate(scores: DataFrame) -> DataFrame:
     """model: mean log score, its standard error, the share of pools it gains in, the conditions met, and passed."""
     x = F.col("log_score")
@@ -92,10 +158,11 @@ def gate(scores: DataFrame) -> DataFrame:
     return out.withColumn("met", F.array_join(met, ";")).withColumn("passed", F.size(met) == len(rules))
 
 
-def pool_hits(hist: DataFrame, m: Matrix) -> DataFrame:
-    """pool, draw_id, hits10, hits15, hits20: drawn labels among the most frequent before (ties: smaller label first)."""
+def pool_hits(hist: DataFrame, m: Matrix, by: str = "c") -> DataFrame:
+    """pool, draw_id, hits10, hits15, hits20: drawn labels among the most frequent before, or the first by another of features()
+    (ties: smaller label first)."""
     f = features(hist, m).where(f"n >= {WARMUP}")
-    top = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "label", "hit"))), lambda x: x["hit"].cast("long"))
+    top = F.transform(F.array_sort(F.collect_list(F.struct((-F.col(by)).alias("c"), "label", "hit"))), lambda x: x["hit"].cast("long"))
     rows = f.groupBy("pool", "draw_id").agg(top.alias("hits"))
     total = lambda n: F.aggregate(F.slice("hits", 1, n), F.lit(0).cast("long"), lambda a, b: a + b)
     return rows.select("pool", "draw_id", *[total(n).alias(f"hits{n}") for n in POOLS])

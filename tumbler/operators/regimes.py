@@ -1,7 +1,7 @@
 """Rule eras: which era a draw belongs to, and checks on the eras themselves.
 
 eras: era, game, lo (date), hi (date or null: ongoing), clear_from (date or null: the first date that is certain), pool.
-There are few; they are grouped by game and broadcast as arrays, so assigning is one narrow pass over the draws.
+Draws are assigned by bins of days, so eras may be many.
 """
 
 from __future__ import annotations
@@ -14,14 +14,32 @@ def forever():
     return F.lit("9999-12-31").cast("date")
 
 
+#: Days of a bin of the interval join.
+BIN = 64
+
+
+def binned(eras: DataFrame) -> tuple[DataFrame, int, int]:
+    """(game, bin, eras): the eras that reach into each bin of days, and the first and the last bin. All days after the last bound
+    of any era are alike, so an era that goes on ends in the last bin; a span has a row for each of its bins."""
+    number = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / BIN)
+    low, high = eras.agg(F.min(number(F.col("lo"))), F.max(F.greatest(number(F.col("lo")), number(F.coalesce("hi", "lo"))))).first()
+    low, high = int(low or 0) - 1, int(high or 0) + 1
+    last = F.when(F.col("hi").isNull(), F.lit(high)).otherwise(number(F.col("hi")))
+    rows = eras.where("hi IS NULL OR hi >= lo").select("game", F.explode(F.sequence(number(F.col("lo")).cast("int"), last.cast("int"))).alias("bin"), F.struct("lo", F.coalesce("hi", forever()).alias("hi"), "clear_from", "era", "pool").alias("e"))
+    return rows.groupBy("game", "bin").agg(F.array_sort(F.collect_list("e")).alias("eras")), low, high
+
+
 def assign(draws: DataFrame, eras: DataFrame, game: str = "game", day: str = "d") -> DataFrame:
     """Adds era, pool and status: ok, quarantined (before the era's certain date), none or ambiguous.
 
-    A quarantined draw gets the first containing era; none and ambiguous get nulls.
+    A quarantined draw gets the first containing era; none and ambiguous get nulls. Draws meet the eras of their bin of days by an
+    equi join, which Spark broadcasts where the eras are few and shuffles otherwise; dates decide within the bin.
     """
-    spans = eras.groupBy("game").agg(F.array_sort(F.collect_list(F.struct("lo", F.coalesce("hi", forever()).alias("hi"), "clear_from", "era", "pool"))).alias("__eras"))
-    joined = draws.join(F.broadcast(spans.withColumnRenamed("game", "__game")), F.col(game) == F.col("__game"), "left").drop("__game")
-    inside = joined.withColumn("__in", F.filter(F.coalesce("__eras", F.array().cast(spans.schema["__eras"].dataType)), lambda e: (e["lo"] <= F.col(day)) & (F.col(day) <= e["hi"])))
+    bins, low, high = binned(eras)
+    bins = bins.select(F.col("game").alias("__game"), F.col("bin").alias("__bin"), F.col("eras").alias("__eras"))
+    own = F.least(F.lit(high), F.greatest(F.lit(low), F.floor(F.datediff(F.col(day), F.lit("1970-01-01").cast("date")) / BIN)))
+    joined = draws.join(bins, (F.col(game) == F.col("__game")) & (own == F.col("__bin")), "left").drop("__game", "__bin")
+    inside = joined.withColumn("__in", F.filter(F.coalesce("__eras", F.array().cast(bins.schema["__eras"].dataType)), lambda e: (e["lo"] <= F.col(day)) & (F.col(day) <= e["hi"])))
     early = F.exists("__in", lambda e: e["clear_from"].isNotNull() & (F.col(day) < e["clear_from"]))
     status = F.when(F.size("__in") == 0, "none").when(early, "quarantined").when(F.size("__in") > 1, "ambiguous").otherwise("ok")
     out = inside.withColumn("status", status)
@@ -29,6 +47,11 @@ def assign(draws: DataFrame, eras: DataFrame, game: str = "game", day: str = "d"
     return out.withColumns({"era": first["era"], "pool": first["pool"]}).drop("__in", "__eras")
 
 
+def shared_pools(eras: DataFrame) -> DataFrame:
+    """(pool, games, n_eras): pools that eras of several games claim; only draws of one game may be pooled."""
+    return eras.groupBy("pool").agg(F.array_sort(F.collect_set("game")).alias("games"), F.count(F.lit(1)).alias("n_eras")).where("size(games) > 1")
+
+
 def require(assigned: DataFrame) -> DataFrame:
     """The same rows; running it raises on a draw whose era is not certain."""
     good = F.col("status") == "ok"

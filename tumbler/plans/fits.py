@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tumbler.functions import exact
 from tumbler.functions.exact import Matrix
-from tumbler.operators import battery, subset
+from tumbler.operators import battery, models, regimes, subset
 from tumbler.plans import views
 from tumbler.plans.catalog import CATALOG, LAGS, WINDOWS, query
-from tumbler.plans.views import MATRIX, sql
+from tumbler.plans.more import HITS, POOLED, PRIOR, SCORED
+from tumbler.plans.views import ERAS, MATRIX, sql
 from tumbler.scratch import cut
 
 SPECIAL = Matrix(1, 1, MATRIX.specials)
@@ -136,3 +137,47 @@ def family_table(spark, sf_dir):
     stats = cut(battery.statistics(h, counts, MATRIX, LAGS, [1, 2, 3], WINDOWS), "statistics")
     out = battery.family_table(stats, MATRIX, LAGS, [1, 2, 3], WINDOWS)
     return out.select("pool", "family", "statistic", F.round("value", 4).alias("value"), F.round("z", 4).alias("z"), F.round("p", 6).alias("p"), F.round("bh_q", 5).alias("bh_q"), "bh_reject", F.round("holm_p", 5).alias("holm_p"), "holm_reject", "promoted")
+
+
+# ------------------------------------------------------------------ mixture, candidate pools, gate
+@query("e_process", sql(f", {PRIOR}{SCORED}, tt AS (SELECT sc.*, t, sum(log_score) OVER (PARTITION BY sc.pool, model ORDER BY t, sc.draw_id) AS s FROM sc JOIN (SELECT pool, draw_id, t FROM h) USING (pool, draw_id)), mx AS (SELECT pool, draw_id, t, max(s) AS top FROM tt GROUP BY ALL), lm AS (SELECT pool, draw_id, mx.t AS t, any_value(top) + ln(avg(exp(s - top))) AS log_mix FROM tt JOIN mx USING (pool, draw_id) GROUP BY ALL) SELECT pool, draw_id, round(log_mix, 5) AS log_mix, round(max(log_mix) OVER (PARTITION BY pool ORDER BY t, draw_id), 5) AS peak FROM lm"))
+def e_process(spark, sf_dir):
+    """The evidence of the models' mixture after every draw, and the most there has been so far."""
+    h = views.written(spark, sf_dir)
+    scores = cut(models.walk_forward(h, MATRIX), "scores")
+    return models.e_process(scores, h.select("pool", "draw_id", "t")).select("pool", "draw_id", F.round("log_mix", 5).alias("log_mix"), F.round("peak", 5).alias("peak"))
+
+
+_PMF = {s: exact.pool_pmf(MATRIX, s) for s in models.POOLS}
+_EVEN = ", ".join(f"({s}, {exact.moments(p)[0]!r}::DOUBLE, {', '.join(repr(exact.tail(p, h)) + '::DOUBLE' for h in (3, 4, 5))})" for s, p in _PMF.items())
+
+
+@query("pool_tails", sql(f", {PRIOR}{HITS}, ev(size, expected, e3, e4, e5) AS (VALUES {_EVEN}), u AS (SELECT unnest([10, 15, 20]) AS size, unnest([hits10, hits15, hits20]) AS x FROM ph), g AS (SELECT size, count(*)::BIGINT AS n, avg(x) AS mean_hits, 1.96 * stddev_samp(x) / sqrt(count(*)) AS half, avg((x >= 3)::INT) AS s3, avg((x >= 4)::INT) AS s4, avg((x >= 5)::INT) AS s5 FROM u GROUP BY size) SELECT size, n, round(mean_hits, 6) AS mean_hits, round(expected, 6) AS expected, round(mean_hits / expected - 1, 6) AS lift, round(mean_hits - expected, 6) AS gain, round(mean_hits - expected - half, 6) AS low, round(mean_hits - expected + half, 6) AS high, round(s3, 6) AS seen_3, round(s4, 6) AS seen_4, round(s5, 6) AS seen_5, round(e3, 6) AS even_3, round(e4, 6) AS even_4, round(e5, 6) AS even_5, round(s4, 6) AS all_but_one, round(e4, 6) AS even_all_but_one FROM g JOIN ev USING (size)"))
+def pool_tails(spark, sf_dir):
+    """Candidate pools of 10, 15 and 20 labels against the exact chances of an even draw."""
+    t = models.pool_tails(models.pool_hits(views.written(spark, sf_dir), MATRIX), MATRIX)
+    return t.select("size", "n", *[F.round(c, 6).alias(c) for c in t.columns if c not in ("size", "n")])
+
+
+@query("gate_conditions", sql(f""", {PRIOR}{HITS}{SCORED}{POOLED}, r2 AS (SELECT *, row_number() OVER (PARTITION BY pool, draw_id ORDER BY decayed DESC, label) AS r FROM f WHERE n >= 100),
+hh AS (SELECT 'frequency' AS model, hits15 FROM ph UNION ALL SELECT 'decayed', sum(hit) FILTER (r <= 15) FROM r2 GROUP BY pool, draw_id),
+lf AS (SELECT model, avg(hits15) AS mean, stddev_samp(hits15) AS sd, count(*) AS h FROM hh GROUP BY model),
+g AS (SELECT model, sum(log_e) AS log_e, coalesce(avg((log_e > 0)::INT) FILTER (n >= 50), 0) AS gaining, CASE WHEN sum(greatest(log_e, 0)) > 0 THEN max(log_e) / sum(greatest(log_e, 0)) ELSE 1 END AS concentration FROM ev GROUP BY model),
+b AS (SELECT g.*, mean, sd, h, (SELECT avg(exp(least(log_e, 700))) FROM g) AS e_mix FROM g JOIN lf USING (model)),
+c AS (SELECT *, list_filter([CASE WHEN log_e > 0 THEN 'score' END, CASE WHEN exp(least(log_e, 700)) >= 80 THEN 'e_model' END, CASE WHEN e_mix >= 20 THEN 'e_mix' END, CASE WHEN gaining >= 0.6 THEN 'pools' END, CASE WHEN concentration <= 0.5 THEN 'concentration' END, CASE WHEN mean / ({15 * 5 / 47}) - 1 >= 0.02 THEN 'lift' END, CASE WHEN mean - {15 * 5 / 47} - 1.96 * sd / sqrt(h) > 0 THEN 'interval' END], lambda v: v IS NOT NULL) AS met FROM b)
+SELECT model, round(log_e, 4) AS log_e, round(gaining, 6) AS gaining, round(concentration, 6) AS concentration, round(mean / ({15 * 5 / 47}) - 1, 6) AS lift, array_to_string(met, ';') AS met, len(met) = 7 AS passed FROM c"""))
+def gate_conditions(spark, sf_dir):
+    """Seven conditions for each model, over all pools."""
+    h = views.written(spark, sf_dir)
+    scores = cut(models.walk_forward(h, MATRIX), "scores")
+    hits = models.pool_hits(h, MATRIX).select(F.lit("frequency").alias("model"), "hits15").unionByName(models.pool_hits(h, MATRIX, "decayed").select(F.lit("decayed").alias("model"), "hits15"))
+    g = models.gate_conditions(scores, hits, MATRIX)
+    return g.select("model", F.round("log_e", 4).alias("log_e"), F.round("gaining", 6).alias("gaining"), F.round("concentration", 6).alias("concentration"), F.round("lift", 6).alias("lift"), "met", "passed")
+
+
+@query("shared_pools", f"WITH {ERAS}, e AS (SELECT game, CASE WHEN era LIKE '%E3' THEN 'late' ELSE pool END AS pool FROM eras) SELECT pool, list_aggregate(list_sort(list(DISTINCT game)), 'string_agg', ';') AS games, count(*)::BIGINT AS n_eras FROM e WHERE game IN (SELECT o_orderpriority FROM orders) GROUP BY pool HAVING count(DISTINCT game) > 1")
+def shared_pools(spark, sf_dir):
+    """Eras of the games that have orders, the last of each filed under one pool: that pool is reported."""
+    games = views.orders(spark, sf_dir).select("game").distinct()
+    e = views.eras(spark).join(games, "game", "left_semi").withColumn("pool", F.when(F.col("era").endswith("E3"), "late").otherwise(F.col("pool")))
+    return regimes.shared_pools(e).select("pool", F.array_join("games", ";").alias("games"), "n_eras")

@@ -112,37 +112,49 @@ def tagged_lines(lines: DataFrame, forms: list[tuple[str, str]]) -> DataFrame:
     return rows.select(day.alias("d"), numbers_in(F.col("n")).alias("numbers"), form.alias("form"), "tail").where("d IS NOT NULL AND form IS NOT NULL")
 
 
-#: Tails of a tagged history's lines by game, in the order in which they are tried: (game, stream or None if a tag says it, regular
-#: expression with groups tag, special, multiplier, machine, balls; 0: not in this form). Fixed formats.
-HISTORY_FORMS = [
-    ("lotto", r"\b(LOTTO DP|LOTTO)\b\s*(\d+|[A-Z])?\s*/?\s*([A-Z0-9]+)?$", {"tag": 1, "machine": 2, "balls": 3}),
-    ("lotto", r"\bX(\d+)\s+(\d+|[A-Z])\s*/\s*([A-Z0-9]+)\s*$", {"multiplier": 1, "machine": 2, "balls": 3}),
-    ("lotto", r"^()[\d ]+$", {}),
-    ("powerball", r"\bPB\s+(\d+)\b(?:\s+X(\d+))?\s+(POWERBALL DP|POWERBALL)\b", {"special": 1, "multiplier": 2, "tag": 3}),
-    ("mega", r"\bMB\s+(\d+)\b(?:\s+X(\d+))?", {"special": 1, "multiplier": 2}),
-]
-
-
 def history_lines(lines: DataFrame) -> DataFrame:
-    """Lines (game, content) of a tagged history: M/D/YY, blank-separated numbers, and a tail in one of the game's forms.
+    """Lines (game, content) of a tagged history: M/D/YY, blank-separated numbers, and words that say the rest.
 
-    Returns game, d, stream, numbers (in the line's order), special, multiplier, machine, balls. What fits no form, or has
-    no numbers or date, gives nothing.
+    The words before the first that is no number are the draw. What follows is read from left to right: in lotto nothing, or
+    the tag LOTTO (and DP) and perhaps machine / balls, or X with a multiplier and machine / balls; in powerball PB with the special,
+    perhaps a multiplier, and the tag POWERBALL (and DP); in mega MB with the special and perhaps a multiplier. DP marks the second stream.
+    Returns game, d, stream, numbers (in the line's order), special, multiplier, machine, balls. What is in no such form, or
+    has no numbers or date, gives nothing.
     """
-    head = r"^\s*(\d{1,2})/(\d{1,2})/(\d{2})\s+(.*?)\s*$"
-    part = lambda i: F.regexp_extract("content", head, i)
-    rows = lines.where(F.col("content").rlike(head)).select("game", part(1).alias("m"), part(2).alias("dd"), part(3).cast("int").alias("yy"), F.upper(part(4)).alias("rest"))
-    form = F.coalesce(*[F.when((F.col("game") == game) & F.col("rest").rlike(rx), F.lit(i)) for i, (game, rx, _) in enumerate(HISTORY_FORMS)])
-    rows = rows.withColumn("form", form).where("form IS NOT NULL")
-
-    def field(name: str):
-        found = [F.when(F.col("form") == i, F.nullif(F.regexp_extract("rest", rx, at[name]), F.lit(""))) for i, (_, rx, at) in enumerate(HISTORY_FORMS) if name in at]
-        return F.coalesce(*found)
-
-    before = F.coalesce(*[F.when(F.col("form") == i, F.when(F.lit("^" in rx), F.col("rest")).otherwise(F.regexp_extract("rest", "^(.*?)" + rx, 1))) for i, (_, rx, _) in enumerate(HISTORY_FORMS)])
-    day = F.try_to_date(F.concat_ws("-", short_year(F.col("yy")).cast("string"), F.lpad("m", 2, "0"), F.lpad("dd", 2, "0")), "yyyy-MM-dd")
-    stream = F.when(F.endswith(F.coalesce(field("tag"), F.lit("")), F.lit("DP")), "second").otherwise("main")
-    out = rows.select("game", day.alias("d"), stream.alias("stream"), numbers_in(before).alias("numbers"), field("special").try_cast("int").alias("special"), field("multiplier").try_cast("int").alias("multiplier"), field("machine").alias("machine"), field("balls").alias("balls"))
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.upper("content"), "/", " / "), r"\s+", " ")), " ")
+    # A date is five words: M / D / YY.
+    rows = lines.select("game", words.alias("w")).where("size(w) > 5 AND w[1] = '/' AND w[3] = '/'")
+    number = lambda w: w.rlike("^[0-9]{1,2}$")
+    rows = rows.where(number(F.col("w")[0]) & number(F.col("w")[2]) & F.col("w")[4].rlike("^[0-9]{2}$"))
+    rest = F.slice("w", 6, F.greatest(F.size("w") - 5, F.lit(0)))
+    rows = rows.select("game", "w", rest.alias("rest"))
+    first_other = F.array_position(F.transform("rest", lambda w: w.rlike("^[0-9]+$")), False)
+    n = F.when(first_other > 0, first_other - 1).otherwise(F.size("rest")).cast("int")
+    rows = rows.withColumn("n", n).select("game", "w", F.slice("rest", F.lit(1), F.col("n")).alias("numbers"), F.slice("rest", F.col("n") + 1, F.size("rest") - F.col("n")).alias("tail"))
+    at = lambda i: F.get("tail", i if isinstance(i, Column) else F.lit(i))
+    times = lambda w: F.when(w.rlike("^X[0-9]+$"), F.substring(w, 2, 9))
+    tag = at(0)
+    bonus = tag.isin("PB", "MB")
+    special = F.when(bonus & at(1).rlike("^[0-9]+$"), at(1))
+    multiplier = F.when(bonus, times(at(2))).otherwise(times(tag))
+    # The place of the tag that closes a line, and whether DP follows it.
+    closing = F.when(tag == "LOTTO", F.lit(0)).when(tag == "PB", F.when(multiplier.isNotNull(), 3).otherwise(2))
+    second = F.coalesce(at(closing + 1) == "DP", F.lit(False))
+    begin = F.when(tag == "LOTTO", F.when(second, 2).otherwise(1)).when(~bonus & multiplier.isNotNull(), 1)
+    slash = F.coalesce(at(begin + 1) == "/", F.lit(False))
+    machine = F.when(at(begin) != "/", at(begin))
+    balls = F.when(slash, at(begin + 2))
+    ends = F.size("tail") == begin + F.when(slash, 3).when(machine.isNotNull(), 1).otherwise(0)
+    fits = (
+        F.when(F.col("game") == "lotto", (F.size("tail") == 0) | F.when(tag == "LOTTO", ends).otherwise(~bonus & multiplier.isNotNull() & balls.isNotNull() & ends))
+        .when(F.col("game") == "powerball", (tag == "PB") & special.isNotNull() & (at(closing) == "POWERBALL"))
+        .when(F.col("game") == "mega", (tag == "MB") & special.isNotNull())
+    )
+    day = F.try_to_date(F.concat_ws("-", short_year(F.col("w")[4].cast("int")).cast("string"), F.lpad(F.col("w")[0], 2, "0"), F.lpad(F.col("w")[2], 2, "0")), "yyyy-MM-dd")
+    out = rows.where(F.coalesce(fits, F.lit(False))).select(
+        "game", day.alias("d"), F.when(second, "second").otherwise("main").alias("stream"), F.transform("numbers", lambda w: w.cast("int")).alias("numbers"),
+        special.try_cast("int").alias("special"), multiplier.try_cast("int").alias("multiplier"), machine.alias("machine"), balls.alias("balls"),
+    )
     return out.where(F.col("d").isNotNull() & (F.size("numbers") > 0))
 
 

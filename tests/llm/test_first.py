@@ -184,7 +184,10 @@ def test_contamination(spark):
     assert got(out) == want
     contamination.BLOCK_WORDS, was = 20, contamination.BLOCK_WORDS
     try:
-        assert got(contamination.judged(contamination.find(d, b)).select(out.columns)) == want
+        found = contamination.find(d, b)
+        assert len(list(contamination._blocks(b, "item_id", "text", 13))) > 3
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # one automaton in a worker
+        assert got(contamination.judged(found).select(out.columns)) == want
     finally:
         contamination.BLOCK_WORDS = was
     assert got(contamination.judged(contamination.find(d, b.limit(0))).select("n_hit").distinct()) == [(0,)]

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tumbler.llm.common import cut, drop
+
 WINDOW = 13
 #: A word: ASCII letters and digits and everything beyond ASCII. A-Z are lower-cased first.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -149,15 +151,20 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     text match nothing; an item with a null id marks words but is not listed. An item_id on several
     rows is listed once. Empty tables give an empty result or no spans. Extra columns are not read.
     Very long texts are streamed whole; a task holds one of them at a time beside its batch. Larger benchmarks are
-    streamed in blocks of BLOCK_WORDS words, one broadcast automaton each.
+    streamed in blocks of BLOCK_WORDS words, one broadcast automaton each and one at a time, with a written table between.
     """
     spark = docs.sparkSession
     out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast("string").alias("clean"), F.struct(*[F.col(f"`{c}`") for c in keep or [id_col]]).alias("row"))
-    blocks = _blocks(benchmark, item_col, item_text, window)
-    for automaton in [next(blocks, None) or Automaton([], window)]:
-        out = _streamed(out, spark.sparkContext.broadcast(automaton))
+    blocks, before = _blocks(benchmark, item_col, item_text, window), None
+    shared = spark.sparkContext.broadcast(next(blocks, None) or Automaton([], window))
+    out = _streamed(out, shared)
     for automaton in blocks:
-        out = _streamed(out, spark.sparkContext.broadcast(automaton))
+        # What one block found is written before the next is streamed, so a worker holds one automaton at any time.
+        written = cut(out, "streamed")
+        shared.unpersist()
+        drop(*[before] * (before is not None))
+        before, shared = written, spark.sparkContext.broadcast(automaton)
+        out = _streamed(written, shared)
     return out if keep else out.drop("row")
 
 

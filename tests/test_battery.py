@@ -81,3 +81,32 @@ def test_binomial_tails():
                 u = eval(score, code, {"k": k, "n": n, "q": q})
                 got = 0.5 * __import__("math").erfc(u / sqrt(2))
                 assert got == pytest.approx(true, rel=0.12, abs=1e-3) and (true > 1e-3 or got == pytest.approx(true, rel=0.3)), (n, q, k)
+
+
+def test_many_permutations(spark):
+    """Against every dealing of a small block, and the observed statistic against plain counts."""
+    from itertools import permutations
+
+    from tumbler.operators import models
+
+    m = Matrix(2, 1, 4)
+    rows = [("p", "x", 0, [1, 2], 0), ("p", "x", 1, [1, 3], 0), ("p", "x", 2, [3, 4], 1), ("p", "x", 3, [2, 4], 1), ("p", "y", 4, [1, 4], 1), ("q", "x", 5, [1, 2], 0), ("p", "y", 6, [1, 2], None)]
+    df = spark.createDataFrame(rows, "pool string, week string, draw_id long, numbers array<long>, machine long").repartition(3)
+    got = models.permuted_margins(df, m, "week", "machine", 3000).toPandas()
+
+    def chi2(cats):
+        total = 0.0
+        for c in (0, 1):
+            mine = [r[3] for r, k in zip(rows[:5], cats) if k == c]
+            e = len(mine) / 2
+            total += sum((sum(label in x for x in mine) - e) ** 2 / e for label in range(1, 5)) if mine else 0
+        return total
+
+    mine = got[got.pool == "p"].set_index("permutation").chi2
+    assert len(got) == 2 * 3001 and mine[0] == pytest.approx(chi2([0, 0, 1, 1, 1]))
+    dealings = [round(chi2([*d, 1]), 9) for d in set(permutations([0, 0, 1, 1]))]
+    for value in set(dealings):
+        share = (mine[1:].round(9) == value).mean()
+        assert share == pytest.approx(dealings.count(value) / len(dealings), abs=0.05)
+    again = models.permuted_margins(df.repartition(5), m, "week", "machine", 3000).toPandas().set_index(["pool", "permutation"]).chi2
+    assert again["p"].sort_index().tolist() == pytest.approx(mine.sort_index().tolist())

@@ -7,8 +7,11 @@ draw's labels, and no task walks through a pool.
 
 from __future__ import annotations
 
+import zlib
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,3 +208,70 @@ def permuted_chi2(hist: DataFrame, m: Matrix, block: str, category: str, permuta
     # Labels that a category lacks add their expectation: sum of (c - e)^2 / e over all is sum of c^2 / e less the draws' labels.
     parts = counts.groupBy("pool", "permutation", "cat").agg(F.sum(F.col("c").cast("double") * F.col("c")).alias("q")).join(n, ["pool", "cat"])
     return parts.groupBy("pool", "permutation").agg(F.sum(F.col("q") / e - F.col("n") * m.k).alias("chi2"))
+
+
+#: Permutations dealt at once: this many times a block's draws are numbers in a task.
+DEALT = 4_000_000
+
+
+def permuted_margins(hist: DataFrame, m: Matrix, block: str, category: str, permutations: int) -> DataFrame:
+    """pool, permutation (0: as observed), chi2: the same statistic for many permutations, each of which deals the draws of a
+    (pool, block) their categories anew.
+
+    A task works through its blocks and keeps one count for each (permutation, category, label), whatever the number of draws; that
+    is all that is shuffled. Draws are dealt by a generator seeded with the block, so reruns agree. Blocks are what may not be split, so a task holds a
+    block's draws. Null categories and labels outside m don't count.
+    """
+    cats = [r[0] for r in hist.select(category).where(F.col(category).isNotNull()).distinct().orderBy(category).collect()]
+    place = {c: i for i, c in enumerate(cats)}
+    inside = F.transform(F.filter("numbers", lambda x: x.between(m.low, m.high)), lambda x: (x - m.low).cast("int"))
+    rows = hist.where(F.col(category).isNotNull()).select("pool", F.col(block).cast("string").alias("b"), F.create_map(*[F.lit(x) for kv in place.items() for x in kv])[F.col(category)].alias("cat") if cats else F.lit(0).alias("cat"), "draw_id", inside.alias("hits"))
+    dealt = rows.repartition("pool", "b").sortWithinPartitions("pool", "b", "draw_id")
+    size, k = m.n, len(cats)
+
+    def run(batches):
+        pool = None
+        sums = None
+
+        def out():
+            table = sums.reshape(permutations + 1, -1)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, table.shape[1], dtype="i4")), pa.array(table.ravel()))
+            return pa.RecordBatch.from_arrays([pa.array([pool] * len(table), pa.string()), pa.array(np.arange(len(table)), pa.int32()), flat], names=["pool", "permutation", "counts"])
+
+        def add(key, cat, hits):
+            h = np.zeros((len(cat), size), "f4")
+            for i, labels in enumerate(hits):
+                h[i, labels] = 1
+            one = np.eye(k, dtype="f4")[cat]
+            sums[0] += (one.T @ h).astype("i8")
+            rng, step = np.random.default_rng(zlib.crc32("|".join(map(str, key)).encode())), max(1, DEALT // len(cat))
+            for first in range(1, permutations + 1, step):
+                n = min(step, permutations + 1 - first)
+                given = rng.permuted(np.broadcast_to(cat, (n, len(cat))), axis=1)
+                for c in range(k):
+                    sums[first : first + n, c] += ((given == c).astype("f4") @ h).astype("i8")
+
+        held: tuple | None = None
+        cat: list = []
+        hits: list = []
+        for batch in batches:
+            for p, b, c, x in zip(*(batch.column(n).to_pylist() for n in ("pool", "b", "cat", "hits"))):
+                if held != (p, b):
+                    if held is not None:
+                        add(held, np.array(cat), hits)
+                    if held is None or held[0] != p:
+                        if held is not None:
+                            yield out()
+                        pool, sums = p, np.zeros((permutations + 1, k, size), "i8")
+                    held, cat, hits = (p, b), [], []
+                cat.append(c)
+                hits.append(x)
+        if held is not None:
+            add(held, np.array(cat), hits)
+            yield out()
+
+    counts = dealt.mapInArrow(run, "pool string, permutation int, counts array<bigint>")
+    # Position by position, so equal positions meet; k times n positions for each permutation and pool.
+    cells = counts.select("pool", "permutation", F.posexplode("counts").alias("at", "c")).groupBy("pool", "permutation", "at").agg(F.sum("c").cast("double").alias("c"))
+    parts = cells.groupBy("pool", "permutation", F.floor(F.col("at") / size).alias("cat")).agg(F.sum("c").alias("s1"), F.sum(F.col("c") * F.col("c")).alias("s2")).where("s1 > 0")
+    return parts.groupBy("pool", "permutation").agg(F.sum(F.col("s2") * m.n / F.col("s1") - F.col("s1")).alias("chi2"))

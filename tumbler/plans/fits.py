@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+
 from pyspark.sql import functions as F
 
 from tumbler.functions import exact
 from tumbler.functions.exact import Matrix
-from tumbler.operators import battery, models, regimes, subset
+from tumbler.operators import battery, inference, models, regimes, subset
 from tumbler.plans import views
 from tumbler.plans.catalog import CATALOG, LAGS, WINDOWS, query
 from tumbler.plans.more import HITS, POOLED, PRIOR, SCORED
 from tumbler.plans.views import ERAS, MATRIX, sql
 from tumbler.scratch import cut
+from tumbler.sources import payloads
 
 SPECIAL = Matrix(1, 1, MATRIX.specials)
 #: Coefficients at which the registered gradient is taken.
@@ -181,3 +185,54 @@ def shared_pools(spark, sf_dir):
     games = views.orders(spark, sf_dir).select("game").distinct()
     e = views.eras(spark).join(games, "game", "left_semi").withColumn("pool", F.when(F.col("era").endswith("E3"), "late").otherwise(F.col("pool")))
     return regimes.shared_pools(e).select("pool", F.array_join("games", ";").alias("games"), "n_eras")
+
+
+#: As many as the source material has.
+MANY = 9_999
+
+
+@query("equipment_permutation_full")
+def equipment_permutation_full(spark, sf_dir):
+    """Whether labels depend on the machine, by so many permutations of the machines of the real draws in a week that adjusted
+    p-values can be small. The draws are dealt by a seeded generator, which SQL has not; the observed statistic is p3s012's."""
+    d = views.eligible(spark, sf_dir).withColumn("week", F.date_trunc("week", "t"))
+    c = cut(models.permuted_margins(d, MATRIX, "week", "machine", MANY).withColumn("chi2", F.round("chi2", 6)), "permuted")
+    observed = c.where("permutation = 0").select("pool", F.col("chi2").alias("observed"))
+    nulls = c.where("permutation > 0").select("pool", F.col("chi2").alias("value"))
+    p = inference.mc_pvalue(nulls, observed, ["pool"]).join(inference.z_scores(nulls, observed, ["pool"]), "pool").join(observed, "pool")
+    out = inference.adjust(p.withColumn("family", F.lit("equipment")), ["family"], "p", ["pool"])
+    return out.select("pool", "observed", F.round("z", 4).alias("z"), "b", F.round("p", 6).alias("p"), F.round("bh_q", 6).alias("bh_q"), F.round("holm_p", 6).alias("holm_p"))
+
+
+# ------------------------------------------------------------------ payloads that had no query
+@query("nested_json_draws", "SELECT o_orderkey::INT AS special, o_orderdate::DATE::VARCHAR AS d, (1 + o_orderkey % 50) || ';' || (1 + o_custkey % 50) AS numbers, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 END::INT AS multiplier FROM orders")
+def nested_json_draws(spark, sf_dir):
+    """Orders as answers of an interface that wraps JSON in a JSON string; a multiplier of 0 is none."""
+    o = views.table(spark, sf_dir, "orders")
+    item = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss").alias("day"), F.expr("1 + o_orderkey % 50").alias("a"), F.expr("1 + o_custkey % 50").alias("b"), F.col("o_orderkey").alias("s"), F.expr("o_orderkey % 4").alias("m"))
+    content = F.to_json(F.struct(F.to_json(F.struct(F.array(item).alias("Draws"))).alias("d")))
+    out = payloads.nested_json_draws(o.select(content.alias("content")), "d", "Draws", "day", ["a", "b"], "s", "m")
+    return out.select(F.col("special").cast("int").alias("special"), F.col("d").cast("string").alias("d"), F.array_join(F.col("numbers").cast("array<string>"), ";").alias("numbers"), F.col("multiplier").cast("int").alias("multiplier"))
+
+
+def _workbook(rows: list[tuple[str, ...]]) -> bytes:
+    """A workbook of one sheet of texts."""
+    out, ns = io.BytesIO(), 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    cell = lambda j, i, x: f'<c r="{chr(65 + j)}{i}" t="inlineStr"><is><t>{x}</t></is></c>' if x else ""
+    lines = "".join(f"<row>{''.join(cell(j, i, x) for j, x in enumerate(r))}</row>" for i, r in enumerate(rows, 1))
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{lines}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+@query("xlsx_draws", "SELECT o_orderdate::DATE::VARCHAR AS d, (1 + o_orderkey % 40) || ';' || (41 + o_custkey % 9) AS numbers, (o_orderkey % 26)::INT AS special, (2 + o_orderkey % 3)::INT AS multiplier, (1 + o_orderkey % 9) * 1000000 AS jackpot FROM orders")
+def xlsx_draws(spark, sf_dir):
+    """Orders as rows of workbooks, one for each two hundred of them, and read back from their bytes."""
+    o = views.table(spark, sf_dir, "orders")
+    pair = F.concat(F.lpad(F.expr("1 + o_orderkey % 40").cast("string"), 2, "0"), F.lit("--"), F.expr("41 + o_custkey % 9").cast("string"))
+    row = F.array(F.date_format("o_orderdate", "dd-MM-yyyy"), pair, pair, F.expr("o_orderkey % 26").cast("string"), F.expr("2 + o_orderkey % 3").cast("string"), F.concat(F.lit("$"), F.expr("1 + o_orderkey % 9").cast("string"), F.lit(" Million")))
+    rows = o.select(F.expr("o_orderkey div 200").alias("book"), row.alias("r")).groupBy("book").agg(F.collect_list("r").alias("rows"))
+    make = F.udf(lambda rows_: _workbook([tuple(r) for r in rows_]), "binary")
+    files = cut(rows.select(F.col("book").cast("string").alias("path"), make("rows").alias("content")), "workbooks")
+    out = payloads.xlsx_draws(files)
+    return out.select(F.col("d").cast("string").alias("d"), F.array_join(F.col("numbers").cast("array<string>"), ";").alias("numbers"), "special", "multiplier", F.col("jackpot").cast("long").alias("jackpot"))

@@ -12,8 +12,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tumbler.operators.history import running
 from tumbler.scratch import cut
+from tumbler.sources.lines import numbered
 
 LEAF, DEEPEST = 256, 12
 
@@ -126,12 +126,8 @@ def differences(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file (its name), offset (the line's first byte, from 0) and line for every line of text files with line feeds, however they
-    are split: bytes are summed inside a split and over the table of splits. Leaves of a seal of raw lines."""
-    read = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
-    size = F.octet_length("line") + 1
-    out = running(cut(read, "lines"), ["file"], F.col("block"), ["place"], {"__end": size})
-    return out.select("file", (F.col("__end") - size).alias("offset"), "line")
+    """file, offset and line for every line of text files: leaves of a seal of raw lines."""
+    return numbered(spark, path).select("file", "offset", "line")
 
 
 def seal_lines(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:

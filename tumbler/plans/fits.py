@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tumbler.functions import exact
 from tumbler.functions.exact import Matrix
-from tumbler.operators import battery, inference, models, regimes, subset
+from tumbler.operators import audit, battery, history, inference, models, regimes, subset
 from tumbler.plans import views
 from tumbler.plans.catalog import CATALOG, LAGS, WINDOWS, query
 from tumbler.plans.more import HITS, POOLED, PRIOR, SCORED
 from tumbler.plans.views import ERAS, MATRIX, sql
-from tumbler.scratch import cut
-from tumbler.sources import payloads
+from tumbler.scratch import cut, folder
+from tumbler.sources import lines, payloads
 
 SPECIAL = Matrix(1, 1, MATRIX.specials)
 #: Coefficients at which the registered gradient is taken.
@@ -236,3 +239,70 @@ def xlsx_draws(spark, sf_dir):
     files = cut(rows.select(F.col("book").cast("string").alias("path"), make("rows").alias("content")), "workbooks")
     out = payloads.xlsx_draws(files)
     return out.select(F.col("d").cast("string").alias("d"), F.array_join(F.col("numbers").cast("array<string>"), ";").alias("numbers"), "special", "multiplier", F.col("jackpot").cast("long").alias("jackpot"))
+
+
+@query("csv_line_errors", "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) + 1 AS number FROM orders) SELECT number::BIGINT AS number, 'o_custkey' AS \"column\", 'n/a' AS value FROM o WHERE o_orderkey % 13 = 0 UNION ALL SELECT number, 'o_totalprice', 'x' || o_orderkey FROM o WHERE o_orderkey % 11 = 0")
+def csv_line_errors(spark, sf_dir):
+    """Orders written as one CSV file in order of their keys, some with unreadable cells: each is reported by its line."""
+    o = views.table(spark, sf_dir, "orders")
+    cell = lambda bad, text, c: F.when(bad, text).otherwise(F.col(c).cast("string")).alias(c)
+    key = F.col("o_orderkey")
+    path = f"{folder(spark)}/orders-{uuid.uuid4().hex}"
+    rows = o.select("o_orderkey", cell(key % 13 == 0, F.lit("n/a"), "o_custkey"), cell(key % 11 == 0, F.concat(F.lit("x"), key.cast("string")), "o_totalprice"), F.to_date("o_orderdate").alias("o_orderdate"))
+    rows.coalesce(1).sortWithinPartitions("o_orderkey").write.csv(path, header=True)  # one file: line numbers are the result
+    schema = StructType.fromDDL("o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderdate date")
+    return lines.typed_csv(spark, path, schema)[1].select("number", "column", "value")
+
+
+# ------------------------------------------------------------------ verifiers of the phases, one scan for each table
+def _violations(parts: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{name}' AS \"check\", count(*) = 0 AS passed, count(*)::BIGINT AS n_violations FROM {rows}" for name, rows in parts.items())
+
+
+_E = "(SELECT *, count(*) OVER (PARTITION BY era) AS same, lag(coalesce(hi, DATE '9999-12-31')) OVER (PARTITION BY game ORDER BY lo, era) AS before FROM eras)"
+
+
+@query("register_checks", f"WITH {ERAS} " + _violations({"id_unique": f"{_E} WHERE same > 1", "span_in_order": f"{_E} WHERE hi < lo", "certain_inside": f"{_E} WHERE clear_from < lo OR clear_from > coalesce(hi, DATE '9999-12-31')", "no_overlap": f"{_E} WHERE lo <= before", "named": f"{_E} WHERE era IS NULL OR game IS NULL OR pool IS NULL"}))
+def register_checks(spark, sf_dir):
+    """Phase 0, over the register of eras of the games that have orders."""
+    e = views.eras(spark).join(views.orders(spark, sf_dir).select("game").distinct(), "game", "left_semi")
+    e = e.withColumns({"same": F.count(F.lit(1)).over(Window.partitionBy("era")), "before": F.lag(F.coalesce("hi", regimes.forever())).over(Window.partitionBy("game").orderBy("lo", "era"))})
+    return audit.compiled(e, {
+        "id_unique": F.col("same") > 1, "span_in_order": F.col("hi") < F.col("lo"), "certain_inside": (F.col("clear_from") < F.col("lo")) | (F.col("clear_from") > F.coalesce("hi", regimes.forever())),
+        "no_overlap": F.col("lo") <= F.col("before"), "named": F.col("era").isNull() | F.col("game").isNull() | F.col("pool").isNull(),
+    })
+
+
+_T = f"(SELECT * FROM ({CATALOG['family_table'][1]}) WHERE p IS NOT NULL)"
+TEST_RULES = {
+    "p_in_range": "p < 0 OR p > 1", "q_not_below_p": "bh_q < p - 1e-5", "holm_not_below_bh": "holm_p < bh_q - 1e-5", "promoted_is_flagged": "promoted AND NOT bh_reject",
+    "promoted_is_large": "promoted AND coalesce(abs(z) < 2.5, true)", "flagged_is_below_alpha": "bh_reject AND bh_q > 0.05001", "holm_implies_bh": "holm_reject AND NOT bh_reject",
+}
+
+
+@query("test_checks", "WITH tt AS (SELECT * FROM " + _T + ") " + _violations({name: f"tt WHERE {text}" for name, text in TEST_RULES.items()}))
+def test_checks(spark, sf_dir):
+    """Phase 3B, over the family table: ranges, adjustment and promotion."""
+    return audit.compiled(cut(family_table(spark, sf_dir), "family").where("p IS NOT NULL"), {name: F.expr(text) for name, text in TEST_RULES.items()})
+
+
+_W = f", {PRIOR}{SCORED}, sd AS (SELECT sc.*, o.k - 1 AS n, o.t FROM sc JOIN o USING (pool, draw_id)), sq AS (SELECT *, lag(n) OVER w AS n0, lag(t) OVER w AS t0, count(*) OVER (PARTITION BY pool, model, draw_id) AS same FROM sd WINDOW w AS (PARTITION BY pool, model ORDER BY n)) "
+
+
+@query("score_checks", sql(_W + _violations({"warmed_up": "sq WHERE n < 100", "contiguous": "sq WHERE n0 IS NOT NULL AND n <> n0 + 1", "chronological": "sq WHERE t < t0", "scored_once": "sq WHERE same > 1", "finite": "sq WHERE isnan(log_score) OR log_score IS NULL OR log_score > 50"})))
+def score_checks(spark, sf_dir):
+    """Phase 4A, over the walk-forward scores: warm-up, no holes, chronology, one score a draw and model."""
+    h = views.written(spark, sf_dir)
+    places = history.running(h, ["pool"], F.date_trunc("day", "t"), ["t", "draw_id"], {"place": F.lit(1)}).select("pool", "draw_id", "t", (F.col("place") - 1).alias("n"))
+    rows = cut(models.walk_forward(h, MATRIX), "scores").join(places, ["pool", "draw_id"])
+    # A run of places has as many rows as places, and days in order; so no window holds a pool.
+    per = rows.groupBy("pool", "model", F.floor(F.col("n") / 1000).alias("b")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count_distinct("n").alias("d"), F.min("t").alias("first"), F.max("t").alias("last"))
+    by = Window.partitionBy("pool", "model").orderBy("b")
+    edges = per.withColumns({"high0": F.lag("high").over(by), "last0": F.lag("last").over(by)})
+    inner = Window.partitionBy("pool", "model", F.floor(F.col("n") / 1000)).orderBy("n")
+    marked = rows.withColumns({"n0": F.lag("n").over(inner), "t0": F.lag("t").over(inner), "same": F.count(F.lit(1)).over(Window.partitionBy("pool", "model", "draw_id"))})
+    every = marked.select("n", "n0", "t", "t0", "same", "log_score").unionByName(edges.where("high0 IS NOT NULL").select(F.col("low").alias("n"), F.col("high0").alias("n0"), F.col("first").alias("t"), F.col("last0").alias("t0"), F.lit(1).cast("long").alias("same"), F.lit(0.0).alias("log_score")))
+    return audit.compiled(every, {
+        "warmed_up": F.col("n") < 100, "contiguous": F.col("n0").isNotNull() & (F.col("n") != F.col("n0") + 1), "chronological": F.col("t") < F.col("t0"), "scored_once": F.col("same") > 1,
+        "finite": F.isnan("log_score") | F.col("log_score").isNull() | (F.col("log_score") > 50),
+    })

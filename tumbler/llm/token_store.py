@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tumbler.llm.common import cut, fresh_path, pieces, shuffles
+from tumbler.llm.common import cut, fresh_path, pieces, remove, shuffles
 from tumbler.llm.token_counts import byte_letters
 
 MARK = b"\nSST"
@@ -333,4 +333,6 @@ def op7_token_shards(spark, sf_dir: str, tokenizer: str | None = None) -> DataFr
         raw = f.read()
     path = fresh_path(spark, "shards")
     write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), raw, path)
-    return located(read_shards(spark, path))
+    out = located(read_shards(spark, path))
+    remove(spark, path)  # what was read from them is in a table of its own
+    return out

@@ -5,10 +5,16 @@ distinct longer ones in which a byte follows, so the context trie is a set of so
 context has not seen escapes to the next shorter one, with the bytes already tried excluded
 (symbol exclusion); escapes are estimated by method D (half a count for each distinct byte).
 Beside it, a word unigram gives a base score.
+
+The model is never in one place. Grams are dealt to buckets by the SHARED bytes before the last one, so a bucket holds
+all contexts of that length and longer that its grams need; contexts that are shorter have at most 256 ** SHARED codes and are
+broadcast. Blocks of documents ask each bucket for their distinct grams and words in one packed row, and get the values
+in the same order.
 """
 
 from __future__ import annotations
 
+import zlib
 from itertools import chain
 
 import numpy as np
@@ -18,11 +24,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tumbler.llm.common import cut, pieces, shuffles
+from tumbler.llm.common import cut, intermediate, pieces, shuffles
 
 ORDER = 5
-#: Grams in a broadcast model (16 bytes each); a larger model stays in tables and is looked up by joins.
-MOST_GRAMS = 6_000_000
+#: Bytes before the last one that grams are dealt by: at most 256 ** 3 grams of order 5 share them, and as many shorter
+#: codes are broadcast (16 bytes each).
+SHARED = 3
+#: Text bytes for each bucket of the model.
+BUCKET_BYTES = 512 << 20
+#: Blocks that ask one copy of a bucket; with more blocks there are more copies.
+ASKERS = 10_000
+#: Grams that a bucket looks up at once.
+LOOKUP = 1 << 20
 #: Text bytes that a task counts or scores at once.
 CHUNK = 4 << 20
 #: Grams or words that a task counts before it gives their counts.
@@ -116,21 +129,24 @@ def by_gram(texts: list[bytes], log10, order: int) -> np.ndarray:
 
 
 class Ppm:
-    """codes: distinct (order + 1)-byte codes; counts: how often each was seen."""
+    """codes: distinct (order + 1)-byte codes; counts: how often each was seen. A shorter model, where given, has the
+    contexts up to its own order; then codes may be those of some contexts of the next length only."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int = ORDER):
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int = ORDER, shorter: Ppm | None = None):
         self.order, self.depths = order, []
-        for j in range(order, -1, -1):
+        for j in range(order, shorter.order if shorter else -1, -1):
             # Update exclusion: a shorter context counts the distinct longer ones that a byte was seen in.
             codes, counts = sums(codes & ((1 << 8 * (j + 1)) - 1), counts.astype(np.int64) if j == order else np.ones(len(codes), np.int64))
             contexts, n = sums(codes >> 8, counts)
             _, distinct = sums(codes >> 8, np.ones(len(codes), np.int64))
             self.depths.append({"codes": codes, "counts": counts, "contexts": contexts, "n": n, "distinct": distinct})
+        new = len(self.depths)
+        self.depths += shorter.depths if shorter else []
         # What a context excludes one depth shorter: the counts there of the bytes it has seen.
-        for i in range(order):
-            longer, shorter, j = self.depths[i], self.depths[i + 1], order - i
-            at = find(shorter["codes"], longer["codes"] & ((1 << 8 * j) - 1))
-            longer["excluded"] = sums(longer["codes"] >> 8, shorter["counts"][at])[1] if len(at) else np.zeros(0, np.int64)
+        for i in range(min(new, order)):
+            longer, next_, j = self.depths[i], self.depths[i + 1], order - i
+            at = find(next_["codes"], longer["codes"] & ((1 << 8 * j) - 1))
+            longer["excluded"] = sums(longer["codes"] >> 8, next_["counts"][at])[1] if len(at) else np.zeros(0, np.int64)
 
     def log10(self, codes: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each code after the bytes before it."""
@@ -185,96 +201,225 @@ def flat(words: list[list[bytes]]) -> pa.Array:
     return pa.array(list(chain.from_iterable(words)), pa.binary())
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Integers from 0 on in few bytes: their used byte planes, compressed."""
+    if not len(numbers):
+        return b""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(numbers).to_bytes(4, "little") + bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.int64)
+    n, width = int.from_bytes(raw[:4], "little"), raw[4]
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(raw[5:], n * width, codec="zstd"), np.uint8).reshape(width, n).T
+    return out.view("<i8").ravel()
+
+
+def pack_sorted(codes: np.ndarray) -> bytes:
+    return pack(np.diff(codes, prepend=0))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw))
+
+
+def pack_values(values: np.ndarray) -> bytes:
+    """Floating-point numbers, of which many are equal."""
+    distinct, at = np.unique(values, return_inverse=True)
+    body = pack(at)
+    return len(body).to_bytes(4, "little") + body + distinct.tobytes()
+
+
+def unpack_values(raw: bytes) -> np.ndarray:
+    n = 4 + int.from_bytes(raw[:4], "little")
+    return np.frombuffer(raw[n:], np.float64)[unpack(raw[4:n])]
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    """Words, which hold no line feed and are not empty."""
+    raw = b"\n".join(words)
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True) if words else b""
+
+
+def unpack_words(raw: bytes) -> list[bytes]:
+    return pa.decompress(raw[4:], int.from_bytes(raw[:4], "little"), codec="zstd", asbytes=True).split(b"\n") if raw else []
+
+
+def shares(codes: np.ndarray, words: list[bytes], buckets: int, order: int) -> dict[int, tuple[np.ndarray, list[bytes]]]:
+    """bucket -> (places of its codes, its words), both in the order given."""
+    context = (codes >> 8 & ((1 << 8 * min(SHARED, order)) - 1)).astype(np.uint64)
+    of = ((context * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
+    places = np.argsort(of, kind="stable")
+    of = of[places]
+    first, n = runs(of)
+    out = {b: (places[i : i + m], []) for b, i, m in zip(of[first].tolist(), first.tolist(), n.tolist())}
+    for word in words:
+        out.setdefault(zlib.crc32(word) % buckets, (places[:0], []))[1].append(word)
+    return out
+
+
+def table_of(columns: list[str], types: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else [[]] * len(columns), types)], names=columns)
+
+
+COUNTS = ["bucket", "grams", "counts", "words", "tallies", "texts"]
+COUNT_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+
+
 class Tally:
     """Counts of grams and words over a task's chunks, in bounded memory."""
 
     def __init__(self, order: int):
-        self.order, self.words, self.codes, self.n = order, [], [], 0
+        self.order, self.words, self.codes, self.n, self.texts = order, [], [], 0, 0
+
+    def count(self, codes: np.ndarray, counts: np.ndarray, words: pa.Table, texts: int) -> bool:
+        """Takes counts (word, n); True if it is time to give them."""
+        self.codes.append((codes, counts))
+        self.words.append(words)
+        self.texts += texts
+        self.n += len(codes) + len(words)
+        return self.n >= TALLY
 
     def add(self, words: list[list[bytes]]) -> bool:
-        """Counts a chunk; True if it is time to give the counts."""
         codes = grams(as_bytes(words), self.order)[0]
         codes.sort()
         first, n = runs(codes)
-        self.codes.append((codes[first], n))
         counted = pc.value_counts(flat(words))
-        for word, count in ((counted.field("values"), counted.field("counts")), (pa.array([b""], pa.binary()), pa.array([len(words)], pa.int64()))):
-            self.words.append(pa.table({"word": word, "n": count}))
-        self.n += len(first) + len(counted)
-        return self.n >= TALLY
+        return self.count(codes[first], n, pa.table({"word": counted.field("values"), "n": counted.field("counts")}), len(words))
 
-    def give(self) -> pa.RecordBatch:
+    def squeeze(self) -> None:
+        """Sums what was taken so far."""
         codes, counts = sums(*(np.concatenate(x) for x in zip(*self.codes)))
-        words = pa.concat_tables(self.words).group_by("word").aggregate([("n", "sum")])
-        a, b = len(codes), len(words)
-        out = pa.RecordBatch.from_arrays([
-            pa.concat_arrays([pa.array(codes, pa.int64()), pa.nulls(b, pa.int64())]),
-            pa.concat_arrays([pa.nulls(a, pa.binary()), *words.column("word").chunks]),
-            pa.concat_arrays([pa.array(counts, pa.int64()), *words.column("n_sum").chunks]),
-        ], names=["gram", "word", "n"])
-        self.words, self.codes, self.n = [], [], 0
-        return out
-
-
-def train(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, word, n): how often each byte gram and each word was seen; the end of a text is the empty word.
+        words = pa.concat_tables(self.words).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+        self.codes, self.words, self.n = [(codes, counts)], [words], len(codes) + len(words)
+
+    def give(self, buckets: int) -> pa.RecordBatch:
+        """A row for each bucket."""
+        self.squeeze()
+        (codes, counts), words = self.codes[0], self.words[0].sort_by("word")
+        n = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist()))
+        rows = [
+            (b, pack_sorted(codes[at]), pack(counts[at]), pack_words(mine), pack(np.array([n[w] for w in mine], np.int64)), 0)
+            for b, (at, mine) in shares(codes, list(n), buckets, self.order).items()
+        ]
+        rows[0] = (*rows[0][:5], self.texts)
+        self.words, self.codes, self.n, self.texts = [], [], 0, 0
+        return table_of(COUNTS, COUNT_TYPES, rows)
+
+
+def train(docs: DataFrame, buckets: int, order: int = ORDER) -> DataFrame:
+    """The model, a row for each bucket: its grams and words in order and how often each was seen, packed; n_words (sum of
+    the words' counts), distinct_words, and texts, whose sum over buckets counts the texts.
 
     Reads doc_id and text (the first two columns). Each task sums its chunks before anything is shuffled, and gives what it
-    has whenever that reaches TALLY grams or words.
+    has whenever that reaches TALLY grams or words. What a bucket gets is summed as it comes in.
     """
 
     def run(batches):
         tally = Tally(order)
         for _, words in _chunks(batches):
             if tally.add(words):
-                yield tally.give()
+                yield tally.give(buckets)
         if tally.n:
-            yield tally.give()
-
-    return docs.mapInArrow(run, "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n"))
-
-
-def load(counts: DataFrame, order: int = ORDER) -> Ppm:
-    """The model from all gram counts."""
-    table = counts.where("gram IS NOT NULL").select("gram", "n").toArrow()
-    return Ppm(table.column("gram").to_numpy(), table.column("n").to_numpy(), order)
-
-
-def depths(counts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
-    """The arrays of Ppm as tables, longest contexts first: (code, count) and (context, n, distinct, excluded)."""
-    codes = [counts.where("gram IS NOT NULL").select(F.col("gram").alias("code"), F.col("n").alias("count"))]
-    for j in range(order - 1, -1, -1):
-        suffix = F.col("code").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1))
-        codes.append(cut(codes[-1].groupBy(suffix.alias("code")).agg(F.count(F.lit(1)).alias("count")), "lm"))
-    out = []
-    for i, longer in enumerate(codes):
-        rows = longer.withColumn("shorter", F.lit(0).cast("long"))
-        if i < order:
-            rows = longer.withColumn("suffix", F.col("code").bitwiseAND(F.lit((1 << 8 * (order - i)) - 1))).join(codes[i + 1].select(F.col("code").alias("suffix"), F.col("count").alias("shorter")), "suffix")
-        contexts = rows.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("distinct"), F.sum("shorter").alias("excluded"))
-        out.append((longer, cut(contexts, "lm")))
-    return out
+            yield tally.give(buckets)
+
+    def whole(bucket: int, tally: Tally) -> pa.RecordBatch:
+        tally.squeeze()
+        (codes, counts), words = tally.codes[0], tally.words[0].sort_by("word")
+        n = words.column("n").to_numpy()
+        row = (bucket, pack_sorted(codes), pack(counts), pack_words(words.column("word").to_pylist()), pack(n), tally.texts, int(n.sum()), len(n))
+        return table_of([*COUNTS, "n_words", "distinct_words"], [*COUNT_TYPES, pa.int64(), pa.int64()], [row])
 
+    def merge(batches):
+        of, tally, settled = None, Tally(order), 0
+        for batch in batches:
+            for bucket, codes, counts, words, tallies, texts in zip(*(c.to_pylist() for c in batch.columns)):
+                if bucket != of:
+                    if of is not None:
+                        yield whole(of, tally)
+                    of, tally, settled = bucket, Tally(order), 0
+                words = pa.table({"word": pa.array(unpack_words(words), pa.binary()), "n": pa.array(unpack(tallies), pa.int64())})
+                tally.count(unpack_sorted(codes), unpack(counts), words, texts)
+                if tally.n > 2 * settled + TALLY:
+                    tally.squeeze()
+                    settled = tally.n
+        if of is not None:
+            yield whole(of, tally)
+
+    schema = "bucket int, grams binary, counts binary, words binary, tallies binary, texts long"
+    parts = docs.mapInArrow(run, schema).repartition(shuffles(docs.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return parts.mapInArrow(merge, schema + ", n_words long, distinct_words long")
+
+
+def short_model(model: DataFrame, order: int = ORDER) -> Ppm:
+    """The part of the model with contexts of fewer than SHARED bytes (or the order, if that is smaller), from sums over buckets."""
+    width = min(SHARED, order)
+
+    def suffixes(batches):
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                codes = np.unique(unpack_sorted(raw) & ((1 << 8 * (width + 1)) - 1)) & ((1 << 8 * width) - 1)
+                codes, n = np.unique(codes, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(n, pa.int64())], names=["code", "n"])
 
-def looked_up(wanted: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """gram, value: Ppm.log10 of distinct grams (column gram) by joins, one depth at a time for those still open."""
-    zero = F.lit(0).cast("long")
-    open_, done = wanted.select("gram", F.lit(0.0).alias("value"), zero.alias("gone"), zero.alias("tried")), []
-    for i, (codes, contexts) in enumerate(depths(counts, order)):
-        asked = open_.withColumn("code", F.col("gram").bitwiseAND(F.lit((1 << 8 * (order - i + 1)) - 1))).withColumn("context", F.shiftright("code", 8))
-        # One or two bytes have few values, which all open grams share; longer keys are dealt out.
-        few = lambda df, n_bytes: F.broadcast(df) if n_bytes <= 2 else df
-        j = asked.join(few(codes, order - i + 1), "code", "left").join(few(contexts, order - i), "context", "left")
-        n, fresh = F.coalesce("n", zero) - F.col("gone"), F.coalesce("distinct", zero) - F.col("tried")
-        # A gram seen here is done; one of a known context escapes, unless all that the context has seen is excluded.
-        step = F.when(F.col("count").isNotNull(), F.log10((F.col("count") - 0.5) / n)).when(n > 0, F.log10(fresh * 0.5 / n)).otherwise(0.0)
-        j = cut(j.select("gram", (F.col("value") + step).alias("value"), F.coalesce("excluded", "gone").alias("gone"), F.coalesce("distinct", "tried").alias("tried"), F.col("count").isNotNull().alias("hit")), "lm")
-        done.append(j.where("hit").select("gram", "value"))
-        open_ = j.where("NOT hit").drop("hit")
-    rest = open_.select("gram", (F.col("value") - F.log10(F.greatest(F.lit(1), 256 - F.col("tried")).cast("double"))).alias("value"))
-    for part in done:
-        rest = rest.unionByName(part)
-    return rest
+    table = model.select("grams").mapInArrow(suffixes, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow().sort_by("code")
+    return Ppm(table.column("code").to_numpy(), table.column("n").to_numpy(), width - 1)
+
+
+def distinct(batches, order: int) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct grams and words of a block, in order."""
+    codes, words = [np.zeros(0, np.int64)], set()
+    for _, chunk in _chunks(batches):
+        codes.append(np.unique(grams(as_bytes(chunk), order)[0]))
+        words.update(flat(chunk).unique().to_pylist())
+    return np.unique(np.concatenate(codes)), sorted(words)
+
+
+def answers(model: DataFrame, asked: DataFrame, copies: int, short, order: int = ORDER) -> DataFrame:
+    """For each (block, bucket) row of asked, with grams and words: their log10 probabilities and counts in the same order.
+
+    A bucket's model row comes first and stays in memory while the blocks that ask it pass by.
+    """
+
+    def answer(batches):
+        of, deep, n = None, None, {}
+        for batch in batches:
+            held, size, out = [], 0, []
+
+            def flush():
+                values = deep.log10(np.concatenate([codes for _, codes, _ in held]))
+                ends = np.cumsum([len(codes) for _, codes, _ in held])
+                for (block, codes, words), end in zip(held, ends.tolist()):
+                    out.append((block, of[0], pack_values(values[end - len(codes) : end]), pack(np.array([n.get(w, 0) for w in words], np.int64))))
+                held.clear()
+
+            for block, bucket, copy, codes, counts, words, tallies in zip(*(c.to_pylist() for c in batch.columns)):
+                if (bucket, copy) != of:
+                    if held:
+                        flush()
+                    seen = block < 0
+                    of, size = (bucket, copy), 0
+                    deep = Ppm(unpack_sorted(codes if seen else b""), unpack(counts if seen else b""), order, short.value)
+                    n = dict(zip(unpack_words(words), unpack(tallies).tolist())) if seen else {}
+                if block >= 0:
+                    held.append((block, unpack_sorted(codes), unpack_words(words)))
+                    size += len(held[-1][1])
+                    if size >= LOOKUP:
+                        flush()
+                        size = 0
+            if held:
+                flush()
+            yield table_of(["block", "bucket", "values", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], out)
+
+    told = model.select(F.lit(-1).cast("long").alias("block"), "bucket", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "grams", "counts", "words", "tallies")
+    none = F.lit(None).cast("binary")
+    asks = asked.select("block", "bucket", (F.col("block") % copies).cast("int").alias("copy"), "grams", none.alias("counts"), "words", none.alias("tallies"))
+    met = told.unionByName(asks).repartition(shuffles(model.sparkSession), "bucket", "copy").sortWithinPartitions("bucket", "copy", "block")
+    return met.mapInArrow(answer, "block long, bucket int, values binary, counts binary")
 
 
 def block_count(n_bytes: int, parts: int) -> int:
@@ -289,81 +434,61 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     as often as they occur. With nothing to learn from, base_score is 0 and score is uniform over bytes.
     Extra columns are not read; an empty table gives no rows. A very long text is a chunk of its own.
 
-    Words are looked up without a broadcast of the vocabulary: documents are dealt to blocks, each block asks for its
-    distinct words, and the answers are grouped with the block's documents. With more than MOST_GRAMS grams, each block's
-    distinct grams are looked up so too; the scores are those of the whole model either way.
+    Nothing that grows with the corpus is broadcast or collected: documents are dealt to blocks, each block asks the buckets of
+    the model for its distinct grams and words, and the answers are grouped with the block's documents. The order is at least 1.
     """
     spark = docs.sparkSession
     key = F.col(f"`{id_col}`").cast("long")
     cols = docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), (F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 5 == fold).alias("held_out"))
-    counts = cut(train(cols.where(~F.col("held_out")), order), "lm")
-    total, distinct = counts.where("word IS NOT NULL").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    wide = counts.where("gram IS NOT NULL").count() > MOST_GRAMS
-    model = None if wide else spark.sparkContext.broadcast(load(counts, order))
     parts = shuffles(spark)
     n_bytes = cols.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    block = F.pmod(F.xxhash64("doc_id", F.crc32(F.substring("text", 1, 64).cast("binary"))), F.lit(block_count(n_bytes, parts))).cast("int")
+    buckets = max(2 * parts, pieces(n_bytes, BUCKET_BYTES))
+    model = cut(train(cols.where(~F.col("held_out")), buckets, order), "lm")
+    texts, total, words = model.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("texts", "n_words", "distinct_words"))).first()
+    total, room = total + texts, total + texts + 0.5 * (words + (texts > 0) + 1)
+    short = spark.sparkContext.broadcast(short_model(model, order))
+    n_blocks = block_count(n_bytes, parts)
+    block = F.pmod(F.xxhash64("doc_id", F.crc32(F.substring("text", 1, 64).cast("binary"))), F.lit(n_blocks))
     blocks = cols.withColumn("block", block).repartition(parts, "block")
 
-    def ask(batches):
-        for batch in batches:
-            wanted: dict[int, set] = {}
-            for b, text in zip(batch.column(3).to_pylist(), batch.column(1)):
-                wanted.setdefault(b, {b""}).update(tokens(text.as_py()))
-            for b, words in wanted.items():
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(words), pa.int32()), pa.array(list(words), pa.binary())], names=["block", "word"])
-
-    wanted = blocks.mapInArrow(ask, "block int, word binary").distinct()
-    answers = wanted.join(counts.where("word IS NOT NULL").select("word", "n"), "word").select("block", "word", "n")
-    if wide:
-
-        def ask_grams(batches):
-            for batch in batches:
-                codes, begins = grams([b" ".join(tokens(x.as_py())) for x in batch.column(1)], order)
-                of = np.repeat(batch.column(3).to_numpy(), np.diff(begins, append=len(codes)))
-                for b in np.unique(of):
-                    found = np.unique(codes[of == b])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b), pa.int32()), pa.array(found, pa.int64())], names=["block", "gram"])
-
-        pairs = cut(blocks.mapInArrow(ask_grams, "block int, gram long").distinct(), "lm")
-        values = pairs.join(looked_up(pairs.select("gram").distinct(), counts, order), "gram")
-        answers = answers.selectExpr("block", "word", "n", "CAST(NULL AS long) AS gram", "CAST(NULL AS double) AS value").unionByName(values.selectExpr("block", "CAST(NULL AS binary) AS word", "CAST(NULL AS long) AS n", "gram", "value"))
+    def ask(table: pa.Table) -> pa.Table:
+        codes, words = distinct(table.select(["doc_id", "text"]).to_batches(), order)
+        block = table.column("block")[0].as_py()
+        rows = [(block, b, pack_sorted(codes[at]), pack_words(mine)) for b, (at, mine) in shares(codes, words, buckets, order).items()]
+        return pa.Table.from_batches([table_of(["block", "bucket", "grams", "words"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], rows)])
+
+    asked = blocks.groupBy("block").applyInArrow(ask, "block long, bucket int, grams binary, words binary")
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
-        if wide:
-            known = right.filter(pc.is_valid(right.column("gram"))).sort_by("gram")
-            right, codes, values = right.filter(pc.is_valid(right.column("word"))), known.column("gram").to_numpy(), known.column("value").to_numpy()
-            of = lambda texts: by_gram(texts, lambda x: values[np.searchsorted(codes, x)], order)
-        else:
-            of = model.value.score
-        room = total + 0.5 * (distinct + 1)
-        known = right.column("word").combine_chunks()
-        value = np.append(np.log10((right.column("n").to_numpy() + 0.5) / room), np.nan)  # what isn't found has the last
-
-        def values_of(words: pa.Array) -> np.ndarray:
-            return value[pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False)]
-
-        of_end, unseen = values_of(pa.array([b""], pa.binary()))[0], float(np.log10(0.5 / room))
+        texts_ = left.select(["doc_id", "text"])
+        codes, words = distinct(texts_.to_batches(), order)
+        values, seen = np.empty(len(codes)), {}
+        got = {b: (v, c) for b, v, c in zip(*(right.column(c).to_pylist() for c in ("bucket", "values", "counts")))}
+        for b, (at, mine) in shares(codes, words, buckets, order).items():
+            values[at] = unpack_values(got[b][0])
+            seen.update(zip(mine, unpack(got[b][1]).tolist()))
         out = {"base": [], "known": [], "n": [], "score": []}
-        for _, words in _chunks(left.select(["doc_id", "text"]).to_batches()):
+        for _, words in _chunks(texts_.to_batches()):
             n = np.array([len(w) + 1 for w in words])
-            got = np.full(n.sum(), of_end)
-            inner = np.ones(len(got), bool)
+            count = np.full(n.sum(), texts)
+            inner = np.ones(len(count), bool)
             inner[np.cumsum(n) - 1] = False  # where the ends stand
             coded = flat(words).dictionary_encode()
-            got[inner] = values_of(coded.dictionary)[coded.indices.to_numpy()]
-            new = np.isnan(got)
-            got[new] = unseen
+            count[inner] = np.array([seen[w] for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
             begins = np.cumsum(n) - n
             out["n"] += n.tolist()
-            out["known"] += (n - np.add.reduceat(new.astype(np.int64), begins)).tolist()
-            out["base"] += np.add.reduceat(got, begins).tolist()
-            out["score"] += of(as_bytes(words)).tolist()
+            out["known"] += np.add.reduceat((count > 0).astype(np.int64), begins).tolist()
+            out["base"] += np.add.reduceat(np.log10((count + 0.5) / room), begins).tolist()
+            out["score"] += by_gram(as_bytes(words), lambda x: values[np.searchsorted(codes, x)], order).tolist()
         n = len(left)
-        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(out["n"], pa.int64()), "n_known": pa.array(out["known"], pa.int64()), "train_tokens": pc.cast(pa.array([total] * n), pa.int64()), "base_score": pa.array(out["base"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
+        return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(out["n"], pa.int64()), "n_known": pa.array(out["known"], pa.int64()), "train_tokens": pa.array([total] * n, pa.int64()), "base_score": pa.array(out["base"], pa.float64()), "score": pa.array(out["score"], pa.float64())})
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    told = answers(model, asked, pieces(n_blocks, ASKERS), short, order)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_ppm_score(spark, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The scores, written; the model is deleted once they are."""
+    with intermediate(spark) as kept:
+        kept.append(cut(score(spark.read.parquet(f"{sf_dir}/documents.parquet")), "scores"))
+    return kept[0]

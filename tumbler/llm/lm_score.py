@@ -8,8 +8,7 @@ Beside it, a word unigram gives a base score.
 
 The model is never in one place. Grams are dealt to buckets by the SHARED bytes before the last one, so a bucket holds
 all contexts of that length and longer that its grams need; contexts that are shorter have at most 256 ** SHARED codes and are
-broadcast. Blocks of documents ask each bucket for their distinct grams and words in one packed row, and get the values
-in the same order.
+broadcast. Blocks of documents send each bucket their distinct grams and words in one packed row, which comes back with the values.
 """
 
 from __future__ import annotations
@@ -372,15 +371,18 @@ def short_model(model: DataFrame, order: int = ORDER) -> Ppm:
 
 def distinct(batches, order: int) -> tuple[np.ndarray, list[bytes]]:
     """The distinct grams and words of a block, in order."""
-    codes, words = [np.zeros(0, np.int64)], set()
+    found, words = [np.zeros(0, np.int64)], [pa.array([], pa.binary())]
     for _, chunk in _chunks(batches):
-        codes.append(np.unique(grams(as_bytes(chunk), order)[0]))
-        words.update(flat(chunk).unique().to_pylist())
-    return np.unique(np.concatenate(codes)), sorted(words)
+        codes = grams(as_bytes(chunk), order)[0]
+        codes.sort()
+        found.append(codes[runs(codes)[0]])
+        words.append(flat(chunk).unique())
+    codes = np.sort(np.concatenate(found))
+    return codes[runs(codes)[0]], sorted(pa.concat_arrays(words).unique().to_pylist())
 
 
 def answers(model: DataFrame, asked: DataFrame, copies: int, short, order: int = ORDER) -> DataFrame:
-    """For each (block, bucket) row of asked, with grams and words: their log10 probabilities and counts in the same order.
+    """Each (block, bucket) row of asked, with its grams and words, their log10 probabilities (values) and counts.
 
     A bucket's model row comes first and stays in memory while the blocks that ask it pass by.
     """
@@ -391,10 +393,10 @@ def answers(model: DataFrame, asked: DataFrame, copies: int, short, order: int =
             held, size, out = [], 0, []
 
             def flush():
-                values = deep.log10(np.concatenate([codes for _, codes, _ in held]))
-                ends = np.cumsum([len(codes) for _, codes, _ in held])
-                for (block, codes, words), end in zip(held, ends.tolist()):
-                    out.append((block, of[0], pack_values(values[end - len(codes) : end]), pack(np.array([n.get(w, 0) for w in words], np.int64))))
+                values = deep.log10(np.concatenate([codes for _, _, _, codes in held]))
+                ends = np.cumsum([len(codes) for _, _, _, codes in held])
+                for (block, asked, words, codes), end in zip(held, ends.tolist()):
+                    out.append((block, asked, pack_values(values[end - len(codes) : end]), words, pack(np.array([n.get(w, 0) for w in unpack_words(words)], np.int64))))
                 held.clear()
 
             for block, bucket, copy, codes, counts, words, tallies in zip(*(c.to_pylist() for c in batch.columns)):
@@ -406,20 +408,20 @@ def answers(model: DataFrame, asked: DataFrame, copies: int, short, order: int =
                     deep = Ppm(unpack_sorted(codes if seen else b""), unpack(counts if seen else b""), order, short.value)
                     n = dict(zip(unpack_words(words), unpack(tallies).tolist())) if seen else {}
                 if block >= 0:
-                    held.append((block, unpack_sorted(codes), unpack_words(words)))
-                    size += len(held[-1][1])
+                    held.append((block, codes, words, unpack_sorted(codes)))
+                    size += len(held[-1][3])
                     if size >= LOOKUP:
                         flush()
                         size = 0
             if held:
                 flush()
-            yield table_of(["block", "bucket", "values", "counts"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()], out)
+            yield table_of(["block", "grams", "values", "words", "counts"], [pa.int64(), *[pa.binary()] * 4], out)
 
     told = model.select(F.lit(-1).cast("long").alias("block"), "bucket", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), "grams", "counts", "words", "tallies")
     none = F.lit(None).cast("binary")
     asks = asked.select("block", "bucket", (F.col("block") % copies).cast("int").alias("copy"), "grams", none.alias("counts"), "words", none.alias("tallies"))
     met = told.unionByName(asks).repartition(shuffles(model.sparkSession), "bucket", "copy").sortWithinPartitions("bucket", "copy", "block")
-    return met.mapInArrow(answer, "block long, bucket int, values binary, counts binary")
+    return met.mapInArrow(answer, "block long, grams binary, values binary, words binary, counts binary")
 
 
 def block_count(n_bytes: int, parts: int) -> int:
@@ -461,12 +463,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         texts_ = left.select(["doc_id", "text"])
-        codes, words = distinct(texts_.to_batches(), order)
-        values, seen = np.empty(len(codes)), {}
-        got = {b: (v, c) for b, v, c in zip(*(right.column(c).to_pylist() for c in ("bucket", "values", "counts")))}
-        for b, (at, mine) in shares(codes, words, buckets, order).items():
-            values[at] = unpack_values(got[b][0])
-            seen.update(zip(mine, unpack(got[b][1]).tolist()))
+        codes, values, seen = [], [], {}
+        for grams_, values_, words, counts in zip(*(right.column(c).to_pylist() for c in ("grams", "values", "words", "counts"))):
+            codes.append(unpack_sorted(grams_))
+            values.append(unpack_values(values_))
+            seen.update(zip(unpack_words(words), unpack(counts).tolist()))
+        codes, values = np.concatenate(codes), np.concatenate(values)
+        by = np.argsort(codes)
+        codes, values = codes[by], values[by]
         out = {"base": [], "known": [], "n": [], "score": []}
         for _, words in _chunks(texts_.to_batches()):
             n = np.array([len(w) + 1 for w in words])

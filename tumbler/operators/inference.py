@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tumbler.operators.history import running
+from tumbler.operators.reconcile import few_rows
 from tumbler.scratch import cut, drop
 
 
@@ -22,7 +23,9 @@ def mc_pvalue(nulls: DataFrame, observed: DataFrame, key: list[str], tail: str =
     if tail not in ("upper", "lower", "two-sided", "own"):
         raise ValueError(f"unknown tail {tail!r}")
     observed = observed if tail == "own" else observed.withColumn("tail", F.lit(tail))
-    joined = observed.join(nulls, key, "left").groupBy(*key).agg(F.count("value").alias("n_null"), F.count_if(F.col("value") >= F.col("observed")).alias("up"), F.count_if(F.col("value") <= F.col("observed")).alias("down"), F.first("tail").alias("tail"))
+    # Nulls are counted where they are read; a join that keeps the observed side would hold a key's nulls.
+    counts = nulls.join(few_rows(observed.select(*key, "observed")), key).groupBy(*key).agg(F.count("value").alias("n_null"), F.count_if(F.col("value") >= F.col("observed")).alias("up"), F.count_if(F.col("value") <= F.col("observed")).alias("down"))
+    joined = observed.groupBy(*key).agg(F.first("tail").alias("tail")).join(counts, key, "left").withColumn("n_null", F.coalesce("n_null", F.lit(0)))
     b = F.when(F.col("tail") == "upper", F.col("up")).when(F.col("tail") == "lower", F.col("down")).when(F.col("tail") == "two-sided", F.least(2 * F.least("up", "down"), F.col("n_null"))).otherwise(F.raise_error(F.lit("unknown tail")).cast("long"))
     p = F.when(F.col("n_null") > 0, (b + 1) / (F.col("n_null") + 1).cast("double")).otherwise(F.raise_error(F.lit("no null values")).cast("double"))
     return joined.select(*key, b.alias("b"), "n_null", p.alias("p"))

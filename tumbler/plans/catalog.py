@@ -11,6 +11,7 @@ from tumbler.functions import exact
 from tumbler.operators import history, inference, positional, primary, reconcile, regimes, secondary, splits
 from tumbler.plans import views
 from tumbler.plans.views import ERAS, MATRIX, ORDER, STAGED, sql
+from tumbler.scratch import cut
 
 CATALOG: dict[str, tuple[Callable, str | None]] = {}
 WINDOWS, LAGS = [5, 10], [1, 2, 3, 4, 5]
@@ -438,7 +439,7 @@ def promotion(spark, sf_dir):
 @query("mc_pvalue", "WITH o AS (SELECT l_returnflag, l_linestatus, avg(l_quantity) + 10 AS observed FROM lineitem GROUP BY ALL), j AS (SELECT o.l_returnflag, o.l_linestatus, count(*) AS n, count(*) FILTER (l_quantity >= observed) AS up, count(*) FILTER (l_quantity <= observed) AS down FROM o JOIN lineitem x ON x.l_returnflag = o.l_returnflag AND x.l_linestatus = o.l_linestatus GROUP BY ALL) SELECT l_returnflag, l_linestatus, 'upper' AS tail, round((up + 1) / (n + 1)::DOUBLE, 6) AS p FROM j UNION ALL SELECT l_returnflag, l_linestatus, 'lower', round((down + 1) / (n + 1)::DOUBLE, 6) FROM j UNION ALL SELECT l_returnflag, l_linestatus, 'two-sided', round((least(2 * least(up, down), n) + 1) / (n + 1)::DOUBLE, 6) FROM j")
 def mc_pvalue(spark, sf_dir):
     x, key = views.table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"]
-    observed = x.groupBy(*key).agg((F.avg("l_quantity") + 10).alias("observed"))
+    observed = cut(x.groupBy(*key).agg((F.avg("l_quantity") + 10).alias("observed")), "observed")
     nulls = x.select(*key, F.col("l_quantity").alias("value"))
     parts = [inference.mc_pvalue(nulls, observed, key, tail).select(*key, F.lit(tail).alias("tail"), F.round("p", 6).alias("p")) for tail in ("upper", "lower", "two-sided")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -3,6 +3,7 @@
 import pytest
 
 from tumbler.operators import inference
+from tumbler.sources import payloads
 
 
 def test_nulls_are_counted_before_they_meet_the_observed(spark):
@@ -19,3 +20,9 @@ def test_nulls_are_counted_before_they_meet_the_observed(spark):
     assert "rightHint=(strategy=broadcast)" in plan  # the nulls' side is streamed
     with pytest.raises(Exception, match="no null values"):
         inference.mc_pvalue(nulls, spark.createDataFrame([("c", 7.0)], "k string, observed double"), ["k"]).collect()
+
+
+def test_history_lines_are_split_once(spark):
+    lines = spark.createDataFrame([("lotto", "9/26/26 1 5 LOTTO DP")], "game string, content string")
+    plan = payloads.history_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("upper(content") == 1

@@ -123,24 +123,30 @@ def history_lines(lines: DataFrame) -> DataFrame:
     """
     words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.upper("content"), "/", " / "), r"\s+", " ")), " ")
     # A date is five words: M / D / YY.
-    rows = lines.select("game", words.alias("w")).where("size(w) > 5 AND w[1] = '/' AND w[3] = '/'")
+    # Columns that later ones use many times are bound by explode, which filters and projections are not moved through; else each
+    # use would hold the whole chain before it.
+    once = lambda x, name: F.explode(F.array(x)).alias(name)
+    rows = lines.select("game", once(words, "w")).where("size(w) > 5 AND w[1] = '/' AND w[3] = '/'")
     number = lambda w: w.rlike("^[0-9]{1,2}$")
     rows = rows.where(number(F.col("w")[0]) & number(F.col("w")[2]) & F.col("w")[4].rlike("^[0-9]{2}$"))
     rest = F.slice("w", 6, F.greatest(F.size("w") - 5, F.lit(0)))
-    rows = rows.select("game", "w", rest.alias("rest"))
+    rows = rows.select("game", "w", once(rest, "rest"))
     first_other = F.array_position(F.transform("rest", lambda w: w.rlike("^[0-9]+$")), False)
     n = F.when(first_other > 0, first_other - 1).otherwise(F.size("rest")).cast("int")
-    rows = rows.withColumn("n", n).select("game", "w", F.slice("rest", F.lit(1), F.col("n")).alias("numbers"), F.slice("rest", F.col("n") + 1, F.size("rest") - F.col("n")).alias("tail"))
+    rows = rows.select("game", "w", "rest", once(n, "n"))
+    rows = rows.select("game", "w", F.slice("rest", F.lit(1), F.col("n")).alias("numbers"), once(F.slice("rest", F.col("n") + 1, F.size("rest") - F.col("n")), "tail"))
     at = lambda i: F.get("tail", i if isinstance(i, Column) else F.lit(i))
     times = lambda w: F.when(w.rlike("^X[0-9]+$"), F.substring(w, 2, 9))
     tag = at(0)
     bonus = tag.isin("PB", "MB")
     special = F.when(bonus & at(1).rlike("^[0-9]+$"), at(1))
     multiplier = F.when(bonus, times(at(2))).otherwise(times(tag))
+    rows, multiplier = rows.select("*", once(multiplier, "multiplier")), F.col("multiplier")
     # The place of the tag that closes a line, and whether DP follows it.
     closing = F.when(tag == "LOTTO", F.lit(0)).when(tag == "PB", F.when(multiplier.isNotNull(), 3).otherwise(2))
     second = F.coalesce(at(closing + 1) == "DP", F.lit(False))
     begin = F.when(tag == "LOTTO", F.when(second, 2).otherwise(1)).when(~bonus & multiplier.isNotNull(), 1)
+    rows, second, begin = rows.select("*", once(second, "second")).select("*", once(begin, "begin")), F.col("second"), F.col("begin")
     slash = F.coalesce(at(begin + 1) == "/", F.lit(False))
     machine = F.when(at(begin) != "/", at(begin))
     balls = F.when(slash, at(begin + 2))

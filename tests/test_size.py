@@ -1,8 +1,12 @@
 """Forms of plans that keep work and memory in proportion to the input."""
 
+import hashlib
+from collections import Counter
+
 import pytest
 
-from tumbler.operators import inference
+from tumbler.functions.exact import Matrix
+from tumbler.operators import inference, models
 from tumbler.sources import payloads
 
 
@@ -26,3 +30,28 @@ def test_history_lines_are_split_once(spark):
     lines = spark.createDataFrame([("lotto", "9/26/26 1 5 LOTTO DP")], "game string, content string")
     plan = payloads.history_lines(lines)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("upper(content") == 1
+
+
+def test_only_close_draws_are_ranked(spark, monkeypatch):
+    """Blocks cut by hashes give what ranking whole blocks gives, whatever the categories' sizes."""
+    m = Matrix(2, 1, 6)
+    rows = [("AB"[i % 2], i, i // 400, (0, 0, 0, 0, 2, 5, 5)[i % 7], [1 + i % 6, 1 + (i + 1 + i % 2) % 6]) for i in range(1000)]
+    h = spark.createDataFrame(rows, "pool string, draw_id long, week int, machine int, numbers array<int>")
+    found = []
+    for whole in (50, 10_000):
+        monkeypatch.setattr(models, "WHOLE", whole)
+        found.append({(r["pool"], r["permutation"]): round(r["chi2"], 9) for r in models.permuted_chi2(h, m, "week", "machine", 7).collect()})
+    assert found[0] == found[1] and len(found[0]) == 16
+    for k in range(1, 8):  # the rule itself
+        cats, dealt = {}, {}
+        for pool, i, week, cat, numbers in rows:
+            cats.setdefault((pool, week), []).append(cat)
+            dealt.setdefault((pool, week), []).append((hashlib.md5(f"{k}:{i}".encode()).hexdigest(), numbers))
+        counts, n = Counter(), Counter()
+        for key, own in dealt.items():
+            for cat, (_, numbers) in zip(sorted(cats[key]), sorted(own)):
+                n[key[0], cat] += 1
+                counts.update((key[0], cat, x) for x in numbers)
+        for pool in "AB":
+            want = sum((counts[pool, c, x] - n[pool, c] / 3) ** 2 / (n[pool, c] / 3) for c in (0, 2, 5) for x in range(1, 7))
+            assert found[0][pool, k] == pytest.approx(want)

@@ -7,6 +7,7 @@ draw's labels, and no task walks through a pool.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from math import comb
 
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from tumbler.functions import exact
 from tumbler.functions.exact import Matrix
 from tumbler.operators.history import running, spine
+from tumbler.scratch import cut
 
 WARMUP, POOLS = 100, (10, 15, 20)
 #: Draws' worth of fair expectation mixed into the frequency and the decayed model, and draws in which a count decays by
@@ -188,21 +190,118 @@ def special_ranks(hist: DataFrame, m: Matrix) -> DataFrame:
     return rows.select("pool", "draw_id", (F.size(ahead) + 1).cast("long").alias("rank"))
 
 
+#: Draws of a block up to which all are ranked, and blocks whose counts a task holds before it sends them.
+WHOLE, HELD = 1024, 200
+
+
 def permuted_chi2(hist: DataFrame, m: Matrix, block: str, category: str, permutations: int) -> DataFrame:
     """pool, permutation (0: as observed), chi2: the category's label chi-square with categories permuted inside blocks.
 
     A permutation orders the draws of a (pool, block) by the MD5 of its number and the draw's id, and deals them the
-    categories in their own order; so reruns agree, and no task holds more than a block. Counts are summed before they are
-    shuffled.
+    categories in their own order; so reruns agree. The draws of larger blocks are first counted by the first byte of their MD5, which
+    tells the category of all but those who share it with a category's last draw. Only those are ranked, so no task holds a block.
+    Label counts are summed before they are shuffled. Categories are few: a block's row carries their list.
     """
     rows = hist.select("pool", F.col(block).alias("b"), F.col(category).alias("cat"), "draw_id", "numbers")
-    own = Window.partitionBy("pool", "b").orderBy("cat", "draw_id")
-    cats = rows.select("pool", "b", F.row_number().over(own).alias("r"), F.col("cat").alias("to"))
-    dealt = rows.withColumn("permutation", F.explode(F.sequence(F.lit(1), F.lit(permutations))))
-    drawn = Window.partitionBy("permutation", "pool", "b").orderBy(F.md5(F.concat_ws(":", F.col("permutation"), F.col("draw_id"))), "draw_id")
-    dealt = dealt.withColumn("r", F.row_number().over(drawn)).join(cats, ["pool", "b", "r"]).select("pool", "permutation", F.col("to").alias("cat"), "numbers")
-    every = dealt.unionByName(rows.select("pool", F.lit(0).alias("permutation"), "cat", "numbers"))
-    counts = every.select("pool", "permutation", "cat", F.explode("numbers").alias("label")).groupBy("pool", "permutation", "cat", "label").agg(F.count(F.lit(1)).alias("c"))
+    sizes = rows.groupBy("pool", "b", "cat").agg(F.count(F.lit(1)).alias("n"))
+    end = F.sum("n").over(Window.partitionBy("pool", "b").orderBy("cat"))
+    blocks = sizes.withColumn("end", end).groupBy("pool", "b").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("end", "cat"))).alias("ends"))
+    blocks = cut(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    parts = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = rows.join(blocks.select("pool", "b", "block", "n"), ["pool", "b"]).select("pool", "block", "n", F.col("draw_id").cast("string").alias("id"), F.col("numbers").cast("array<bigint>").alias("numbers"))
+    # Each draw is work for all permutations, so draws are dealt out evenly.
+    large = cut(draws.where(F.col("n") > WHOLE).drop("n").repartition(parts, "id"), "draws")
+
+    def digests(ids: list[str]):
+        raw = [x.encode() for x in ids]
+        for k in range(1, permutations + 1):
+            head = b"%d:" % k
+            yield b"".join([hashlib.md5(head + x).digest() for x in raw])
+
+    def count(batches):
+        held: dict[int, np.ndarray] = {}
+
+        def out():
+            keys = list(held)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) * permutations + 1, dtype="i4") * 256), pa.array(np.concatenate([held[x].ravel() for x in keys])))
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, permutations), pa.int64()), pa.array(np.tile(np.arange(1, permutations + 1), len(keys)), pa.int32()), flat], names=["block", "permutation", "counts"])
+
+        for batch in batches:
+            keys, place = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+            for k, raw in enumerate(digests(batch.column("id").to_pylist())):
+                c = np.bincount(place * 256 + np.frombuffer(raw, "u1")[::16], minlength=len(keys) * 256).reshape(-1, 256)
+                for x, row in zip(keys.tolist(), c):
+                    if x not in held:
+                        held[x] = np.zeros((permutations, 256), "i8")
+                    held[x][k] += row
+            if len(held) >= HELD:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    seen = large.select("block", "id").mapInArrow(count, "block bigint, permutation int, counts array<bigint>")
+    seen = seen.select("block", "permutation", F.posexplode("counts").alias("byte", "c")).where("c > 0").groupBy("block", "permutation", "byte").agg(F.sum("c").alias("c"))
+    start = F.sum("c").over(Window.partitionBy("block", "permutation").orderBy("byte")) - F.col("c")
+    bytes_ = seen.withColumn("start", start).join(blocks.select("block", "ends"), "block")
+    # The byte in which each category ends, in order.
+    edges = cut(bytes_.select("block", "permutation", "byte", "start", F.inline(F.filter("ends", lambda x: (x["end"] > F.col("start")) & (x["end"] <= F.col("start") + F.col("c"))))), "edges")
+    cats = [r[0] for r in sizes.select("cat").distinct().orderBy("cat").collect()]
+    code = F.array_position(F.array(*map(F.lit, cats)), F.col("cat")) - 1 if None not in cats else F.lit(None).cast("long")
+    if None in cats:
+        for i, x in enumerate(cats):
+            code = F.when(F.col("cat").eqNullSafe(F.lit(x)), i).otherwise(code)
+    lists = edges.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("permutation", "end", "byte", code.alias("code")))), lambda x: F.struct(x["byte"].cast("int").alias("byte"), x["code"].cast("int").alias("code"))).alias("edges"))
+    lists = lists.select("block", F.transform("edges", lambda x: x["byte"]).alias("edge"), F.transform("edges", lambda x: x["code"]).alias("code"))
+    kinds, names = len(cats), ["pool", "permutation", "cat", "label", "c", "block", "byte", "h", "numbers"]
+
+    def deal(batches):
+        """Label counts of draws whose category is sure, and the other draws."""
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            pools, blocks_ = np.array(batch.column("pool").to_pylist(), object), batch.column("block").to_numpy()
+            numbers = batch.column("numbers")
+            sizes_ = np.array([len(x) if x is not None else 0 for x in numbers.to_pylist()])
+            flat = numbers.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(len(sizes_)), sizes_)
+            keys, first, place = np.unique(blocks_, return_index=True, return_inverse=True)
+            edge = [np.array(batch.column("edge")[i].as_py()).reshape(permutations, -1) for i in first]
+            kind = [np.array(batch.column("code")[i].as_py()).reshape(permutations, -1) for i in first]
+            mine = [np.flatnonzero(place == i) for i in range(len(keys))]
+            cells, cell = np.unique(np.array([f"{p}|{x}" for p, x in zip(pools[owner], flat)]), return_inverse=True)
+            which = [(pools[owner[i]], int(flat[i])) for i in np.unique(cell, return_index=True)[1]]
+            for k, raw in enumerate(digests(batch.column("id").to_pylist())):
+                byte = np.frombuffer(raw, "u1")[::16]
+                given, open_ = np.empty(len(byte), "i8"), np.empty(len(byte), bool)
+                for i, at in enumerate(mine):
+                    j = np.searchsorted(edge[i][k], byte[at], "left")  # the last category ends in the last byte there is
+                    given[at], open_[at] = kind[i][k][j], edge[i][k][j] == byte[at]
+                sure = ~open_[owner]
+                c = np.bincount(cell[sure] * kinds + given[owner[sure]], minlength=len(cells) * kinds).reshape(-1, kinds)
+                for x, row in zip(which, c):
+                    if x not in sums:
+                        sums[x] = np.zeros((permutations, kinds), "i8")
+                    sums[x][k] += row
+                at = np.flatnonzero(open_)
+                if len(at):
+                    none = pa.nulls(len(at), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(pools[at], pa.string()), pa.array([k + 1] * len(at), pa.int32()), none, none, none, pa.array(blocks_[at], pa.int64()), pa.array(byte[at].astype("i4")), pa.array([raw[16 * i : 16 * i + 16].hex() for i in at]), numbers.take(pa.array(at))], names=names)
+        for (pool, label), table in sums.items():
+            at = np.flatnonzero(table)
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([pool] * len(at), pa.string()), pa.array((at // kinds + 1).astype("i4")), pa.array(at % kinds), pa.array([label] * len(at), pa.int64()), pa.array(table.ravel()[at]), none, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.string()), pa.nulls(len(at), pa.list_(pa.int64()))], names=names)
+
+    out = cut(large.join(lists, "block").mapInArrow(deal, "pool string, permutation int, cat bigint, label bigint, c bigint, block bigint, byte int, h string, numbers array<bigint>"), "dealt")
+    sure = out.where("block IS NULL").select("pool", "permutation", F.element_at(F.array(*map(F.lit, cats)), (F.col("cat") + 1).cast("int")).alias("cat"), "label", "c")
+    edge_starts = edges.groupBy("block", "permutation", "byte").agg(F.min("start").alias("start"))
+    close = out.where("block IS NOT NULL").select("pool", "permutation", "block", "byte", "h", "numbers").join(edge_starts, ["block", "permutation", "byte"])
+    whole = draws.where(F.col("n") <= WHOLE).select("pool", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("permutation"), "block", F.lit(0).alias("byte"), "id", "numbers")
+    whole = whole.select("pool", "permutation", "block", "byte", F.md5(F.concat_ws(":", "permutation", "id")).alias("h"), "numbers", F.lit(0).cast("long").alias("start"))
+    inner = Window.partitionBy("block", "permutation", "byte").orderBy("h", "numbers")
+    close = close.select(*whole.columns).unionByName(whole).withColumn("r", F.col("start") + F.row_number().over(inner)).join(blocks.select("block", "ends"), "block")
+    close = close.select("pool", "permutation", F.filter("ends", lambda x: x["end"] >= F.col("r"))[0]["cat"].alias("cat"), "numbers")
+    every = close.unionByName(rows.select("pool", F.lit(0).alias("permutation"), "cat", "numbers"))
+    counts = every.select("pool", "permutation", "cat", F.explode(F.col("numbers").cast("array<bigint>")).alias("label"), F.lit(1).cast("long").alias("c")).unionByName(sure).groupBy("pool", "permutation", "cat", "label").agg(F.sum("c").alias("c"))
     n = rows.groupBy("pool", "cat").agg(F.count(F.lit(1)).alias("n"))
     e = F.col("n").cast("double") * m.k / m.n
     # Labels that a category lacks add their expectation: sum of (c - e)^2 / e over all is sum of c^2 / e less the draws' labels.

@@ -9,6 +9,7 @@ from tumbler.operators import audit, inference, models, primary
 from tumbler.plans import views
 from tumbler.plans.catalog import STRUCT, P, query
 from tumbler.plans.views import MATRIX, sql
+from tumbler.scratch import cut
 from tumbler.sources import payloads, store
 
 #: Permutations of a test; p is at least 1 / (PERMUTATIONS + 1).
@@ -165,7 +166,7 @@ ch AS (SELECT q.pool, permutation, round(sum(q.q / (n * 5 / 47) - n * 5), 6) AS
 def equipment_permutation(spark, sf_dir):
     """Whether labels depend on the machine: its chi-square against permutations of the machines of the real draws in a week."""
     d = views.eligible(spark, sf_dir).withColumn("week", F.date_trunc("week", "t"))
-    c = models.permuted_chi2(d, MATRIX, "week", "machine", PERMUTATIONS).withColumn("chi2", F.round("chi2", 6))
+    c = cut(models.permuted_chi2(d, MATRIX, "week", "machine", PERMUTATIONS).withColumn("chi2", F.round("chi2", 6)), "permuted")
     observed = c.where("permutation = 0").select("pool", F.col("chi2").alias("observed"))
     nulls = c.where("permutation > 0").select("pool", F.col("chi2").alias("value"))
     p = inference.mc_pvalue(nulls, observed, ["pool"]).join(inference.z_scores(nulls, observed, ["pool"]), "pool")

@@ -55,3 +55,16 @@ def test_only_close_draws_are_ranked(spark, monkeypatch):
         for pool in "AB":
             want = sum((counts[pool, c, x] - n[pool, c] / 3) ** 2 / (n[pool, c] / 3) for c in (0, 2, 5) for x in range(1, 7))
             assert found[0][pool, k] == pytest.approx(want)
+
+
+def test_equal_draws_are_dealt_together(spark):
+    """Many draws of two kinds: what is shuffled are kinds with counts, and the law is the hypergeometric one."""
+    m = Matrix(1, 1, 2)
+    h = spark.range(30_000).selectExpr("'A' AS pool", "0 AS week", "id AS draw_id", "array(1 + id % 2) AS numbers", "id % 3 AS machine")
+    got = models.permuted_margins(h, m, "week", "machine", 400)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    moved = plan[plan.index("RepartitionByExpression") :]
+    assert "Aggregate" in moved and "draw_id" not in moved.split("Aggregate")[0]
+    chi2 = [r["chi2"] for r in got.where("permutation > 0").collect()]
+    # Two free cells: a chi-square's mean is 2, its standard error over 400 dealings 0.1.
+    assert len(chi2) == 400 and abs(sum(chi2) / 400 - 2) < 0.5

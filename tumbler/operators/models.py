@@ -309,7 +309,7 @@ def permuted_chi2(hist: DataFrame, m: Matrix, block: str, category: str, permuta
     return parts.groupBy("pool", "permutation").agg(F.sum(F.col("q") / e - F.col("n") * m.k).alias("chi2"))
 
 
-#: Permutations dealt at once: this many times a block's draws are numbers in a task.
+#: Labels of kinds of draws and permutations worked on at once, as numbers in a task.
 DEALT = 4_000_000
 
 
@@ -317,15 +317,19 @@ def permuted_margins(hist: DataFrame, m: Matrix, block: str, category: str, perm
     """pool, permutation (0: as observed), chi2: the same statistic for many permutations, each of which deals the draws of a
     (pool, block) their categories anew.
 
-    A task works through its blocks and keeps one count for each (permutation, category, label), whatever the number of draws; that
-    is all that is shuffled. Draws are dealt by a generator seeded with the block, so reruns agree. Blocks are what may not be split, so a task holds a
-    block's draws. Null categories and labels outside m don't count.
+    Draws of a block with the same labels are one kind: how many of a kind a category is dealt is hypergeometric, given what is left of
+    the kind and the category. So work and a task's memory follow the kinds of a block, not its draws, and the law is that of
+    dealing draw by draw. Counts of (permutation, category, label) are all that is shuffled after. The generator is seeded with the
+    block, so reruns agree. Null categories and labels outside m don't count.
     """
     cats = [r[0] for r in hist.select(category).where(F.col(category).isNotNull()).distinct().orderBy(category).collect()]
     place = {c: i for i, c in enumerate(cats)}
     inside = F.transform(F.filter("numbers", lambda x: x.between(m.low, m.high)), lambda x: (x - m.low).cast("int"))
-    rows = hist.where(F.col(category).isNotNull()).select("pool", F.col(block).cast("string").alias("b"), F.create_map(*[F.lit(x) for kv in place.items() for x in kv])[F.col(category)].alias("cat") if cats else F.lit(0).alias("cat"), "draw_id", inside.alias("hits"))
-    dealt = rows.repartition("pool", "b").sortWithinPartitions("pool", "b", "draw_id")
+    rows = hist.where(F.col(category).isNotNull()).select("pool", F.col(block).cast("string").alias("b"), F.create_map(*[F.lit(x) for kv in place.items() for x in kv])[F.col(category)].alias("cat") if cats else F.lit(0).alias("cat"), F.coalesce(F.array_sort(F.array_distinct(inside)), F.array().cast("array<int>")).alias("hits"))
+    kinds = rows.groupBy("pool", "b", "hits", "cat").agg(F.count(F.lit(1)).alias("c"))
+    # The rows are few and much work each, so partitions are not left to their size.
+    parts = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = kinds.repartition(parts, "pool", "b").sortWithinPartitions("pool", "b", "hits", "cat")
     size, k = m.n, len(cats)
 
     def run(batches):
@@ -337,36 +341,47 @@ def permuted_margins(hist: DataFrame, m: Matrix, block: str, category: str, perm
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, table.size + 1, table.shape[1], dtype="i4")), pa.array(table.ravel()))
             return pa.RecordBatch.from_arrays([pa.array([pool] * len(table), pa.string()), pa.array(np.arange(len(table)), pa.int32()), flat], names=["pool", "permutation", "counts"])
 
-        def add(key, cat, hits):
-            h = np.zeros((len(cat), size), "f4")
+        def add(key, table, hits):
+            h = np.zeros((len(hits), size))
             for i, labels in enumerate(hits):
                 h[i, labels] = 1
-            one = np.eye(k, dtype="f4")[cat]
-            sums[0] += (one.T @ h).astype("i8")
-            rng, step = np.random.default_rng(zlib.crc32("|".join(map(str, key)).encode())), max(1, DEALT // len(cat))
+            table = np.array(table)
+            sums[0] += (table.T @ h).astype("i8")
+            rng, step = np.random.default_rng(zlib.crc32("|".join(map(str, key)).encode())), max(1, DEALT // len(hits))
+            each, every = table.sum(1), table.sum(0)
             for first in range(1, permutations + 1, step):
                 n = min(step, permutations + 1 - first)
-                given = rng.permuted(np.broadcast_to(cat, (n, len(cat))), axis=1)
-                for c in range(k):
-                    sums[first : first + n, c] += ((given == c).astype("f4") @ h).astype("i8")
+                left = np.repeat(each[:, None], n, 1)  # of each kind, in each permutation
+                for c in range(k - 1):
+                    rest, wanted = left.sum(0), np.full(n, every[c])
+                    given = np.empty_like(left)
+                    for i in range(len(hits)):
+                        rest -= left[i]
+                        given[i] = rng.hypergeometric(left[i], rest, wanted)
+                        wanted -= given[i]
+                    left -= given
+                    sums[first : first + n, c] += (given.T @ h).astype("i8")
+                sums[first : first + n, k - 1] += (left.T @ h).astype("i8")
 
         held: tuple | None = None
-        cat: list = []
+        table: list = []
         hits: list = []
         for batch in batches:
-            for p, b, c, x in zip(*(batch.column(n).to_pylist() for n in ("pool", "b", "cat", "hits"))):
+            for p, b, x, c, many in zip(*(batch.column(n).to_pylist() for n in ("pool", "b", "hits", "cat", "c"))):
                 if held != (p, b):
                     if held is not None:
-                        add(held, np.array(cat), hits)
+                        add(held, table, hits)
                     if held is None or held[0] != p:
                         if held is not None:
                             yield out()
                         pool, sums = p, np.zeros((permutations + 1, k, size), "i8")
-                    held, cat, hits = (p, b), [], []
-                cat.append(c)
-                hits.append(x)
+                    held, table, hits = (p, b), [], []
+                if not hits or hits[-1] != x:
+                    hits.append(x)
+                    table.append([0] * k)
+                table[-1][c] += many
         if held is not None:
-            add(held, np.array(cat), hits)
+            add(held, table, hits)
             yield out()
 
     counts = dealt.mapInArrow(run, "pool string, permutation int, counts array<bigint>")

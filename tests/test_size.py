@@ -68,3 +68,17 @@ def test_equal_draws_are_dealt_together(spark):
     chi2 = [r["chi2"] for r in got.where("permutation > 0").collect()]
     # Two free cells: a chi-square's mean is 2, its standard error over 400 dealings 0.1.
     assert len(chi2) == 400 and abs(sum(chi2) / 400 - 2) < 0.5
+
+
+def test_convergence_streams_the_values(spark):
+    """Values meet the figures of their few keys where they are read."""
+    rows = spark.range(2_000).selectExpr("'ab' || id % 3 AS k", "id % 4 AS batch", "cast(id * 37 % 2000 AS double) AS value")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = inference.convergence(rows, ["k"])
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert got.where("NOT passed").count() == 0 and got.count() == 15
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "strategy=broadcast" in plan

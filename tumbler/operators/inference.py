@@ -90,7 +90,8 @@ def quantiles(df: DataFrame, key: list[str], value: str, probs: dict[str, float]
     same = F.lit(True)
     for k in key:
         same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    ranked = running(dealt.join(total, same).drop(*[f"__{k}" for k in key]), key, F.col("__part"), ["__v"], {"__r": F.col("__c")})
+    # The totals are as many as keys: a shuffled join would send a key's values to one task.
+    ranked = running(dealt.join(few_rows(total), same).drop(*[f"__{k}" for k in key]), key, F.col("__part"), ["__v"], {"__r": F.col("__c")})
     at = {q: F.lit(p) * (F.col("__n") - 1) for q, p in probs.items()}
     # The value at a place (from 0) is the smallest whose running count is beyond it.
     sides = [F.min(F.when(F.col("__r") > f(x), F.col("__v"))).alias(f"__{side}_{q}") for q, x in at.items() for side, f in (("a", F.floor), ("b", F.ceil))]
@@ -106,7 +107,8 @@ def convergence(nulls: DataFrame, key: list[str], sigma: float = 4.0, relative:
     """
     v, width = F.col("value"), sigma * sqrt(3.0)
     pooled = nulls.groupBy(*key).agg(F.count(v).alias("n"), F.mean(v).alias("mean"), F.var_pop(v).alias("var"), F.stddev_samp(v).alias("sd")).join(quantiles(nulls, key, "value", QUANTILES), key)
-    both = nulls.join(pooled, key)
+    pooled = cut(pooled, "pooled")
+    both = nulls.join(few_rows(pooled), key)  # a shuffled join would sort all values of a key in one task
     mu4 = both.groupBy(*key).agg(F.mean(F.pow(v - F.col("mean"), 4)).alias("mu4"))
     batch = both.groupBy(*key, "batch").agg(F.mean(v).alias("b_mean"), F.var_pop(v).alias("b_var"), *[x for q in QUANTILES for x in (F.mean((v <= F.col(q)).cast("double")).alias(f"le_{q}"), F.mean((v < F.col(q)).cast("double")).alias(f"lt_{q}"))])
     j = batch.join(pooled, key).join(mu4, key)

@@ -124,7 +124,7 @@ POOLED = ", ev AS (SELECT pool, model, count(*)::BIGINT AS n, sum(log_score) AS
 @query("m001_pool_hits", sql(f", {PRIOR}{HITS} SELECT * FROM ph"))
 def m001_pool_hits(spark, sf_dir):
     """Drawn labels among the 10, 15 and 20 most frequent before; a draw's labels are ranked in its own 47 rows."""
-    return models.pool_hits(views.history(spark, sf_dir), MATRIX)
+    return models.pool_hits(views.eligible(spark, sf_dir), MATRIX)
 
 
 @query("walkforward_scores", sql(f", {PRIOR}{SCORED} SELECT pool, draw_id, model, round(log_score, 6) AS log_score FROM sc"))
@@ -147,9 +147,8 @@ def model_gate(spark, sf_dir):
 @query("candidate_pool", sql(f", {PRIOR}{HITS}{SCORED}{POOLED}, l AS (SELECT pool, avg(hits15) / (15 * 5 / 47.0::DOUBLE) AS lift FROM ph GROUP BY pool) SELECT pool, round(log_e, 5) AS log_e, round(lift, 6) AS lift FROM ev JOIN l USING (pool) WHERE model = 'frequency' ORDER BY log_e DESC, lift DESC, pool LIMIT 1"))
 def candidate_pool(spark, sf_dir):
     """The pool that the model does best in: by cumulative score, then lift of its 15 likeliest labels, then name."""
-    h = views.history(spark, sf_dir)
-    lift = models.pool_hits(h, MATRIX).groupBy("pool").agg((F.avg("hits15") / (15 * 5 / 47.0)).alias("lift"))
-    both = models.e_values(models.walk_forward(h, MATRIX)).where("model = 'frequency'").join(lift, "pool")
+    w = models.walked(views.eligible(spark, sf_dir), MATRIX)
+    both = w.groupBy("pool").agg(F.sum("log_frequency").alias("log_e"), (F.avg("hits15") / (15 * 5 / 47.0)).alias("lift"))
     return models.candidate(both).select("pool", F.round("log_e", 5).alias("log_e"), F.round("lift", 6).alias("lift"))
 
 

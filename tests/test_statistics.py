@@ -167,3 +167,34 @@ def test_exact_enumeration():
     assert [exact.space(m) for m in (Matrix(5, 1, 69, 26), Matrix(5, 1, 70, 24), Matrix(6, 1, 53))] == [292_201_338, 290_472_336, 22_957_480]
     with pytest.raises(ValueError):
         Matrix(3, 5, 5)
+
+
+def test_walks_by_buckets_match_the_features(spark, monkeypatch):
+    """Hits and scores of walked() against features(), over buckets of 7 draws; no plan holds draws times labels."""
+
+    from tumbler.functions.exact import Matrix
+    from tumbler.operators import models
+
+    monkeypatch.setattr(models, "BUCKET", 7)
+    monkeypatch.setattr(models, "REACH", 40)
+    monkeypatch.setattr(models, "WARMUP", 10)
+    m, rng = Matrix(3, 1, 25), random.Random(6)
+    rows = [("AB"[i % 2], i, rng.sample(range(1, 26), 3)) for i in range(120)]
+    h = spark.createDataFrame(rows, "pool string, draw_id long, numbers array<long>").withColumn("t", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(draw_id div 20 as int))"))
+    f = {}
+    for r in models.features(h, m).where("n >= 10").collect():
+        f.setdefault((r["pool"], r["draw_id"]), []).append(r)
+    for by in ("c", "decayed"):
+        w = models.walked(h, m, by=by)
+        got = {(r["pool"], r["draw_id"]): r for r in w.collect()}
+        assert set(got) == set(f) and len(got) == 100
+        for k, cells in f.items():
+            ranked = sorted(cells, key=lambda r: (-r[by] if by == "c" else -round(r[by], 9), r["label"]))
+            assert [got[k][f"hits{s}"] for s in (10, 15, 20)] == [sum(r["hit"] for r in ranked[:s]) for s in (10, 15, 20)]
+            weights = {r["label"]: (r["c"] + 100 * 3 / 25) / (r["n"] + 100) / (3 / 25) for r in cells}
+            e = [1.0, 0.0, 0.0, 0.0]
+            for x in weights.values():
+                e = [e[0], *(e[j] + x * e[j - 1] for j in (1, 2, 3))]
+            want = sum(math.log(weights[r["label"]]) for r in cells if r["hit"]) - math.log(e[3]) + math.log(math.comb(25, 3))
+            assert abs(got[k]["log_frequency"] - want) < 1e-9
+    assert "Generate" not in w._jdf.queryExecution().optimizedPlan().toString()

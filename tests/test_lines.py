@@ -35,3 +35,17 @@ def test_checks_are_one_scan(spark):
     assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     got = {r["check"]: (r["passed"], r["n_violations"]) for r in out.collect()}
     assert got["none"] == got["null"] == (True, 0) and got["c3"] == (False, df.where("o_orderkey % 50 = 3").count()) and len(got) == 22
+
+
+def test_a_text_in_parts_is_numbered_through(spark, tmp_path, monkeypatch):
+    """Lines written by ranges of the key, in more than one file, have the numbers and offsets of one text."""
+    monkeypatch.setattr(lines, "PART", 50)
+    path = f"file://{tmp_path}/ordered"
+    lines.write_ordered(spark.range(400).selectExpr("399 - id AS k"), "k", F.col("k").cast("string"), path, "k")
+    assert len(list((tmp_path / "ordered").glob("part-*"))) > 1
+    got = sorted((r["number"], r["offset"], r["line"]) for r in lines.numbered(spark, path, True).collect())
+    at, want = 0, []
+    for i, text in enumerate(["k", *map(str, range(400))], 1):
+        want.append((i, at, text))
+        at += len(text) + 1
+    assert got == want

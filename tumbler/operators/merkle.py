@@ -125,9 +125,9 @@ def differences(a: DataFrame, b: DataFrame, cols: list[str]) -> DataFrame:
     return both.select("h", F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b")).where("n_a <> n_b")
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, offset and line for every line of text files: leaves of a seal of raw lines."""
-    return numbered(spark, path).select("file", "offset", "line")
+def lines(spark: SparkSession, path: str, joined: bool = False) -> DataFrame:
+    """file, offset and line for every line of text files (of one text if joined): leaves of a seal of raw lines."""
+    return numbered(spark, path, joined).select("file", "offset", "line")
 
 
 def seal_lines(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:

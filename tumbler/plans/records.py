@@ -13,7 +13,7 @@ from tumbler.operators import audit, history, merkle, primary, reconcile, regime
 from tumbler.plans import views
 from tumbler.plans.catalog import ASSIGNED, CANON, FIELDS, ORDERED, PAIRED, SPLIT, STRUCT, query
 from tumbler.plans.views import ERAS, MATRIX, sql
-from tumbler.sources import payloads
+from tumbler.sources import lines, payloads
 
 # ------------------------------------------------------------------ canonical build and eligibility
 LEDGER_VALUE, EVIDENCE = 25.0, 77
@@ -168,12 +168,12 @@ def row_seal(spark, sf_dir):
 
 @query("line_seal", f"WITH {_merkle('SELECT 0, ' + _row("'part-0.txt'", 'o', 'line') + " FROM (SELECT line, coalesce(sum(strlen(line) + 1) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o, o_orderkey FROM (SELECT o_orderkey, o_orderkey || ',' || o_custkey || ',' || o_orderstatus AS line FROM orders)) WHERE o_orderkey % 5 = 0")} SELECT n, seal FROM sealed")
 def line_seal(spark, sf_dir):
-    """Orders written as lines of one file, in order of their keys; the raw lines of every fifth order are sealed with their offsets."""
+    """Orders written as lines of one text, in parts, in order of their keys; the raw lines of every fifth order are sealed with their offsets."""
     o = views.table(spark, sf_dir, "orders")
-    line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus").alias("value")
+    line = F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus")
     path = f"{scratch.folder(spark)}/lines-{uuid.uuid4().hex}"
-    o.select("o_orderkey", line).coalesce(1).sortWithinPartitions("o_orderkey").select("value").write.text(path)  # one file: the lines' offsets are the result
-    rows = merkle.lines(spark, path).withColumn("file", F.lit("part-0.txt"))
+    lines.write_ordered(o, "o_orderkey", line, path)
+    rows = merkle.lines(spark, path, True).withColumn("file", F.lit("part-0.txt"))
     fifth = o.where("o_orderkey % 5 = 0").select(F.col("o_orderkey").cast("string").alias("id"))
     return merkle.seal(rows.withColumn("id", F.substring_index("line", ",", 1)).join(fifth, "id", "left_semi"), ["file", "offset", "line"])
 

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 from tumbler.functions.exact import Matrix
-from tumbler.operators import inference, models
+from tumbler.operators import inference, models, reconcile
 from tumbler.sources import payloads
 
 
@@ -82,3 +82,19 @@ def test_convergence_streams_the_values(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
     assert "strategy=broadcast" in plan
+
+
+def test_workbooks_are_read_one_at_a_time(spark):
+    """Rows leave a workbook without a table of all workbooks of a batch."""
+    files = spark.createDataFrame([("a", b"")], "path string, content binary")
+    plan = payloads.xlsx_draws(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" in plan
+
+
+def test_partitions_by_key_follow_the_rows(spark):
+    """Rows stay in the partitions they are dealt to until the ledger has met them; every entry of a field is a row."""
+    rows = reconcile.dealt(spark.range(100).selectExpr("id % 20 AS key", "'f' || id % 2 AS field", "'CONFLICT' AS class", "'unresolved' AS status", "'1' AS value_a", "'2' AS value_b"), ["key"], 10)
+    assert rows.rdd.getNumPartitions() == 10
+    ledger = spark.createDataFrame([(1, "f1", "7", "resolved"), (1, "f1", "8", "resolved"), (2, "f0", "9", "open")], "key long, field string, resolved_value string, status string")
+    got = reconcile.resolve(rows, ledger, ["key"])
+    assert sorted(r["final_value"] for r in got.where("status = 'resolved'").collect()) == ["7"] * 5 + ["8"] * 5 and got.count() == 105

@@ -14,6 +14,8 @@ from tumbler.operators.regimes import assign
 UNKNOWN_TIER = 3
 #: Ledgers and registers are broadcast up to so many rows.
 BROADCAST_ROWS = 200_000
+#: Rows of a partition that is worked on by key.
+PART = 1_000_000
 
 
 def few_rows(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -21,6 +23,11 @@ def few_rows(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def dealt(df: DataFrame, key: list[str], part: int = PART) -> DataFrame:
+    """The rows dealt by key to as many partitions as leave so many rows in each, so a task's memory doesn't follow the input."""
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // part)), *key)
+
+
 def with_tier(staged: DataFrame, tiers: DataFrame) -> DataFrame:
     """Left join of source tiers; a source that isn't registered counts as unofficial."""
     return staged.join(few_rows(tiers.select("source", "tier")), "source", "left").withColumn("tier", F.coalesce("tier", F.lit(UNKNOWN_TIER)))
@@ -75,8 +82,10 @@ def sequence_source(rows: DataFrame, key: list[str], order_pref: Column, sequenc
 
 def resolve(compared: DataFrame, ledger: DataFrame, key: list[str]) -> DataFrame:
     """Conflicts with a resolved ledger entry (key, field, resolved_value, status) become resolved and get its value."""
-    rows = ledger.where("status = 'resolved'").select(*key, "field", "resolved_value")
-    out = compared.join(few_rows(rows), [*key, "field"], "left")
+    # Entries meet their key as a list, so rows that are dealt by key stay where they are.
+    entries = ledger.where("status = 'resolved'").groupBy(*key).agg(F.collect_list(F.struct("field", "resolved_value")).alias("__led"))
+    own = F.transform(F.filter("__led", lambda e: e["field"] == F.col("field")), lambda e: e["resolved_value"])
+    out = compared.join(few_rows(entries), key, "left").select(*compared.columns, F.explode_outer(own).alias("resolved_value"))
     hit = (F.col("class") == "CONFLICT") & F.col("resolved_value").isNotNull()
     return out.withColumns({"status": F.when(hit, "resolved").otherwise(F.col("status")), "final_value": F.when(hit, F.col("resolved_value")).otherwise(F.coalesce("value_a", "value_b"))})
 

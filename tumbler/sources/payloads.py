@@ -11,7 +11,6 @@ import re
 import zipfile
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -207,12 +206,9 @@ def xlsx_draws(files: DataFrame) -> DataFrame:
     of 0 is missing, and a jackpot without a scale is in millions. Headers and rows without numbers are skipped.
     """
 
-    def run(batches):
-        for batch in batches:
-            cells = [(p, *r) for p, raw in zip(batch["path"], batch["content"]) for r in workbook_rows(raw, 6)]
-            yield pd.DataFrame(cells, columns=["path", "day", "drawn", "sorted", "special", "multiplier", "jackpot"])
-
-    rows = files.select("path", "content").mapInPandas(run, "path string, day string, drawn string, sorted string, special string, multiplier string, jackpot string")
+    # A workbook at a time: an Arrow batch would be 10,000 of them.
+    read = F.udf(lambda raw: [tuple(r) for r in workbook_rows(bytes(raw), 6)], "array<struct<day string, drawn string, sorted string, special string, multiplier string, jackpot string>>", useArrow=False)
+    rows = files.select("path", F.inline(read("content")))
     n, ordered = numbers_in(F.col("drawn")), numbers_in(F.col("sorted"))
     day = F.try_to_date(F.regexp_extract("day", r"^(\d{2}-\d{2}-\d{4})", 1), "dd-MM-yyyy")
     scale = F.when(F.col("jackpot").rlike("(?i)billion"), 1_000_000_000).otherwise(1_000_000)

@@ -110,3 +110,21 @@ def test_many_permutations(spark):
         assert share == pytest.approx(dealings.count(value) / len(dealings), abs=0.05)
     again = models.permuted_margins(df.repartition(5), m, "week", "machine", 3000).toPandas().set_index(["pool", "permutation"]).chi2
     assert again["p"].sort_index().tolist() == pytest.approx(mine.sort_index().tolist())
+
+
+def test_cells_are_counted_where_draws_are_read(spark, monkeypatch):
+    """Tasks send counts, not a row for every cell of a draw; missing labels, specials and categories are in no cell of theirs."""
+    draws = [("a", [3, 1, 2], 4, 0), ("a", [3, None, 2], None, None), ("b", [15, 14, 7], 6, 2), ("a", [1, 2, 3], 4, 0), (None, None, 1, 1)]
+    h = spark.createDataFrame(draws, "pool string, numbers array<long>, special long, machine long")
+    got = battery.cells(h, M, "machine")
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {tuple(r)[:4]: r["c"] for r in got.collect()}
+    monkeypatch.setattr(battery, "DENSE", 0)
+    assert found == {tuple(r)[:4]: r["c"] for r in battery.cells(h, M, "machine").collect()}
+    of = lambda kind, pool: {(sub, key): c for (p, k, sub, key), c in found.items() if (p, k) == (pool, kind)}
+    assert of("label", "a") == {("", 1): 2, ("", 2): 3, ("", 3): 3} and of("special", "a") == {("", 4): 2} and of("special", None) == {("", 1): 1}
+    assert of("pair", "a") == {("", 18): 2, ("", 19): 2, ("", 35): 3} and of("triple", "a") == {("", 291): 2}
+    assert of("next", "a") == {("1 2", 49): 1, ("1 2", 18): 1, ("2 3", 18): 1, ("2 3", 35): 1} and of("apart", "b")[("3 1", 127)] == 1
+    assert of("category", "a")[("-", 3)] == 1 and of("category place", "a")[("0 1", 3)] == 1 and of("category place", "b") == {("2 1", 15): 1, ("2 2", 14): 1, ("2 3", 7): 1}
+    assert of("draw_sum", "a") == {("", 6): 2} and of("range", "a") == {("", 2): 2} and of("adjacent_pairs", "a") == {("", 2): 2, ("", 1): 1}
+    assert of("min_spacing", "a") == {("", 1): 3} and of("max_spacing", "b") == {("", 7): 1} and of("odd_count", "a") == {("", 2): 2, ("", 1): 1}

@@ -1,6 +1,6 @@
 """All statistics of a family at once: shared scans, and p-values from exact or asymptotic laws in place of simulated nulls.
 
-Every draw sends its cells (labels, pairs, places, categories, structural quantities) into one aggregation; sums over cells give
+Tasks count the cells of their draws (labels, pairs, places, categories, structural quantities) by chunks; sums over cells give
 the statistics that look at one draw at a time. Statistics of pairs of draws share one join by lag, and runs and
 rolling counts the scans by bucket.
 """
@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from math import comb, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tumbler.functions import exact
 from tumbler.functions.exact import Matrix
@@ -25,28 +28,91 @@ QUANTITIES = ("draw_sum", "range", "adjacent_pairs", "min_spacing", "max_spacing
 FAMILY = {"fs": "primary", "p3s": "secondary", "p3b": "positional"}
 
 
+#: Draws that a task counts at a time, and cells that it counts by place in an array.
+CHUNK, DENSE = 250_000, 1 << 22
+#: Stands for a missing label: it is sorted behind the others.
+MISSING = np.iinfo("i8").max
+
+
 def cells(hist: DataFrame, m: Matrix, category: str) -> DataFrame:
     """pool, kind, sub, key, c: how often each label, pair, triple, label at a place, ordered pair at two places, special, label in a
-    category (and at a place there) and value of a structural quantity occurs. One scan and one shuffle of counts."""
-    size, k = m.high + 1, m.k
-    x, s = [F.col("x")[i] for i in range(k)], [F.col("s")[i] for i in range(k)]
-    cell = lambda kind, sub, key: F.struct(F.lit(kind).alias("kind"), sub.alias("sub"), key.cast("long").alias("key"))
-    none, cat = F.lit(""), F.coalesce(F.col(category).cast("string"), F.lit("-"))
-    gaps = [s[i + 1] - s[i] for i in range(k - 1)]
-    odd = sum((F.when(v % 2 != 0, 1).otherwise(0) for v in x), F.lit(0))
-    adjacent = sum((F.when(g == 1, 1).otherwise(0) for g in gaps), F.lit(0))
-    few = (F.least, F.greatest) if k > 2 else (lambda g: g, lambda g: g)
-    values = (sum(x, F.lit(0)), s[-1] - s[0], adjacent, few[0](*gaps), few[1](*gaps), odd)
-    rows = [cell("label", none, v) for v in x] + [cell("special", none, F.col("special"))]
-    rows += [cell("pair", none, s[i] * size + s[j]) for i in range(k) for j in range(i + 1, k)]
-    rows += [cell("triple", none, (s[h] * size + s[i]) * size + s[j]) for h in range(k) for i in range(h + 1, k) for j in range(i + 1, k)]
-    rows += [cell("place", F.lit(str(i + 1)), v) for i, v in enumerate(x)]
-    rows += [cell("next" if j == i + 1 else "apart", F.lit(f"{i + 1} {j + 1}"), x[i] * size + x[j]) for i in range(k) for j in range(k) if i != j]
-    rows += [cell("category", cat, v) for v in x] + [cell("category place", F.concat_ws(" ", cat, F.lit(str(i + 1))), v) for i, v in enumerate(x)]
-    rows += [cell(q, none, v) for q, v in zip(QUANTITIES, values)]
-    draws = hist.select("pool", category, "special", F.col("numbers").alias("x"), F.array_sort("numbers").alias("s"))
-    every = draws.select("pool", F.inline(F.array(*rows))).where("key IS NOT NULL")
-    return every.groupBy("pool", "kind", "sub", "key").agg(F.count(F.lit(1)).alias("c"))
+    category (and at a place there) and value of a structural quantity occurs. One scan, and one shuffle of what tasks have counted."""
+    pool = hist.schema["pool"].dataType
+    draws = hist.select("pool", F.coalesce(F.col(category).cast("string"), F.lit("-")).alias("cat"), F.col("special").cast("long").alias("special"), F.col("numbers").cast("array<long>").alias("numbers"))
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= CHUNK:
+                yield from _counted(pa.Table.from_batches(held), m)
+                held, rows = [], 0
+        if rows:
+            yield from _counted(pa.Table.from_batches(held), m)
+
+    schema = StructType([StructField("pool", pool), *StructType.fromDDL("kind string, sub string, key bigint, c bigint")])
+    return draws.mapInArrow(run, schema).groupBy("pool", "kind", "sub", "key").agg(F.sum("c").alias("c"))
+
+
+def _counted(draws: pa.Table, m: Matrix):
+    """The cells of some draws and their counts, as batches."""
+    draws = draws.combine_chunks()
+    numbers, special = draws.column("numbers").combine_chunks(), draws.column("special")
+    size, k, t = m.high + 1, m.k, len(numbers)
+    length = np.asarray(numbers.value_lengths().fill_null(k))
+    if t and length.min() < k:
+        raise ValueError(f"a draw has fewer than {k} labels")
+    label = np.full((t, length.max(initial=k)), MISSING)
+    row, flat = numbers.value_parent_indices().to_numpy(), numbers.flatten()
+    starts = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=t))])
+    label[row, np.arange(len(row)) - starts[row]] = flat.fill_null(MISSING).to_numpy()
+    # A column is values and where they are known.
+    column = lambda v: (v, v != MISSING)
+    both = lambda v, *of: (v, np.logical_and.reduce([known for _, known in of]))
+    x, s = [column(v) for v in label[:, :k].T], [column(v) for v in np.sort(label, 1)[:, :k].T]
+    every = np.ones(t, bool)
+    with np.errstate(over="ignore"):  # of missing labels
+        gaps = [both(s[i + 1][0] - s[i][0], s[i], s[i + 1]) for i in range(k - 1)]
+        out: list[tuple[str, str, list, bool]] = [("label", "", x, False), ("special", "", [(special.fill_null(0).to_numpy(), special.is_valid().to_numpy())], False)]
+        out.append(("pair", "", [both(s[i][0] * size + s[j][0], s[i], s[j]) for i in range(k) for j in range(i + 1, k)], False))
+        out.append(("triple", "", [both((s[h][0] * size + s[i][0]) * size + s[j][0], s[h], s[i], s[j]) for h in range(k) for i in range(h + 1, k) for j in range(i + 1, k)], False))
+        out += [("place", str(i + 1), [v], False) for i, v in enumerate(x)]
+        out += [("next" if j == i + 1 else "apart", f"{i + 1} {j + 1}", [both(x[i][0] * size + x[j][0], x[i], x[j])], False) for i in range(k) for j in range(k) if i != j]
+        out += [("category", "", x, True)] + [("category place", f" {i + 1}", [v], True) for i, v in enumerate(x)]
+        adjacent = sum(((g == 1) & known).astype("i8") for g, known in gaps)
+        odd = sum(((v % 2 != 0) & known).astype("i8") for v, known in x)
+        least = np.minimum.reduce([np.where(known, g, MISSING) for g, known in gaps])
+        most = np.maximum.reduce([np.where(known, g, -MISSING) for g, known in gaps])
+        some = np.logical_or.reduce([known for _, known in gaps])
+        values = (both(sum(v for v, _ in x), *x), both(s[-1][0] - s[0][0], s[0], s[-1]), (adjacent, every), (least, some), (most, some), (odd, every))
+        out += [(q, "", [v], False) for q, v in zip(QUANTITIES, values)]
+    pools, cats = (draws.column(c).combine_chunks().dictionary_encode("encode") for c in ("pool", "cat"))
+    pool, cat = pools.indices.to_numpy(), cats.indices.to_numpy()
+    names = cats.dictionary.to_pylist()
+    for kind, sub, columns, split in out:
+        g, groups = (pool * np.int64(len(names)) + cat, len(pools.dictionary) * len(names)) if split else (pool, len(pools.dictionary))
+        group, key, c = _tally(g, groups, columns)
+        of = np.array([f"{name}{sub}" for name in names])[group % len(names)] if split else np.full(len(key), sub)
+        at = pa.array(group // len(names) if split else group)
+        yield pa.RecordBatch.from_arrays([pools.dictionary.take(at), pa.array(np.full(len(key), kind), pa.string()), pa.array(of, pa.string()), pa.array(key), pa.array(c)], names=["pool", "kind", "sub", "key", "c"])
+
+
+def _tally(g: np.ndarray, groups: int, columns: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, key and count of the known values of the columns."""
+    seen = [v[known] for v, known in columns if known.any()]
+    if not seen:
+        return (np.empty(0, "i8"),) * 3
+    low, high = min(int(v.min()) for v in seen), max(int(v.max()) for v in seen)
+    span = high - low + 1
+    if groups * span > DENSE:
+        found, c = np.unique(np.stack([np.concatenate([g[known] for _, known in columns if known.any()]), np.concatenate(seen)]), axis=1, return_counts=True)
+        return found[0].astype("i8"), found[1], c.astype("i8")
+    count = np.zeros(groups * span, "i8")
+    for v, known in columns:
+        count += np.bincount((g * np.int64(span) + (v - low))[known], minlength=len(count))
+    found = np.flatnonzero(count)
+    return found // span, found % span + low, count[found]
 
 
 def from_cells(counts: DataFrame, m: Matrix) -> DataFrame:

@@ -73,3 +73,13 @@ def test_argmax_does_not_depend_on_buckets(spark, bucket, monkeypatch):
     got = rows()
     monkeypatch.setattr(scan, "BUCKET", 4096)
     assert got == rows() and len(got) > 10
+
+
+def test_streaks_are_of_shared_labels(spark, bucket):
+    """Of a draw's labels only those of the draw before it too are rows; a missing label is none, and a pool of single draws has 1."""
+    draws = [("a", [1, None, 2]), ("a", [3, None, 4]), ("a", [3, 5, 5]), ("a", [5, 3, 6]), ("b", [1, 2, 3]), ("b", [4, 5, 6]), ("c", [None, None, None]), ("d", None)]
+    h = segmented(spark.createDataFrame([(p, i, n, True) for i, (p, n) in enumerate(draws)], "pool string, draw_id long, numbers array<long>, eligible boolean").selectExpr("*", "timestamp_ntz'2024-01-01' AS t"))
+    got = primary.streak(h)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array_intersect(" in plan and "explode(numbers" not in plan
+    assert {r["pool"]: r["value"] for r in got.collect()} == {"a": 3, "b": 1}

@@ -5,12 +5,12 @@ Label counts include labels never drawn. Sequential statistics stay inside segme
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tumbler.functions.exact import Matrix
 from tumbler.operators.history import labels, lagged
-from tumbler.operators.scan import longest_gaps, longest_runs
+from tumbler.operators.scan import longest_gaps, longest_runs, with_neighbours
 
 
 def label_counts(hist: DataFrame, m: Matrix, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -73,9 +73,18 @@ def drought(hist: DataFrame, m: Matrix) -> DataFrame:
 
 
 def streak(hist: DataFrame) -> DataFrame:
-    """The longest run of draws of a segment that all hold some label."""
-    runs = longest_runs(labels(hist, ["pool", "seg", "idx"]), ["pool", "seg", "label"], "idx")
-    return runs.groupBy("pool").agg(F.max("run").alias("value"))
+    """The longest run of draws of a segment that all hold some label. hist is read twice, so it should be a written table.
+
+    A run of more than one draw is a run of labels shared with the draw before, one shorter. So the rows are draws, and of their labels
+    only the shared ones.
+    """
+    by = Window.partitionBy("pool", "seg", "__bucket").orderBy("idx")
+    draws = with_neighbours(hist.select("pool", "seg", "idx", "numbers"), "idx", 1)
+    before = F.when(F.lag("idx").over(by) == F.col("idx") - 1, F.lag("numbers").over(by))
+    shared = draws.withColumn("__before", before).where("__own").select("pool", "seg", "idx", F.explode(F.array_intersect("numbers", "__before")).alias("label")).where("label IS NOT NULL")
+    runs = longest_runs(shared, ["pool", "seg", "label"], "idx").groupBy("pool").agg(F.max("run").alias("run"))
+    pools = hist.where(F.array_max("numbers").isNotNull()).select("pool").distinct()
+    return pools.join(runs, pools["pool"].eqNullSafe(runs["pool"]), "left").select(pools["pool"], (F.coalesce("run", F.lit(0)) + 1).alias("value"))
 
 
 def special_frequency(hist: DataFrame, m: Matrix) -> DataFrame:

@@ -31,8 +31,8 @@ def query(name: str, oracle: str | None = None):
 ALONE = {"fs001", "fs002", "fs003", "fs004", "fs005", "fs009", "fs010", "fs012", "fs013", "p3s001", "p3s011", "p3s012", "p3b_s001", "p3b_s002", "p3b_s003", "p3b_s004", "p3b_s005", "p3b_s006", "p3b_s010"}
 
 
-#: Statistics of pairs of draws read the history more than once, so it is written first.
-SERIAL = {"fs006", "fs011", "p3s002", "p3b_s007", "p3b_s008"}
+#: Statistics of pairs of draws (a streak is of pairs too) read the history more than once, so it is written first.
+SERIAL = {"fs006", "fs008", "fs011", "p3s002", "p3b_s007", "p3b_s008"}
 
 
 def per_pool(name: str, f: Callable, oracle: str, column: str = "value", kind: str = "double") -> None:
